@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from folimetry.llm import url_filter
+from folimetry.llm import exact_dedup, source_mix, url_filter
 
 QUERIES = {
+    "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op9_source_mix": source_mix.op9_source_mix,
     "op10_url_filters": url_filter.op10_url_filters,
 }
 ORACLES = {
+    "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op10_url_filters": url_filter.OP10_SQL,
 }
