@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folimetry.llm.pieces import Memo, Ragged, by_bytes, row_slices, whole_texts
+from folimetry.llm.pieces import Memo, Ragged, by_bytes, row_slices, text_bytes, whole_texts
 from folimetry.llm.scratch import filesystem, shared_folder, write_atomically, written
 
 MAGIC = b"FOLIOIDS"
@@ -173,15 +173,8 @@ class ByteLevelEncoder:
         known.update(zip(rest, self._library(rest), strict=True))
         return [known[r] for r in runs]
 
-    @staticmethod
-    def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Borders of the texts in their data, and the data."""
-        borders = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = texts.buffers()[2]
-        return borders, np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
-
     def plain(self, texts: pa.Array) -> np.ndarray:
-        borders, data = self._bytes(texts)
+        borders, data = text_bytes(texts)
         part = data[borders[0] : borders[-1]]
         odd, space = ODD[part], SPACE[part]
         odd[1:] |= space[1:] & space[:-1]
@@ -191,7 +184,7 @@ class ByteLevelEncoder:
         return fine
 
     def _plain_rows(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        borders, data = self._bytes(texts)
+        borders, data = text_bytes(texts)
         part = data[borders[0] : borders[-1]]
         letter, space = LETTER[part], part == 0x20
         start = space.copy()

@@ -14,14 +14,11 @@ def whole_texts(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def split_single_spaces(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(distinct chunks, chunk number of each occurrence, occurrences before each row and in all).
-
-    Splits at every U+0020 and drops it; n spaces in a row leave n-1 empty chunks."""
-    lists = pc.split_pattern(texts, " ")
-    coded = lists.flatten().dictionary_encode()
-    borders = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), borders.astype(np.int64)
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Borders of the texts of a large_string array in their data, and the data."""
+    borders = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    return borders, np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
 
 
 class Ragged:
