@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from folimetry.llm import exact_dedup, packed_ids, sentence_pieces, source_mix, url_filter
+from folimetry.llm import exact_dedup, ngram_join, packed_ids, sentence_pieces, source_mix, url_filter
 
 QUERIES = {
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
     "op8_packed_ids": packed_ids.op8_packed_ids,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
