@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from folimetry.llm import exact_dedup, ngram_join, packed_ids, quality, sentence_pieces, source_mix, url_filter
+from folimetry.llm import exact_dedup, ngram_join, packed_ids, quality, sentence_pieces, source_mix, toxicity, url_filter
 
 QUERIES = {
+    "op6_toxicity": toxicity.op6_toxicity,
     "op1_quality": quality.op1_quality,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,

@@ -11,6 +11,8 @@ from folimetry.llm.pieces import text_bytes
 BASE = 0x9E3779B97F4A7C15
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
+LETTERS = np.zeros(256, bool)
+LETTERS[65:91] = LETTERS[97:123] = LETTERS[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -39,11 +41,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, start and end of each word in them, words before each row and in all): runs of all but ASCII white space."""
+def word_spans(texts: pa.Array, inside: np.ndarray = ~BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start and end of each word in them, words before each row and in all). Words are runs of the bytes marked in
+    `inside`: by default all but ASCII white space."""
     borders, data = text_bytes(texts)
     part = data[borders[0] : borders[-1]]
-    word = ~BLANK[part]
+    word = inside[part]
     rows = borders - borders[0]
     opens = np.zeros(len(part) + 1, bool)
     opens[rows] = True
