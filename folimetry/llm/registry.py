@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from folimetry.llm import exact_dedup, ngram_join, packed_ids, quality, sentence_pieces, source_mix, toxicity, url_filter
+from folimetry.llm import exact_dedup, neighbours, ngram_join, packed_ids, quality, sentence_pieces, source_mix, toxicity, url_filter, warc
 
 QUERIES = {
+    "op5_warc": warc.op5_warc,
+    "op7_neighbours": neighbours.op7_neighbours,
     "op6_toxicity": toxicity.op6_toxicity,
     "op1_quality": quality.op1_quality,
     "op3_ngram_join": ngram_join.op3_ngram_join,
@@ -15,6 +17,7 @@ QUERIES = {
     "op10_url_filters": url_filter.op10_url_filters,
 }
 ORACLES = {
+    "op5_warc": warc.OP5_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op10_url_filters": url_filter.OP10_SQL,
 }
