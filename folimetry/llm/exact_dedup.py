@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folimetry.llm.scratch import shared_folder, written
+from folimetry.llm.scratch import shared_folder, without_rows, written
 
 MEMTABLE_ROWS = 1 << 18
 #: Runs of one level that are compacted into one of the next.
@@ -224,9 +224,8 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that stay, with their columns; rows are told apart by the position that a written copy gives them."""
-    dropped = exact_groups(docs).filter("not kept").select(F.col("row_id").alias("__row"))
-    tagged = docs.withColumn("__row", F.monotonically_increasing_id())
-    return tagged.join(dropped, "__row", "left_anti").select(*docs.columns)
+    dropped = written(exact_groups(docs).filter("not kept").select(F.col("row_id").alias("__row")))
+    return without_rows(docs, dropped, BROADCAST_HITS)
 
 
 OP4_SQL = """

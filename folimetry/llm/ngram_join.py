@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folimetry.llm.components import components
 from folimetry.llm.pieces import by_bytes, whole_texts
-from folimetry.llm.scratch import shared_folder, written
+from folimetry.llm.scratch import shared_folder, without_rows, written
 from folimetry.llm.words import mix, word_hashes, word_spans
 
 BITMAP_BITS = 512
@@ -34,7 +35,8 @@ SLICE_BYTES = 4 << 20
 #: Cluster members up to which their list is broadcast to the second scan (24 bytes each); beyond, the scan shuffles.
 BROADCAST_MEMBERS = 300_000
 SALTS = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
-SET_SCHEMA = "row_id long, doc_id long, n_shingles long, sum_a long, sum_b long, keys array<long>"
+SET_SCHEMA = "row_id long, doc_id long, n_shingles long, sum_a long, sum_b long"
+STAR_SCHEMA = "key long, u long, v long"
 MEMBER_SCHEMA = "cluster long, block int, visitor boolean, component long, row_id long, n int, bitmap binary, shingles binary"
 
 
@@ -110,46 +112,33 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def _sets(words: int, percent: int):
+def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
         for batch in batches:
             for b in by_bytes(batch, "text", SLICE_BYTES):
-                sizes, sums_a, sums_b, keys = [], [], [], []
+                sizes, sums_a, sums_b = [], [], []
                 for s in shingle_sets(whole_texts(b.column("text")), words):
                     sizes.append(len(s))
                     sums_a.append(np.add.reduce(mix(s ^ SALTS[2])) if len(s) else np.uint64(0))
                     sums_b.append(np.add.reduce(mix(s ^ SALTS[3])) if len(s) else np.uint64(0))
-                    keys.append(_signed(bands.keys(s)))
-                at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("row_id"), b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(_signed(np.array(sums_a, np.uint64))), pa.array(_signed(np.array(sums_b, np.uint64))), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
-                    ["row_id", "doc_id", "n_shingles", "sum_a", "sum_b", "keys"],
-                )
+                sums = [pa.array(_signed(np.array(x, np.uint64))) for x in (sums_a, sums_b)]
+                yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("doc_id"), pa.array(sizes, pa.int64()), *sums], [f.split()[0] for f in SET_SCHEMA.split(", ")])
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, row_id): links from the first holder of each key in this task to the others, and one row a key."""
-    keys, rows = [], []
-    for b in batches:
-        keys.append(b.column("key").to_numpy())
-        rows.append(b.column("row_id").to_numpy())
-    if not keys:
-        return
-    key, row = np.concatenate(keys), np.concatenate(rows)
+def _stars(key: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links (no key) from the first holder of each key to the others, and one row (no v) a key for its first holder."""
     order = np.lexsort((row, key))
     key, row = key[order], row[order]
     new = np.append(True, key[1:] != key[:-1])[: len(key)]
     first = np.flatnonzero(new)
-    leader = row[first][np.cumsum(new) - 1]
+    leader = row[first][np.cumsum(new) - 1] if len(key) else row
     other = np.flatnonzero(~new & (row != leader))
     pairs = np.unique(np.stack([row[other], leader[other]]), axis=1) if len(other) else np.empty((2, 0), np.int64)
     yield _star_batch(pairs[0], pairs[1], None)
-    for a in range(0, len(first), 1 << 20):
-        part = first[a : a + (1 << 20)]
+    for a in range(0, len(first), 1 << 18):
+        part = first[a : a + (1 << 18)]
         yield _star_batch(row[part], None, key[part])
 
 
@@ -158,24 +147,38 @@ def _star_batch(u: np.ndarray, v: np.ndarray | None, key: np.ndarray | None) ->
     return pa.RecordBatch.from_arrays(columns, ["key", "u", "v"])
 
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flat() -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column("keys")
-            counts = lists.value_lengths().to_numpy(zero_copy_only=False)
-            rows = np.repeat(b.column("row_id").to_numpy(), counts)
-            yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(rows)], ["key", "row_id"])
+def _local_stars(words: int, percent: int):
+    """Stars over a task's documents: a key that many of them hold leaves the task once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, keys, rows = Bands(percent), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for batch in batches:
+            for b in by_bytes(batch, "text", SLICE_BYTES):
+                found = [_signed(bands.keys(s)) if len(s) else keys[0] for s in shingle_sets(whole_texts(b.column("text")), words)]
+                keys += found
+                rows.append(np.repeat(b.column("row_id").to_numpy(), [len(k) for k in found]))
+        yield from _stars(np.concatenate(keys), np.concatenate(rows))
+
+    return run
+
 
-    yield from _stars(flat())
+def _merged_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars over the holders that tasks sent for each key; links pass."""
+    keys, rows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for b in batches:
+        linked = b.column("key").is_null()
+        yield b.filter(linked)
+        held = b.filter(pc.invert(linked))
+        keys.append(held.column("key").to_numpy())
+        rows.append(held.column("u").to_numpy())
+    for b in _stars(np.concatenate(keys), np.concatenate(rows)):
+        yield b.filter(b.column("key").is_null())
 
 
-def candidate_links(sets: DataFrame, folder: str) -> DataFrame:
+def candidate_links(texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (u, v) between row ids that put the members of every tile into one component."""
-    stars = "key long, u long, v long"
-    local = written(sets.select("row_id", "keys").mapInArrow(_opened, stars), folder)
-    held = local.filter("key is not null").select("key", F.col("u").alias("row_id"))
-    across = held.repartition("key").mapInArrow(lambda it: (b for b in _stars(it) if b.num_rows and b.column("key").null_count), stars)
-    return local.filter("key is null").unionByName(across).select("u", "v")
+    local = texts.select("row_id", "text").mapInArrow(_local_stars(words, percent), STAR_SCHEMA)
+    return local.repartition(F.coalesce("key", "u")).mapInArrow(_merged_stars, STAR_SCHEMA).select("u", "v")
 
 
 class Block:
@@ -298,16 +301,14 @@ def ngram_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Data
     spark = docs.sparkSession
     folder = shared_folder(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(rows.mapInArrow(_sets(words, percent), SET_SCHEMA), folder)
+    sets = written(rows.mapInArrow(_sets(words), SET_SCHEMA), folder)
     equal = ["n_shingles", "sum_a", "sum_b"]
-    classes = written(
-        sets.filter("n_shingles > 0").groupBy(*equal).agg(
-            F.min("doc_id").alias("least_id"), F.min("row_id").alias("leader"), F.min_by("keys", "row_id").alias("keys"), F.count("*").alias("set_rows"),
-        ),
-        folder,
-    )
-    nodes = classes.filter(F.size("keys") > 0).select(F.col("leader").alias("row_id"), "keys")
-    clusters = components(written(candidate_links(nodes, folder), folder))
+    classes = sets.filter("n_shingles > 0").groupBy(*equal)
+    classes = written(classes.agg(F.min("doc_id").alias("least_id"), F.min("row_id").alias("leader"), F.count("*").alias("set_rows")), folder)
+    copies = written(sets.join(classes.filter("set_rows > 1"), equal).filter("row_id <> leader").select("row_id"), folder)
+    few = copies.count() <= BROADCAST_MEMBERS
+    leaders = rows.select("row_id", "text").join(F.broadcast(copies) if few else copies, "row_id", "left_anti")
+    clusters = components(written(candidate_links(leaders, words, percent), folder))
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
     plan = written(
         clusters.join(sizes, "component").select(
@@ -383,5 +384,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each component of five-word shingles at a similarity of 0.8 or more: the one of smallest doc_id."""
     found = ngram_components(docs, words=5, percent=80)
     keeper = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
-    kept = found.groupBy("component").agg(F.min(keeper).alias("keeper")).select(F.col("keeper.row_id").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").select(*docs.columns)
+    found = written(found.select("component", "doc_id", "row_id"))
+    kept = found.groupBy("component").agg(F.min(keeper).alias("keeper")).select(F.col("keeper.row_id").alias("row_id"))
+    dropped = written(found.join(kept, "row_id", "left_anti").select(F.col("row_id").alias("__row")))
+    return without_rows(docs, dropped, BROADCAST_MEMBERS)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words of the corpus contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +30,12 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without_rows(docs: DataFrame, dropped: DataFrame, most: int) -> DataFrame:
+    """The rows of a scan whose position isn't among dropped(__row); broadcast up to `most` of these, else shuffled."""
+    gone = F.broadcast(dropped) if dropped.count() <= most else dropped
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").select(*docs.columns)
+
+
 def filesystem(path: str):
     """pyarrow filesystem and inner path of a URI; used by tasks for binary files in the shared folder."""
     from pyarrow import fs
