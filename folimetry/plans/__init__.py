@@ -1 +1,3 @@
 """Query plans registered for the driver, with their reference SQL."""
+
+from folimetry.plans import aggregation, geometry, ingest, metrics, parsing, reshaping, text  # noqa: F401
