@@ -3,7 +3,8 @@
 Texts become sets of hashed word shingles. Sets lie in bands of size, each wider than the one below by 1/threshold, so
 that two sets that link are in one band or in neighbouring ones. In a band, linked sets differ in at most k shingles; cut
 by hash into more than k segments, they agree in one segment whole. Segments are therefore exact keys of tiles, and far rarer
-than single shingles: a passage that many documents share makes no tile.
+than single shingles: a passage that many documents share makes no tile. For low thresholds, where segments would be short, the keys
+are the set's first shingles in an order that puts those of frequent passages last.
 
 Equal sets are one representative first. Tiles are joined into clusters of candidates: a task links the members of a
 tile that it holds to one of them and passes only that one on, so a frequent key costs a row a task. Clusters are cut
@@ -30,6 +31,11 @@ from folimetry.llm.scratch import shared_folder, without_rows, written
 from folimetry.llm.words import mix, word_hashes, word_spans
 
 BITMAP_BITS = 512
+#: From this threshold on segments hold some ten shingles and are the keys of tiles; below it they would be too short to
+#: tell documents apart, and the keys are shingles themselves, rare ones first.
+SEGMENT_PERCENT = 90
+#: Shingles that the order of such keys puts last (8 bytes each), and documents of a task from which they are counted.
+HOT_SHINGLES, HOT_IN_TASK = 400_000, 3
 BLOCK_MEMBERS = 1024
 SLICE_BYTES = 4 << 20
 #: Cluster members up to which their list is broadcast to the second scan (24 bytes each); beyond, the scan shuffles.
@@ -86,6 +92,20 @@ class Bands:
         """Most shingles in which two linked sets can differ whose larger one is of this band."""
         return (100 - self.percent) * 2 * (self._low(band + 1) - 1) // (100 + self.percent)
 
+    def prefix_keys(self, shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """Keys of the set's first shingles in an order that all sets share: hot ones last, else by hash.
+
+        Linked sets share a shingle among the first n - ceil(share * n) + 1 of each: leaving out fewer than the overlap
+        asks for can't leave out all that they share. Passages that many documents share come last, so make no tiles
+        unless a document has little else.
+        """
+        n = len(shingles)
+        most = n - -(-self.percent * n // 100) + 1
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
+            shingles = shingles[np.argsort(hot[at] == shingles, kind="stable")]
+        return np.concatenate([mix(shingles[:most] + np.uint64((band + 1) << 40)) for band in self.of(n)])
+
     def keys(self, shingles: np.ndarray) -> np.ndarray:
         """Keys of the segments that hold shingles, of which there is one more than can differ and one to spare.
 
@@ -147,14 +167,37 @@ def _star_batch(u: np.ndarray, v: np.ndarray | None, key: np.ndarray | None) ->
     return pa.RecordBatch.from_arrays(columns, ["key", "u", "v"])
 
 
-def _local_stars(words: int, percent: int):
+def _local_counts(words: int):
+    """Shingles that several documents of a task hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.empty(0, np.uint64)]
+        for batch in batches:
+            for b in by_bytes(batch, "text", SLICE_BYTES):
+                found += list(shingle_sets(whole_texts(b.column("text")), words))
+        shingle, count = np.unique(np.concatenate(found), return_counts=True)
+        several = count >= HOT_IN_TASK
+        yield pa.RecordBatch.from_arrays([pa.array(_signed(shingle[several])), pa.array(count[several], pa.int64())], ["shingle", "n"])
+
+    return run
+
+
+def hot_shingles(texts: DataFrame, words: int) -> np.ndarray:
+    """The HOT_SHINGLES that most documents hold, sorted; only the order of keys depends on them, never a link."""
+    counts = texts.select("text").mapInArrow(_local_counts(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "shingle").limit(HOT_SHINGLES).select("shingle").toPandas()
+    return np.sort(top["shingle"].to_numpy(np.int64).view(np.uint64))
+
+
+def _local_stars(words: int, percent: int, hot):
     """Stars over a task's documents: a key that many of them hold leaves the task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, keys, rows = Bands(percent), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for batch in batches:
             for b in by_bytes(batch, "text", SLICE_BYTES):
-                found = [_signed(bands.keys(s)) if len(s) else keys[0] for s in shingle_sets(whole_texts(b.column("text")), words)]
+                keys_of = bands.keys if hot is None else lambda s: bands.prefix_keys(s, hot.value)
+                found = [_signed(keys_of(s)) if len(s) else keys[0] for s in shingle_sets(whole_texts(b.column("text")), words)]
                 keys += found
                 rows.append(np.repeat(b.column("row_id").to_numpy(), [len(k) for k in found]))
         yield from _stars(np.concatenate(keys), np.concatenate(rows))
@@ -177,7 +220,8 @@ def _merged_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def candidate_links(texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (u, v) between row ids that put the members of every tile into one component."""
-    local = texts.select("row_id", "text").mapInArrow(_local_stars(words, percent), STAR_SCHEMA)
+    hot = None if percent >= SEGMENT_PERCENT else texts.sparkSession.sparkContext.broadcast(hot_shingles(texts, words))
+    local = texts.select("row_id", "text").mapInArrow(_local_stars(words, percent, hot), STAR_SCHEMA)
     return local.repartition(F.coalesce("key", "u")).mapInArrow(_merged_stars, STAR_SCHEMA).select("u", "v")
 
 
