@@ -147,7 +147,7 @@ def _rotated(df: DataFrame) -> DataFrame:
 
 _boxes(
     "rotated_envelope", _rotated,
-    """SELECT page, idx, round(cx - dx, 1) AS x1, round(cy - dy, 1) AS y1, round(cx + dx, 1) AS x2, round(cy + dy, 1) AS y2 FROM (
+    """SELECT page, idx, round(cx - dx, 1) + 0.0::DOUBLE AS x1, round(cy - dy, 1) + 0.0::DOUBLE AS y1, round(cx + dx, 1) + 0.0::DOUBLE AS x2, round(cy + dy, 1) + 0.0::DOUBLE AS y2 FROM (
       SELECT page, idx, (x1 + x2) / 2.0::DOUBLE AS cx, (y1 + y2) / 2.0::DOUBLE AS cy,
         abs((x2 - x1) / 2.0::DOUBLE * cos(radians(q))) + abs((y2 - y1) / 2.0::DOUBLE * sin(radians(q))) AS dx, abs((x2 - x1) / 2.0::DOUBLE * sin(radians(q))) + abs((y2 - y1) / 2.0::DOUBLE * cos(radians(q))) AS dy FROM pr)""",
 )

@@ -15,9 +15,22 @@ KEYS = ("model", "test_set", "file", "page")
 ASCII = tx.Normalisation(unicode_form="", halfwidth=False)
 
 metrics.register_metric("cer", lambda r, h: {"cer": metrics.cer(r, h)})
-metrics.register_metric("wer", lambda r, h: {"wer": metrics.wer(tx.words(r), tx.words(h))})
-metrics.register_metric("bleu", lambda r, h, max_n=4: {"bleu": metrics.bleu(tx.words(r), tx.words(h), max_n)})
-metrics.register_metric("bag_of_words", lambda r, h: metrics.bag_of_words(tx.words(r), tx.words(h)))
+
+
+def _on_words(r, h, build):
+    """A metric of the two texts' words, which are split once a row."""
+    return metrics.bound(F.struct(tx.words(r).alias("r"), tx.words(h).alias("h")), lambda x: build(x["r"], x["h"]))
+
+
+def _bag(r, h) -> dict:
+    keys = ("bow_precision", "bow_recall", "bow_f1", "bow_jaccard")
+    whole = _on_words(r, h, lambda a, b: F.struct(*[c.alias(k) for k, c in metrics.bag_of_words(a, b).items()]))
+    return {k: whole[k] for k in keys}
+
+
+metrics.register_metric("wer", lambda r, h: {"wer": _on_words(r, h, metrics.wer)})
+metrics.register_metric("bleu", lambda r, h, max_n=4: {"bleu": _on_words(r, h, lambda a, b: metrics.bleu(a, b, max_n))})
+metrics.register_metric("bag_of_words", _bag)
 
 
 def normal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
