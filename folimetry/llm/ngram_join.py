@@ -37,7 +37,7 @@ SEGMENT_PERCENT = 90
 #: Shingles that the order of such keys puts last (8 bytes each), and documents of a task from which they are counted.
 HOT_SHINGLES, HOT_IN_TASK = 400_000, 3
 BLOCK_MEMBERS = 1024
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Cluster members up to which their list is broadcast to the second scan (24 bytes each); beyond, the scan shuffles.
 BROADCAST_MEMBERS = 300_000
 SALTS = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]

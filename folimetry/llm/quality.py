@@ -29,7 +29,7 @@ SYMBOLS = BUCKETS + SHAPES
 DIM = 32
 NONZERO = 4
 WINDOW = 2
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 THRESHOLD = 0.3
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 40, 256, 3e-3, 1e-4, 17
 CALIBRATION_SHARE = 5

@@ -48,7 +48,7 @@ VOTER_LOG_ODDS, VOTER_DOCS, VOTER_SHARE = 2.5, 4, 0.01
 EM_ROUNDS = 25
 EPOCHS, STEPS, BATCH, RATE, DECAY, SEED = 30, 4000, 256, 0.1, 1e-5, 23
 THRESHOLD = 0.5
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 KINDS = [np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
