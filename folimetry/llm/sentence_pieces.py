@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from folimetry.llm.pieces import Memo, Ragged, by_bytes, row_slices, text_bytes, whole_texts
 
 SPACE = "▁"
-#: Distinct chunks whose ids a worker keeps (some 80 MB).
-MEMO_CHUNKS = 400_000
+#: Distinct chunks whose ids a worker keeps (some 30 MB).
+MEMO_CHUNKS = 150_000
 #: Answers of the pair test that a worker keeps.
-MEMO_PAIRS = 1_000_000
-SLICE_BYTES = 16 << 20
-SLICE_IDS = 1 << 19
+MEMO_PAIRS = 300_000
+SLICE_BYTES = 4 << 20
+SLICE_IDS = 1 << 18
 NEVER = float("inf")
 #: Characters of one or two bytes; texts of these alone are cut into chunks with numpy.
 NARROW = 0x800
