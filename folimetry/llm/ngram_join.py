@@ -361,12 +361,16 @@ def ngram_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Data
         folder,
     )
     few = plan.count() <= BROADCAST_MEMBERS
-    chosen = rows.select("row_id", "text").join(F.broadcast(plan) if few else plan, "row_id").select("row_id", "text", "cluster", "block")
-    members = written(chosen.mapInArrow(_member_arrays(words), MEMBER_SCHEMA), folder)
-    dealt = members.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "n", "row_id")
+
+    def members(of: DataFrame) -> DataFrame:
+        """Arrays and bitmaps of a part of the plan, made from the texts each time: larger than these, they aren't kept."""
+        chosen = rows.select("row_id", "text").join(F.broadcast(of) if few else of, "row_id")
+        return chosen.select("row_id", "text", "cluster", "block").mapInArrow(_member_arrays(words), MEMBER_SCHEMA)
+
+    dealt = members(plan).repartition("cluster", "block").sortWithinPartitions("cluster", "block", "n", "row_id")
     inside = written(dealt.mapInArrow(_blocks(percent), "u long, v long"), folder)
     parts = written(components(inside), folder)
-    links = inside.unionByName(_across(members, plan, parts, percent))
+    links = inside.unionByName(_across(members(plan.filter("blocks > 1")), plan, parts, percent))
     linked = written(components(written(links, folder)), folder)
     joined = classes.select(*equal, "leader", "least_id", "set_rows").join(linked.withColumnRenamed("node", "leader"), "leader", "left")
     joined = written(joined.withColumn("component", F.coalesce("component", "leader")), folder)
