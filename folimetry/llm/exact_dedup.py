@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folimetry.llm.scratch import shared_folder, without_rows, written
+from folimetry.llm.scratch import ROW, numbered, shared_folder, without_rows, written
 
 MEMTABLE_ROWS = 1 << 18
 #: Runs of one level that are compacted into one of the next.
@@ -188,7 +188,7 @@ def exact_groups(docs: DataFrame, keep: str = "largest", digest_hex: int = 32) -
         return F.conv(hexes, 16, -10).cast("long")
 
     hashed = (
-        docs.select("doc_id", F.sha2(text, 256).alias("text_sha256"), text.alias("text"), F.monotonically_increasing_id().alias("row_id"))
+        numbered(docs).select("doc_id", F.sha2(text, 256).alias("text_sha256"), text.alias("text"), F.col(ROW).alias("row_id"))
         .withColumn("high", number(F.substring("text_sha256", 1, half)))
         .withColumn("low", number(F.substring("text_sha256", 17, digest_hex - half)))
         .withColumn("low", F.coalesce("low", F.lit(0)))
@@ -223,8 +223,9 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that stay, with their columns; rows are told apart by the position that a written copy gives them."""
-    dropped = written(exact_groups(docs).filter("not kept").select(F.col("row_id").alias("__row")))
+    """The documents that stay, with their columns; rows are told apart by their place in the stored table."""
+    docs = numbered(docs)
+    dropped = written(exact_groups(docs).filter("not kept").select(F.col("row_id").alias(ROW)))
     return without_rows(docs, dropped, BROADCAST_HITS)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from folimetry.llm.components import components
 from folimetry.llm.pieces import by_bytes, whole_texts
-from folimetry.llm.scratch import shared_folder, without_rows, written
+from folimetry.llm.scratch import ROW, numbered, shared_folder, without_rows, written
 from folimetry.llm.words import mix, word_hashes, word_spans
 
 BITMAP_BITS = 512
@@ -344,7 +344,7 @@ def ngram_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Data
     """
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = numbered(docs).select(F.col(ROW).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(rows.mapInArrow(_sets(words), SET_SCHEMA), folder)
     equal = ["n_shingles", "sum_a", "sum_b"]
     classes = sets.filter("n_shingles > 0").groupBy(*equal)
@@ -430,9 +430,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word shingles at a similarity of 0.8 or more: the one of smallest doc_id."""
+    docs = numbered(docs)
     found = ngram_components(docs, words=5, percent=80)
     keeper = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
     found = written(found.select("component", "doc_id", "row_id"))
     kept = found.groupBy("component").agg(F.min(keeper).alias("keeper")).select(F.col("keeper.row_id").alias("row_id"))
-    dropped = written(found.join(kept, "row_id", "left_anti").select(F.col("row_id").alias("__row")))
+    dropped = written(found.join(kept, "row_id", "left_anti").select(F.col("row_id").alias(ROW)))
     return without_rows(docs, dropped, BROADCAST_MEMBERS)

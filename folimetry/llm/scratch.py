@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +31,48 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Identifier that numbered() gives rows: the file's place among the scan's files and the row's position in it.
+ROW = "__row"
+FILE_BITS = 40
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The same rows with ROW, which stays the same in every later read, however the scan is split.
+
+    Rows of a Parquet scan, projected or filtered at most, are known by file and position in it. Other rows are written
+    once together with their number. Rows that have ROW already are left as they are.
+    """
+    if ROW in docs.columns:
+        return docs
+    if not _plain_scan(docs):
+        return written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    spark, place = docs.sparkSession, docs.metadataColumn("_metadata")
+    paths = sorted({re.sub("^([a-z0-9]+):/+", r"\1:/", p) for p in docs.inputFiles()})
+    tagged = docs.withColumns({"__path": F.regexp_replace(place["file_path"], "^([a-z0-9]+):/+", "$1:/"), "__at": place["row_index"]})
+    files = spark.range(1).select(F.posexplode(F.lit(paths) if paths else F.array(F.lit(""))).alias("__file", "__path"))
+    known = F.coalesce("__file", F.raise_error(F.concat(F.lit("a file the scan didn't list: "), "__path")).cast("int"))
+    row = F.shiftleft(known.cast("long"), FILE_BITS) + F.col("__at")
+    return tagged.join(F.broadcast(files), "__path", "left").select(*docs.columns, row.alias(ROW))
+
+
+def _plain_scan(docs: DataFrame) -> bool:
+    """Whether each row is one row of a Parquet scan."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if node.children().size():
+        return False
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"]).schema  # noqa: B018
+    except AnalysisException:
+        return False
+    return True
+
+
 def without_rows(docs: DataFrame, dropped: DataFrame, most: int) -> DataFrame:
-    """The rows of a scan whose position isn't among dropped(__row); broadcast up to `most` of these, else shuffled."""
+    """Rows of numbered() that aren't among dropped(__row), without ROW; broadcast up to `most` of these, else shuffled."""
     gone = F.broadcast(dropped) if dropped.count() <= most else dropped
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").select(*docs.columns)
+    return docs.join(gone, ROW, "left_anti").select(*[c for c in docs.columns if c != ROW])
 
 
 def filesystem(path: str):

@@ -312,3 +312,45 @@ def test_pipeline_stages_keep_columns(spark):
     assert near.columns == names and near.count() == len({c for n, c in brute_components(texts, 5, 80).values() if n}) + sum(n == 0 for n, _ in brute_components(texts, 5, 80).values())
     mixed = written(stages["mixing sources to target weights"](spark, near, ""))
     assert mixed.columns == names and mixed.count() > 0
+
+
+# --- row identifiers
+
+
+def test_rows_stay_known_when_scans_split_differently(spark, monkeypatch):
+    """As if executors came or went: every job of a query reads its table in other partitions than the one before."""
+    texts = ["one two three four five six", "b", "", None] * 6 + [f"{i} alone among the others here" for i in range(16)]
+    path, jobs = f"{shared_folder(spark)}/docs", [0]
+    rows = [(i, t, t and t * 20) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, html string").repartition(8).write.parquet(path)
+    docs = spark.read.parquet(path)
+
+    def shaken(df, folder=None):
+        jobs[0] += 1
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k" if jobs[0] % 2 else "128m")
+        spark.conf.set("spark.sql.files.openCostInBytes", "64k" if jobs[0] % 2 else "4m")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        return written(df, folder)
+
+    for module in (exact_dedup, ngram_join, warc):
+        monkeypatch.setattr(module, "written", shaken)
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t or "", i)
+    last = {t or "": i for i, t in enumerate(texts)}
+    try:
+        got = exact_dedup.exact_groups(docs).collect()
+        assert sorted(r.doc_id for r in got if r.kept) == sorted(last.values()) and len(got) == len(texts)
+        assert all(r.keep_id == last[texts[r.doc_id] or ""] for r in got)
+        kept = exact_dedup.dedup_stage(spark, docs, "").collect()
+        assert Counter(r.text or "" for r in kept) == Counter(list(last))
+        kept = ngram_join.near_dedup_stage(spark, docs, "").collect()
+        assert sorted(r.doc_id for r in kept) == sorted(i for i, t in enumerate(texts) if not t or first[t] == i)
+        files = warc.write_warc(docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), "html"), shared_folder(spark))
+        pages = warc.read_warc(files).collect()
+        long = [t for t in texts if t and len(t) * 20 >= warc.LEAST_PAYLOAD]
+        assert sum(r.record_type == "revisit" for r in pages) == len(long) - len(set(long))
+        assert all(r.refers_to == first[texts[r.page_id]] for r in pages if r.record_type == "revisit")
+    finally:
+        for name in ("maxPartitionBytes", "openCostInBytes", "minPartitionNum"):
+            spark.conf.unset(f"spark.sql.files.{name}")
