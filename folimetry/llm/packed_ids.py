@@ -140,8 +140,8 @@ class ByteLevelEncoder:
 
     The byte-level pre-tokeniser parts letters from all else, and a single U+0020 starts a piece of its own. So a plain
     text (ASCII and the Latin letters U+00C0 to U+00FF; no apostrophes, control characters or double white space) is
-    cut where letters begin or end and before each space, and its ids are those of the runs end to end. Other texts
-    are encoded whole. Spaced words are handed to the library many at a time: only the first token of each begins with
+    cut where letters begin or end and before each space, and its ids are those of the runs end to end. Other texts,
+    and all that hold an added token such as <|endoftext|>, are encoded whole. Spaced words are handed to the library many at a time: only the first token of each begins with
     the space, so that their ids can be told apart.
     """
 
@@ -150,7 +150,7 @@ class ByteLevelEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.uint16 if self.vocabulary <= 1 << 16 else np.uint32
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.vocabulary)])
@@ -164,6 +164,7 @@ class ByteLevelEncoder:
         known: dict[str, bytes] = {}
         spaced = [r for r in runs if r[0] == " " and r[1:2].isalpha()]
         groups = [spaced[i : i + JOINED_WORDS] for i in range(0, len(spaced), JOINED_WORDS)]
+        groups = [g for g in groups if not self._holds_added("".join(g))]
         for group, ids in zip(groups, self._library(["".join(g) for g in groups]), strict=True):
             at = np.flatnonzero(self.opens[np.frombuffer(ids, self.kind)]) * np.dtype(self.kind).itemsize
             if len(at) == len(group):
@@ -173,6 +174,9 @@ class ByteLevelEncoder:
         known.update(zip(rest, self._library(rest), strict=True))
         return [known[r] for r in runs]
 
+    def _holds_added(self, text: str) -> bool:
+        return any(token in text for token in self.added)
+
     def plain(self, texts: pa.Array) -> np.ndarray:
         borders, data = text_bytes(texts)
         part = data[borders[0] : borders[-1]]
@@ -181,6 +185,8 @@ class ByteLevelEncoder:
         odd[1:] |= (part[:-1] == 0xC3) & ((part[1:] == 0x97) | (part[1:] == 0xB7))
         fine = np.ones(len(texts), bool)
         fine[np.searchsorted(borders, np.flatnonzero(odd) + borders[0], "right") - 1] = False
+        for token in self.added:
+            fine &= ~pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         return fine
 
     def _plain_rows(self, texts: pa.Array) -> Iterator[np.ndarray]:

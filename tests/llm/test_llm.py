@@ -253,6 +253,19 @@ def test_packed_documents(spark):
     assert packed_ids.packed_documents(docs_of(spark, []), P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packed_documents_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    tool, texts = Tokenizer.from_file(path), ["a <|endoftext|> b", "plain words", "<|endoftext|><|endoftext|>", "it's <|endoftext|>", "<|endoftext|", "more words"]
+    start = 0
+    for r, t in zip(sorted(packed_ids.packed_documents(docs_of(spark, texts), path).collect()), texts, strict=True):
+        ids = np.array([*tool.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert tuple(r)[1:] == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert tool.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 # --- 9
 
 
