@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from itertools import permutations
 
 import numpy as np
@@ -99,6 +100,19 @@ def test_parsers(spark):
     assert got[0].t == "x" + unit and got[1].t == unit * 3 and got[0].h == "\na: 1\n" and got[0].b == "\nbody" and got[1].b == "plain"
 
 
+def test_repeats_of_any_length(spark):
+    rng = random.Random(0)
+    unit = "".join(rng.choice("abcdefgh \n") for _ in range(300))
+    texts = [("head " + unit * 10 + "tail",), (unit * 9 + "tail",), (None,), ("",)]
+    got = [r.t for r in spark.createDataFrame(texts, "t string").select(parse.repeat_guard(F.col("t")).alias("t")).collect()]
+    assert got == ["head " + unit, unit * 9 + "tail", None, ""]
+    for _ in range(600):
+        word = "".join(rng.choice("ab") for _ in range(rng.randint(1, 30)))
+        t = "".join(rng.choice("ab") for _ in range(rng.randint(0, 40))) + word * rng.randint(1, 25) + "".join(rng.choice("ab") for _ in range(rng.randint(0, 40)))
+        found = re.search(rf"(?s)(.{{10,{max(10, len(t) // 10)}}}?)\1{{9,}}", t)
+        assert parse.without_repeats(t) == (t[: found.end(1)] if found else t)
+
+
 def test_ground_truth(spark):
     df = spark.createDataFrame([(f"Page one\n{files.PAGE_BREAK}\n \n{files.PAGE_BREAK}\nPage two",), ("",), ("Hello",)], "t string")
     assert [r.p for r in df.select(files.text_pages(F.col("t")).alias("p")).collect()] == [["Page one", "Page two"], [""], ["Hello"]]
