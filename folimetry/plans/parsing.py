@@ -35,6 +35,7 @@ _text("html_text", "pages", "page_id", lambda: F.coalesce("html", F.lit("")), pa
 _text("html_first_table", "pages", "page_id", lambda: F.concat(F.coalesce("html", F.lit("")), F.when(F.col("page_id") % 2 == 0, "<table><tr><td>1</td></tr></table> x <table></table>").otherwise("")), parse.first_table, _digest(r"CASE WHEN regexp_matches(t, '(?s)<table.*?</table>') THEN regexp_extract(t, '(?s)<table.*?</table>') ELSE t END", "coalesce(html, '') || CASE WHEN page_id % 2 = 0 THEN '<table><tr><td>1</td></tr></table> x <table></table>' ELSE '' END", "pages", "page_id"))
 _text("formula_number", "part", "p_partkey", lambda: F.concat(F.lit(" （("), F.col("p_name"), F.lit(") ")), parse.formula_number, _digest(r"regexp_replace(regexp_replace(trim(t), '^[(（]+', ''), '[)）]+$', '')", "' （(' || p_name || ') '", "part", "p_partkey"))
 _text("content_clean", *_DOC, lambda: F.concat(_turn(), F.lit("........ ······· ______")), parse.cap_runs, _digest(r"regexp_replace(regexp_replace(regexp_replace(t, '\.{4,}', '...', 'g'), '·{4,}', '···', 'g'), '_{4,}', '___', 'g')", "coalesce(text, '') || '........ ······· ______'", *_DOC))
+_text("content_clean_whole", *_DOC, lambda: F.concat(_turn(), F.lit("........ ······· ______")), parse.clean_content, None)
 _text("region_preview", *_DOC, _turn, parse.preview, _digest("CASE WHEN length(s) > 60 THEN substr(s, 1, 60) || '...' ELSE s END", "t0", "_", "doc_id").replace("(SELECT doc_id, t0 AS t FROM _)", r"(SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), chr(10), ' ↵ ', 'g'), '([|<>])', '\\\1', 'g') AS s FROM documents)"))
 _text("inline_formula", *_DOC, lambda: F.concat(F.lit("see $ x + y $here, a$b$c "), _turn()), parse.inline_formulas, None)
 _text("repeat_guard", "conversations", "conv_id", lambda: F.concat("text", F.repeat(F.concat(F.lit("again and "), F.col("role"), F.lit(" ")), 12), F.lit("tail")), parse.repeat_guard, None)

@@ -113,6 +113,26 @@ def test_repeats_of_any_length(spark):
         assert parse.without_repeats(t) == (t[: found.end(1)] if found else t)
 
 
+def test_clean_content(spark):
+    filler, line = " ".join(map(str, range(800))), "the same line"
+    few = "\n".join(["head", *[line] * 200])
+    spread = "\n".join(["head", *[f"{line}" if k % 6 else f"other {k}" for k in range(200)]])
+    unit = "".join(chr(0x4E00 + k) for k in range(300))
+    want = {
+        r"\t\t a....b\____c\_\_\_\_\_d ·····\t": r"a...b\___c\_\_\_d ···",
+        "x$ a + b $y $$ z $$": "x $a + b$ y $$ z $$",
+        filler + unit * 10 + "tail": filler + unit,
+        "short " + unit * 5: "short " + unit * 5,
+        few: "head\n" + line,
+        spread: "head\nother 0\n" + line,
+        "\n".join([line] * 50): "\n".join([line] * 50),
+        " ": "",
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*want, None])], "k long, t string").orderBy("k")
+    got = [r.t for r in df.select(parse.clean_content(F.col("t")).alias("t")).collect()]
+    assert got == [*want.values(), ""]
+
+
 def test_ground_truth(spark):
     df = spark.createDataFrame([(f"Page one\n{files.PAGE_BREAK}\n \n{files.PAGE_BREAK}\nPage two",), ("",), ("Hello",)], "t string")
     assert [r.p for r in df.select(files.text_pages(F.col("t")).alias("p")).collect()] == [["Page one", "Page two"], [""], ["Hello"]]
