@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folimetry.llm.scratch import shared_folder, written
+from folimetry.llm.scratch import release, shared_folder, written
 
 
 def _state(links: DataFrame) -> tuple:
@@ -17,8 +17,9 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of links(u, v): the smallest node that links lead to.
 
     Each round hangs every node below the smallest neighbour seen, so that rounds grow with the logarithm of the longest
-    chain. Links stay as many rows as there are nodes; none go to the driver. Joins on a node with very many links are
-    split by AQE. Self-links and repeated ones are harmless; a table without links has no components.
+    chain. Links stay as many rows as there are nodes; none go to the driver, and a round's tables are deleted after the
+    next. Joins on a node with very many links are split by AQE. Self-links and repeated ones are harmless; a table
+    without links has no components.
     """
     folder = shared_folder(links.sparkSession)
     pair = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
@@ -30,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
         large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), folder)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x"))
-        now = written(small.select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).filter("u <> v").distinct(), folder)
+        earlier, now = now, written(small.select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).filter("u <> v").distinct(), folder)
+        release(earlier, large)
         before, state = state, _state(now)
         if state == before:
             break

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folimetry.llm.scratch import ROW, numbered, shared_folder, without_rows, written
+from folimetry.llm.scratch import free_name, numbered, shared_folder, without_rows, written
 
 MEMTABLE_ROWS = 1 << 18
 #: Runs of one level that are compacted into one of the next.
@@ -170,14 +170,15 @@ def digest_hits(rows: DataFrame) -> DataFrame:
     return runs.repartition("high", "low").mapInArrow(_index_hits, RUN_SCHEMA)
 
 
-def exact_groups(docs: DataFrame, keep: str = "largest", digest_hex: int = 32) -> DataFrame:
+def exact_groups(docs: DataFrame, keep: str = "largest", digest_hex: int = 32, row: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row of docs(doc_id, text), plus its row_id.
 
     Null texts count as empty; empty texts are a group like others. Of equal texts the row with the largest (or
     `keep="smallest"`) doc_id stays; of rows that repeat both text and doc_id, one. Null doc_ids lose to all others, and
     a group of only null ones has keep_id null. Texts of any length are compared whole. An empty table gives an empty
     result. `digest_hex` is the number of hex digits of SHA-256 that make the index's digest (32 at most); fewer only
-    make more texts to compare.
+    make more texts to compare. `row` names a column of docs with row numbers that stay; without it rows are numbered
+    here. Other columns are neither read nor returned, whatever their names.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark)
@@ -187,8 +188,9 @@ def exact_groups(docs: DataFrame, keep: str = "largest", digest_hex: int = 32) -
     def number(hexes):
         return F.conv(hexes, 16, -10).cast("long")
 
+    rows = docs.select("doc_id", "text", F.col(row).alias("row_id")) if row else numbered(docs.select("doc_id", "text"), "row_id")
     hashed = (
-        numbered(docs).select("doc_id", F.sha2(text, 256).alias("text_sha256"), text.alias("text"), F.col(ROW).alias("row_id"))
+        rows.select("doc_id", F.sha2(text, 256).alias("text_sha256"), text.alias("text"), "row_id")
         .withColumn("high", number(F.substring("text_sha256", 1, half)))
         .withColumn("low", number(F.substring("text_sha256", 17, digest_hex - half)))
         .withColumn("low", F.coalesce("low", F.lit(0)))
@@ -224,9 +226,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that stay, with their columns; rows are told apart by their place in the stored table."""
-    docs = numbered(docs)
-    dropped = written(exact_groups(docs).filter("not kept").select(F.col("row_id").alias(ROW)))
-    return without_rows(docs, dropped, BROADCAST_HITS)
+    row = free_name(docs, "__row")
+    docs = numbered(docs, row)
+    dropped = written(exact_groups(docs, row=row).filter("not kept").select("row_id"))
+    return without_rows(docs, row, dropped, BROADCAST_HITS)
 
 
 OP4_SQL = """

@@ -1,17 +1,17 @@
 """N-gram Jaccard join in size-banded tiles with hashed bitmap signatures.
 
 Texts become sets of hashed word shingles. Sets lie in bands of size, each wider than the one below by 1/threshold, so
-that two sets that link are in one band or in neighbouring ones. In a band, linked sets differ in at most k shingles; cut
-by hash into more than k segments, they agree in one segment whole. Segments are therefore exact keys of tiles, and far rarer
-than single shingles: a passage that many documents share makes no tile. For low thresholds, where segments would be short, the keys
-are the set's first shingles in an order that puts those of frequent passages last.
-
-Equal sets are one representative first. Tiles are joined into clusters of candidates: a task links the members of a
-tile that it holds to one of them and passes only that one on, so a frequent key costs a row a task. Clusters are cut
-into blocks of bounded size. In a block, parity bitmaps bound each overlap from above by their bit counts; what passes is
-settled by exact intersection of sorted arrays, and pairs already joined are left out. In clusters of several blocks
-all members outside the largest component visit the other blocks as a stream, so that no link between components is
-missed and no block holds more than its own members.
+that two sets that link are in one band or in neighbouring ones. The keys of tiles are a band and one of the set's first
+shingles, in an order that puts those of frequent passages last: two linked sets always share one of these, and a
+passage that many documents share makes few tiles.
+
+Equal sets are one representative first. Tiles of the same members are one tile. In a tile, parity bitmaps bound each
+overlap from above by their bit counts, and what passes is a candidate; tiles of too many members take all of them as
+candidates. Components of candidates are clusters, cut into blocks of neighbouring sizes, and only there are the shingles
+themselves compared: exact intersection of sorted arrays settles what the bitmaps pass, and pairs already joined are
+left out. Components of different blocks are joined through one member of each, round by round; what is then outside a
+cluster's largest component visits the blocks whose sizes allow a link, its size and bitmap first, its shingles only
+where these pass. So no link between components is missed, and no block holds more than its own members.
 """
 
 from __future__ import annotations
@@ -24,26 +24,31 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folimetry.llm.components import components
+from folimetry.llm.overlaps import Members, parity_bitmap
 from folimetry.llm.pieces import by_bytes, whole_texts
-from folimetry.llm.scratch import ROW, numbered, shared_folder, without_rows, written
+from folimetry.llm.scratch import free_name, numbered, release, shared_folder, without_rows, written
 from folimetry.llm.words import mix, word_hashes, word_spans
 
-BITMAP_BITS = 512
-#: From this threshold on segments hold some ten shingles and are the keys of tiles; below it they would be too short to
-#: tell documents apart, and the keys are shingles themselves, rare ones first.
-SEGMENT_PERCENT = 90
-#: Shingles that the order of such keys puts last (8 bytes each), and documents of a task from which they are counted.
-HOT_SHINGLES, HOT_IN_TASK = 400_000, 3
-BLOCK_MEMBERS = 1024
+#: Shingles that the order of keys puts last (8 bytes each), and documents of a chunk from which they are counted.
+HOT_SHINGLES, HOT_IN_CHUNK = 400_000, 3
+#: Keys or shingles that a task sorts at once.
+CHUNK = 1 << 21
+#: Holders of a key in one chunk, and members of a tile, above which all members are candidates without a look at bitmaps.
+CHUNK_HOLDERS, TILE_MEMBERS = 64, 4096
+#: Shingles of a block; a set counts as BLOCK_SHINGLES / BLOCK_MEMBERS at least.
+BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 20, 1024
+#: Rounds in which components of different blocks are joined through one member of each.
+JOINING_ROUNDS = 4
 SLICE_BYTES = 2 << 20
-#: Cluster members up to which their list is broadcast to the second scan (24 bytes each); beyond, the scan shuffles.
-BROADCAST_MEMBERS = 300_000
+#: Row ids up to which a list of them is broadcast to a scan of the texts (some 40 bytes each); beyond, the scan shuffles.
+BROADCAST_ROWS = 1_000_000
 SALTS = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
-SET_SCHEMA = "row_id long, doc_id long, n_shingles long, sum_a long, sum_b long"
-STAR_SCHEMA = "key long, u long, v long"
-MEMBER_SCHEMA = "cluster long, block int, visitor boolean, component long, row_id long, n int, bitmap binary, shingles binary"
+SET_SCHEMA = "row_id long, doc_id long, n_shingles long, sum_a long, sum_b long, bitmap binary"
+KEY_SCHEMA = "key long, u long, v long"
+LINK_SCHEMA = "u long, v long"
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -81,51 +86,30 @@ class Bands:
             self.lows.append(self.lows[-1] * 100 // self.percent + 1)
         return self.lows[band]
 
-    def of(self, n: int) -> list[int]:
-        """The set's own band and, if a larger partner may lie there, the next one."""
+    def prefixes(self, n: int) -> list[tuple[int, int]]:
+        """(band, number of first shingles) of the tiles of a set: its own band and, if a larger partner may lie there, the next.
+
+        Sets of n and m shingles that link share percent * (n + m) / (100 + percent) at least. Two sets that share c of
+        them share one among the first n - c + 1 and m - c + 1, for leaving out fewer than c can't leave out all.
+        """
         while self.lows[-1] <= n:
             self._low(len(self.lows))
         band = bisect_right(self.lows, n) - 1
-        return [band, band + 1] if n * 100 >= self.percent * self._low(band + 1) else [band]
 
-    def differ(self, band: int) -> int:
-        """Most shingles in which two linked sets can differ whose larger one is of this band."""
-        return (100 - self.percent) * 2 * (self._low(band + 1) - 1) // (100 + self.percent)
+        def first(least: int) -> int:
+            return n + 1 + -self.percent * (n + least) // (100 + self.percent)
 
-    def prefix_keys(self, shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
-        """Keys of the set's first shingles in an order that all sets share: hot ones last, else by hash.
+        own = [(band, first(-(-self.percent * n // 100)))]
+        above = self._low(band + 1)
+        return [*own, (band + 1, first(above))] if n * 100 >= self.percent * above else own
 
-        Linked sets share a shingle among the first n - ceil(share * n) + 1 of each: leaving out fewer than the overlap
-        asks for can't leave out all that they share. Passages that many documents share come last, so make no tiles
-        unless a document has little else.
-        """
-        n = len(shingles)
-        most = n - -(-self.percent * n // 100) + 1
+    def keys(self, shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """Keys of a set's tiles, of its first shingles in an order that all sets share: hot ones last, else by hash."""
+        prefixes = self.prefixes(len(shingles))
         if len(hot):
             at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
-            shingles = shingles[np.argsort(hot[at] == shingles, kind="stable")]
-        return np.concatenate([mix(shingles[:most] + np.uint64((band + 1) << 40)) for band in self.of(n)])
-
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """Keys of the segments that hold shingles, of which there is one more than can differ and one to spare.
-
-        A set that has shingles in no more segments than can differ also gives the keys of its empty ones. So two linked
-        sets always share a key: that of a segment with shingles if either has enough such, else maybe an empty one.
-        """
-        out = []
-        for band in self.of(len(shingles)):
-            differ = self.differ(band)
-            if not differ:  # only equal sets link
-                continue
-            segment = ((shingles >> np.uint64(32)) * np.uint64(differ + 2)) >> np.uint64(32)  # rises with the shingle
-            first = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
-            sums = np.add.reduceat(mix(shingles ^ SALTS[0]), first)
-            tag = np.uint64(band << 32)
-            out.append(mix(sums + mix(segment[first] + tag)))
-            if len(first) <= differ:
-                empty = np.setdiff1d(np.arange(differ + 2, dtype=np.uint64), segment[first])
-                out.append(mix(mix(empty + tag) + SALTS[1]))
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+            shingles = shingles[np.argsort(hot[at] == shingles, kind="stable")[: max(k for _, k in prefixes)]]
+        return np.concatenate([mix(shingles[:k] + np.uint64((band + 1) << 40)) for band, k in prefixes])
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -136,48 +120,39 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in by_bytes(batch, "text", SLICE_BYTES):
-                sizes, sums_a, sums_b = [], [], []
+                sizes, sums_a, sums_b, maps = [], [], [], []
                 for s in shingle_sets(whole_texts(b.column("text")), words):
                     sizes.append(len(s))
                     sums_a.append(np.add.reduce(mix(s ^ SALTS[2])) if len(s) else np.uint64(0))
                     sums_b.append(np.add.reduce(mix(s ^ SALTS[3])) if len(s) else np.uint64(0))
+                    maps.append(parity_bitmap(s) if len(s) else None)
                 sums = [pa.array(_signed(np.array(x, np.uint64))) for x in (sums_a, sums_b)]
-                yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("doc_id"), pa.array(sizes, pa.int64()), *sums], [f.split()[0] for f in SET_SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("row_id"), b.column("doc_id"), pa.array(sizes, pa.int64()), *sums, pa.array(maps, pa.binary())], [f.split()[0] for f in SET_SCHEMA.split(", ")],
+                )
 
     return run
 
 
-def _stars(key: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Links (no key) from the first holder of each key to the others, and one row (no v) a key for its first holder."""
-    order = np.lexsort((row, key))
-    key, row = key[order], row[order]
-    new = np.append(True, key[1:] != key[:-1])[: len(key)]
-    first = np.flatnonzero(new)
-    leader = row[first][np.cumsum(new) - 1] if len(key) else row
-    other = np.flatnonzero(~new & (row != leader))
-    pairs = np.unique(np.stack([row[other], leader[other]]), axis=1) if len(other) else np.empty((2, 0), np.int64)
-    yield _star_batch(pairs[0], pairs[1], None)
-    for a in range(0, len(first), 1 << 18):
-        part = first[a : a + (1 << 18)]
-        yield _star_batch(row[part], None, key[part])
-
-
-def _star_batch(u: np.ndarray, v: np.ndarray | None, key: np.ndarray | None) -> pa.RecordBatch:
-    columns = [pa.nulls(len(u), pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (key, u, v)]
-    return pa.RecordBatch.from_arrays(columns, ["key", "u", "v"])
-
-
 def _local_counts(words: int):
-    """Shingles that several documents of a task hold."""
+    """Shingles that several documents of a chunk hold."""
+
+    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
+        shingle, count = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
+        several = count >= HOT_IN_CHUNK
+        return pa.RecordBatch.from_arrays([pa.array(_signed(shingle[several])), pa.array(count[several], pa.int64())], ["shingle", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [np.empty(0, np.uint64)]
+        found: list[np.ndarray] = []
+        held = 0
         for batch in batches:
             for b in by_bytes(batch, "text", SLICE_BYTES):
                 found += list(shingle_sets(whole_texts(b.column("text")), words))
-        shingle, count = np.unique(np.concatenate(found), return_counts=True)
-        several = count >= HOT_IN_TASK
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(shingle[several])), pa.array(count[several], pa.int64())], ["shingle", "n"])
+                held += sum(map(len, found[-b.num_rows :]))
+                if held > CHUNK:
+                    yield counted(found)
+                    found, held = [], 0
+        yield counted(found)
 
     return run
 
@@ -189,151 +164,258 @@ def hot_shingles(texts: DataFrame, words: int) -> np.ndarray:
     return np.sort(top["shingle"].to_numpy(np.int64).view(np.uint64))
 
 
-def _local_stars(words: int, percent: int, hot):
-    """Stars over a task's documents: a key that many of them hold leaves the task once."""
+def _key_batch(key: np.ndarray | None, u: np.ndarray, v: np.ndarray | None, names: str = KEY_SCHEMA) -> pa.RecordBatch:
+    columns = [pa.nulls(len(u), pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (key, u, v)]
+    return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in names.split(", ")])
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of each run of equal keys."""
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    return first, np.diff(np.append(first, len(key)))
+
 
+def _held_keys(key: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+    """(key, row, v) of a chunk's keys, v being null; a key that many rows of the chunk hold is one row with v = 1 for its
+    first holder, and the others are candidates (no key) of that one."""
+    order = np.lexsort((row, key))
+    key, row = key[order], row[order]
+    first, count = _groups(key)
+    many = np.repeat(count > CHUNK_HOLDERS, count)
+    leader = np.repeat(row[first], count)
+    at = np.zeros(len(key), bool)
+    at[first] = True
+    links = many & ~at & (row != leader)
+    pairs = np.unique(np.stack([row[links], leader[links]]), axis=1) if links.any() else np.empty((2, 0), np.int64)
+    kept = ~many | at
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(key[kept], pa.int64())]),
+            pa.array(np.concatenate([pairs[0], row[kept]]), pa.int64()),
+            pa.concat_arrays([pa.array(pairs[1], pa.int64()), pa.array(many[kept].astype(np.int64), pa.int64(), mask=~many[kept])]),
+        ],
+        ["key", "u", "v"],
+    )
+
+
+def _keys(words: int, percent: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, keys, rows = Bands(percent), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        bands, none = Bands(percent), np.empty(0, np.int64)
+        keys, rows, held = [none], [none], 0
         for batch in batches:
             for b in by_bytes(batch, "text", SLICE_BYTES):
-                keys_of = bands.keys if hot is None else lambda s: bands.prefix_keys(s, hot.value)
-                found = [_signed(keys_of(s)) if len(s) else keys[0] for s in shingle_sets(whole_texts(b.column("text")), words)]
+                found = [_signed(bands.keys(s, hot.value)) if len(s) else none for s in shingle_sets(whole_texts(b.column("text")), words)]
                 keys += found
                 rows.append(np.repeat(b.column("row_id").to_numpy(), [len(k) for k in found]))
-        yield from _stars(np.concatenate(keys), np.concatenate(rows))
+                held += len(rows[-1])
+                if held > CHUNK:
+                    yield _held_keys(np.concatenate(keys), np.concatenate(rows))
+                    keys, rows, held = [none], [none], 0
+        yield _held_keys(np.concatenate(keys), np.concatenate(rows))
 
     return run
 
 
-def _merged_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars over the holders that tasks sent for each key; links pass."""
-    keys, rows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+class Tiles:
+    """Tiles of keys that come in order; the rows of the last key wait for what may follow."""
+
+    def __init__(self) -> None:
+        self.key = self.row = self.many = np.empty(0, np.int64)
+        self.seen: set[int] = set()
+
+    def add(self, key: np.ndarray, row: np.ndarray, many: np.ndarray, last: bool = False) -> Iterator[pa.RecordBatch]:
+        key, row, many = (np.concatenate(x) for x in ((self.key, key), (self.row, row), (self.many, many)))
+        new = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))[: len(key)]
+        at = np.flatnonzero(new)
+        key, row, many = key[at], row[at], np.maximum.reduceat(many, at) if len(at) else many
+        done = len(key) if last or not len(key) else int(np.searchsorted(key, key[-1]))
+        rest = slice(done, None)
+        if len(key) - done > TILE_MEMBERS:  # all join the first, which goes on alone
+            yield _key_batch(None, row[done + 1 :], np.full(len(key) - done - 1, row[done]))
+            rest, many = slice(done, done + 1), np.ones_like(many)
+        self.key, self.row, self.many = key[rest], row[rest], many[rest]
+        if done:
+            yield from self._ready(key[:done], row[:done], many[:done])
+
+    def _ready(self, key: np.ndarray, row: np.ndarray, many: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first, count = _groups(key)
+        large = (np.maximum.reduceat(many, first) > 0) | (count > TILE_MEMBERS)
+        in_large = np.repeat(large, count)
+        in_large[first] = False
+        yield _key_batch(None, row[in_large], np.repeat(row[first], count)[in_large])
+        name = np.add.reduceat(mix(row.view(np.uint64) ^ SALTS[0]), first) + mix(count.astype(np.uint64))
+        tile = np.flatnonzero(~large & (count > 1))
+        if len(self.seen) > CHUNK // 8:
+            self.seen = set()
+        names, at = np.unique(name[tile], return_index=True)
+        fresh = [k not in self.seen for k in names.tolist()]
+        tile = tile[at[fresh]]
+        self.seen.update(name[tile].tolist())
+        chosen = np.zeros(len(count), bool)
+        chosen[tile] = True
+        member = np.repeat(chosen, count)
+        yield _key_batch(np.repeat(_signed(name), count)[member], row[member], None)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, u) of every member of tiles with at least two, and candidates (no key) (u, v), from keys in order."""
+    tiles, none = Tiles(), np.empty(0, np.int64)
     for b in batches:
         linked = b.column("key").is_null()
         yield b.filter(linked)
         held = b.filter(pc.invert(linked))
-        keys.append(held.column("key").to_numpy())
-        rows.append(held.column("u").to_numpy())
-    for b in _stars(np.concatenate(keys), np.concatenate(rows)):
-        yield b.filter(b.column("key").is_null())
+        yield from tiles.add(held.column("key").to_numpy(), held.column("u").to_numpy(), pc.fill_null(held.column("v"), 0).to_numpy())
+    yield from tiles.add(none, none, none, last=True)
 
 
-def candidate_links(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (u, v) between row ids that put the members of every tile into one component."""
-    hot = None if percent >= SEGMENT_PERCENT else texts.sparkSession.sparkContext.broadcast(hot_shingles(texts, words))
-    local = texts.select("row_id", "text").mapInArrow(_local_stars(words, percent, hot), STAR_SCHEMA)
-    return local.repartition(F.coalesce("key", "u")).mapInArrow(_merged_stars, STAR_SCHEMA).select("u", "v")
+def candidates(texts: DataFrame, sets: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
+    """Links (u, v) whose components hold all rows of texts(row_id, text) that link; bitmaps come from sets."""
+    hot = texts.sparkSession.sparkContext.broadcast(hot_shingles(texts, words))
+    held = texts.select("row_id", "text").mapInArrow(_keys(words, percent, hot), KEY_SCHEMA)
+    tiles = written(held.repartition(F.coalesce("key", "u")).sortWithinPartitions("key", "u").mapInArrow(_tiles, KEY_SCHEMA), folder)
+    members = tiles.filter("key is not null").select(F.col("key").alias("tile"), F.col("u").alias("row_id")).distinct()
+    sized = members.join(sets.select("row_id", F.col("n_shingles").alias("n"), "bitmap"), "row_id")
+    near = sized.repartition("tile").sortWithinPartitions("tile", "n", "row_id").mapInArrow(_links_within(percent, ["tile"], False), LINK_SCHEMA)
+    found = written(near.unionByName(tiles.filter("key is null").select("u", "v")), folder)
+    release(tiles)
+    return found
 
 
-class Block:
-    """Members of one block, with links found among them."""
+def _pairs(u: list[int], v: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    def __init__(self, percent: int) -> None:
-        self.percent = percent
-        self.rows: list[int] = []
-        self.sizes = np.empty(0, np.int64)
-        self.shingles: list[np.ndarray] = []
-        self.components: list[int | None] = []
-        self.maps: list[np.ndarray] = []
-
-    def add(self, row: int, component: int | None, bitmap: bytes, shingles: bytes) -> None:
-        self.rows.append(row)
-        self.components.append(component)
-        self.maps.append(np.frombuffer(bitmap, np.uint64))
-        self.shingles.append(np.frombuffer(shingles, np.uint64))
-
-    def ready(self) -> None:
-        self.sizes = np.array([len(s) for s in self.shingles], np.int64)
-        self.bits = np.stack(self.maps) if self.maps else np.empty((0, BITMAP_BITS // 64), np.uint64)
-
-    def possible(self, size: int, bitmap: np.ndarray, first: int = 0) -> np.ndarray:
-        """Members from `first` on whose overlap bound allows a link: each bit that differs is a shingle that differs."""
-        sizes = self.sizes[first:]
-        apart = np.bitwise_count(self.bits[first:] ^ bitmap).sum(axis=1, dtype=np.int64)
-        most = np.minimum((sizes + size - apart) // 2, np.minimum(sizes, size))
-        return np.flatnonzero(100 * most >= self.percent * (sizes + size - most)) + first
-
-    def linked(self, k: int, shingles: np.ndarray) -> bool:
-        both = np.concatenate([self.shingles[k], shingles])
-        both.sort(kind="stable")
-        common = int(np.count_nonzero(both[1:] == both[:-1]))
-        return 100 * common >= self.percent * (len(both) - common)
-
-    def inside(self) -> list[tuple[int, int]]:
-        """Links that span the components of the block's own members."""
-        self.ready()
-        root = list(range(len(self.rows)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        out = []
-        for i in range(len(self.rows)):
-            for j in self.possible(int(self.sizes[i]), self.maps[i], i + 1).tolist():
-                a, b = find(i), find(j)
-                if a != b and self.linked(j, self.shingles[i]):
-                    root[b] = a
-                    out.append((self.rows[i], self.rows[j]))
-        return out
-
-    def visit(self, row: int, component: int | None, bitmap: bytes, shingles: bytes) -> list[tuple[int, int]]:
-        """Links of a visitor to this block's members of other components, one a component."""
-        own, joined, out = np.frombuffer(shingles, np.uint64), set(), []
-        for k in self.possible(len(own), np.frombuffer(bitmap, np.uint64)).tolist():
-            other = self.components[k]
-            if other != component and other not in joined and self.linked(k, own):
-                joined.add(other)
-                out.append((self.rows[k], row))
-        return out
-
-
-def _blocks(percent: int):
-    """Links inside blocks, from members sorted by block."""
+
+def _links_within(percent: int, group: list[str], exact: bool):
+    """Links inside groups, from rows of (group, n, row_id, bitmap, and shingles if exact) in this order."""
+    wanted = [*group, "row_id", "n", "bitmap", *(["shingles"] if exact else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, block = None, Block(percent)
+        name, held = None, []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                rows, sizes, *sets = zip(*held, strict=True)
+                pairs = Members(percent, list(sizes), *map(list, sets)).links()
+                yield _pairs([rows[i] for i, _ in pairs], [rows[j] for _, j in pairs])
+
         for batch in batches:
-            links: list[tuple[int, int]] = []
-            columns = [batch.column(c).to_pylist() for c in ("cluster", "block", "row_id", "bitmap", "shingles")]
-            for cluster, number, row, bitmap, shingles in zip(*columns, strict=True):
-                if (cluster, number) != name:
-                    links += block.inside()
-                    name, block = (cluster, number), Block(percent)
-                block.add(row, None, bitmap, shingles)
-            yield _pairs(links)
-        yield _pairs(block.inside())
+            for row in zip(*(batch.column(c).to_pylist() for c in wanted), strict=True):
+                if row[: len(group)] != name:
+                    yield from links()
+                    name, held = row[: len(group)], []
+                held.append(row[len(group) :])
+        yield from links()
 
     return run
 
 
-def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    pairs = np.array(links, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows(cluster, row_id, n) with their block: neighbouring sizes together, about BLOCK_SHINGLES in each."""
+    weight = F.greatest("n", F.lit(BLOCK_SHINGLES // BLOCK_MEMBERS)).cast("long")
+    sizes = rows.groupBy("cluster", "n").agg(F.count("*").alias("same"))
+    before = F.sum(F.col("same") * weight).over(Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("before", F.coalesce(before, F.lit(0)))
+    place = F.col("before") + F.pmod(F.xxhash64("row_id"), F.col("same")) * weight
+    return rows.join(sizes, ["cluster", "n"]).select("cluster", F.floor(place / BLOCK_SHINGLES).cast("int").alias("block"), "row_id", "n")
 
 
-def _member_arrays(words: int):
+def _arrays(words: int, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in by_bytes(batch, "text", SLICE_BYTES):
-                sizes, maps, arrays = [], [], []
-                for s in shingle_sets(whole_texts(b.column("text")), words):
-                    odd = np.bincount((s & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
-                    sizes.append(len(s))
-                    maps.append(np.packbits(odd.astype(np.uint8)).tobytes())
-                    arrays.append(s.tobytes())
-                n = b.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("cluster"), b.column("block"), pa.array(np.zeros(n, bool)), pa.nulls(n, pa.int64()), b.column("row_id"), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary()), pa.array(arrays, pa.binary())],
-                    [f.split()[0] for f in MEMBER_SCHEMA.split(", ")],
-                )
+                sets = list(shingle_sets(whole_texts(b.column("text")), words))
+                arrays = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([parity_bitmap(s) for s in sets], pa.binary()), arrays], [*kept, "bitmap", "shingles"])
 
     return run
 
 
-def ngram_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
+BLOCK = ["cluster", "block"]
+
+
+def _inside(members: DataFrame, percent: int) -> DataFrame:
+    """Links inside blocks of members(cluster, block, row_id, n, bitmap, shingles)."""
+    dealt = members.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "n", "row_id")
+    return dealt.mapInArrow(_links_within(percent, BLOCK, True), LINK_SCHEMA)
+
+
+def _visits(percent: int, exact: bool):
+    """From block members and then visitors, both by size: (row_id, block) of visits that bitmaps allow or, if exact, links."""
+    wanted = [*BLOCK, "visitor", "row_id", "n", "component", "bitmap", *(["shingles"] if exact else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held, block = None, [], None
+        for batch in batches:
+            u, v = [], []
+            for row in zip(*(batch.column(c).to_pylist() for c in wanted), strict=True):
+                if row[:2] != name:
+                    name, held, block = row[:2], [], None
+                if not row[2]:
+                    held.append(row[3:])
+                    continue
+                if block is None:
+                    rows, sizes, labels, *sets = zip(*held, strict=True)
+                    block, labels = Members(percent, list(sizes), *map(list, sets)), np.array(labels, np.int64)
+                joined = {row[5]}
+                for k in block.possible(row[4], np.frombuffer(row[6], np.uint64)).tolist():
+                    if int(labels[k]) in joined:
+                        continue
+                    if not exact:
+                        u.append(row[3])
+                        v.append(row[1])
+                        break
+                    if block.linked(k, np.frombuffer(row[7], np.uint64)):
+                        joined.add(int(labels[k]))
+                        u.append(row[3])
+                        v.append(rows[k])
+            yield _pairs(u, v)
+
+    return run
+
+
+def _across(members: DataFrame, links: DataFrame, percent: int, folder: str) -> list[DataFrame]:
+    """Links between blocks of one cluster, from members(cluster, block, row_id, n, bitmap, shingles) of clusters of several
+    blocks and the links inside blocks."""
+    found = [links]
+    places = members.select(*BLOCK, "row_id", "n")
+
+    def labelled() -> DataFrame:
+        parts = components(found[0] if len(found) == 1 else found[0].unionByName(found[1]))
+        tagged = places.join(parts.withColumnRenamed("node", "row_id"), "row_id", "left")
+        return written(tagged.withColumn("component", F.coalesce("component", "row_id")), folder)
+
+    now = labelled()
+    for _ in range(JOINING_ROUNDS):
+        several = now.groupBy("cluster", "component").agg(F.count("*").alias("size"), F.min_by(F.struct("row_id", "n"), F.xxhash64("row_id")).alias("head")).filter("size > 1")
+        heads = written(_dealt(several.select("cluster", "head.row_id", "head.n")), folder)
+        more = written(_inside(heads.join(members.drop(*BLOCK, "n"), "row_id"), percent), folder)
+        joined = more.count()
+        found = [found[0], more if len(found) == 1 else found[1].unionByName(more)]
+        if not joined:
+            break
+        release(now)
+        now = labelled()
+    largest = now.groupBy("cluster", "component").agg(F.count("*").alias("size")).groupBy("cluster")
+    largest = largest.agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
+    ranges = now.groupBy(*BLOCK).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    calling = now.join(largest, "cluster").filter("component <> largest").select("cluster", F.col("block").alias("home"), "row_id", "n", "component")
+    sizes_allow = (F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent)
+    calls = written(calling.join(ranges, "cluster").filter((F.col("block") != F.col("home")) & sizes_allow).select(*BLOCK, "row_id", "n", "component"), folder)
+
+    def meetings(calls: DataFrame, blocks: DataFrame, exact: bool) -> DataFrame:
+        sets = members.select("row_id", "bitmap", *(["shingles"] if exact else []))
+        both = blocks.withColumn("visitor", F.lit(False)).unionByName(calls.withColumn("visitor", F.lit(True)))
+        dealt = both.join(sets, "row_id").repartition(*BLOCK).sortWithinPartitions(*BLOCK, "visitor", "n", "row_id")
+        return dealt.mapInArrow(_visits(percent, exact), LINK_SCHEMA)
+
+    hosts = now.join(calls.select(*BLOCK).distinct(), BLOCK, "left_semi").select(*BLOCK, "row_id", "n", "component")
+    passed = written(meetings(calls, hosts, False).select(F.col("u").alias("row_id"), F.col("v").cast("int").alias("block")), folder)
+    let_in = calls.join(passed, ["row_id", "block"], "left_semi")
+    hosts = now.join(let_in.select(*BLOCK).distinct(), BLOCK, "left_semi").select(*BLOCK, "row_id", "n", "component")
+    return [*found, written(meetings(let_in, hosts, True), folder)]
+
+
+def ngram_components(docs: DataFrame, words: int = 3, percent: int = 90, row: str | None = None) -> DataFrame:
     """row_id, doc_id, n_shingles, set_rows (rows with an equal set), component and component_id of every row of
     docs(doc_id, text); `component` is a number for the component itself.
 
@@ -341,41 +423,44 @@ def ngram_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Data
     union. component_id is the smallest doc_id that links lead to. Null and blank texts have no shingles and link with
     nothing, not even each other: their component_id is their own doc_id. Null doc_ids are ignored unless a component
     has no other. Repeated rows have equal sets. Texts of any length are used whole. An empty table gives an empty result.
+    `row` names a column of docs with row numbers that stay; without it rows are numbered here. Other columns are
+    neither read nor returned, whatever their names.
     """
-    spark = docs.sparkSession
-    folder = shared_folder(spark)
-    rows = numbered(docs).select(F.col(ROW).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    folder = shared_folder(docs.sparkSession)
+    rows = docs.select(F.col(row).alias("row_id"), "doc_id", "text") if row else numbered(docs.select("doc_id", "text"), "row_id")
+    rows = rows.select("row_id", F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(rows.mapInArrow(_sets(words), SET_SCHEMA), folder)
     equal = ["n_shingles", "sum_a", "sum_b"]
     classes = sets.filter("n_shingles > 0").groupBy(*equal)
     classes = written(classes.agg(F.min("doc_id").alias("least_id"), F.min("row_id").alias("leader"), F.count("*").alias("set_rows")), folder)
     copies = written(sets.join(classes.filter("set_rows > 1"), equal).filter("row_id <> leader").select("row_id"), folder)
-    few = copies.count() <= BROADCAST_MEMBERS
-    leaders = rows.select("row_id", "text").join(F.broadcast(copies) if few else copies, "row_id", "left_anti")
-    clusters = components(written(candidate_links(leaders, words, percent), folder))
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    plan = written(
-        clusters.join(sizes, "component").select(
-            F.col("node").alias("row_id"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
-        ),
-        folder,
-    )
-    few = plan.count() <= BROADCAST_MEMBERS
+    leaders = rows.select("row_id", "text").join(_listed(copies), "row_id", "left_anti")
+    near = candidates(leaders, sets, words, percent, folder)
+    clusters = components(near).select(F.col("node").alias("row_id"), F.col("component").alias("cluster"))
+    plan = written(_dealt(clusters.join(sets.select("row_id", F.col("n_shingles").cast("int").alias("n")), "row_id")), folder)
 
     def members(of: DataFrame) -> DataFrame:
-        """Arrays and bitmaps of a part of the plan, made from the texts each time: larger than these, they aren't kept."""
-        chosen = rows.select("row_id", "text").join(F.broadcast(of) if few else of, "row_id")
-        return chosen.select("row_id", "text", "cluster", "block").mapInArrow(_member_arrays(words), MEMBER_SCHEMA)
-
-    dealt = members(plan).repartition("cluster", "block").sortWithinPartitions("cluster", "block", "n", "row_id")
-    inside = written(dealt.mapInArrow(_blocks(percent), "u long, v long"), folder)
-    parts = written(components(inside), folder)
-    links = inside.unionByName(_across(members(plan.filter("blocks > 1")), plan, parts, percent))
-    linked = written(components(written(links, folder)), folder)
+        kept = ["row_id", *BLOCK, "n"]
+        chosen = rows.select("row_id", "text").join(_listed(of), "row_id").select("text", *kept)
+        return chosen.mapInArrow(_arrays(words, kept), "row_id long, cluster long, block int, n int, bitmap binary, shingles binary")
+
+    inside = written(_inside(members(plan), percent), folder)
+    wide = written(plan.join(plan.filter("block > 0").select("cluster").distinct(), "cluster", "left_semi"), folder)
+    links = inside
+    if not wide.isEmpty():
+        arrays = written(members(wide.select(*BLOCK, "row_id", "n")), folder)
+        of_wide = written(inside.join(wide.select(F.col("row_id").alias("u")), "u", "left_semi"), folder)
+        links = inside
+        for found in _across(arrays, of_wide, percent, folder)[1:]:
+            links = links.unionByName(found)
+        links = written(links, folder)
+        release(arrays)
+    linked = components(links)
     joined = classes.select(*equal, "leader", "least_id", "set_rows").join(linked.withColumnRenamed("node", "leader"), "leader", "left")
     joined = written(joined.withColumn("component", F.coalesce("component", "leader")), folder)
     labels = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
     known = written(joined.join(labels, "component").select(*equal, "set_rows", "component", "component_id"), folder)
+    release(classes, copies, near, plan, inside, wide, joined)
     return sets.select("row_id", "doc_id", *equal).join(known, equal, "left").select(
         "row_id", "doc_id", "n_shingles", F.coalesce("set_rows", F.lit(1)).alias("set_rows"),
         F.coalesce("component", -F.col("row_id") - 1).alias("component"),
@@ -383,44 +468,8 @@ def ngram_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Data
     )
 
 
-def _across(members: DataFrame, plan: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Links between blocks of one cluster: all members but those of its largest component visit every other block."""
-    large = plan.filter("blocks > 1").join(parts.withColumnRenamed("node", "row_id"), "row_id", "left")
-    large = large.withColumn("component", F.coalesce("component", "row_id")).select("row_id", "cluster", "blocks", "block", "component")
-    counts = large.groupBy("cluster", "component").agg(F.count("*").alias("size"))
-    largest = counts.groupBy("cluster").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-    tagged = members.drop("component", "cluster", "block").join(large.join(largest, "cluster"), "row_id")
-    names = [f.split()[0] for f in MEMBER_SCHEMA.split(", ")]
-    visitors = (
-        tagged.filter("component <> largest").withColumn("home", F.col("block"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("block <> home").withColumn("visitor", F.lit(True))
-    )
-    both = tagged.select(*names).unionByName(visitors.select(*names))
-    dealt = both.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "visitor", "n", "row_id")
-    return dealt.mapInArrow(_visits(percent), "u long, v long")
-
-
-def _visits(percent: int):
-    """Links of visitors, from members sorted by block with a block's own ones, whose links are known, first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, block, ready = None, Block(percent), False
-        for batch in batches:
-            links: list[tuple[int, int]] = []
-            columns = [batch.column(c).to_pylist() for c in ("cluster", "block", "visitor", "component", "row_id", "bitmap", "shingles")]
-            for cluster, number, visitor, component, row, bitmap, shingles in zip(*columns, strict=True):
-                if (cluster, number) != name:
-                    name, block, ready = (cluster, number), Block(percent), False
-                if visitor:
-                    if not ready:
-                        block.ready()
-                        ready = True
-                    links += block.visit(row, component, bitmap, shingles)
-                else:
-                    block.add(row, component, bitmap, shingles)
-            yield _pairs(links)
-
-    return run
+def _listed(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -429,11 +478,17 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word shingles at a similarity of 0.8 or more: the one of smallest doc_id."""
-    docs = numbered(docs)
-    found = ngram_components(docs, words=5, percent=80)
+    """One document of each component of five-word shingles at a similarity of 0.8 or more, with its columns.
+
+    The one of smallest doc_id stays (null ones after all others), of rows that repeat it the first stored. Documents
+    without words all stay. Other columns may have any names; an empty table gives an empty result.
+    """
+    row = free_name(docs, "__row")
+    docs = numbered(docs, row)
+    found = ngram_components(docs, words=5, percent=80, row=row)
     keeper = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
     found = written(found.select("component", "doc_id", "row_id"))
     kept = found.groupBy("component").agg(F.min(keeper).alias("keeper")).select(F.col("keeper.row_id").alias("row_id"))
-    dropped = written(found.join(kept, "row_id", "left_anti").select(F.col("row_id").alias(ROW)))
-    return without_rows(docs, dropped, BROADCAST_MEMBERS)
+    dropped = written(found.join(kept, "row_id", "left_anti").select("row_id"))
+    release(found)
+    return without_rows(docs, row, dropped, BROADCAST_ROWS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where the session sets none (tests)."""
+    """A new folder below spark.checkpoint.dir. Where the session sets none, a local one on a local master (tests); on a
+    cluster that is an error, for executors wouldn't see each other's files."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.folimetry.scratch", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="folimetry-")
         spark.conf.set("spark.folimetry.scratch", base)
     return f"{base.rstrip('/')}/folimetry-{uuid.uuid4().hex}"
@@ -28,31 +32,52 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder or shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
 
 
-#: Identifier that numbered() gives rows: the file's place among the scan's files and the row's position in it.
-ROW = "__row"
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for table in tables:
+        spark, path = table.sparkSession, _PATHS.pop(table, None)
+        if path:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Place of a file among the scan's files, above so many bits for the row's position in it.
 FILE_BITS = 40
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The same rows with ROW, which stays the same in every later read, however the scan is split.
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of docs is called so in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """The same rows with a number in the column `row`, which docs must not have. It stays the same in every later read,
+    however the scan is split.
 
     Rows of a Parquet scan, projected or filtered at most, are known by file and position in it. Other rows are written
-    once together with their number. Rows that have ROW already are left as they are.
+    once together with their number.
     """
-    if ROW in docs.columns:
-        return docs
     if not _plain_scan(docs):
-        return written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+        return written(docs.withColumn(row, F.monotonically_increasing_id()))
     spark, place = docs.sparkSession, docs.metadataColumn("_metadata")
     paths = sorted({re.sub("^([a-z0-9]+):/+", r"\1:/", p) for p in docs.inputFiles()})
-    tagged = docs.withColumns({"__path": F.regexp_replace(place["file_path"], "^([a-z0-9]+):/+", "$1:/"), "__at": place["row_index"]})
-    files = spark.range(1).select(F.posexplode(F.lit(paths) if paths else F.array(F.lit(""))).alias("__file", "__path"))
-    known = F.coalesce("__file", F.raise_error(F.concat(F.lit("a file the scan didn't list: "), "__path")).cast("int"))
-    row = F.shiftleft(known.cast("long"), FILE_BITS) + F.col("__at")
-    return tagged.join(F.broadcast(files), "__path", "left").select(*docs.columns, row.alias(ROW))
+    path, at, file = (free_name(docs, n) for n in ("__path", "__at", "__file"))
+    tagged = docs.withColumns({path: F.regexp_replace(place["file_path"], "^([a-z0-9]+):/+", "$1:/"), at: place["row_index"]})
+    files = spark.range(1).select(F.posexplode(F.lit(paths) if paths else F.array(F.lit(""))).alias(file, path))
+    known = F.coalesce(file, F.raise_error(F.concat(F.lit("a file the scan didn't list: "), path)).cast("int"))
+    number = F.shiftleft(known.cast("long"), FILE_BITS) + F.col(at)
+    return tagged.join(F.broadcast(files), path, "left").select(*(docs[c] for c in docs.columns), number.alias(row))
 
 
 def _plain_scan(docs: DataFrame) -> bool:
@@ -69,10 +94,10 @@ def _plain_scan(docs: DataFrame) -> bool:
     return True
 
 
-def without_rows(docs: DataFrame, dropped: DataFrame, most: int) -> DataFrame:
-    """Rows of numbered() that aren't among dropped(__row), without ROW; broadcast up to `most` of these, else shuffled."""
-    gone = F.broadcast(dropped) if dropped.count() <= most else dropped
-    return docs.join(gone, ROW, "left_anti").select(*[c for c in docs.columns if c != ROW])
+def without_rows(docs: DataFrame, row: str, dropped: DataFrame, most: int) -> DataFrame:
+    """docs whose number `row` isn't among dropped(row_id), without that column; dropped is broadcast up to `most` rows."""
+    gone = dropped.select(F.col("row_id").alias(row))
+    return docs.join(F.broadcast(gone) if dropped.count() <= most else gone, row, "left_anti").drop(row)
 
 
 def filesystem(path: str):

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folimetry.llm.scratch import ROW, filesystem, numbered, shared_folder, write_atomically, written
+from folimetry.llm.scratch import filesystem, numbered, shared_folder, write_atomically, written
 
 MAGIC = b"\x1f\x8b\x08"
 LEAST_PAYLOAD = 100
@@ -146,7 +146,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     response, of rows that repeat that page_id too one; null page_ids come after all others.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = numbered(pages).select("page_id", "url", payload.alias("payload"), F.col(ROW).alias("row_id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
+    rows = numbered(pages.select("page_id", "url", "html"), "row_id").select("page_id", "url", payload.alias("payload"), "row_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
     found = written(repeats(rows.drop("payload", "url")))
     known = F.broadcast(found) if found.count() <= BROADCAST_REPEATS else found
     marked = rows.join(known, "digest", "left").withColumn("revisit", F.coalesce(F.col("bytes") >= LEAST_PAYLOAD, F.lit(False)) & F.coalesce(F.col("keeper.row_id") != F.col("row_id"), F.lit(False)))

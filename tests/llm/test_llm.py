@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("folimetry.llm.registry")
 import public_tokenizers as P
 
-from folimetry.llm import exact_dedup, neighbours, ngram_join, packed_ids, quality, sentence_pieces, source_mix, toxicity, url_filter, warc
+from folimetry.llm import exact_dedup, neighbours, ngram_join, overlaps, packed_ids, quality, sentence_pieces, source_mix, toxicity, url_filter, warc
 from folimetry.llm.components import components
 from folimetry.llm.scratch import shared_folder, written
 
@@ -106,9 +106,10 @@ def brute_components(texts, words, percent):
     return {i: (len(sets[i]), find(i)) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize(("words", "percent", "block"), [(3, 90, 1024), (5, 80, 1024), (3, 90, 5)])
+@pytest.mark.parametrize(("words", "percent", "block"), [(3, 90, 1 << 20), (5, 80, 1 << 20), (3, 90, 150), (3, 80, 60), (1, 60, 100)])
 def test_ngram_components(spark, monkeypatch, words, percent, block):
-    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)  # small ones: clusters of several blocks
+    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", max(1, block // 10))
     rng, texts = random.Random(7), list(ODD)
     for _ in range(25):
         base = [f"w{rng.randrange(50)}" for _ in range(rng.choice([1, 2, 5, 9, 10, 12, 20, 60, 200]))]
@@ -121,18 +122,70 @@ def test_ngram_components(spark, monkeypatch, words, percent, block):
     assert got == brute_components(texts, words, percent)
 
 
-def test_keys_of_linked_sets_meet():
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_keys_of_linked_sets_meet(percent):
     rng = np.random.default_rng(3)
-    bands = ngram_join.Bands(90)
+    bands, linked = ngram_join.Bands(percent), 0
     for _ in range(2000):
-        n = int(rng.integers(9, 120))
+        n = int(rng.integers(1, 120))
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-        b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.06], rng.integers(0, 2**63, rng.integers(0, 3)).astype(np.uint64)]))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.5 - percent / 200], rng.integers(0, 2**63, rng.integers(0, 3)).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
-        if len(a) != len(b) or (a != b).any():
-            if 100 * both >= 90 * (len(a) + len(b) - both):
-                assert len(np.intersect1d(bands.keys(a), bands.keys(b)))
-                assert len(np.intersect1d(bands.prefix_keys(a, a[:3]), bands.prefix_keys(b, a[:3])))
+        if 100 * both >= percent * (len(a) + len(b) - both):
+            linked += 1
+            for hot in (a[:0], a[:3], a[: n // 2]):
+                assert len(np.intersect1d(bands.keys(a, hot), bands.keys(b, hot)))
+    assert linked > 200
+
+
+def test_bitmaps_never_hide_a_link():
+    rng = np.random.default_rng(5)
+    base = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (3, 40, 500, 520, 700, 1030, 5000)]
+    sets = [np.unique(np.concatenate([s[rng.random(len(s)) > 0.06], rng.integers(0, 2**63, len(s) // 30).astype(np.uint64)])) for s in base for _ in range(12)]
+    sets = sorted((s for s in sets if len(s)), key=len)
+    maps = [overlaps.parity_bitmap(s) for s in sets]
+    members = overlaps.Members(80, [len(s) for s in sets], maps, [s.tobytes() for s in sets])
+    links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    for i, j in links:
+        assert j in members.possible(len(sets[i]), np.frombuffer(maps[i], np.uint64)) and i in members.possible(len(sets[j]), np.frombuffer(maps[j], np.uint64))
+    assert links and closure(members.links()) == closure(links)
+
+
+def closure(links):
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for u, v in links:
+        high, low = sorted((find(u), find(v)), reverse=True)
+        root[high] = low
+    return {i: find(i) for i in list(root)}
+
+
+@pytest.mark.parametrize(("holders", "most"), [(64, 4096), (3, 4096), (64, 5), (2, 4)])
+def test_tiles_hold_all_holders_of_a_key(monkeypatch, holders, most):
+    """Through chunks and batches of any size, rows that share a key are members of one tile or candidates."""
+    monkeypatch.setattr(ngram_join, "CHUNK_HOLDERS", holders)
+    monkeypatch.setattr(ngram_join, "TILE_MEMBERS", most)
+    rng = np.random.default_rng(holders * most)
+    key, row = rng.integers(0, 60, 400) ** 2 // 60, rng.integers(0, 90, 400)
+    chunks = [ngram_join._held_keys(key[a : a + 70], row[a : a + 70]).to_pylist() for a in range(0, 400, 70)]
+    rows = sorted((r for c in chunks for r in c), key=lambda r: (r["key"] is not None, r["key"] or 0, r["u"]))
+    schema = pa.schema([(n, pa.int64()) for n in ("key", "u", "v")])
+    batches = [pa.RecordBatch.from_pylist(rows[a : a + 33], schema) for a in range(0, len(rows), 33)]
+    tiles, links = {}, []
+    for r in (r for b in ngram_join._tiles(iter(batches)) for r in b.to_pylist()):
+        if r["key"] is None:
+            links.append((r["u"], r["v"]))
+        else:
+            tiles.setdefault(r["key"], set()).add(r["u"])
+    assert all(2 <= len(t) <= most for t in tiles.values())
+    links += [(u, min(t)) for t in tiles.values() for u in t]
+    wanted = [(u, min(row[key == k])) for k in set(key) for u in row[key == k]]
+    assert closure((int(u), int(v)) for u, v in wanted if u != v) == closure((u, v) for u, v in links if u != v)
 
 
 def test_components_of_a_chain(spark):
