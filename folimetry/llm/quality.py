@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from folimetry.llm.folds import held_out, training_texts
 from folimetry.llm.pieces import by_bytes, whole_texts
-from folimetry.llm.scratch import written
+from folimetry.llm.scratch import by_name, by_place, written
 from folimetry.llm.words import mix, word_hashes, word_spans
 
 BUCKETS = 1 << 13
@@ -235,25 +235,33 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> t
     return vectors, fit_network(x, np.array([r[1] for r in rows], np.int64))
 
 
-def score_quality(docs: DataFrame, vectors: np.ndarray, network: Network, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns and the score of every row. Null texts count as empty and are scored like any other."""
+def score_quality(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
+    """The columns of docs by place (c0, c1, ...) and the score of every row. Null texts count as empty; empty ones are
+    scored like any other, and texts of any length whole."""
     model = docs.sparkSession.sparkContext.broadcast((vectors, network))
-    kept = docs.select(*carry, docs["text"].alias("__text"))
+    rows = by_place(docs, F.col("text").alias("text"))
+    places = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, net = model.value
         for batch in batches:
-            for b in by_bytes(batch, "__text", SLICE_BYTES):
-                score = net.score(pooled(whole_texts(b.column("__text")), table).astype(np.float64))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(score, pa.float64())], [*carry, "__score"])
+            for b in by_bytes(batch, "text", SLICE_BYTES):
+                score = net.score(pooled(whole_texts(b.column("text")), table).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in places), pa.array(score, pa.float64())], [*places, "score"])
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text")
-    return kept.mapInArrow(run, f"{head}, __score double")
+    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
+    return rows.mapInArrow(run, f"{head}score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; repeated rows each, an empty table an empty result."""
-    scored = score_quality(docs.select("doc_id", "text"), *fit_quality(docs, labels)).withColumnRenamed("__score", "score")
+    """doc_id, held_out, score and predicted of every row of docs(doc_id, text).
+
+    Null, empty and very long texts are scored like others, by their whole text. Equal texts have equal scores; repeated
+    rows are rows of their own. Labels of identifiers that docs lacks, and null ones, teach nothing; without labels of both
+    kinds all scores are the share of label 1. An empty table gives an empty result. Other columns aren't read.
+    """
+    docs = docs.select("doc_id", "text")
+    scored = score_quality(docs, *fit_quality(docs, labels)).withColumnRenamed("c0", "doc_id")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -263,8 +271,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject, with their columns."""
+    """Documents that the classifier doesn't reject, with their columns.
+
+    Null, empty and very long texts are judged by their score like others; repeated rows have equal scores and stay or go
+    together. Other columns may have any names; an empty table gives an empty result.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     vectors, network = fit_quality(docs.select("doc_id", "text"), labels)
-    scored = score_quality(docs, vectors, network, tuple(docs.columns))
-    return scored.filter(F.col("__score") >= THRESHOLD).drop("__score")
+    return by_name(score_quality(docs, vectors, network).filter(F.col("score") >= THRESHOLD), docs.columns)

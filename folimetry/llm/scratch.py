@@ -8,7 +8,7 @@ import uuid
 from weakref import WeakKeyDictionary
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the corpus contracts: runs of anything but ASCII white space.
@@ -61,6 +61,21 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name for F.col, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def by_place(docs: DataFrame, *more: Column) -> DataFrame:
+    """Columns c0, c1 and so on for those of docs, and `more`, whose names then can't clash with them."""
+    return docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)), *more)
+
+
+def by_name(rows: DataFrame, names: list[str], *more: Column) -> DataFrame:
+    """Columns of by_place() under their names again, then `more`."""
+    return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), *more)
+
+
 def numbered(docs: DataFrame, row: str) -> DataFrame:
     """The same rows with a number in the column `row`, which docs must not have. It stays the same in every later read,
     however the scan is split.
@@ -77,7 +92,7 @@ def numbered(docs: DataFrame, row: str) -> DataFrame:
     files = spark.range(1).select(F.posexplode(F.lit(paths) if paths else F.array(F.lit(""))).alias(file, path))
     known = F.coalesce(file, F.raise_error(F.concat(F.lit("a file the scan didn't list: "), path)).cast("int"))
     number = F.shiftleft(known.cast("long"), FILE_BITS) + F.col(at)
-    return tagged.join(F.broadcast(files), path, "left").select(*(docs[c] for c in docs.columns), number.alias(row))
+    return tagged.join(F.broadcast(files), path, "left").select(*(F.col(quoted(c)) for c in docs.columns), number.alias(row))
 
 
 def _plain_scan(docs: DataFrame) -> bool:

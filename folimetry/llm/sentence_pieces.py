@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folimetry.llm.pieces import Memo, Ragged, by_bytes, row_slices, text_bytes, whole_texts
+from folimetry.llm.scratch import by_name, by_place, free_name, quoted
 
 SPACE = "▁"
 #: Distinct chunks whose ids a worker keeps (some 30 MB).
@@ -335,24 +337,27 @@ def piece_model(path: str) -> PieceModel:
     return _MODELS[path]
 
 
-def encode_texts(docs: DataFrame, model: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",), digests: bool = False) -> DataFrame:
-    """The carried columns with ids (array of int, begin and end ids included) and decoded text of every row; with
-    `digests`, n_tokens, ids_sha256 and decoded_sha256 instead.
+def encode_texts(docs: DataFrame, model: str, digests: bool = False) -> DataFrame:
+    """The columns of docs but its texts, with n_tokens, ids (array of int, begin and end ids included) and decoded text of
+    every row; with `digests`, n_tokens, ids_sha256 and decoded_sha256 instead.
 
-    Null texts count as empty: two ids, empty decoded text. Texts of any length are encoded whole; repeated rows are
-    rows of their own; an empty table gives an empty result. Other columns aren't carried unless named.
+    Null texts count as empty: two ids, empty decoded text. Texts of any length are encoded whole; equal texts have equal
+    ids; repeated rows are rows of their own; an empty table gives an empty result. Columns of docs keep their names: where
+    one has the name of a result, the result's name begins with an underscore.
     """
-    kept = docs.select(*carry, docs[text].alias("__text"))
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text")
+    others = docs.select(*(F.col(quoted(c)) for c in docs.columns if c != "text"))
+    rows = by_place(docs.select(*(F.col(quoted(c)) for c in others.columns), F.col("text")))
+    places, text = rows.columns[:-1], rows.columns[-1]
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
+    kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.int64(), pa.list_(pa.int32()), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = piece_model(model)
         begin, end = np.array([tool.begin], "<u4"), np.array([tool.end], "<u4")
         for batch in batches:
-            for b in by_bytes(batch, "__text", SLICE_BYTES):
-                columns = [b.column(c) for c in carry]
-                made: list[list] = [[], [], []]
-                for inner in tool.rows(whole_texts(b.column("__text"))):
+            for b in by_bytes(batch, text, SLICE_BYTES):
+                made: list[list] = [[] for _ in names]
+                for inner in tool.rows(whole_texts(b.column(text))):
                     ids = np.concatenate([begin, inner, end])
                     back = tool.decode(ids)
                     if digests:
@@ -361,12 +366,11 @@ def encode_texts(docs: DataFrame, model: str, text: str = "text", carry: tuple[s
                         row = (len(ids), ids.astype(np.int32), back.decode())
                     for out, x in zip(made, row, strict=True):
                         out.append(x)
-                kinds = (pa.int64(), pa.string(), pa.string()) if digests else (pa.int64(), pa.list_(pa.int32()), pa.string())
-                names = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("n_tokens", "ids", "decoded")
-                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, made, kinds)], [*carry, *names])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in places), *map(pa.array, made, kinds)], [*places, *names])
 
-    tail = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>, decoded string"
-    return kept.mapInArrow(run, f"{head}, {tail}" if carry else tail)
+    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
+    tail = ", ".join(f"{n} {k}" for n, k in zip(names, ("long", "string", "string") if digests else ("long", "array<int>", "string"), strict=True))
+    return by_name(rows.mapInArrow(run, head + tail), others.columns, *(F.col(n).alias(free_name(others, n)) for n in names))
 
 
 def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,8 +381,7 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns of the documents but their texts, with n_tokens and the ids."""
+    """All columns of the documents but their texts, with n_tokens, ids and decoded text; defined as in encode_texts."""
     import public_tokenizers
 
-    carry = tuple(c for c in docs.columns if c != "text")
-    return encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), carry=carry).drop("decoded")
+    return encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))

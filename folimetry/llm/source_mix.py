@@ -13,20 +13,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from folimetry.llm.scratch import WORD, shared_folder, written
+from folimetry.llm.scratch import WORD, free_name, numbered, quoted, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_PASSES = 3
 SEED = 20240607
-#: The dynamic programme's capacity in words; a larger rest is first lowered with the longest lengths left over.
+#: The dynamic programme's first capacity in words; where it misses the budget by more than must be, it grows up to the budget.
 KNAPSACK_WORDS = 1 << 16
 #: Documents of one length that a task ranks together.
-BUCKET_ROWS = 4096
-#: Sources up to which the plan of targets is broadcast; beyond, the join shuffles.
-BROADCAST_SOURCES = 10_000
+BUCKET_ROWS = 256
+#: Sources and counted lengths up to which the plan is broadcast (some 100 bytes each); beyond, the joins shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def targets(totals: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, cap: int = MOST_PASSES) -> dict:
@@ -45,45 +44,60 @@ def targets(totals: list[tuple[str | None, int]], weights: tuple[float, ...] = W
     return fixed
 
 
+def _best_sum(size: np.ndarray, free: np.ndarray, rest: int) -> np.ndarray:
+    """How many of each length, at most `free`, make the largest sum that is not above `rest`: bounded subset sums as a bit
+    set, counts split into powers of two, and for each sum the step that reached it first."""
+    reach, mask, steps, first = 1, (1 << (rest + 1)) - 1, [], np.full(rest + 1, -1, np.int32)
+    for i in np.flatnonzero(size > 0).tolist():
+        many, part = min(int(free[i]), rest // int(size[i])), 1
+        while many > 0 and not reach >> rest & 1:
+            n = min(part, many)
+            new = reach << n * int(size[i]) & mask & ~reach
+            if new:
+                bits = np.unpackbits(np.frombuffer(new.to_bytes(rest // 8 + 1, "little"), np.uint8), bitorder="little")
+                first[np.flatnonzero(bits)] = len(steps)
+                steps.append((i, n))
+                reach |= new
+            many, part = many - n, part * 2
+    taken, at = np.zeros(len(size), np.int64), reach.bit_length() - 1
+    while at:
+        i, n = steps[first[at]]
+        taken[i] += n
+        at -= n * int(size[i])
+    return taken
+
+
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: int = KNAPSACK_WORDS) -> np.ndarray:
-    """How many documents of each length to take so that their words come as near to `budget` from below as found.
+    """How many documents of each length to take so that their words come nearest to `budget` from below.
 
-    A share of every length is taken in proportion, the longest lengths lower the rest to `capacity`, and a bounded
-    subset-sum (bit sets, counts split into powers of two) finds the best sum for what is left.
+    A share of every length is taken in proportion, the longest lengths left over lower the rest to `capacity`, and a
+    bounded subset sum fills it. A result is nearest for certain if it misses the budget by less than the lengths' greatest
+    common divisor. While it misses by more, the capacity grows; at the budget itself nothing is taken beforehand, and the
+    subset sum is over all documents. Its memory is 4 bytes a word of the capacity.
     """
     order = np.argsort(lengths, kind="stable")
-    size, left = lengths[order].astype(np.int64), counts[order].astype(np.int64)
-    whole = int((size * left).sum())
+    size, count = lengths[order].astype(np.int64), counts[order].astype(np.int64)
+    whole = int((size * count).sum())
     if budget >= whole:
         return counts.astype(np.int64)
-    taken = left * budget // max(whole, 1) if whole < 2**31 else np.array([int(c) * budget // whole for c in left], np.int64)
-    taken[size == 0] = 0
-    rest = budget - int((size * taken).sum())
-    for i in range(len(size) - 1, -1, -1):
-        if rest <= capacity:
+    step = int(np.gcd.reduce(size))
+    while True:
+        taken = np.zeros(len(size), np.int64)
+        if capacity < budget:
+            taken = np.array([int(c) * budget // whole for c in count], np.int64)
+            taken[size == 0] = 0
+        rest = budget - int((size * taken).sum())
+        for i in range(len(size) - 1, -1, -1):
+            if rest <= capacity:
+                break
+            if size[i]:
+                more = int(min(count[i] - taken[i], (rest - capacity) // size[i]))
+                taken[i] += more
+                rest -= more * int(size[i])
+        taken += _best_sum(size, count - taken, rest)
+        if budget - int((size * taken).sum()) < step or capacity >= budget:
             break
-        if size[i]:
-            more = int(min(left[i] - taken[i], (rest - capacity) // size[i]))
-            taken[i] += more
-            rest -= more * int(size[i])
-    reach, mask, steps = 1, (1 << (rest + 1)) - 1, []
-    for i in range(len(size)):
-        if reach >> rest & 1:
-            break
-        free, part = int(left[i] - taken[i]), 1
-        if not size[i]:
-            continue
-        free = min(free, rest // int(size[i]))
-        while free > 0:
-            n = min(part, free)
-            steps.append((i, n, reach))
-            reach |= reach << n * int(size[i]) & mask
-            free, part = free - n, part * 2
-    best = reach.bit_length() - 1
-    for i, n, before in reversed(steps):
-        if not before >> best & 1:
-            taken[i] += n
-            best -= n * int(size[i])
+        capacity *= 16
     out = np.empty(len(size), np.int64)
     out[order] = taken
     return out
@@ -99,36 +113,39 @@ def mix_counts(
 ) -> DataFrame:
     """Every document's row_id (as given), doc_id, size, source_size, target, times (how often the mix takes it) and taken.
 
-    `docs` has row_id, doc_id, source and size. Documents without words count 0 and are taken as often as whole passes
-    go over their source. A source without words has target 0. Repeated rows are documents of their own; ties of the
-    hash are broken by doc_id, then row_id. An empty table gives an empty result.
+    `docs` has row_id, doc_id, source and size; row ids are all different and stay when the table is read again, and which
+    documents of a length are taken depends on them, doc_id and the seed alone. Documents without words count 0 and are
+    taken as often as whole passes go over their source. A source without words has target 0. Repeated rows are documents
+    of their own, as are rows without doc_id; ties of the hash are broken by doc_id, then row_id. Sizes are of whole texts,
+    whatever their length. An empty table gives an empty result. The driver holds one row a source.
     """
     spark = docs.sparkSession
-    docs = docs.withColumn("source_key", _source_key(F.col("source")))
+    docs = docs.select("row_id", "doc_id", _source_key(F.col("source")).alias("source_key"), "source", "size")
     per_length = written(docs.groupBy("source_key", "source", "size").agg(F.count("*").alias("docs")))
     totals = per_length.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("words")).collect()  # a row a source
     wanted = targets([(r.source, r.words) for r in totals], weights, share, cap)
     words = {r.source: r.words for r in totals}
-    schema = "source_key string, source_size long, target double, passes int, rest long"
-    plan = spark.createDataFrame([_passes(s, words[s], t, cap) for s, t in wanted.items()], schema)
-    if len(wanted) <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
+    schema = "source_key string, source_no int, source_size long, target double, passes int, rest long"
+    rows = [(_key(s), i, *_passes(words[s], t, cap)) for i, (s, t) in enumerate(wanted.items())]
+    plan = spark.createDataFrame(rows, schema)
+    plan = F.broadcast(plan) if len(rows) <= BROADCAST_ROWS else plan
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         more = fit_lengths(pdf["size"].to_numpy(), pdf["docs"].to_numpy(), int(pdf["rest"].iloc[0]))
-        return pdf.assign(more=more)
+        return pdf.assign(more=more)[["source_no", "size", "docs", "more"]]
 
-    budgets = per_length.join(plan, "source_key").select("source_key", "size", "docs", "source_size", "target", "passes", "rest")
-    fitted = written(budgets.groupBy("source_key").applyInPandas(fit, T.StructType([*budgets.schema, T.StructField("more", T.LongType())])))
-    spread = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    budgets = per_length.join(plan, "source_key").select("source_no", "size", "docs", "rest")
+    fitted = written(budgets.groupBy("source_no").applyInPandas(fit, "source_no int, size long, docs long, more long"))
+    known = F.broadcast(fitted) if fitted.count() <= BROADCAST_ROWS else fitted.hint("merge")
+    spread = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("row_id"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("docs") / BUCKET_ROWS))
     keyed = (
-        docs.join(fitted, ["source_key", "size"])
+        docs.join(plan, "source_key").join(known, ["source_no", "size"])
         .withColumn("spread", spread)
         .withColumn("bucket", F.floor((F.shiftright("spread", 11).cast("double") / float(1 << 53) + 0.5) * parts).cast("long"))
     )
-    keyed = written(keyed.drop("rest", "source"))
-    group = ["source_key", "size"]
+    keyed = written(keyed.select("row_id", "doc_id", "source_no", "size", "source_size", "target", "passes", "more", "spread", "bucket"))
+    group = ["source_no", "size"]
     in_buckets = keyed.groupBy(*group, "bucket").agg(F.count("*").alias("here"))
     before = in_buckets.withColumn(
         "before", F.sum("here").over(Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)),
@@ -141,29 +158,38 @@ def mix_counts(
     )
 
 
-def _passes(source: str | None, words: int, target: float, cap: int) -> tuple:
+def _key(source: str | None) -> str:
+    return "n" if source is None else "s" + source
+
+
+def _passes(words: int, target: float, cap: int) -> tuple:
     whole = round(target)
     passes = min(cap, whole // words) if words else 0
     rest = whole - passes * words if passes < cap else 0
-    return ("n" if source is None else "s" + source, int(words), float(target), int(passes), int(rest))
+    return (int(words), float(target), int(passes), int(rest))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, source and size (words in the whole text; null: 0); written once, so that row ids stay."""
+def sized(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """row_id, doc_id, source and size (words in the whole text; null: 0) of docs, written once. `row` names a column with
+    row numbers that stay; without it rows are numbered here."""
+    rows = docs.select("doc_id", "source", "text", F.col(row).alias("row_id")) if row else numbered(docs.select("doc_id", "source", "text"), "row_id")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", size.alias("size"))
+    return written(rows.select("row_id", "doc_id", "source", size.alias("size")))
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix_counts(written(sized(docs), shared_folder(spark))).drop("row_id")
+    return mix_counts(sized(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("row_id")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus: each document repeated as often as the mix takes it."""
-    tagged = written(docs.withColumn("__mix_row", F.monotonically_increasing_id()))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = tagged.select(F.col("__mix_row").alias("row_id"), "doc_id", "source", size.alias("size"))
-    times = mix_counts(written(rows)).select(F.col("row_id").alias("__mix_row"), F.col("times").alias("__times")).filter("__times > 0")
-    mixed = tagged.join(times, "__mix_row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return mixed.select(*docs.columns)
+    """The mixed corpus: each document, with its columns, repeated as often as the mix takes it.
+
+    Null and blank texts count no words. Null sources are a source of their own; repeated rows are documents of their own.
+    Other columns may have any names; an empty table gives an empty result.
+    """
+    row, times, copy = (free_name(docs, n) for n in ("__row", "__times", "__copy"))
+    names = docs.columns
+    docs = numbered(docs, row)
+    counts = mix_counts(sized(docs, row)).select(F.col("row_id").alias(row), F.col("times").alias(times)).filter(F.col(times) > 0)
+    mixed = docs.join(counts, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return mixed.drop(row, times, copy).select(*(F.col(quoted(c)) for c in names))

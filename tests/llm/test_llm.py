@@ -80,7 +80,7 @@ def test_encoding_is_the_librarys(spark):
 
 
 def test_encoding_of_odd_rows(spark):
-    got = sentence_pieces.encode_texts(docs_of(spark, ODD), P.path("piece_bpe_32k.model"), carry=("doc_id", "size")).collect()
+    got = sentence_pieces.encode_texts(docs_of(spark, ODD), P.path("piece_bpe_32k.model")).collect()
     assert {r.doc_id: r.decoded for r in got} == {i: (t or "").replace("▁", " ") for i, t in enumerate(ODD)} and got[0]["size"] == "y"
     assert all(r.ids[0] == 1 and r.ids[-1] == 2 and len(r.ids) == r.n_tokens for r in got)
 
@@ -327,21 +327,26 @@ def test_targets_are_shared_again_above_the_cap():
     assert got["a"] == 3 and sum(got.values()) == pytest.approx(111) and got["b"] == 30 and got[None] == pytest.approx(78)
 
 
-def test_fitting_meets_the_budget():
+@pytest.mark.parametrize("capacity", [1, 20, 200, 1 << 16])
+def test_fitting_is_the_best_subset_sum(capacity):
+    """Against all sums that whole documents can make, found one document at a time."""
     rng = np.random.default_rng(0)
-    for _ in range(50):
-        size = np.unique(rng.integers(1, 60, 20))
-        count = rng.integers(1, 30, len(size))
-        budget = int(rng.integers(0, (size * count).sum() + 1))
-        taken = source_mix.fit_lengths(size, count, budget, capacity=200)
-        assert (taken >= 0).all() and (taken <= count).all() and 0 <= budget - (size * taken).sum() <= 60
+    for k in range(60):
+        size = np.unique(rng.integers(0, 60, 6)) * (3 if k % 3 else 1)
+        count = rng.integers(1, 6, len(size))
+        sums = {0}
+        for n, many in zip(size.tolist(), count.tolist(), strict=True):
+            sums = {s + n * m for s in sums for m in range(many + 1)}
+        budget = int(rng.integers(0, (size * count).sum() + 5))
+        taken = source_mix.fit_lengths(size, count, budget, capacity)
+        assert (taken >= 0).all() and (taken <= count).all() and (size * taken).sum() == max(s for s in sums if s <= budget)
     assert (source_mix.fit_lengths(np.array([3, 5]), np.array([2, 2]), 11) * [3, 5]).sum() == 11
 
 
 def test_mix(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * rng.randrange(1, 30)), rng.choice(["a", "b", "c", None])) for i in range(600)] + [(900, None, "a"), (901, "", "d")]
-    docs = written(source_mix.sized(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    docs = source_mix.sized(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     got, again = source_mix.mix_counts(docs).collect(), source_mix.mix_counts(docs).collect()
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
     source = {i: s for i, _, s in rows}
@@ -366,18 +371,91 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df.filter("page_id < 0")).count() == 0
 
 
-def test_pipeline_stages_keep_columns(spark):
+CLASHES = ["doc_id", "text", "lang", "source", "n_chars", "__row", "_metadata", "__times", "__copy", "__text", "__path", "__file", "__at", "ids", "n_tokens", "Decoded", "row_id", "score", "c0", "a.b", "component"]
+
+
+def clashing(spark, texts, ids=None, sources=("a", "b", None)):
+    """Documents with columns named as operators name theirs; each holds its own value."""
+    kinds = {"doc_id": "long", "n_chars": "long", "__row": "long", "ids": "long"}
+    rows = [tuple({"doc_id": i if ids is None else ids[i], "text": t, "source": sources[i % len(sources)], "n_chars": 7, "__row": 88, "ids": 99}.get(c, f"own {c}") for c in CLASHES) for i, t in enumerate(texts)]
+    return written(spark.createDataFrame(rows, ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in CLASHES)))
+
+
+def own_values(row):
+    return all(row[c] == {"n_chars": 7, "__row": 88, "ids": 99}.get(c, f"own {c}") for c in CLASHES if c in row.__fields__ and c not in ("doc_id", "text", "source"))
+
+
+STAGE_TEXTS = [*ODD, "b " * 10, "the cat sat on the mat and on it went", "the cat sat on the mat and on it went", "word " * 200_000]
+
+
+def test_stages_on_odd_rows_and_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    ids = [*range(len(STAGE_TEXTS) - 3), None, None, 5]
+    docs = clashing(spark, STAGE_TEXTS, ids)
+    want = {"quality classifier": len(STAGE_TEXTS), "exact dedup": len({t or "" for t in STAGE_TEXTS})}
+    blank = sum(n == 0 for n, _ in brute_components(STAGE_TEXTS, 5, 80).values())
+    want["n-gram Jaccard join"] = blank + len({c for n, c in brute_components(STAGE_TEXTS, 5, 80).values() if n})
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path)).collect()
+        assert got and all(own_values(r) for r in got), name
+        assert len(got) == want.get(name, len(got)), name
+        if stage is not sentence_pieces.encode_stage:
+            assert list(got[0].__fields__) == CLASHES
+        none = stage(spark, written(docs.limit(0)), str(tmp_path))
+        assert none.count() == 0 and (stage is sentence_pieces.encode_stage or none.columns == CLASHES)
+    encoded = sentence_pieces.encode_stage(spark, docs, "").collect()
+    assert encoded[0].__fields__[-3:] == ["_n_tokens", "_ids", "_decoded"] and len(encoded) == len(STAGE_TEXTS)
+    decoded = Counter(r["_decoded"] for r in encoded)
+    assert decoded == Counter((t or "").replace("▁", " ") for t in STAGE_TEXTS) or len(decoded) == len({t or "" for t in STAGE_TEXTS})
+
+
+def test_dedup_stages_keep_one_row_of_each(spark):
+    docs = clashing(spark, STAGE_TEXTS, [None, 3, 3, None, 1, 1, 8, 9, 10, 11, None, 2, 2])
+    kept = exact_dedup.dedup_stage(spark, docs, "").collect()
+    assert sorted((r.text or "") for r in kept) == sorted({t or "" for t in STAGE_TEXTS})
+    near = ngram_join.near_dedup_stage(spark, docs, "").collect()
+    assert next(r.doc_id for r in near if (r.text or "").startswith("the cat")) == 2
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() against the five stages one after the other: scores by the fitted network, then plain Python."""
     import corpus_pipeline
+    import sentencepiece
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    names, stages = docs.columns, dict(corpus_pipeline.STAGES)
-    kept = written(stages["exact dedup"](spark, docs, ""))
-    assert kept.columns == names and kept.count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
-    near = written(stages["n-gram Jaccard join"](spark, kept, ""))
-    texts = [r.text for r in kept.orderBy("doc_id").collect()]
-    assert near.columns == names and near.count() == len({c for n, c in brute_components(texts, 5, 80).values() if n}) + sum(n == 0 for n, _ in brute_components(texts, 5, 80).values())
-    mixed = written(stages["mixing sources to target weights"](spark, near, ""))
-    assert mixed.columns == names and mixed.count() > 0
+    rng = random.Random(4)
+    good = [" ".join(rng.choice(["the", "cat", "sat", "on", "mat,", "and", "dog", "ran", "far"]) for _ in range(rng.randrange(8, 60))) for _ in range(80)]
+    bad = [" ".join(rng.choice(["THE!!", "CAT!!", "$$$", "SAT!!"]) for _ in range(40)) for _ in range(60)]
+    texts = good + bad + good[:10] + [t + " tail" for t in good if len(t.split()) > 40] + [None, "", "é漢 😀"]
+    rng.shuffle(texts)
+    rows = [(i, t, "en", rng.choice(["a", "b", None]), len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(t in set(good)), 0) for i, t in enumerate(texts) if t in set(good) | set(bad)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "text")
+    vectors, network = quality.fit_quality(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    scores = network.score(quality.pooled(pa.array([t or "" for t in texts], pa.large_string()), vectors).astype(np.float64))
+    kept = [r for r, s in zip(rows, scores, strict=True) if s >= quality.THRESHOLD]
+    last = {r[1] or "": r for r in kept}
+    kept = [r for r in kept if last[r[1] or ""] is r]
+    parts = brute_components([r[1] for r in kept], 5, 80)
+    kept = [r for i, r in enumerate(kept) if not parts[i][0] or parts[i][1] == i]
+    left = {r[0]: r for r in kept}
+    assert {r.doc_id for r in got} <= set(left) and not any(t in set(bad) for _, t, *_ in kept) and len(kept) > 60
+    words = {i: len((r[1] or "").split()) for i, r in left.items()}
+    totals = Counter()
+    for i, r in left.items():
+        totals[r[3]] += words[i]
+    wanted, taken, copies = source_mix.targets(list(totals.items())), Counter(), Counter(r.doc_id for r in got)
+    for r in got:
+        taken[r.source] += words[r.doc_id]
+    assert all(abs(taken[s] - wanted[s]) <= 1 for s in totals) and max(copies.values()) <= 3
+    library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    for r in got:
+        ids = [1, *library.encode(left[r.doc_id][1] or ""), 2]
+        assert (list(r.ids), r.n_tokens, r.decoded) == (ids, len(ids), library.decode(ids))
 
 
 # --- row identifiers
