@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept and returns a DataFrame, which is
 written as Parquet and read again as the next one's docs. All but the last return the columns of documents. The mix
-repeats a document's row as often as it takes it; the last stage has the token ids in place of the text.
+repeats a document's row as often as it takes it; the last stage has token ids and their decoded text in place of the text.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ STAGES: list[tuple[str, Stage]] = [
     ("exact dedup", dedup_stage),
     ("n-gram Jaccard join", near_dedup_stage),
     ("mixing sources to target weights", mix_stage),
-    ("SentencePiece encoding", encode_stage),
+    ("SentencePiece encoding and decoding", encode_stage),
 ]
-#: A trained classifier and token ids are no SQL; tests hold the stages against brute force.
+#: A trained classifier and token ids are no SQL; tests hold the stages and run() against brute force.
 ORACLE_SQL: str | None = None
 
 
