@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folimetry.llm.pieces import trimmed
 from folimetry.llm.scratch import free_name, numbered, shared_folder, without_rows, written
 
 MEMTABLE_ROWS = 1 << 18
@@ -166,8 +167,8 @@ def _index_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest_hits(rows: DataFrame) -> DataFrame:
     """Digests that more than one row has, from rows of (high, low, row_id)."""
-    runs = rows.select("high", "low", "row_id").mapInArrow(_index_rows, RUN_SCHEMA)
-    return runs.repartition("high", "low").mapInArrow(_index_hits, RUN_SCHEMA)
+    runs = rows.select("high", "low", "row_id").mapInArrow(trimmed(_index_rows), RUN_SCHEMA)
+    return runs.repartition("high", "low").mapInArrow(trimmed(_index_hits), RUN_SCHEMA)
 
 
 def exact_groups(docs: DataFrame, keep: str = "largest", digest_hex: int = 32, row: str | None = None) -> DataFrame:

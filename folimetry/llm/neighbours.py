@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folimetry.llm.pieces import trimmed
 from folimetry.llm.scratch import filesystem, shared_folder, written
 from folimetry.llm.words import mix
 
@@ -256,7 +257,7 @@ def nearest_rows(table: DataFrame, key: str, vector: str, queries: Column, k: in
         if ids:
             yield from answers(ids, parts, name[0])
 
-    found = dealt.mapInArrow(search, "query_id long, vec_id long, score double")
+    found = dealt.mapInArrow(trimmed(search), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

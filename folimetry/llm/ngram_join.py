@@ -28,21 +28,21 @@ from pyspark.sql.window import Window
 
 from folimetry.llm.components import components
 from folimetry.llm.overlaps import Members, parity_bitmap
-from folimetry.llm.pieces import by_bytes, whole_texts
+from folimetry.llm.pieces import by_bytes, trimmed, whole_texts
 from folimetry.llm.scratch import free_name, numbered, release, shared_folder, without_rows, written
 from folimetry.llm.words import mix, word_hashes, word_spans
 
 #: Shingles that the order of keys puts last (8 bytes each), and documents of a chunk from which they are counted.
 HOT_SHINGLES, HOT_IN_CHUNK = 400_000, 3
 #: Keys or shingles that a task sorts at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: Holders of a key in one chunk, and members of a tile, above which all members are candidates without a look at bitmaps.
 CHUNK_HOLDERS, TILE_MEMBERS = 64, 4096
 #: Shingles of a block; a set counts as BLOCK_SHINGLES / BLOCK_MEMBERS at least.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 20, 1024
 #: Rounds in which components of different blocks are joined through one member of each.
 JOINING_ROUNDS = 4
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: Row ids up to which a list of them is broadcast to a scan of the texts (some 40 bytes each); beyond, the scan shuffles.
 BROADCAST_ROWS = 1_000_000
 SALTS = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -159,7 +159,7 @@ def _local_counts(words: int):
 
 def hot_shingles(texts: DataFrame, words: int) -> np.ndarray:
     """The HOT_SHINGLES that most documents hold, sorted; only the order of keys depends on them, never a link."""
-    counts = texts.select("text").mapInArrow(_local_counts(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = texts.select("text").mapInArrow(trimmed(_local_counts(words)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "shingle").limit(HOT_SHINGLES).select("shingle").toPandas()
     return np.sort(top["shingle"].to_numpy(np.int64).view(np.uint64))
 
@@ -245,7 +245,7 @@ class Tiles:
         yield _key_batch(None, row[in_large], np.repeat(row[first], count)[in_large])
         name = np.add.reduceat(mix(row.view(np.uint64) ^ SALTS[0]), first) + mix(count.astype(np.uint64))
         tile = np.flatnonzero(~large & (count > 1))
-        if len(self.seen) > CHUNK // 8:
+        if len(self.seen) > CHUNK // 2:
             self.seen = set()
         names, at = np.unique(name[tile], return_index=True)
         fresh = [k not in self.seen for k in names.tolist()]
@@ -271,11 +271,11 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(texts: DataFrame, sets: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
     """Links (u, v) whose components hold all rows of texts(row_id, text) that link; bitmaps come from sets."""
     hot = texts.sparkSession.sparkContext.broadcast(hot_shingles(texts, words))
-    held = texts.select("row_id", "text").mapInArrow(_keys(words, percent, hot), KEY_SCHEMA)
-    tiles = written(held.repartition(F.coalesce("key", "u")).sortWithinPartitions("key", "u").mapInArrow(_tiles, KEY_SCHEMA), folder)
+    held = texts.select("row_id", "text").mapInArrow(trimmed(_keys(words, percent, hot)), KEY_SCHEMA)
+    tiles = written(held.repartition(F.coalesce("key", "u")).sortWithinPartitions("key", "u").mapInArrow(trimmed(_tiles), KEY_SCHEMA), folder)
     members = tiles.filter("key is not null").select(F.col("key").alias("tile"), F.col("u").alias("row_id")).distinct()
     sized = members.join(sets.select("row_id", F.col("n_shingles").alias("n"), "bitmap"), "row_id")
-    near = sized.repartition("tile").sortWithinPartitions("tile", "n", "row_id").mapInArrow(_links_within(percent, ["tile"], False), LINK_SCHEMA)
+    near = sized.repartition("tile").sortWithinPartitions("tile", "n", "row_id").mapInArrow(trimmed(_links_within(percent, ["tile"], False)), LINK_SCHEMA)
     found = written(near.unionByName(tiles.filter("key is null").select("u", "v")), folder)
     release(tiles)
     return found
@@ -336,7 +336,7 @@ BLOCK = ["cluster", "block"]
 def _inside(members: DataFrame, percent: int) -> DataFrame:
     """Links inside blocks of members(cluster, block, row_id, n, bitmap, shingles)."""
     dealt = members.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "n", "row_id")
-    return dealt.mapInArrow(_links_within(percent, BLOCK, True), LINK_SCHEMA)
+    return dealt.mapInArrow(trimmed(_links_within(percent, BLOCK, True)), LINK_SCHEMA)
 
 
 def _visits(percent: int, exact: bool):
@@ -406,7 +406,7 @@ def _across(members: DataFrame, links: DataFrame, percent: int, folder: str) ->
         sets = members.select("row_id", "bitmap", *(["shingles"] if exact else []))
         both = blocks.withColumn("visitor", F.lit(False)).unionByName(calls.withColumn("visitor", F.lit(True)))
         dealt = both.join(sets, "row_id").repartition(*BLOCK).sortWithinPartitions(*BLOCK, "visitor", "n", "row_id")
-        return dealt.mapInArrow(_visits(percent, exact), LINK_SCHEMA)
+        return dealt.mapInArrow(trimmed(_visits(percent, exact)), LINK_SCHEMA)
 
     hosts = now.join(calls.select(*BLOCK).distinct(), BLOCK, "left_semi").select(*BLOCK, "row_id", "n", "component")
     passed = written(meetings(calls, hosts, False).select(F.col("u").alias("row_id"), F.col("v").cast("int").alias("block")), folder)
@@ -429,7 +429,7 @@ def ngram_components(docs: DataFrame, words: int = 3, percent: int = 90, row: st
     folder = shared_folder(docs.sparkSession)
     rows = docs.select(F.col(row).alias("row_id"), "doc_id", "text") if row else numbered(docs.select("doc_id", "text"), "row_id")
     rows = rows.select("row_id", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(rows.mapInArrow(_sets(words), SET_SCHEMA), folder)
+    sets = written(rows.mapInArrow(trimmed(_sets(words)), SET_SCHEMA), folder)
     equal = ["n_shingles", "sum_a", "sum_b"]
     classes = sets.filter("n_shingles > 0").groupBy(*equal)
     classes = written(classes.agg(F.min("doc_id").alias("least_id"), F.min("row_id").alias("leader"), F.count("*").alias("set_rows")), folder)
@@ -442,7 +442,7 @@ def ngram_components(docs: DataFrame, words: int = 3, percent: int = 90, row: st
     def members(of: DataFrame) -> DataFrame:
         kept = ["row_id", *BLOCK, "n"]
         chosen = rows.select("row_id", "text").join(_listed(of), "row_id").select("text", *kept)
-        return chosen.mapInArrow(_arrays(words, kept), "row_id long, cluster long, block int, n int, bitmap binary, shingles binary")
+        return chosen.mapInArrow(trimmed(_arrays(words, kept)), "row_id long, cluster long, block int, n int, bitmap binary, shingles binary")
 
     inside = written(_inside(members(plan), percent), folder)
     wide = written(plan.join(plan.filter("block > 0").select("cluster").distinct(), "cluster", "left_semi"), folder)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folimetry.llm.pieces import Memo, Ragged, by_bytes, row_slices, text_bytes, whole_texts
+from folimetry.llm.pieces import Memo, Ragged, by_bytes, row_slices, text_bytes, trimmed, whole_texts
 from folimetry.llm.scratch import filesystem, shared_folder, write_atomically, written
 
 MAGIC = b"FOLIOIDS"
@@ -254,7 +254,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         write_atomically(path, file_chunks(doc_ids, np.array(lengths, np.int64), iter(parts), bits))
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "documents": [len(doc_ids)], "ids": [sum(lengths)]}, pa.schema([("part", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]))
 
-    return docs.mapInArrow(write, "part int, path string, documents long, ids long")
+    return docs.mapInArrow(trimmed(write), "part int, path string, documents long, ids long")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    return files.select("path", "first_id").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("path", "first_id").mapInArrow(trimmed(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = END_ID) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,6 +10,27 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+_C = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return unused memory of this process to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`run` as a function for mapInArrow whose worker gives memory back at the end of each task: workers live on, and what
+    they keep adds up with the next operator's."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def whole_texts(column: pa.Array) -> pa.Array:
     """Null texts as empty ones."""
     return pc.fill_null(column.cast(pa.large_string()), "")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folimetry.llm.folds import held_out, training_texts
-from folimetry.llm.pieces import by_bytes, whole_texts
+from folimetry.llm.pieces import by_bytes, trimmed, whole_texts
 from folimetry.llm.scratch import by_name, by_place, written
 from folimetry.llm.words import mix, word_hashes, word_spans
 
@@ -29,7 +29,7 @@ SYMBOLS = BUCKETS + SHAPES
 DIM = 32
 NONZERO = 4
 WINDOW = 2
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 THRESHOLD = 0.3
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 40, 256, 3e-3, 1e-4, 17
 CALIBRATION_SHARE = 5
@@ -120,7 +120,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit context vectors of all symbols over all documents; SYMBOLS x DIM, whatever the corpus."""
     schema = "symbol long, seen long, sums array<long>"
-    parts = docs.select("text").mapInArrow(_contexts, schema).repartition("symbol").mapInArrow(_added, schema)
+    parts = docs.select("text").mapInArrow(trimmed(_contexts), schema).repartition("symbol").mapInArrow(trimmed(_added), schema)
     table, seen = np.zeros((SYMBOLS, DIM)), np.zeros(SYMBOLS)
     for row in written(parts).collect():  # SYMBOLS rows at most
         table[row.symbol], seen[row.symbol] = row.sums, row.seen
@@ -228,7 +228,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> t
     """Word vectors over all of docs(doc_id, text), and the network fitted on the bounded labelled sample."""
     spark = docs.sparkSession
     vectors = word_vectors(docs)
-    sample = training_texts(docs, labels, label).mapInArrow(_pool(spark.sparkContext.broadcast(vectors)), "doc_id long, label int, x array<float>")
+    sample = training_texts(docs, labels, label).mapInArrow(trimmed(_pool(spark.sparkContext.broadcast(vectors))), "doc_id long, label int, x array<float>")
     rows = sorted((r.doc_id, r.label, r.x) for r in sample.collect())
     rows.sort(key=lambda r: int(mix(np.array([r[0]], np.int64).view(np.uint64))[0]))
     x = np.array([r[2] for r in rows], np.float32).reshape(-1, 3 * DIM + 1)
@@ -250,7 +250,7 @@ def score_quality(docs: DataFrame, vectors: np.ndarray, network: Network) -> Dat
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in places), pa.array(score, pa.float64())], [*places, "score"])
 
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
-    return rows.mapInArrow(run, f"{head}score double")
+    return rows.mapInArrow(trimmed(run), f"{head}score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

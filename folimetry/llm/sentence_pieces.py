@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folimetry.llm.pieces import Memo, Ragged, by_bytes, row_slices, text_bytes, whole_texts
+from folimetry.llm.pieces import Memo, Ragged, by_bytes, row_slices, text_bytes, trimmed, whole_texts
 from folimetry.llm.scratch import by_name, by_place, free_name, quoted
 
 SPACE = "▁"
@@ -29,7 +29,7 @@ SPACE = "▁"
 MEMO_CHUNKS = 150_000
 #: Answers of the pair test that a worker keeps.
 MEMO_PAIRS = 300_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SLICE_IDS = 1 << 18
 NEVER = float("inf")
 #: Characters of one or two bytes; texts of these alone are cut into chunks with numpy.
@@ -370,7 +370,7 @@ def encode_texts(docs: DataFrame, model: str, digests: bool = False) -> DataFram
 
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
     tail = ", ".join(f"{n} {k}" for n, k in zip(names, ("long", "string", "string") if digests else ("long", "array<int>", "string"), strict=True))
-    return by_name(rows.mapInArrow(run, head + tail), others.columns, *(F.col(n).alias(free_name(others, n)) for n in names))
+    return by_name(rows.mapInArrow(trimmed(run), head + tail), others.columns, *(F.col(n).alias(free_name(others, n)) for n in names))
 
 
 def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

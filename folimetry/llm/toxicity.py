@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folimetry.llm.folds import held_out
-from folimetry.llm.pieces import by_bytes, whole_texts
+from folimetry.llm.pieces import by_bytes, trimmed, whole_texts
 from folimetry.llm.scratch import written
 from folimetry.llm.words import LETTERS, mix, word_hashes, word_spans
 
@@ -150,7 +150,7 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     usable = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
     part = [usable.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for y in (0, 1)]
     chosen = docs.select("doc_id", "text").join(F.broadcast(part[0].unionByName(part[1])), "doc_id")  # bounded
-    rows = chosen.select("doc_id", "text").mapInArrow(_signatures, "doc_id long, signature array<long>").toPandas()
+    rows = chosen.select("doc_id", "text").mapInArrow(trimmed(_signatures), "doc_id long, signature array<long>").toPandas()
     if len(rows):
         apart = independent(rows["doc_id"].to_numpy(), np.stack(rows["signature"].to_numpy()))
         kept = docs.sparkSession.createDataFrame([(int(i),) for i in apart], "doc_id long")
@@ -185,7 +185,7 @@ def find_features(sample: DataFrame) -> Features:
     if len(totals) < 2:
         return Features(known, voters, odds)
     share = totals[1] / whole
-    counted = sample.select("label", "text").mapInArrow(_key_counts, "key long, label int, docs long").groupBy("key").agg(
+    counted = sample.select("label", "text").mapInArrow(trimmed(_key_counts), "key long, label int, docs long").groupBy("key").agg(
         F.sum(F.when(F.col("label") == 1, F.col("docs")).otherwise(0)).alias("ones"), F.sum(F.when(F.col("label") == 0, F.col("docs")).otherwise(0)).alias("zeros"),
     )
     log_odds = F.log((F.col("ones") + SMOOTHING * share) / (F.col("zeros") + SMOOTHING * (1 - share))) - float(np.log(share / (1 - share)))
@@ -323,8 +323,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tu
     features = find_features(sample)
     shared = spark.sparkContext.broadcast(features)
     schema = "label int, votes long, docs long"
-    every = docs.select("text", F.lit(2).alias("label")).mapInArrow(_vote_counts(shared), schema)
-    counted = every.unionByName(sample.select("text", "label").mapInArrow(_vote_counts(shared), schema))
+    every = docs.select("text", F.lit(2).alias("label")).mapInArrow(trimmed(_vote_counts(shared)), schema)
+    counted = every.unionByName(sample.select("text", "label").mapInArrow(trimmed(_vote_counts(shared)), schema))
     rows = counted.groupBy("label", "votes").agg(F.sum("docs").alias("docs")).collect()  # 3 * 2**VOTERS at most
     votes = np.array(sorted({r.votes for r in rows}), np.int64)
     counts = np.zeros((3, len(votes)))
@@ -333,7 +333,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tu
     model = fit_label_model(votes, counts[2], counts[1], counts[0]) if len(votes) else LabelModel(np.zeros(1 << VOTERS), np.full(VOTERS, -1), np.zeros(VOTERS))
     others = docs.filter(~held_out(F.col("doc_id"))).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     beside = docs.select("doc_id", "text").join(F.broadcast(others), "doc_id")
-    fitted = sorted(sample.select("doc_id", "text").unionByName(beside).mapInArrow(_featured(shared), "doc_id long, votes long, features array<int>").collect())
+    fitted = sorted(sample.select("doc_id", "text").unionByName(beside).mapInArrow(trimmed(_featured(shared)), "doc_id long, votes long, features array<int>").collect())
     lists = [np.array(r.features, np.int64) for r in fitted]
     linear = fit_linear(lists, model.posterior[np.array([r.votes for r in fitted], np.int64)], features.odds)
     return features, model, linear
@@ -355,7 +355,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 rows, feature, _ = known.of(whole_texts(b.column("text")))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(line.score(rows, feature, known.odds, b.num_rows))], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folimetry.llm.pieces import trimmed
 from folimetry.llm.scratch import filesystem, numbered, shared_folder, write_atomically, written
 
 MAGIC = b"\x1f\x8b\x08"
@@ -166,7 +167,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
         size = write_atomically(path, members())
         yield pa.RecordBatch.from_pydict({"path": [path], "size": [size]}, pa.schema([("path", pa.string()), ("size", pa.int64())]))
 
-    return written(dealt.mapInArrow(write, "path string, size long"))
+    return written(dealt.mapInArrow(trimmed(write), "path string, size long"))
 
 
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -196,7 +197,7 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool =
                             rows, held = [], 0
                     yield _rows(rows)
 
-    return ranges.repartition(parts).mapInArrow(read, RECORDS)
+    return ranges.repartition(parts).mapInArrow(trimmed(read), RECORDS)
 
 
 def _row(r: Record, payloads: bool) -> tuple:

@@ -58,9 +58,22 @@ def word_spans(texts: pa.Array, inside: np.ndarray = ~BLANK) -> tuple[np.ndarray
     return part, starts, ends, np.searchsorted(starts, rows)
 
 
+#: Bytes whose running sums are held at once.
+HASH_BYTES = 1 << 18
+
+
 def word_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each span of bytes, A-Z lower-cased if asked."""
-    up, down = _powers(len(part) + 1)
-    total = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum(_BYTE[LOWER[part] if lower else part] * up[: len(part)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of each span of bytes, A-Z lower-cased if asked. Spans rise and don't overlap."""
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        first = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, first + HASH_BYTES, "right")))
+        here = part[first : int(ends[b - 1])]
+        up, down = _powers(len(here) + 1)
+        total = np.zeros(len(here) + 1, np.uint64)
+        np.cumsum(_BYTE[LOWER[here] if lower else here] * up[: len(here)], out=total[1:])
+        x, y = starts[a:b] - first, ends[a:b] - first
+        out[a:b] = mix((total[y] - total[x]) * down[x] + (y - x).astype(np.uint64))
+        a = b
+    return out
