@@ -1,12 +1,13 @@
-"""Metrics that need an alignment: edit operations, optimal assignment, table trees, text diff. Python inside UDFs."""
+"""Metrics that need an alignment: edit operations, optimal assignment, matched tables, text diff. Python inside UDFs."""
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
-from html.parser import HTMLParser
 
 import numpy as np
 
+from folimetry.operators.trees import table_similarity
+
 
 def edit_counts(reference: str, predicted: str) -> tuple[int, int, int, int]:
     """(hits, substitutions, deletions, insertions) of one shortest alignment.
@@ -72,6 +73,33 @@ def _distance_left(columns: list[tuple[int, int]], i: int, j: int, here: int) ->
     return j - 1 + (up & mask).bit_count() - (down & mask).bit_count()
 
 
+def edit_distance(reference: list | str, predicted: list | str) -> int:
+    """Length of a shortest alignment of two texts or lists, by the same bit vectors but without keeping them."""
+    a = 0
+    while a < min(len(reference), len(predicted)) and reference[a] == predicted[a]:
+        a += 1
+    z = 0
+    while z < min(len(reference), len(predicted)) - a and reference[-1 - z] == predicted[-1 - z]:
+        z += 1
+    ref, hyp = reference[a : len(reference) - z], predicted[a : len(predicted) - z]
+    if not ref or not hyp:
+        return len(ref) + len(hyp)
+    at: dict = {}
+    for i, c in enumerate(ref):
+        at[c] = at.get(c, 0) | 1 << i
+    full, last, distance = (1 << len(ref)) - 1, 1 << len(ref) - 1, len(ref)
+    up, down = full, 0
+    for c in hyp:
+        equal = at.get(c, 0)
+        vertical = equal | down
+        across = (((equal & up) + up) ^ up) | equal
+        plus, minus = down | ~(across | up) & full, up & across
+        distance += bool(plus & last) - bool(minus & last)
+        plus, minus = plus << 1 | 1, minus << 1
+        up, down = (minus | ~(vertical | plus)) & full, plus & vertical & full
+    return distance
+
+
 def char_f1(reference: str, predicted: str) -> tuple[float, float, float]:
     """Precision, recall and F1 over aligned equal characters."""
     if not reference and not predicted:
@@ -119,90 +147,6 @@ def assign(scores: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(match[j]), j) for j in range(columns) if match[j] >= 0)
 
 
-class Node:
-    """Element of a table tree."""
-
-    __slots__ = ("children", "parts", "tag")
-
-    def __init__(self, tag: str) -> None:
-        self.tag, self.parts, self.children = tag, [], []
-
-    @property
-    def text(self) -> str:
-        return " ".join(self.parts)
-
-    def size(self) -> int:
-        return 1 + sum(c.size() for c in self.children)
-
-
-class _TreeBuilder(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__()
-        self.root: Node | None = None
-        self.open: list[Node] = []
-
-    def _enter(self, tag: str, closed: bool) -> None:
-        node = Node(tag)
-        if self.open:
-            self.open[-1].children.append(node)
-        elif closed and self.root is not None:
-            both = Node("root")
-            both.children += [self.root, node]
-            self.root = both
-            self.open.append(both)
-        else:
-            self.root = node
-        self.open.append(node)  # closed ones too: what follows nests below them
-
-    def handle_starttag(self, tag, attrs) -> None:
-        self._enter(tag, False)
-
-    def handle_startendtag(self, tag, attrs) -> None:
-        self._enter(tag, True)
-
-    def handle_endtag(self, tag) -> None:
-        depth = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k].tag == tag), None)
-        if depth is not None:
-            del self.open[depth:]
-
-    def handle_data(self, data) -> None:
-        if self.open and data.strip():
-            self.open[-1].parts.append(data.strip())
-
-
-def parse_tree(html: str) -> Node | None:
-    """Tree of a fragment: an end tag closes up to its nearest open element, others are ignored; void elements stay open,
-    so later siblings nest below them; a later top-level element replaces the root."""
-    builder = _TreeBuilder()
-    builder.feed(html or "")
-    builder.close()
-    return builder.root
-
-
-def tree_distance(a: Node, b: Node) -> float:
-    """Ordered edit distance: renaming costs one for another tag and one for another text, and whole subtrees are
-    deleted and inserted at their size."""
-    cost = float(a.tag != b.tag) + float(a.text != b.text)
-    below_a, below_b = a.children, b.children
-    row = [0.0]
-    for y in below_b:
-        row.append(row[-1] + y.size())
-    for x in below_a:
-        size, after = x.size(), [row[0] + x.size()]
-        for j, y in enumerate(below_b):
-            after.append(min(row[j + 1] + size, after[j] + y.size(), row[j] + tree_distance(x, y)))
-        row = after
-    return cost + row[-1]
-
-
-def table_similarity(a: str, b: str) -> float:
-    """1 less distance over the larger tree; both unreadable 1, one 0."""
-    x, y = parse_tree(a), parse_tree(b)
-    if x is None or y is None:
-        return float(x is None and y is None)
-    return max(0.0, 1 - tree_distance(x, y) / max(x.size(), y.size()))
-
-
 def teds(reference: list[str], predicted: list[str]) -> float:
     """Mean similarity of the best matched tables over the reference's tables; no reference NaN, no prediction 0."""
     if not reference:

@@ -9,23 +9,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KNOWN = ("gaussian_noise", "salt_pepper")
+# Names of steps that configurations use, and each one's parameter.
+NOISE, SALT_AND_PEPPER = "noise", "salt_and_pepper"
+AMOUNTS = {NOISE: "sigma", SALT_AND_PEPPER: "amount"}
+#: Known, but not built: they need an imaging library.
+UNBUILT = ("blur", "jpeg", "rotate", "dpi_reduction")
+KNOWN = (*AMOUNTS, *UNBUILT)
+
+
+def _named(params: dict, between: str) -> str:
+    return between.join(f"{k}={v}" for k, v in params.items())
 
 
 def grid(steps: list[dict], known: tuple[str, ...] = KNOWN) -> list[tuple[str, str, dict]]:
-    """(label, step, params) of every combination of list-valued parameters; unknown steps are left out."""
+    """(label, step, params) of every combination of list-valued parameters. Labels name what is swept, or all parameters
+    in brackets where nothing is. Steps without a known name are left out."""
     out = []
-    for step in steps:
-        if step["name"] not in known:
-            continue
-        params = step.get("params", {})
-        swept = {k: v for k, v in params.items() if isinstance(v, list)}
-        for values in product(*swept.values()):
-            chosen = params | dict(zip(swept, values, strict=True))
-            label = step["name"] + "".join(f"_{k}={chosen[k]}" for k in swept)
-            if not swept and params:
-                label = f"{step['name']}({'|'.join(f'{k}={v}' for k, v in params.items())})"
-            out.append((label, step["name"], chosen))
+    for step in (s for s in steps if s.get("name") in known):
+        name, params = step["name"], step.get("params") or {}
+        choices = {k: v if isinstance(v, list) else [v] for k, v in params.items()}
+        swept = [k for k, v in params.items() if isinstance(v, list)]
+        for values in product(*choices.values()):
+            chosen = dict(zip(choices, values, strict=True))
+            label = f"{name}_{_named({k: chosen[k] for k in swept}, '_')}" if swept else f"{name}({_named(chosen, '|')})"
+            out.append((label, name, chosen))
     return out
 
 
@@ -44,16 +51,30 @@ def gaussian(pixels: np.ndarray, sigma: float, seed: int | None = None) -> np.nd
 
 
 def salt_pepper(pixels: np.ndarray, amount: float, seed: int | None = None) -> np.ndarray:
-    chance = np.random.default_rng(_seed(amount) if seed is None else seed).random(pixels.shape)
-    return np.where(chance < amount / 2, 0, np.where(chance > 1 - amount / 2, 255, pixels)).astype(np.uint8)
+    """Some pixels black, as many white: all channels of a pixel of (height, width, channels), each value of a flat array."""
+    chance = np.random.default_rng(_seed(amount) if seed is None else seed).random(pixels.shape[:2])
+    out = pixels.copy()
+    out[chance < amount / 2] = 0
+    out[chance > 1 - amount / 2] = 255
+    return out
 
 
-def degraded(pixels: Column, name: Column, amount: Column) -> Column:
-    """Noisy pixels; unknown names leave them as they are."""
+def degraded(pixels: Column, name: Column, amount: Column, width: Column | None = None, channels: int = 3) -> Column:
+    """Noisy pixels; unknown names, and sizes that aren't whole rows, leave them as they are. With a width, bytes are rows of
+    pixels of so many channels; without, each byte is a pixel of its own."""
 
     @F.pandas_udf("binary")
-    def apply(raw: pd.Series, names: pd.Series, amounts: pd.Series) -> pd.Series:
-        how = {"gaussian_noise": gaussian, "salt_pepper": salt_pepper}
-        return pd.Series([how[n](np.frombuffer(r, np.uint8), a).tobytes() if n in how else r for r, n, a in zip(raw, names, amounts, strict=True)])
-
-    return apply(pixels, name, amount)
+    def apply(raw: pd.Series, names: pd.Series, amounts: pd.Series, widths: pd.Series) -> pd.Series:
+        how = {NOISE: gaussian, SALT_AND_PEPPER: salt_pepper}
+        out = []
+        for r, n, a, w in zip(raw, names, amounts, widths, strict=True):
+            w = 0 if pd.isna(w) else int(w)
+            row = w * channels if w else 1
+            if r is None or n not in how or len(r) % row:
+                out.append(r)
+                continue
+            flat = np.frombuffer(r, np.uint8)
+            out.append(how[n](flat.reshape(-1, w, channels) if w else flat, a).tobytes())
+        return pd.Series(out, dtype=object)
+
+    return apply(pixels, name, amount, F.lit(0) if width is None else width.cast("int"))

@@ -105,7 +105,7 @@ def layout_scores(reference: DataFrame, predicted: DataFrame, threshold: float =
         return pd.DataFrame(out, columns=["mean_iou", "precision", "recall"])
 
     both = _page_boxes(reference, "g").join(_page_boxes(predicted, "p"), "page", "full")
-    return both.withColumn("s", score("g", "p")).select("page", "s.*")
+    return both.withColumn("s", score("g", "p")).select("page", *(F.coalesce(f"s.{k}", F.lit(float("nan"))).alias(k) for k in ("mean_iou", "precision", "recall")))
 
 
 def reading_order(reference: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -124,27 +124,58 @@ def reading_order(reference: DataFrame, predicted: DataFrame) -> DataFrame:
                 continue
             m = _iou_array(_array(g), _array(p))
             pairs = [(g[i]["idx"], p[j]["idx"]) for i, j in assign(m) if m[i, j] > 0]
-            out.append(_tau(np.array(pairs)) if len(pairs) > 1 else float("nan"))
+            out.append(concordance(*np.array(pairs, float).T) if len(pairs) > 1 else float("nan"))
         return pd.Series(out)
 
     both = _page_boxes(reference, "g").join(_page_boxes(predicted, "p"), "page", "left")
-    return both.select("page", tau("g", "p").alias("tau"))
+    return both.select("page", F.coalesce(tau("g", "p"), F.lit(float("nan"))).alias("tau"))
 
 
-def _tau(pairs: np.ndarray) -> float:
-    sign = np.sign(np.subtract.outer(pairs[:, 0], pairs[:, 0])) * np.sign(np.subtract.outer(pairs[:, 1], pairs[:, 1]))
-    same, other = (sign > 0).sum(), (sign < 0).sum()
-    return float((same - other) / (same + other)) if same + other else 1.0
+#: Values up to which all pairs are looked at at once.
+FEW = 48
 
 
-def kendall(df: DataFrame, keys: list[str], a: str, b: str, order: str) -> DataFrame:
-    """Kendall's tau of two columns per key, ties left out, by a self-join on the key; no untied pairs give 1."""
-    left = df.select(*keys, F.col(order).alias("k1"), F.col(a).alias("a1"), F.col(b).alias("b1"))
-    right = df.select(*keys, F.col(order).alias("k2"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    sign = F.signum((F.col("a1") - F.col("a2")) * (F.col("b1") - F.col("b2")))
-    pairs = left.join(right, keys, "left").filter(F.col("k1") <= F.col("k2")).withColumn("s", F.when(F.col("k1") < F.col("k2"), sign).otherwise(0.0))
-    total = F.sum(F.abs("s"))
-    return pairs.groupBy(*keys).agg(F.when(total == 0, 1.0).otherwise(F.sum("s") / total).alias("tau"))
+def kendall(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """Kendall's tau of two columns per key, ties and nulls left out; no untied pairs give 1. Pairs of a key are counted in
+    n log n steps, so that a page of many regions doesn't become its square in rows."""
+
+    @F.pandas_udf("double")
+    def tau(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([concordance(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
+
+    known = df.select(*keys, F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))).alias("v"))
+    pages = known.groupBy(*keys).agg(F.collect_list("v").alias("v"))
+    return pages.select(*keys, tau(F.col("v.a"), F.col("v.b")).alias("tau"))
+
+
+def _tied(*columns: np.ndarray) -> int:
+    """Pairs that are equal in all columns."""
+    _, count = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)
+    return int((count * (count - 1) // 2).sum())
+
+
+def _inversions(values: np.ndarray) -> int:
+    """Pairs in which an earlier value is larger, by merging ever longer sorted runs."""
+    x, found, width = values.copy(), 0, 1
+    while width < len(x):
+        for start in range(0, len(x) - width, 2 * width):
+            left, right = x[start : start + width], x[start + width : start + 2 * width]
+            found += int(len(left) * len(right) - np.searchsorted(left, right, "right").sum())
+            x[start : start + 2 * width] = np.sort(np.concatenate([left, right]), kind="stable")
+        width *= 2
+    return found
+
+
+def concordance(x: np.ndarray, y: np.ndarray) -> float:
+    """(pairs in the same order - pairs in the other) / both, ties in either left out."""
+    if len(x) <= FEW:
+        sign = np.sign(np.subtract.outer(x, x)) * np.sign(np.subtract.outer(y, y))
+        both = np.abs(sign).sum()
+        return float(sign.sum() / both) if both else 1.0
+    order = np.lexsort((y, x))
+    other = _inversions(y[order])
+    untied = len(x) * (len(x) - 1) // 2 - _tied(x) - _tied(y) + _tied(x, y) if len(x) else 0
+    return 1.0 if not untied else (untied - 2 * other) / untied
 
 
 def _suppressed(boxes: Column, keep) -> Column:
@@ -157,21 +188,58 @@ def _sides(x: Column) -> dict[str, Column]:
     return {s: x[s] for s in SIDES}
 
 
-def suppress(df: DataFrame, keep) -> DataFrame:
-    """Boxes of each page that survive, best score first, ties by idx."""
+#: Boxes of a page up to which they are folded one by one; larger pages are suppressed in numpy.
+FOLDED = 64
+
+
+def suppress(df: DataFrame, keep, many) -> DataFrame:
+    """Boxes of each page that survive, best score first, ties by idx. `keep(kept, box)` says whether a kept box leaves
+    another one; `many(one, others)` says it for arrays of sides and categories, of one box and all after it."""
     order = F.struct((-F.col("score")).alias("o"), "idx", "category", "score", *SIDES)
     pages = df.groupBy("page").agg(F.sort_array(F.collect_list(order)).alias("b"))
-    return pages.select("page", F.explode(_suppressed(F.col("b"), keep)).alias("x")).select("page", F.col("x.idx").alias("idx"), F.col("x.category").alias("category"), F.col("x.score").alias("score"), *[F.col(f"x.{s}").alias(s) for s in SIDES])
+
+    @F.pandas_udf("array<int>")
+    def left(sides: pd.Series, categories: pd.Series) -> pd.Series:
+        out = []
+        for x, c in zip(sides, categories, strict=True):
+            if x is None:
+                out.append(None)
+                continue
+            boxes, names, open_, taken = np.stack(x).astype(float), np.array(c, dtype=object), np.ones(len(c), bool), []
+            for k in range(len(c)):
+                if open_[k]:
+                    taken.append(k)
+                    open_[k + 1 :] &= many((boxes[k], names[k]), (boxes[k + 1 :], names[k + 1 :]))
+            out.append(taken)
+        return pd.Series(out, dtype=object)
+
+    large = F.size("b") > FOLDED
+    sides = F.transform("b", lambda x: F.array(*(x[s].cast("double") for s in SIDES)))
+    places = left(F.when(large, sides), F.when(large, F.col("b.category")))
+    found = pages.withColumn("places", places)
+    kept = F.when(F.col("places").isNotNull(), F.transform("places", lambda k: F.get("b", k))).otherwise(_suppressed(F.col("b"), keep))
+    return found.select("page", F.explode(kept).alias("x")).select("page", F.col("x.idx").alias("idx"), F.col("x.category").alias("category"), F.col("x.score").alias("score"), *[F.col(f"x.{s}").alias(s) for s in SIDES])
+
+
+def _overlap(one: np.ndarray, others: np.ndarray, pixel: int) -> np.ndarray:
+    """IoU of one box and others, areas not clamped."""
+    both = np.clip(np.minimum(one[2:], others[:, 2:]) - np.maximum(one[:2], others[:, :2]) + pixel, 0, None).prod(axis=1)
+    union = (one[2:] - one[:2] + pixel).prod() + (others[:, 2:] - others[:, :2] + pixel).prod(axis=1) - both
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return both / union if pixel else np.where(union <= 0, 0.0, both / union)
 
 
 def nms_class_aware(df: DataFrame, same: float = 0.6, other: float = 0.98) -> DataFrame:
     """Inclusive IoU; a box is kept if it is below the threshold against every kept one."""
-    return suppress(df, lambda y, x: iou_inclusive(_sides(y), _sides(x)) < F.when(y["category"] == x["category"], same).otherwise(other))
+    return suppress(
+        df, lambda y, x: iou_inclusive(_sides(y), _sides(x)) < F.when(y["category"] == x["category"], same).otherwise(other),
+        lambda one, others: _overlap(one[0], others[0], 1) < np.where(others[1] == one[1], same, other),
+    )
 
 
 def nms_greedy(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Whatever the category; suppressed above the threshold."""
-    return suppress(df, lambda y, x: iou_unclamped(_sides(y), _sides(x)) <= threshold)
+    return suppress(df, lambda y, x: iou_unclamped(_sides(y), _sides(x)) <= threshold, lambda one, others: _overlap(one[0], others[0], 0) <= threshold)
 
 
 def containment(df: DataFrame, share: float = 0.8) -> DataFrame:
@@ -204,6 +272,72 @@ def clamp(b: dict[str, Column], width: Column, height: Column) -> dict[str, Colu
     return {"x1": inside(b["x1"], width), "y1": inside(b["y1"], height), "x2": inside(b["x2"], width), "y2": inside(b["y2"], height)}
 
 
+def lookup(key: Column, names: dict[str, object], default: Column | None = None) -> Column:
+    """The value of a key; of other keys the default, null without one."""
+    found = F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), key)
+    return found if default is None else F.coalesce(found, default)
+
+
+def above_threshold(df: DataFrame, limits: dict[str, float], other: float = 0.3) -> DataFrame:
+    """Boxes whose score reaches their category's limit; categories without one have `other`."""
+    return df.filter(F.col("score") >= lookup(F.col("category"), limits, F.lit(other)))
+
+
+def routed(df: DataFrame, tasks: dict[str, str], dropped: tuple[str, ...] = ("abandon",)) -> DataFrame:
+    """Boxes with their category's task; those without a task, or with a dropped one, are left out."""
+    return df.withColumn("task", lookup(F.col("category"), tasks)).filter(F.col("task").isNotNull() & ~F.col("task").isin(*dropped))
+
+
+def without_large_images(df: DataFrame, page_area: Column, image: str = "image", share: float = 0.82) -> DataFrame:
+    """Without images above a share of the page, on pages of several boxes of which some would stay."""
+    page = Window.partitionBy("page")
+    sized = df.withColumn("__big", (F.col("category") == image) & (area(box()) > share * page_area))
+    counted = sized.withColumns({"__left": F.sum((~F.col("__big")).cast("int")).over(page), "__all": F.count("*").over(page)})
+    return counted.filter((F.col("__all") <= 1) | (F.col("__left") == 0) | ~F.col("__big")).drop("__big", "__left", "__all")
+
+
+def to_scale(value: Column, size: Column | float, scale: int = 1000) -> Column:
+    """A pixel coordinate as a whole number out of `scale`."""
+    return (value / size * scale).cast("long")
+
+
+def from_scale(value: Column, size: Column | float, scale: int = 1000) -> Column:
+    return value / scale * size
+
+
+def from_shares(b: dict[str, Column], width: Column, height: Column) -> dict[str, Column]:
+    """Pixels of a box that may be given in shares of the page (all sides between 0 and 1); reversed sides are swapped."""
+    shares = F.lit(True)
+    for side in SIDES:
+        shares = shares & b[side].between(0, 1)
+    sides = {s: b[s] * F.when(shares, width if s[0] == "x" else height).otherwise(1.0) for s in SIDES}
+    out = {}
+    for axis in "xy":
+        out[axis + "1"], out[axis + "2"] = (pick(sides[axis + "1"], sides[axis + "2"]) for pick in (F.least, F.greatest))
+    return out
+
+
+def crop(df: DataFrame, scale: Column | float, width: Column, height: Column, pad: int = 2, least: int = 4) -> DataFrame:
+    """Boxes scaled, widened by a pad and cut at the page, in whole pixels; those below a least side are left out."""
+    low = {s: F.greatest((F.col(s) * scale - pad).cast("long"), F.lit(0)) for s in ("x1", "y1")}
+    high = {s: F.least((F.col(s) * scale + pad).cast("long"), size) for s, size in (("x2", width), ("y2", height))}
+    return df.withColumns(low | high).filter((F.col("x2") - F.col("x1") >= least) & (F.col("y2") - F.col("y1") >= least))
+
+
+def turned(b: dict[str, Column], degrees: Column) -> dict[str, Column]:
+    """The upright box, to a tenth, around one that is turned about its centre."""
+    a, cx, cy = F.radians(degrees.cast("double")), (b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2
+    w, h = (b["x2"] - b["x1"]) / 2, (b["y2"] - b["y1"]) / 2
+    across, down = F.abs(w * F.cos(a)) + F.abs(h * F.sin(a)), F.abs(w * F.sin(a)) + F.abs(h * F.cos(a))
+    sides = {"x1": cx - across, "y1": cy - down, "x2": cx + across, "y2": cy + down}
+    return {s: F.round(c, 1) + 0.0 for s, c in sides.items()}
+
+
+def upscale(width: Column, height: Column, wanted: Column, below: int = 1500) -> Column:
+    """2 for small pages where it is wanted, else 1."""
+    return F.when((width < below) & (height < below) & wanted, 2).otherwise(1)
+
+
 def reindex(df: DataFrame, *order: str) -> DataFrame:
     """Contiguous numbers from 0 over each page's remaining boxes."""
     return df.withColumn("new_idx", (F.row_number().over(Window.partitionBy("page").orderBy(*order)) - 1).cast("long"))
@@ -220,3 +354,51 @@ def resize_by_area(width: Column, height: Column, factor: int = 28, least: int =
 def resize_longest(width: Column, height: Column, longest: int) -> tuple[Column, Column]:
     scale = longest / F.greatest(width, height)
     return F.bround(width * scale).cast("long"), F.bround(height * scale).cast("long")
+
+
+def _resized(width: Column, height: Column, pick) -> Column:
+    """struct<width, height> that `pick` finds for each pair of sides; null where one is missing."""
+
+    @F.pandas_udf("width long, height long")
+    def run(widths: pd.Series, heights: pd.Series) -> pd.DataFrame:
+        known = [pick(int(w), int(h)) if w == w and h == h and w is not None and h is not None else (None, None) for w, h in zip(widths, heights, strict=True)]
+        return pd.DataFrame(known, columns=["width", "height"]).astype("Int64")
+
+    return run(width, height)
+
+
+def sides_by_steps(width: int, height: int, factor: int, least: int, most: int) -> tuple[int, int]:
+    """Sides as multiples of a factor with an area between bounds: scaled by the root of the area's excess, rounded
+    half-even, then the longer side loses, or the shorter one gains, a factor at a time until the area fits."""
+    area = width * height
+    if least <= area <= most and not width % factor and not height % factor:
+        return width, height
+    scale = (least / area) ** 0.5 if area < least else (most / area) ** 0.5 if area > most else 1.0
+    sides = [max(factor, round(int(v * scale) / factor) * factor) for v in (width, height)]
+    while sides[0] * sides[1] > most and max(sides) > factor:
+        sides[0 if sides[0] > sides[1] else 1] -= factor
+    while sides[0] * sides[1] < least:
+        sides[0 if sides[0] < sides[1] else 1] += factor
+    return max(factor, sides[0]), max(factor, sides[1])
+
+
+def sides_by_blocks(width: int, height: int, grid: int, least: int, most: int) -> tuple[int, int]:
+    """Sides as whole blocks of a grid, scaled into the bounds of area; while they are too large, the side goes down whose
+    loss leaves the aspect ratio nearer to the original, height on a tie."""
+    if width <= 0 or height <= 0:
+        return width, height
+    area, ratio = width * height, width / height
+    scale = (most / area) ** 0.5 if area > most else (least / area) ** 0.5 if area < least else 1.0
+    across, down = (max(1, round(v * scale / grid)) for v in (width, height))
+    while across * down * grid * grid > most and (across, down) != (1, 1):
+        narrower = down == 1 or (across > 1 and abs((across - 1) / down - ratio) < abs(across / (down - 1) - ratio))
+        across, down = (across - 1, down) if narrower else (across, down - 1)
+    return across * grid, down * grid
+
+
+def resize_by_steps(width: Column, height: Column, factor: int = 28, least: int = 3136, most: int = 11_289_600) -> Column:
+    return _resized(width, height, lambda w, h: sides_by_steps(w, h, factor, least, most))
+
+
+def resize_by_blocks(width: Column, height: Column, grid: int = 28, least: int = 1792 * 28, most: int = 3072 * 2048) -> Column:
+    return _resized(width, height, lambda w, h: sides_by_blocks(w, h, grid, least, most))

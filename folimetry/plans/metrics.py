@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folimetry.functions import text as tx
-from folimetry.operators import alignment, metrics
+from folimetry.operators import alignment, metrics, trees
 from folimetry.plans.catalogue import register
 from folimetry.plans.inputs import PAIRS, pairs, table
 
@@ -17,20 +17,9 @@ ASCII = tx.Normalisation(unicode_form="", halfwidth=False)
 metrics.register_metric("cer", lambda r, h: {"cer": metrics.cer(r, h)})
 
 
-def _on_words(r, h, build):
-    """A metric of the two texts' words, which are split once a row."""
-    return metrics.bound(F.struct(tx.words(r).alias("r"), tx.words(h).alias("h")), lambda x: build(x["r"], x["h"]))
-
-
-def _bag(r, h) -> dict:
-    keys = ("bow_precision", "bow_recall", "bow_f1", "bow_jaccard")
-    whole = _on_words(r, h, lambda a, b: F.struct(*[c.alias(k) for k, c in metrics.bag_of_words(a, b).items()]))
-    return {k: whole[k] for k in keys}
-
-
-metrics.register_metric("wer", lambda r, h: {"wer": _on_words(r, h, metrics.wer)})
-metrics.register_metric("bleu", lambda r, h, max_n=4: {"bleu": _on_words(r, h, lambda a, b: metrics.bleu(a, b, max_n))})
-metrics.register_metric("bag_of_words", _bag)
+metrics.register_metric("wer", lambda r, h: {"wer": metrics.wer(tx.words(r), tx.words(h))})
+metrics.register_metric("bleu", lambda r, h, max_n=4: {"bleu": metrics.bleu(tx.words(r), tx.words(h), max_n)})
+metrics.register_metric("bag_of_words", lambda r, h: metrics.bag_of_words(tx.words(r), tx.words(h)))
 
 
 def normal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +123,7 @@ def _teds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([alignment.table_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+        return pd.Series([trees.table_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
     return _tables(spark, sf_dir).select("page", score("gt", F.lit("<table><tr><td>1</td></tr></table>")).alias("similarity"))
 
@@ -142,7 +131,7 @@ def _pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _tree_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("long")
     def size(html: pd.Series) -> pd.Series:
-        return html.map(lambda t: (lambda n: n.size() if n else 0)(alignment.parse_tree(t)))
+        return html.map(lambda t: len(trees.parse_tree(t) or ()))
 
     return table(spark, sf_dir, "pages").select("page_id", size(F.coalesce("html", F.lit(""))).alias("nodes"))
 

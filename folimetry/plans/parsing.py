@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folimetry.functions import parse
+from folimetry.functions import layouts, parse
 from folimetry.plans.catalogue import register
 from folimetry.plans.inputs import table
 
@@ -33,7 +33,7 @@ _text("fence_strip", *_DOC, lambda: F.when(F.col("doc_id") % 3 == 0, F.concat(F.
 _text("think_strip", *_DOC, lambda: F.concat(F.lit("<think>plan\nmore</think>\n"), _turn(), F.lit("\n</think>")), parse.strip_thoughts, _digest(r"trim(regexp_replace(regexp_replace(t, '(?s)<think>.*?</think>', '', 'g'), '</?think>', '', 'g'))", "'<think>plan' || chr(10) || 'more</think>' || chr(10) || coalesce(text, '') || chr(10) || '</think>'", *_DOC))
 _text("html_text", "pages", "page_id", lambda: F.coalesce("html", F.lit("")), parse.html_text, _digest(r"trim(regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))", "coalesce(html, '')", "pages", "page_id"))
 _text("html_first_table", "pages", "page_id", lambda: F.concat(F.coalesce("html", F.lit("")), F.when(F.col("page_id") % 2 == 0, "<table><tr><td>1</td></tr></table> x <table></table>").otherwise("")), parse.first_table, _digest(r"CASE WHEN regexp_matches(t, '(?s)<table.*?</table>') THEN regexp_extract(t, '(?s)<table.*?</table>') ELSE t END", "coalesce(html, '') || CASE WHEN page_id % 2 = 0 THEN '<table><tr><td>1</td></tr></table> x <table></table>' ELSE '' END", "pages", "page_id"))
-_text("formula_number", "part", "p_partkey", lambda: F.concat(F.lit(" （("), F.col("p_name"), F.lit(") ")), parse.formula_number, _digest(r"regexp_replace(regexp_replace(trim(t), '^[(（]+', ''), '[)）]+$', '')", "' （(' || p_name || ') '", "part", "p_partkey"))
+_text("formula_number", "part", "p_partkey", lambda: F.concat(F.lit(" "), F.when(F.col("p_partkey") % 2 == 0, "（").otherwise("("), F.col("p_name"), F.when(F.col("p_partkey") % 3 == 0, "）").otherwise(")"), F.lit(" ")), parse.formula_number, _digest("CASE WHEN (starts_with(trim(t), '(') AND ends_with(trim(t), ')')) OR (starts_with(trim(t), '（') AND ends_with(trim(t), '）')) THEN substr(trim(t), 2, length(trim(t)) - 2) ELSE trim(t) END", "' ' || CASE WHEN p_partkey % 2 = 0 THEN '（' ELSE '(' END || p_name || CASE WHEN p_partkey % 3 = 0 THEN '）' ELSE ')' END || ' '", "part", "p_partkey"))
 _text("content_clean", *_DOC, lambda: F.concat(_turn(), F.lit("........ ······· ______")), parse.cap_runs, _digest(r"regexp_replace(regexp_replace(regexp_replace(t, '\.{4,}', '...', 'g'), '·{4,}', '···', 'g'), '_{4,}', '___', 'g')", "coalesce(text, '') || '........ ······· ______'", *_DOC))
 _text("content_clean_whole", *_DOC, lambda: F.concat(_turn(), F.lit("........ ······· ______")), parse.clean_content, None)
 _text("region_preview", *_DOC, _turn, parse.preview, _digest("CASE WHEN length(s) > 60 THEN substr(s, 1, 60) || '...' ELSE s END", "t0", "_", "doc_id").replace("(SELECT doc_id, t0 AS t FROM _)", r"(SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), chr(10), ' ↵ ', 'g'), '([|<>])', '\\\1', 'g') AS s FROM documents)"))
@@ -92,11 +92,10 @@ register("json_truncate", lambda s, d: _truncated(s, d), "SELECT l_orderkey AS p
 
 
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of a page's regions but those of category R, joined by blank lines."""
-    schema = "array<struct<category:string,text:string>>"
-    read = _layout_json(False)(spark, sf_dir).select("page", F.from_json("t", schema).alias("r"))
-    kept = F.filter("r", lambda x: (x["category"] != "R") & (x["text"] != ""))
-    return read.select("page", F.array_join(F.transform(kept, lambda x: x["text"]), "\n\n").alias("markdown"))
+    """Texts of a page's regions but headers, which lines of category R become; a page without others stays as it is."""
+    read = _layout_json(False)(spark, sf_dir).select("page", F.replace("t", F.lit('"category":"R"'), F.lit('"category":"header"')).alias("t"))
+    made = layouts.layout_markdown(F.col("t"))
+    return read.select("page", F.when(made != F.col("t"), made).otherwise("").alias("markdown"))
 
 
 register("json_to_markdown", _markdown, "SELECT l_orderkey AS page, coalesce(string_agg(CASE WHEN l_returnflag <> 'R' THEN 't' || l_suppkey END, chr(10) || chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag), '') AS markdown FROM lineitem GROUP BY 1")
@@ -112,15 +111,3 @@ def _inline_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("inline_box_regions", _inline_boxes, "SELECT p_partkey, 1::BIGINT AS x1, 2::BIGINT AS y1, p_size::BIGINT AS x2, 40::BIGINT AS y2 FROM part WHERE p_size > 1")
-
-
-def _mined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions of markdown and tags in documents: headers, html tables, display formulas, page numbers."""
-    text = F.concat(F.lit("# Title\n## Part\n"), _turn(), F.lit("\n$$\na+b\n$$\n<table><tr></tr></table>\n<page_number>7</page_number>\n"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
-    found = {"title": r"(?m)^# (.+)$", "section": r"(?m)^#{2,6} (.+)$", "formula": r"(?s)\$\$\n(.+?)\n\$\$", "table": r"(?s)(<table.*?</table>)", "footer": r"<page_number>(.*?)</page_number>"}
-    return rows.select("doc_id", *[F.size(F.regexp_extract_all("t", F.lit(p), 1)).cast("long").alias(n) for n, p in found.items()])
-
-
-_MINED = "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(t, '{p}', 1)) AS {n}" for n, p in {"title": r"(?m)^# (.+)$", "section": r"(?m)^#{2,6} (.+)$", "formula": r"(?s)\$\$\n(.+?)\n\$\$", "table": r"(?s)(<table.*?</table>)", "footer": r"<page_number>(.*?)</page_number>"}.items())
-register("markdown_regions", _mined, f"{_MINED} FROM (SELECT doc_id, '# Title' || chr(10) || '## Part' || chr(10) || coalesce(text, '') || chr(10) || '$$' || chr(10) || 'a+b' || chr(10) || '$$' || chr(10) || '<table><tr></tr></table>' || chr(10) || '<page_number>7</page_number>' || chr(10) AS t FROM documents)")

@@ -95,4 +95,4 @@ def _report(df: DataFrame) -> DataFrame:
 
 
 _q("markdown_report", _report, "SELECT model, '## ' || model || chr(10) || chr(10) || '| Test set | Mean | Pages |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(printf('| %s | %.4f | %d |', test_set, m, n), chr(10) ORDER BY test_set) AS report FROM (SELECT model, test_set, avg(score) AS m, count(*) AS n FROM scores GROUP BY 1, 2) GROUP BY 1")
-_q("result_document", lambda df: df.groupBy(*KEY).agg(F.to_json(F.struct(F.round(F.avg("score"), 6).alias("mean"), F.count("*").alias("pages"))).alias("document")), None)
+_q("result_document", lambda df: df.groupBy(*KEY).agg(F.to_json(F.struct(F.round(F.avg("score"), 6).alias("mean"), F.count("*").alias("pages"))).alias("document")), "SELECT model, test_set, device, '{' || coalesce('\"mean\":' || round(avg(score), 6) || ',', '') || '\"pages\":' || count(*) || '}' AS document FROM scores GROUP BY 1, 2, 3")

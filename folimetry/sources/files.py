@@ -6,6 +6,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from folimetry.operators.statistics import upsert
 
 # File types that can be evaluated.
 IMAGES = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp", ".gif", ".ppm")
@@ -84,13 +88,131 @@ def result_name(file: Column) -> tuple[Column, Column]:
     return F.regexp_extract(stem, r"^(.*)_[^_]*$", 1), F.regexp_extract(stem, r"([^_]*)$", 1)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the old table, then swap: a reader of the old one may feed the new one."""
-    spark = df.sparkSession
-    staging = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    df.write.parquet(staging)
-    jvm = spark.sparkContext._jvm
-    target, made = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staging)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    fs.rename(made, target)
+def annotations(exports: DataFrame, text: str = "json") -> DataFrame:
+    """The columns of `exports` but its text, with one row a region of each annotation export: file, order, text, category,
+    text_format, bbox in pixels, and the page's width and height.
+
+    Of a task's annotations the first counts. A rectangle and a text belong together by id; of several rectangles or texts
+    of an id the last counts, and regions are ordered by their id's first rectangle. Turned rectangles give the upright box
+    around them. Tasks without annotations or results, and malformed ones, give no rows.
+    """
+    others = [c for c in exports.columns if c != text]
+    parsed = exports.withColumn("__task", F.monotonically_increasing_id()).withColumn("__v", F.try_parse_json(text)).filter("__v is not null")
+    upload = F.regexp_replace(F.coalesce(F.try_variant_get("__v", "$.file_upload", "string"), F.lit("")), "^[0-9a-f]{8}-", "")
+    items = F.try_variant_get("__v", "$.annotations[0].result", "array<variant>")
+    rows = parsed.select("__task", F.struct(*others, upload.alias("__file")).alias("__own"), F.posexplode(items).alias("__at", "__item"))
+
+    def get(path: str, kind: str) -> Column:
+        return F.try_variant_get("__item", path, kind)
+
+    sides = {n: get(f"$.value.{n}", "double") for n in ("x", "y", "width", "height")}
+    shape = F.struct(
+        *(c.alias(n) for n, c in sides.items()), F.coalesce(get("$.value.rotation", "double"), F.lit(0.0)).alias("rotation"),
+        get("$.original_width", "int").alias("page_width"), get("$.original_height", "int").alias("page_height"), F.lower(get("$.value.rectanglelabels[0]", "string")).alias("category"),
+    )
+    kind, words = get("$.type", "string"), get("$.value.text", "array<string>")
+    found = rows.groupBy("__task", get("$.id", "string").alias("__id")).agg(
+        F.first("__own").alias("__own"), F.min(F.when(kind == "rectanglelabels", F.col("__at"))).alias("__first"),
+        F.max_by(F.when(kind == "rectanglelabels", shape), F.when(kind == "rectanglelabels", F.col("__at"))).alias("__box"),
+        F.max_by(F.when(kind == "textarea", F.array_join(words, "\n")), F.when(kind == "textarea", F.col("__at"))).alias("__text"),
+    ).filter("__first is not null")
+    size = rows.filter("__at = 0").select("__task", get("$.original_width", "int").alias("width"), get("$.original_height", "int").alias("height"))
+    order = (F.row_number().over(Window.partitionBy("__task").orderBy("__first")) - 1).alias("order")
+    category = F.col("__box.category")
+    placed = found.join(size, "__task")
+    return placed.select(
+        *(F.col(f"__own.{c}").alias(c) for c in others), F.col("__own.__file").alias("file"), order, F.coalesce("__text", F.lit("")).alias("text"), category.alias("category"),
+        F.when(category == "table", "html").when(category == "formula", "latex").otherwise("plain").alias("text_format"), upright(F.col("__box")).alias("bbox"), "width", "height",
+    )
+
+
+def upright(shape: Column) -> Column:
+    """The box in pixels, to a tenth, around a rectangle given in percent of its page and turned about its centre."""
+    x, w = (shape[n] / 100 * shape["page_width"] for n in ("x", "width"))
+    y, h = (shape[n] / 100 * shape["page_height"] for n in ("y", "height"))
+    cos, sin = F.cos(F.radians(shape["rotation"])), F.sin(F.radians(shape["rotation"]))
+    across, down = (F.abs(w * cos) + F.abs(h * sin)) / 2, (F.abs(w * sin) + F.abs(h * cos)) / 2
+    turned = shape["rotation"] != 0
+    sides = {
+        "x1": F.when(turned, x + w / 2 - across).otherwise(x), "y1": F.when(turned, y + h / 2 - down).otherwise(y),
+        "x2": F.when(turned, x + w / 2 + across).otherwise(x + w), "y2": F.when(turned, y + h / 2 + down).otherwise(y + h),
+    }
+    return F.struct(*(F.bround(c, 1).alias(n) for n, c in sides.items()))
+
+
+def annotated_pages(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Ground truth pages of annotations(): regions in order, and the texts that aren't empty or in pictures, a line each."""
+    entry = F.struct("order", "text", "category", "bbox", "text_format")
+    pages = found.groupBy(*keys, "width", "height").agg(F.sort_array(F.collect_list(entry)).alias("regions"))
+    shown = F.filter("regions", lambda r: (r["text"] != "") & (r["category"] != "picture"))
+    return pages.select(*keys, F.lit(1).alias("page"), F.array_join(F.transform(shown, lambda r: r["text"]), "\n").alias("full_text"), "width", "height", "regions")
+
+
+def metric_columns(df: DataFrame, left_out: tuple[str, ...] = ("Runs", "Pages")) -> list[str]:
+    """Numeric columns of a summary that can be charted: no interval bounds (CI), no counts."""
+    return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and "CI" not in f.name and f.name not in left_out]
+
+
+def load_images(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content) of the image files below a folder; bytes as stored, for there is no decoder."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return found.filter(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*IMAGES)).select("path", "content")
+
+
+# --- sinks
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def replace_table(df: DataFrame, path: str, form: str = "parquet", **options: str) -> None:
+    """Write beside the old table, move that aside, then swap: readers of the old one may feed the new one, and at any time
+    the old or the new table is whole, at `path` or beside it (`-old`); restore_table() puts it back after a crash."""
+    spark, staging = df.sparkSession, f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    df.write.format(form).options(**options).save(staging)
+    restore_table(spark, path)
+    fs, target = _place(spark, path)
+    old, new = _place(spark, f"{path.rstrip('/')}-old")[1], _place(spark, staging)[1]
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(new, target):
+        fs.rename(old, target)
+        raise OSError(f"{staging} can't be moved to {path}")
+    fs.delete(old, True)
+
+
+def restore_table(spark: SparkSession, path: str) -> None:
+    """Put the old table back where a replacement stopped half-way; a finished one's old table is deleted."""
+    fs, target = _place(spark, path)
+    old = _place(spark, f"{path.rstrip('/')}-old")[1]
+    if fs.exists(old):
+        if fs.exists(target):
+            fs.delete(old, True)
+        elif not fs.rename(old, target):
+            raise OSError(f"{old} can't be put back")
+
+
+SUMMARY_KEYS = ("Model", "Test Set", "Device")
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """A summary CSV, all columns as text, N/A and the like as written; none gives no rows."""
+    restore_table(spark, path)
+    fs, target = _place(spark, path)
+    if not fs.exists(target):
+        return spark.createDataFrame([], ", ".join(f"`{k}` string" for k in SUMMARY_KEYS))
+    return spark.read.option("header", "true").option("nullValue", "\u0000").option("multiLine", "true").option("escape", '"').csv(path)
+
+
+def upsert_summary(rows: DataFrame, path: str, keys: tuple[str, ...] = SUMMARY_KEYS) -> None:
+    """Replace the rows of equal key in a summary CSV, append the others; columns that one side lacks are empty."""
+    shown = rows.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns))
+    merged = upsert(read_summary(rows.sparkSession, path), shown, list(keys))
+    replace_table(merged.fillna("").coalesce(1), path, "csv", header="true", escape='"', emptyValue="")
+
+
+def write_results(documents: DataFrame, path: str, document: str = "document") -> None:
+    """Result documents, JSON already, a line each; replaces what was there."""
+    replace_table(documents.select(F.col(document).alias("value")), path, "text")

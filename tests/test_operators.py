@@ -9,10 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folimetry.functions import parse
+from folimetry.functions import formatting, layouts, parse
 from folimetry.functions import text as tx
-from folimetry.operators import alignment, degrade, layout, metrics, statistics
-from folimetry.sources import files
+from folimetry.operators import alignment, degrade, layout, metrics, statistics, trees
+from folimetry.sources import files, settings
 
 
 def _distance(a, b):
@@ -45,7 +45,7 @@ def test_assignment_is_optimal():
 
 def test_tables():
     one = "<table><tr><td>a</td></tr></table>"
-    assert alignment.table_similarity(one, one) == 1 and alignment.table_similarity("", "") == 1 and alignment.table_similarity(one, "") == 0
+    assert trees.table_similarity(one, one) == 1 and trees.table_similarity("", "") == 1 and trees.table_similarity(one, "") == 0
     assert math.isnan(alignment.teds([], [one])) and alignment.teds([one], []) == 0 and alignment.teds([one, one], [one]) == 0.5
 
 
@@ -78,7 +78,7 @@ def test_boxes(spark):
     assert sorted(x.idx for x in layout.nms_class_aware(boxes).collect()) == [1, 3]
     assert sorted(x.idx for x in layout.nms_greedy(boxes).collect()) == [1, 3]
     assert sorted(x.idx for x in layout.merge_boxes(boxes, "large").select("idx").collect()) == [3]
-    assert layout._tau(np.array([(1, 1), (2, 3), (3, 2), (4, 4)])) == pytest.approx(4 / 6)
+    assert layout.concordance(np.array([1, 2, 3, 4]), np.array([1, 3, 2, 4])) == pytest.approx(4 / 6)
 
 
 def test_statistics(spark):
@@ -141,8 +141,255 @@ def test_ground_truth(spark):
     assert len(got) == 1 and got[0].page == 3 and got[0].regions[0].bbox.y2 == 4 and got[0].regions[0].order == -1
 
 
-def test_degradations():
-    pixels = np.full(1000, 128, np.uint8)
-    assert (degrade.gaussian(pixels, 25) == degrade.gaussian(pixels, 25)).all() and set(degrade.salt_pepper(pixels, 0.5)) == {0, 128, 255}
-    labels = [x[0] for x in degrade.grid([{"name": "gaussian_noise", "params": {"sigma": [1, 2], "seed": [3, 4]}}, {"name": "nothing"}])]
-    assert len(set(labels)) == 4
+def test_degradations(spark):
+    pixels = np.full((20, 50, 3), 128, np.uint8)
+    assert (degrade.gaussian(pixels, 25) == degrade.gaussian(pixels, 25)).all()
+    salted = degrade.salt_pepper(pixels, 0.5)
+    assert set(salted.ravel()) == {0, 128, 255} and (salted == salted[:, :, :1]).all()
+    labels = [x[0] for x in degrade.grid([{"name": "noise", "params": {"sigma": [1, 2], "seed": [3, 4]}}, {"name": "nothing"}, {}, {"name": "blur"}, {"name": "jpeg", "params": {"quality": 10}}])]
+    assert labels == ["noise_sigma=1_seed=3", "noise_sigma=1_seed=4", "noise_sigma=2_seed=3", "noise_sigma=2_seed=4", "blur()", "jpeg(quality=10)"]
+    rows = [(pixels.tobytes(), "salt_and_pepper", 0.5, 50), (pixels.tobytes(), "other", 0.5, 50), (b"abc", "noise", 25.0, None), (None, "noise", 1.0, 1)]
+    got = [r.p for r in spark.createDataFrame(rows, "p binary, n string, a double, w int").select(degrade.degraded(F.col("p"), F.col("n"), F.col("a"), F.col("w")).alias("p")).collect()]
+    assert bytes(got[0]) == salted.tobytes() and bytes(got[1]) == pixels.tobytes() and len(got[2]) == 3 and got[3] is None
+
+
+def test_edit_distance_of_long_and_varied_sequences(spark):
+    rng = random.Random(3)
+    for _ in range(1500):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(12))) for _ in range(2))
+        assert alignment.edit_distance(a, b) == alignment.edit_distance(list(a), list(b)) == _distance(a, b)
+    words = [f"w{i}" for i in range(60_000)]
+    changed = [w if i % 100 else "other" for i, w in enumerate(words)]
+    text = "".join(rng.choice("漢字仮名abc ") for _ in range(3000))
+    rows = [(words, changed, text, text.replace("漢", "x")), ([], [], "", ""), (["a"], [], "ab", "")]
+    got = spark.createDataFrame(rows, "r array<string>, h array<string>, s string, t string").select(metrics.wer(F.col("r"), F.col("h")).alias("w"), metrics.cer(F.col("s"), F.col("t")).alias("c")).collect()
+    assert got[0].w == pytest.approx(0.01) and got[0].c == pytest.approx(text.count("漢") / 3000) and len(text) ** 2 > metrics.LONG_PAIR
+    assert math.isnan(got[1].w) and math.isnan(got[1].c) and got[2].w == got[2].c == 1
+
+
+def _tree_distance(a, b, x=0, y=0):
+    def size(t, k):
+        return 1 + sum(size(t, c) for c in range(t.first[k], t.first[k + 1]))
+
+    mine, other = range(a.first[x], a.first[x + 1]), range(b.first[y], b.first[y + 1])
+    row = [0]
+    for d in other:
+        row.append(row[-1] + size(b, d))
+    for c in mine:
+        after = [row[0] + size(a, c)]
+        for j, d in enumerate(other):
+            after.append(min(row[j + 1] + size(a, c), after[-1] + size(b, d), row[j] + _tree_distance(a, b, c, d)))
+        row = after
+    return (a.tags[x] != b.tags[y]) + (a.texts[x] != b.texts[y]) + row[-1]
+
+
+def test_tree_distance_by_recursion():
+    rng, met = random.Random(0), 0
+    for _ in range(600):
+        x, y = (trees.parse_tree("".join(rng.choice(["<a>", "<b>", "</a>", "</b>", "<a/>", "x", "y ", "<br>"]) for _ in range(rng.randrange(1, 16)))) for _ in range(2))
+        if x and y:
+            met += 1
+            assert trees.tree_distance(x, y) == _tree_distance(x, y)
+    assert met > 300
+
+
+def test_trees_of_any_depth():
+    deep = trees.parse_tree("<p>" + "<br>x" * 100_000)
+    assert len(deep) == 100_001 and trees.tree_distance(deep, deep) == 0
+    both = trees.parse_tree("<a/><b/>")
+    assert both.tags == ["a", "b"] and trees.parse_tree("<a></a><b/>").tags == ["root", "a", "b"] and trees.parse_tree("<a></a><b></b>").tags == ["b"]
+    assert trees.parse_tree("plain") is None and trees.parse_tree(None) is None and trees.parse_tree("<a>x<c> y </c></a>z").texts == ["x", "y"]
+
+
+def test_concordance_by_pairs():
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(0, 160))
+        x, y = rng.integers(0, 30, n).astype(float), rng.integers(0, 30, n).astype(float)
+        signs = [np.sign((x[i] - x[j]) * (y[i] - y[j])) for i in range(n) for j in range(i)]
+        untied = sum(map(abs, signs))
+        assert layout.concordance(x, y) == pytest.approx(sum(signs) / untied if untied else 1)
+
+
+def _boxes(spark, rng, pages, n):
+    rows = [(p, i, rng.choice("AN"), round(rng.random(), 2), *(x := rng.randrange(60), y := rng.randrange(60)), x + rng.randrange(1, 40), y + rng.randrange(1, 40)) for p in range(pages) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "page long,idx long,category string,score double,x1 long,y1 long,x2 long,y2 long")
+
+
+def _iou(a, b, pixel=0):
+    both = max(0, min(a[6], b[6]) - max(a[4], b[4]) + pixel) * max(0, min(a[7], b[7]) - max(a[5], b[5]) + pixel)
+    sizes = [(r[6] - r[4] + pixel) * (r[7] - r[5] + pixel) for r in (a, b)]
+    return both / (sum(sizes) - both)
+
+
+@pytest.mark.parametrize(("pages", "n"), [(6, 12), (2, 150)])
+def test_suppression_one_by_one(spark, pages, n):
+    rows, df = _boxes(spark, random.Random(n), pages, n)
+    for found, keeps in ((layout.nms_class_aware(df), lambda y, x: _iou(y, x, 1) < (0.6 if y[2] == x[2] else 0.98)), (layout.nms_greedy(df), lambda y, x: _iou(y, x) <= 0.5)):
+        want = []
+        for p in range(pages):
+            kept = []
+            for r in sorted((r for r in rows if r[0] == p), key=lambda r: (-r[3], r[1])):
+                if all(keeps(y, r) for y in kept):
+                    kept.append(r)
+            want += [(r[0], r[1]) for r in kept]
+        assert sorted((r.page, r.idx) for r in found.collect()) == sorted(want)
+
+
+def test_matching_layout_and_order(spark):
+    rng = random.Random(5)
+    gt, g = _boxes(spark, rng, 8, 4)
+    pr, p = _boxes(spark, rng, 8, 4)
+    greedy = {}
+    for r in layout.greedy_pairs(layout.iou_matrix(g, p)).collect():
+        greedy.setdefault(r.page, []).append((r.i, r.j))
+    scores = {r.page: r for r in layout.layout_scores(g, p).collect()}
+    taus = {r.page: r.tau for r in layout.reading_order(g, p).collect()}
+    for page in range(8):
+        a, b = ([r for r in rows if r[0] == page] for rows in (gt, pr))
+        pairs, taken = sorted(((_iou(x, y), x[1], y[1]) for x in a for y in b), reverse=True), []
+        for _, i, j in pairs:
+            if all(i != u and j != v for u, v in taken):
+                taken.append((i, j))
+        assert sorted(greedy[page]) == sorted(taken)
+        best = max(permutations(range(4)), key=lambda o: sum(_iou(a[i], b[o[i]]) for i in range(4)))
+        assert scores[page].mean_iou == pytest.approx(sum(_iou(a[i], b[best[i]]) for i in range(4)) / 4)
+        hits = sum(_iou(a[i], b[best[i]]) >= 0.5 and a[i][2] == b[best[i]][2] for i in range(4))
+        assert scores[page].precision == hits / 4 == scores[page].recall
+        met = [(i, best[i]) for i in range(4) if _iou(a[i], b[best[i]]) > 0]
+        signs = [1 if (x[0] - y[0]) * (x[1] - y[1]) > 0 else -1 for k, x in enumerate(met) for y in met[:k]]
+        assert math.isnan(taus[page]) if len(met) < 2 else taus[page] == pytest.approx(sum(signs) / len(signs))
+    lone = g.filter("page = 0 and idx = 0")
+    assert layout.layout_scores(lone, p.filter("page = 9")).first().mean_iou == 0 and math.isnan(layout.reading_order(lone, p).first().tau)
+
+
+def test_resampling_of_groups(spark):
+    values = [0.1, 0.4, 0.35, 0.8, 0.55]
+    df = spark.createDataFrame([("m", i, v) for i, v in enumerate(values)] + [("one", 0, 0.5)], "model string, i long, score double")
+    got = {r.model: r for r in statistics.bootstrap(df, ["model"], "score", ["i"]).collect()}
+    drawn = np.array(values)[np.random.default_rng(42).integers(0, 5, size=(10_000, 5))].mean(axis=1)
+    assert (got["m"].ci_lower, got["m"].ci_upper) == pytest.approx(tuple(np.percentile(drawn, [2.5, 97.5]))) and got["one"].ci_lower == 0.5 == got["one"].ci_upper
+    pairs = spark.createDataFrame([("x", i, v, v + 0.3) for i, v in enumerate(values)] + [("y", 0, 0.1, 0.2)], "g string, i long, a double, b double")
+    test = {r.g: r for r in statistics.paired_test(pairs, ["g"], ["i"]).collect()}
+    assert test["x"].significant and test["x"].n == 5 and test["y"].p_value is None
+
+
+def test_diff_and_inline_formulas(spark):
+    for old, new in (("kitten", "sitting"), ("", "a"), ("same", "same")):
+        ops = alignment.diff_ops(old, new)
+        assert "".join(o for _, o, _ in ops) == old and "".join(n for _, _, n in ops) == new and all((k == "equal") == (o == n) for k, o, n in ops)
+    got = spark.createDataFrame([("see $ x + y $here, a$b$c",)], "t string").select(parse.inline_formulas(F.col("t")).alias("t")).first().t
+    assert got == "see $x + y$ here, a $b$ c"
+
+
+# --- layouts and the formatter
+
+
+def test_layout_dialects(spark):
+    items = '[{"bbox":[0.1,0.2,0.5,0.4],"type":"Title","text":"T","score":0.5},7,{"bbox":[9,8,1,2],"category":"Weird","text":5},{"category":"Picture","text":"p"},{"category":3}]'
+    df = spark.createDataFrame([(items,), ("{broken",), ('{"category":"Text","text":"x"}',), ('{"layout":[]}',), ("3",)], "j string")
+    got = [r.p for r in df.select(layouts.layout_page(F.col("j"), F.lit(100), F.lit(200)).alias("p")).collect()]
+    r = got[0].regions
+    assert [x.order for x in r] == [0, 2, 3, 4] and [x.category for x in r] == ["title", "weird", "picture", "text"] and got[0].full_text == "T\n\n5"
+    assert tuple(r[0].bbox) == (10, 40, 50, 80) and tuple(r[1].bbox) == (1, 2, 9, 8) and r[2].bbox is None and r[0].confidence == 0.5
+    assert (got[1].full_text, got[1].regions) == ("{broken", []) and got[2].regions[0].text == "x" and got[3].regions == [] and got[4].regions == []
+    snake = spark.createDataFrame([('{"data":[{"bbox":[-5,10,500,20],"category":" Figure_Caption ","text":"c"},{"bbox":[3,3,3,9],"category":"footer","text":"f"}]}',), ('{"x":1}',)], "j string")
+    got = [r.p for r in snake.select(layouts.layout_page(F.col("j"), F.lit(100), F.lit(200), "snake").alias("p")).collect()]
+    assert tuple(got[0].regions[0].bbox) == (0, 10, 100, 20) and got[0].regions[1].bbox is None and got[0].full_text == "c" and got[0].regions[0].text_format == "markdown" and got[1].regions == []
+
+
+def test_first_json():
+    cases = {"```json\n[1, [2]] x\n```": "[1, [2]]", 'a {"k": "["} b': '{"k": "["}', "none": "none", "[1, 2": "[1, 2", None: "", "{]}": "{]}"}
+    assert {k: layouts.first_json(k) for k in cases} == cases
+
+
+def test_html_blocks():
+    html = '<p>no</p><div data-bbox="100 200 900 1500" data-label="Text"><b data-bbox=\'1\'>x &amp; y</b><br><div>in</div></div><div>z</div><div data-label="Blank-Page">b</div><div data-bbox="1 2 3">q'
+    got = layouts.blocks_of(html, 1000, 500)
+    assert got[0] == {"bbox": [100, 100, 900, 500], "label": "Text", "content": "<b>x &amp; y</b><br><div>in</div>"}
+    assert [(b["bbox"], b["label"], b["content"]) for b in got[1:]] == [([0, 0, 1000, 500], "block", "z"), ([0, 0, 1000, 500], "block", "q")] and layouts.blocks_of(None, 1, 1) == []
+
+
+def _block(label, content, left=0.0):
+    return {"index": 0, "label": label, "content": content, "left": left}
+
+
+def test_formatting():
+    cases = {
+        ("## - x", "doc_title"): "# - x", ("- ## x", "paragraph_title"): "## x", ("·item", "text"): "- item", ("（a）b", "text"): "(a) b", ("12.x", "text"): "12. x", ("a\nb\n\nc", "text"): "a\n\nb\n\nc",
+        ("\\(x\\)", "inline_formula"): "$$\nx\n$$", ("$$ x $$", "display_formula"): "$$\nx\n$$", ("<table> </table>", "table"): "<table> </table>", ("```\nx", "text"): "```\n\nx\n\n```", (None, "text"): None,
+    }
+    assert {k: formatting.formatted(*k) for k in cases} == cases
+    f, n = _block("display_formula", "$$\nx\n$$"), _block("formula_number", "(1)")
+    assert [b["content"] for b in formatting.with_numbers([n, f, n, f, n, n])] == ["$$\nx \\tag{1}\n$$"] * 2
+    assert [b["content"] for b in formatting.with_numbers([n, _block("text", "t"), f, n])] == ["t", "$$\nx \\tag{1}\n$$"]
+    texts = [_block("text", t) for t in ("a in-", "ter b-", "next", "X-", "Y")]
+    assert [b["content"] for b in formatting.with_whole_words(texts)] == ["a inter b-", "next", "X-", "Y"]
+    bullets = [_block("text", t, x) for t, x in (("- a", 0), ("b", 9), ("- c", 1), ("d", 2), ("- e", 30))]
+    assert [b["content"] for b in formatting.with_bullets(bullets)] == ["- a", "- b", "- c", "d", "- e"]
+    assert formatting.with_bullets([]) == [] and formatting.assembled([_block("text", " "), _block("image", None)])[0]["index"] == 0
+
+
+def test_resizing_keeps_its_bounds():
+    rng = random.Random(1)
+    for _ in range(300):
+        w, h = rng.randrange(1, 9000), rng.randrange(1, 9000)
+        a, b = layout.sides_by_steps(w, h, 28, 3136, 11_289_600)
+        assert a % 28 == b % 28 == 0 and 3136 <= a * b <= 11_289_600
+        a, b = layout.sides_by_blocks(w, h, 28, 50_176, 6_291_456)
+        assert a % 28 == b % 28 == 0 and a * b <= 6_291_456
+    assert layout.sides_by_steps(56, 56, 28, 3136, 10**7) == (56, 56) and layout.sides_by_steps(100, 50, 28, 3136, 10**7) == (112, 56) and layout.sides_by_blocks(0, 5, 28, 1, 9) == (0, 5)
+
+
+# --- sources and sinks
+
+
+def test_annotations_of_odd_tasks(spark):
+    box = '{"id":"a","type":"rectanglelabels","original_width":200,"original_height":100,"value":{"x":10,"y":10,"width":20,"height":10,"rotation":90,"rectanglelabels":["Picture"]}}'
+    last = box.replace("Picture", "Table").replace('"rotation":90,', "")
+    words = '{"id":"a","type":"textarea","original_width":200,"original_height":100,"value":{"text":["x","y"]}}'
+    tasks = [(1, f'{{"file_upload":"0a1b2c3d-p.png","annotations":[{{"result":[{box},{words},{last}]}}]}}'), (2, '{"annotations":[]}'), (3, "{"), (4, f'{{"annotations":[{{"result":[{box}]}}]}}'), (5, None)]
+    found = files.annotations(spark.createDataFrame(tasks, "id long, json string"))
+    got = {r.id: r for r in found.collect()}
+    assert set(got) == {1, 4} and (got[1].file, got[1].category, got[1].text, got[1].text_format) == ("p.png", "table", "x\ny", "html") and tuple(got[1].bbox) == (20, 10, 60, 20)
+    assert tuple(got[4].bbox) == (35, -5, 45, 35) and got[4].text == ""
+    pages = {r.id: r for r in files.annotated_pages(found, ["id"]).collect()}
+    assert pages[1].full_text == "x\ny" and pages[4].full_text == "" and pages[4].width == 200
+
+
+def test_summary_upsert_on_disk(spark, tmp_path):
+    path = f"{tmp_path}/summary"
+    row = "`Model` string, `Test Set` string, `Device` string, `CER` double"
+    files.upsert_summary(spark.createDataFrame([("a", "t, \"x\"", "cpu", 0.25), ("b", "N/A", "cpu", None)], row), path)
+    files.upsert_summary(spark.createDataFrame([("a", "t, \"x\"", "cpu", 0.5)], row).withColumn("Pages", F.lit(3)), path)
+    got = {r.Model: r for r in files.read_summary(spark, path).collect()}
+    assert got["a"]["Test Set"] == 't, "x"' and got["a"].CER == "0.5" and got["a"].Pages == "3" and got["b"]["Test Set"] == "N/A" and not got["b"].Pages and len(got) == 2
+    assert files.metric_columns(spark.createDataFrame([(1.0, 2, 3.0, "x")], "CER double, Runs int, `CER CI low` double, s string")) == ["CER"]
+    files.write_results(spark.createDataFrame([('{"é":1}',)], "document string"), f"{tmp_path}/results")
+    assert spark.read.text(f"{tmp_path}/results").first().value == '{"é":1}'
+
+
+def test_replaced_table_survives_a_crash(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    files.replace_table(spark.range(3), path)
+    files.replace_table(spark.read.parquet(path).filter("id > 0"), path)
+    assert spark.read.parquet(path).count() == 2
+    (tmp_path / "t").rename(tmp_path / "t-old")  # as if it stopped between the two renames
+    files.restore_table(spark, path)
+    assert spark.read.parquet(path).count() == 2 and not (tmp_path / "t-old").exists()
+
+
+def test_settings(tmp_path):
+    (tmp_path / "c.json").write_text('{"benchmark": {"runs": 2, "odd": 1}, "metrics": ["cer", {"name": "bleu", "params": {"max_n": 2}}], "data": {"pdf_dpi": 300}}')
+    got = settings.load(f"{tmp_path}/c.json", {"data": {"input_dir": "x"}})
+    assert got["benchmark"] == {"runs": 2, "warmup_runs": 0, "timeout_seconds": 3600} and got["data"]["pdf_dpi"] == 300 and got["data"]["input_dir"] == "x" and got["metrics"][1]["params"] == {"max_n": 2}
+    with pytest.raises(settings.SettingsError) as bad:
+        settings.load(None, {"benchmark": {"runs": 0}, "metrics": [{}], "models": {"m": {}}, "normalisation": {"unicode_form": "X"}})
+    assert len(str(bad.value).splitlines()) == 5
+    (tmp_path / ".env").write_text("# c\nexport A='1 2'\nB=5 # five\n")
+    assert settings.overlay({"B": "7"}, {"A": "a.b", "B": "a.c", "C": "d"}, f"{tmp_path}/.env", {"a.c": int}) == {"a": {"b": "1 2", "c": 7}}
+    with pytest.raises(FileNotFoundError):
+        settings.overlay({}, {}, f"{tmp_path}/none")
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("benchmark:\n  runs: 4\n")
+    assert settings.load(f"{tmp_path}/c.yaml")["benchmark"]["runs"] == 4
