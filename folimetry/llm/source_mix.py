@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folimetry.llm.scratch import WORD, free_name, numbered, quoted, written
+from folimetry.llm.scratch import WORD, by_name, by_place, free_name, numbered, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_PASSES = 3
@@ -108,19 +108,17 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
-def mix_counts(
+def _spread(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("row_id"))
+
+
+def mix_levels(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, cap: int = MOST_PASSES, seed: int = SEED,
 ) -> DataFrame:
-    """Every document's row_id (as given), doc_id, size, source_size, target, times (how often the mix takes it) and taken.
-
-    `docs` has row_id, doc_id, source and size; row ids are all different and stay when the table is read again, and which
-    documents of a length are taken depends on them, doc_id and the seed alone. Documents without words count 0 and are
-    taken as often as whole passes go over their source. A source without words has target 0. Repeated rows are documents
-    of their own, as are rows without doc_id; ties of the hash are broken by doc_id, then row_id. Sizes are of whole texts,
-    whatever their length. An empty table gives an empty result. The driver holds one row a source.
-    """
+    """For each source_key and size of docs(row_id, doc_id, source_key, source, size): source_size, target, passes (how often
+    each document is taken at least), and which are taken once more: none (more = 0), all (more = docs), or those up to
+    (cut, cut_row) in order of their spread. A row a source and size."""
     spark = docs.sparkSession
-    docs = docs.select("row_id", "doc_id", _source_key(F.col("source")).alias("source_key"), "source", "size")
     per_length = written(docs.groupBy("source_key", "source", "size").agg(F.count("*").alias("docs")))
     totals = per_length.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("words")).collect()  # a row a source
     wanted = targets([(r.source, r.words) for r in totals], weights, share, cap)
@@ -136,26 +134,50 @@ def mix_counts(
 
     budgets = per_length.join(plan, "source_key").select("source_no", "size", "docs", "rest")
     fitted = written(budgets.groupBy("source_no").applyInPandas(fit, "source_no int, size long, docs long, more long"))
-    known = F.broadcast(fitted) if fitted.count() <= BROADCAST_ROWS else fitted.hint("merge")
-    spread = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("row_id"))
+    split = fitted.filter("more > 0 and more < docs")
+    split = F.broadcast(split) if split.count() <= BROADCAST_ROWS else split.hint("merge")
     parts = F.greatest(F.lit(1), F.ceil(F.col("docs") / BUCKET_ROWS))
     keyed = (
-        docs.join(plan, "source_key").join(known, ["source_no", "size"])
-        .withColumn("spread", spread)
+        docs.join(plan, "source_key").select("row_id", "doc_id", "source_no", "size").join(split, ["source_no", "size"]).withColumn("spread", _spread(seed))
         .withColumn("bucket", F.floor((F.shiftright("spread", 11).cast("double") / float(1 << 53) + 0.5) * parts).cast("long"))
     )
-    keyed = written(keyed.select("row_id", "doc_id", "source_no", "size", "source_size", "target", "passes", "more", "spread", "bucket"))
     group = ["source_no", "size"]
-    in_buckets = keyed.groupBy(*group, "bucket").agg(F.count("*").alias("here"))
-    before = in_buckets.withColumn(
-        "before", F.sum("here").over(Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)),
-    ).select(*group, "bucket", F.coalesce("before", F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy(*group, "bucket").orderBy("spread", "doc_id", "row_id"))
-    ranked = keyed.withColumn("rank", rank).join(before, [*group, "bucket"])
-    times = F.col("passes") + (F.col("before") + F.col("rank") <= F.col("more")).cast("int")
-    return ranked.select(
-        "row_id", "doc_id", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"),
-    )
+    in_buckets = keyed.groupBy(*group, "more", "bucket").agg(F.count("*").alias("here"))
+    upto = F.sum("here").over(Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    at_cut = in_buckets.withColumn("upto", upto).filter("upto >= more and upto - here < more").select(*group, "bucket", (F.col("more") - F.col("upto") + F.col("here")).alias("nth"))
+    at_cut = written(at_cut)
+    at_cut = F.broadcast(at_cut) if at_cut.count() <= BROADCAST_ROWS else at_cut.hint("merge")
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("spread", "row_id"))
+    cuts = keyed.join(at_cut, [*group, "bucket"]).withColumn("rank", rank).filter("rank = nth").select(*group, F.col("spread").alias("cut"), F.col("row_id").alias("cut_row"))
+    return written(fitted.join(cuts, group, "left").join(plan, "source_no").select("source_key", "size", "source_size", "target", "passes", "docs", "more", "cut", "cut_row"))
+
+
+def _times() -> Column:
+    """How often a row is taken that meets its level."""
+    before = (F.col("spread") < F.col("cut")) | ((F.col("spread") == F.col("cut")) & (F.col("row_id") <= F.col("cut_row")))
+    return F.col("passes") + F.when(F.col("more") >= F.col("docs"), 1).when(F.col("more") == 0, 0).otherwise(before.cast("int"))
+
+
+def _met(docs: DataFrame, levels: DataFrame, seed: int) -> DataFrame:
+    """docs(row_id, doc_id, source_key, size) with their level and `times`; levels are broadcast up to BROADCAST_ROWS."""
+    known = F.broadcast(levels) if levels.count() <= BROADCAST_ROWS else levels.hint("merge")
+    return docs.join(known, ["source_key", "size"]).withColumn("spread", _spread(seed)).withColumn("times", _times())
+
+
+def mix_counts(
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, cap: int = MOST_PASSES, seed: int = SEED,
+) -> DataFrame:
+    """Every document's row_id (as given), doc_id, size, source_size, target, times (how often the mix takes it) and taken.
+
+    `docs` has row_id, doc_id, source and size; row ids are all different and stay when the table is read again, and which
+    documents of a length are taken depends on them, doc_id and the seed alone. Documents without words count 0 and are
+    taken as often as whole passes go over their source. A source without words has target 0. Repeated rows are documents
+    of their own, as are rows without doc_id; ties of the hash are broken by row_id. Sizes are of whole texts, whatever
+    their length. An empty table gives an empty result. The driver holds one row a source, a task one source's lengths.
+    """
+    docs = docs.select("row_id", "doc_id", _source_key(F.col("source")).alias("source_key"), "source", "size")
+    met = _met(docs.drop("source"), mix_levels(docs, weights, share, cap, seed), seed)
+    return met.select("row_id", "doc_id", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def _key(source: str | None) -> str:
@@ -169,12 +191,15 @@ def _passes(words: int, target: float, cap: int) -> tuple:
     return (int(words), float(target), int(passes), int(rest))
 
 
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sized(docs: DataFrame, row: str | None = None) -> DataFrame:
     """row_id, doc_id, source and size (words in the whole text; null: 0) of docs, written once. `row` names a column with
     row numbers that stay; without it rows are numbered here."""
     rows = docs.select("doc_id", "source", "text", F.col(row).alias("row_id")) if row else numbered(docs.select("doc_id", "source", "text"), "row_id")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return written(rows.select("row_id", "doc_id", "source", size.alias("size")))
+    return written(rows.select("row_id", "doc_id", "source", _size(F.col("text")).alias("size")))
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,11 +210,13 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: each document, with its columns, repeated as often as the mix takes it.
 
     Null and blank texts count no words. Null sources are a source of their own; repeated rows are documents of their own.
-    Other columns may have any names; an empty table gives an empty result.
+    Other columns may have any names; an empty table gives an empty result. Texts meet the levels, which are few, where
+    they are read; they are neither shuffled nor joined by row.
     """
-    row, times, copy = (free_name(docs, n) for n in ("__row", "__times", "__copy"))
-    names = docs.columns
-    docs = numbered(docs, row)
-    counts = mix_counts(sized(docs, row)).select(F.col("row_id").alias(row), F.col("times").alias(times)).filter(F.col(times) > 0)
-    mixed = docs.join(counts, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
-    return mixed.drop(row, times, copy).select(*(F.col(quoted(c)) for c in names))
+    names, row = docs.columns, free_name(docs, "__row")
+    rows = numbered(docs, row)
+    counted = sized(rows, row)
+    levels = mix_levels(counted.select("row_id", "doc_id", _source_key(F.col("source")).alias("source_key"), "source", "size"))
+    own = {"row_id": F.col(row), "doc_id": F.col("doc_id"), "source_key": _source_key(F.col("source")), "size": _size(F.col("text"))}
+    met = _met(by_place(rows, *(c.alias(n) for n, c in own.items())), levels, SEED)
+    return by_name(met.filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))), names)
