@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, results merged.
 
-Vectors are dealt to shards of bounded size by a hash of their identifier. A shard's equal vectors are one node. A node's
-top layer follows from a hash; in each layer, every node's nearest others are found in blocks and thinned so that links
-lead in different directions, then links are made mutual. Layers are flat arrays of neighbour numbers. Queries go down
-the layers in step, many at a time; the distances of what they find are computed again in double precision.
+Vectors are dealt to shards by a hash; shards grow with the table up to a bound. A shard's equal vectors are one node. A
+node's top layer follows from a hash. Nodes are inserted a block at a time: each looks for its nearest in the graph built
+so far, layer by layer, and among its block; what is found is thinned so that links lead in different directions, and
+made mutual, where a node with too many links keeps the nearest. Layers are flat arrays of neighbour numbers. Queries go
+down the layers in step, many at a time; the distances of what they find are computed again in double precision.
 
 Queries are written once to the shared folder and read by each shard's task in blocks.
 """
@@ -24,9 +25,11 @@ from folimetry.llm.pieces import trimmed
 from folimetry.llm.scratch import filesystem, shared_folder, written
 from folimetry.llm.words import mix
 
-SHARD_VECTORS = 8192
-LINKS, GROUND_LINKS, CANDIDATES = 16, 32, 48
-BEAM, UPPER_BEAM, EXPAND = 192, 8, 6
+#: Vectors of a shard at least, while there are fewer shards than cores, and at most; and its bytes at most.
+LEAST_SHARD, MOST_SHARD, SHARD_BYTES = 8192, 1 << 15, 64 << 20
+LINKS, GROUND_LINKS = 16, 32
+#: Nodes that an inserted node or a query keeps in sight, in upper layers and on the ground, and looks beyond at a time.
+BUILD_BEAM, BEAM, UPPER_BEAM, EXPAND = 48, 256, 8, 6
 QUERY_BLOCK = 128
 BUILD_BLOCK = 256
 NEAREST = 10
@@ -35,11 +38,22 @@ QUERY_STEP = 100
 
 @dataclass
 class Layer:
-    """Nodes of a layer, and of each node its neighbours, -1 where there are fewer."""
+    """Nodes of a layer, each node's place in it, and its neighbours with their squared distances, nearest first, -1 where
+    there are fewer."""
 
     nodes: np.ndarray
     place: np.ndarray
     links: np.ndarray
+    gaps: np.ndarray
+
+
+def _nearest(near: np.ndarray, gaps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of each row's nodes in order, at most so many."""
+    if near.shape[1] > most:
+        part = np.argpartition(gaps, most - 1, axis=1)[:, :most]
+        near, gaps = np.take_along_axis(near, part, axis=1), np.take_along_axis(gaps, part, axis=1)
+    order = np.argsort(gaps, axis=1, kind="stable")
+    return np.take_along_axis(near, order, axis=1), np.take_along_axis(gaps, order, axis=1)
 
 
 def _chosen(near: np.ndarray, apart: np.ndarray, vectors: np.ndarray, links: int) -> np.ndarray:
@@ -58,56 +72,70 @@ def _chosen(near: np.ndarray, apart: np.ndarray, vectors: np.ndarray, links: int
     return out
 
 
-def _layer(vectors: np.ndarray, nodes: np.ndarray, links: int) -> Layer:
-    """Links among some of the vectors."""
-    own = vectors[nodes]
-    n, k = len(nodes), min(CANDIDATES, len(nodes) - 1)
-    place = np.full(len(vectors), -1, np.int32)
-    place[nodes] = np.arange(n)
-    if k < 1:
-        return Layer(nodes, place, np.full((n, 1), -1, np.int32))
-    norms = np.einsum("ij,ij->i", own, own)
-    half = np.full((n, min(links // 2, k)), -1, np.int64)
-    for a in range(0, n, BUILD_BLOCK):
-        block = np.arange(a, min(a + BUILD_BLOCK, n))
-        apart = norms[block][:, None] + norms - 2 * own[block] @ own.T
-        apart[np.arange(len(block)), block] = np.inf
-        near = np.argpartition(apart, k - 1, axis=1)[:, :k]
-        gaps = np.take_along_axis(apart, near, axis=1)
-        order = np.argsort(gaps, axis=1, kind="stable")
-        near, gaps = np.take_along_axis(near, order, axis=1), np.take_along_axis(gaps, order, axis=1)
-        half[block] = _chosen(near, gaps, own, half.shape[1])
-    start, end = np.repeat(np.arange(n), half.shape[1]), half.reshape(-1)
-    start, end = start[end >= 0], end[end >= 0]
-    pairs = np.unique(np.concatenate([start * n + end, end * n + start]))
-    start, end = pairs // n, pairs % n
-    gap = norms[start] + norms[end] - 2 * np.einsum("ij,ij->i", own[start], own[end])
-    order = np.lexsort((gap, start))
-    start, end = start[order], end[order]
-    rank = np.arange(len(start)) - np.searchsorted(start, start)
-    fits = rank < links
-    out = np.full((n, links), -1, np.int32)
-    out[start[fits], rank[fits]] = nodes[end[fits]]
-    return Layer(nodes, place, out)
-
-
 class Graph:
     """Layers from the ground up over distinct vectors."""
 
     def __init__(self, vectors: np.ndarray, identities: np.ndarray) -> None:
         self.vectors = np.ascontiguousarray(vectors, np.float32)
+        n = len(vectors)
         chance = (mix(identities.astype(np.uint64)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-        top = np.floor(-np.log(np.maximum(chance, 1e-12)) / np.log(LINKS)).astype(int)
-        self.layers = [_layer(self.vectors, np.arange(len(vectors)), GROUND_LINKS)]
-        level = 1
-        while (nodes := np.flatnonzero(top >= level)).size > UPPER_BEAM:
-            self.layers.append(_layer(self.vectors, nodes, LINKS))
-            level += 1
+        self.top = np.floor(-np.log(np.maximum(chance, 1e-12)) / np.log(LINKS)).astype(int)
+        self.layers: list[Layer] = []
+        while not self.layers or (self.top >= len(self.layers)).sum() > UPPER_BEAM:
+            nodes, links = np.flatnonzero(self.top >= len(self.layers)), LINKS if self.layers else GROUND_LINKS
+            place = np.full(n + 1, -1, np.int32)
+            place[nodes] = np.arange(len(nodes))
+            self.layers.append(Layer(nodes, place, np.full((len(nodes), links), -1, np.int32), np.full((len(nodes), links), np.inf, np.float32)))
+        order = np.argsort(mix(identities.astype(np.uint64) ^ np.uint64(BUILD_BLOCK)), kind="stable")  # as they come, in no order
+        self.entries = [np.empty(0, np.int64) for _ in self.layers]
+        for a in range(0, n, BUILD_BLOCK):
+            self._insert(order[a : a + BUILD_BLOCK])
+
+    def _insert(self, block: np.ndarray) -> None:
+        found = np.empty((len(block), 0), np.int64)
+        for level in range(len(self.layers) - 1, -1, -1):
+            here, layer = self.top[block] >= level, self.layers[level]
+            known = self.entries[level]
+            if len(known):  # what is found a layer above leads into this one
+                start = np.hstack([found, np.broadcast_to(known, (len(block), len(known)))])
+                found = self._descend(layer, self.vectors[block], start, BUILD_BEAM if here.any() else UPPER_BEAM)
+            if here.any():
+                new = block[here]
+                self._link(layer, new, found[here])
+                if len(known) < UPPER_BEAM:
+                    self.entries[level] = np.concatenate([known, new[: UPPER_BEAM - len(known)]])
+
+    def _link(self, layer: Layer, new: np.ndarray, found: np.ndarray) -> None:
+        """Links of new nodes to those found for each and to each other, and back."""
+        own = self.vectors[new]
+        norms = np.einsum("ij,ij->i", own, own)
+        among = np.maximum(norms[:, None] + norms - 2 * own @ own.T, 0)
+        np.fill_diagonal(among, np.inf)
+        near = np.hstack([found, np.broadcast_to(new, (len(new), len(new)))])
+        gaps = np.hstack([self._gaps(own, found), among.astype(np.float32)])
+        near, gaps = _nearest(near, gaps, BUILD_BEAM)
+        chosen = _chosen(near, gaps, self.vectors, layer.links.shape[1] // 2)
+        start, end = np.repeat(new, chosen.shape[1]), chosen.reshape(-1)
+        start, end = start[end >= 0], end[end >= 0]
+        start, end = np.divmod(np.unique(np.concatenate([start * len(self.vectors) + end, end * len(self.vectors) + start])), len(self.vectors))
+        gap = ((self.vectors[start] - self.vectors[end]) ** 2).sum(axis=1)
+        order = np.lexsort((gap, start))
+        start, end, gap = start[order], end[order], gap[order]
+        targets, first = np.unique(start, return_index=True)
+        rank = np.arange(len(start)) - np.repeat(first, np.diff(np.append(first, len(start))))
+        width = layer.links.shape[1]
+        fits = rank < width
+        row = np.searchsorted(targets, start)
+        more, more_gaps = np.full((len(targets), width), -1, np.int64), np.full((len(targets), width), np.inf, np.float32)
+        more[row[fits], rank[fits]], more_gaps[row[fits], rank[fits]] = end[fits], gap[fits]
+        at = layer.place[targets]
+        kept, kept_gaps = _nearest(np.hstack([layer.links[at], more]), np.hstack([layer.gaps[at], more_gaps]), width)
+        layer.links[at], layer.gaps[at] = np.where(np.isfinite(kept_gaps), kept, -1), kept_gaps
 
     def search(self, queries: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """Nodes found near each query, nearest first, -1 where there are fewer."""
         queries = np.ascontiguousarray(queries, np.float32)
-        start = self.layers[-1].nodes[: max(UPPER_BEAM, 1)]
+        start = self.entries[-1]
         found = np.broadcast_to(start, (len(queries), len(start)))
         for level in range(len(self.layers) - 1, -1, -1):
             found = self._descend(self.layers[level], queries, found, beam if level == 0 else UPPER_BEAM)
@@ -122,7 +150,9 @@ class Graph:
     def _descend(self, layer: Layer, queries: np.ndarray, entries: np.ndarray, beam: int) -> np.ndarray:
         rows = np.arange(len(queries))[:, None]
         seen = np.zeros((len(queries), len(self.vectors) + 1), bool)  # the last column takes the -1
-        ids, gaps = entries.astype(np.int64), self._gaps(queries, entries)
+        ids = np.sort(entries.astype(np.int64), axis=1)
+        ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
+        gaps = self._gaps(queries, ids)
         seen[rows, ids] = True
         done = ids < 0
         while True:
@@ -150,36 +180,33 @@ class Graph:
 
 
 class Shard:
-    """A graph over a shard's distinct vectors, with the identifiers of each, ascending."""
+    """A graph over a shard's distinct vectors, with the identifiers and row numbers of each, by identifier."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray) -> None:
         self.vectors, node = np.unique(vectors, axis=0, return_inverse=True)
         node = node.reshape(-1)
-        order = np.lexsort((ids, node))
-        self.ids, self.first = ids[order], np.searchsorted(node[order], np.arange(len(self.vectors) + 1))
-        self.graph = Graph(self.vectors, self.ids[self.first[:-1]])
+        order = np.lexsort((rows, ids, node))
+        self.ids, self.rows, self.first = ids[order], rows[order], np.searchsorted(node[order], np.arange(len(self.vectors) + 1))
+        self.graph = Graph(self.vectors, self.rows[self.first[:-1]])
 
-    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, list[int], list[float]]]:
-        """Of each query the k nearest rows found but its own one, by distance and identifier."""
+    def nearest(self, query_rows: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Identifiers and distances of each query's k nearest rows found but its own one, by distance and identifier."""
         out = []
-        for a in range(0, len(query_ids), QUERY_BLOCK):
+        for a in range(0, len(query_rows), QUERY_BLOCK):
             block = queries[a : a + QUERY_BLOCK]
-            found = self.graph.search(block)
-            for q, vector, nodes in zip(query_ids[a : a + QUERY_BLOCK], block, found, strict=True):
+            for own, vector, nodes in zip(query_rows[a : a + QUERY_BLOCK], block, self.graph.search(block), strict=True):
                 nodes = nodes[nodes >= 0]
                 gap = np.sqrt(((self.vectors[nodes].astype(np.float64) - vector.astype(np.float64)) ** 2).sum(axis=1))
-                order = np.lexsort((self.ids[self.first[nodes]], gap))
-                ids, gaps = [], []
-                for g in np.unique(gap[order]):
-                    level = np.sort(np.concatenate([self.ids[self.first[n] : min(self.first[n + 1], self.first[n] + k + 1 + (g == 0) * k)] for n in nodes[gap == g]]))
-                    ids += level.tolist()
-                    gaps += [float(g)] * len(level)
-                    if len(ids) > k:
+                places, gaps, have = [], [], 0
+                for g in np.unique(gap):  # of a vector's rows the first k + 1 are enough: one may be the query
+                    here = np.concatenate([np.arange(self.first[n], min(self.first[n + 1], self.first[n] + k + 1)) for n in nodes[gap == g]])
+                    here = here[self.rows[here] != own]
+                    places.append(here[np.argsort(self.ids[here], kind="stable")])
+                    gaps.append(np.full(len(here), g))
+                    have += len(here)
+                    if have >= k:
                         break
-                own = [i for i, (x, g) in enumerate(zip(ids, gaps, strict=True)) if x == q and g == 0][:1]
-                for i in own:
-                    del ids[i], gaps[i]
-                out.append((int(q), ids[:k], gaps[:k]))
+                out.append((self.ids[np.concatenate(places)[:k]], np.concatenate(gaps)[:k]) if places else (np.empty(0, np.int64), np.empty(0)))
         return out
 
 
@@ -195,51 +222,51 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
-def _query_blocks(path: str, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Queries of one vector length from the shared table, block by block."""
+def _query_blocks(path: str, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers, identifiers and vectors of queries of one vector length from the shared table, block by block."""
     from pyarrow import fs
 
     where, inner = filesystem(path)
     for info in sorted(where.get_file_info(fs.FileSelector(inner)), key=lambda i: i.path):
         if info.base_name.endswith(".parquet"):
             with where.open_input_file(info.path) as source:
-                for batch in pq.ParquetFile(source).iter_batches(1024, columns=["query_id", "vector", "width"]):
+                for batch in pq.ParquetFile(source).iter_batches(1024, columns=["row", "vec_id", "vector", "width"]):
                     batch = batch.filter(pa.compute.equal(batch.column("width"), width))
                     if batch.num_rows:
-                        yield batch.column("query_id").to_numpy(), _matrix(batch)
+                        yield batch.column("row").to_numpy(), batch.column("vec_id").to_numpy(), _matrix(batch)
 
 
 def nearest_rows(table: DataFrame, key: str, vector: str, queries: Column, k: int = NEAREST) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the k nearest rows found for each query of the table.
 
     Null, zero and non-finite vectors, and rows without a key, take no part; vectors of different lengths aren't
-    compared. Ties go to the smaller key. A query isn't its own neighbour; rows that repeat its key and vector are. With
-    fewer candidates than k all are given. Groups of equal vectors of any size are one node each a shard. An empty
-    table gives an empty result.
+    compared. Ties go to the smaller key. A query isn't its own neighbour; other rows that repeat its key or vector are. Queries that repeat a
+    key have k answers each. With fewer candidates than k all are given. Groups of equal vectors of any size are one node
+    each a shard. An empty table gives an empty result. Other columns aren't read.
     """
     spark = table.sparkSession
     folder = shared_folder(spark)
     rows = table.filter(usable(F.col(vector)) & F.col(key).isNotNull())
     rows = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"), F.size(vector).alias("width"), queries.alias("asked"))
-    rows = written(rows, folder)
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), folder)
     asked = f"{folder}/queries"
-    rows.filter("asked").select(F.col("vec_id").alias("query_id"), "vector", "width").write.parquet(asked)
-    shards = max(1, -(-rows.count() // SHARD_VECTORS))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).select("width", "shard", "vec_id", "vector")
+    rows.filter("asked").select("row", "vec_id", "vector", "width").write.parquet(asked)
+    shards = _shards(rows)
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).select("width", "shard", "vec_id", "row", "vector")
     dealt = dealt.repartition(shards, "width", "shard").sortWithinPartitions("width", "shard")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answers(ids: list[np.ndarray], parts: list[np.ndarray], width: int) -> Iterator[pa.RecordBatch]:
-            shard = Shard(np.concatenate(ids), np.concatenate(parts))
-            for query_ids, block in _query_blocks(asked, width):
-                found = shard.nearest(query_ids, block, k)
-                sizes = [len(f[1]) for f in found]
+        def answers(parts: list[tuple[np.ndarray, ...]], width: int) -> Iterator[pa.RecordBatch]:
+            shard = Shard(*map(np.concatenate, zip(*parts, strict=True)))
+            for query_rows, query_ids, block in _query_blocks(asked, width):
+                found = shard.nearest(query_rows, block, k)
+                sizes = [len(f[0]) for f in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([f[0] for f in found], sizes), pa.int64()), pa.array([x for f in found for x in f[1]], pa.int64()), pa.array([x for f in found for x in f[2]], pa.float64())],
-                    ["query_id", "vec_id", "score"],
+                    [pa.array(np.repeat(query_rows, sizes)), pa.array(np.repeat(query_ids, sizes)), pa.array(np.concatenate([f[0] for f in found]), pa.int64()), pa.array(np.concatenate([f[1] for f in found]))],
+                    ["row", "query_id", "vec_id", "score"],
                 )
 
-        name, ids, parts = None, [], []
+        name, parts = None, []
         for b in batches:
             shard_of = np.stack([b.column("width").to_numpy().astype(np.int64), b.column("shard").to_numpy()])
             cuts = [0, *(np.flatnonzero((np.diff(shard_of, axis=1) != 0).any(axis=0)) + 1).tolist(), b.num_rows]
@@ -248,20 +275,26 @@ def nearest_rows(table: DataFrame, key: str, vector: str, queries: Column, k: in
                     continue
                 here = tuple(shard_of[:, x].tolist())
                 if here != name:
-                    if ids:
-                        yield from answers(ids, parts, name[0])
-                    name, ids, parts = here, [], []
+                    if parts:
+                        yield from answers(parts, name[0])
+                    name, parts = here, []
                 part = b.slice(x, y - x)
-                ids.append(part.column("vec_id").to_numpy())
-                parts.append(_matrix(part))
-        if ids:
-            yield from answers(ids, parts, name[0])
+                parts.append((part.column("vec_id").to_numpy(), part.column("row").to_numpy(), _matrix(part)))
+        if parts:
+            yield from answers(parts, name[0])
 
-    found = dealt.mapInArrow(trimmed(search), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = dealt.mapInArrow(trimmed(search), "row long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _shards(rows: DataFrame) -> int:
+    """As many shards as there are cores while each has LEAST_SHARD vectors; then they grow up to MOST_SHARD or SHARD_BYTES."""
+    n, width = rows.agg(F.count("*"), F.max("width")).first()
+    most = min(MOST_SHARD, max(1, SHARD_BYTES // (4 * (width or 1))))
+    return max(1, min(-(-n // LEAST_SHARD), rows.sparkSession.sparkContext.defaultParallelism), -(-n // most))
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return nearest_rows(table, "vec_id", "embedding", F.col("vec_id") % QUERY_STEP == 0)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folimetry.llm.pieces import Memo, Ragged, by_bytes, row_slices, text_bytes, trimmed, whole_texts
-from folimetry.llm.scratch import filesystem, shared_folder, write_atomically, written
+from folimetry.llm.scratch import filesystem, numbered, shared_folder, write_atomically, written
 
 MAGIC = b"FOLIOIDS"
 BLOCK_IDS = 1 << 14
@@ -283,12 +283,14 @@ def packed_documents(docs: DataFrame, tokenizer: str, folder: str | None = None,
     """Write docs(doc_id, text) to files in ascending doc_id order and read them back.
 
     Null texts count as empty and hold the end id alone. Null doc_ids come first; rows of equal doc_id stand next to each
-    other, ordered by text. Each row is a document, repeated ones too. An empty table gives an empty result. Texts of any
-    length are encoded whole.
+    other, as they are stored. Each row is a document, repeated ones too. An empty table gives an empty result. Texts of any
+    length are encoded whole. Other columns aren't read.
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
-    ranged = docs.select("doc_id", "text").repartitionByRange(_parts(spark, docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    texts = docs.select("doc_id", "text")
+    rows = numbered(texts, "row")  # rows of one doc_id needn't be one file
+    ranged = rows.repartitionByRange(_parts(spark, texts), "doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row")
     files = written(write_token_files(ranged, folder, tokenizer, end_id), folder + "-files")
     first, starts = 0, []
     for row in files.orderBy("part").collect():  # a row a file
@@ -298,9 +300,15 @@ def packed_documents(docs: DataFrame, tokenizer: str, folder: str | None = None,
     return read_token_files(plan)
 
 
+#: Bytes of a scan, as the planner sees it, that make a file.
+PART_BYTES = 32 << 20
+
+
 def _parts(spark: SparkSession, docs: DataFrame) -> int:
-    """Partitions of about 32 MB of input, as many as the scan has at least."""
-    return max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Partitions of about PART_BYTES of docs' scan, where the planner knows its size, as many as the session shuffles into
+    at least."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES) if size < 1 << 55 else 1)
 
 
 def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

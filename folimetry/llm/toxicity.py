@@ -1,11 +1,13 @@
 """Toxicity by weak supervision: voters, a generative label model and a linear classifier.
 
-Voters fire on documents: fixed lexicons of insults, lexicons and word-beginning patterns found in labelled training rows,
-and patterns over both. How often each set of voters fires together is counted over all documents; there are 2**VOTERS
-such sets at most. The label model explains these counts by a hidden label: for each label it has a tree of voters,
-joined where they are most correlated given the label, with the chance that a voter fires given its parent's vote. It is
-fitted by expectation maximisation; labelled training rows count with their labels. Its posteriors label a bounded
-sample of documents, on which a logistic regression over informative words and word beginnings is trained.
+Voters say toxic, clean or nothing about a document: lexicons of insults of four kinds; lexicons of words and patterns of
+word beginnings, short and long, that labelled training rows show; patterns of repetition, density and variety over
+these. How often each combination of votes occurs is counted over all documents; there are 3**VOTERS at most. The label
+model explains these counts by a hidden label. Voters' accuracies are first estimated from how often they agree with the
+others; then, by expectation maximisation, each label has a tree of voters, joined where they are most correlated given
+the label, with the chance of each vote given the parent's. Labelled training rows count with their labels. Its
+posteriors, not the labels, are what a logistic regression over words and word beginnings, and over their repetition in
+a document, is trained on.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folimetry.llm.folds import held_out
 from folimetry.llm.pieces import by_bytes, trimmed, whole_texts
 from folimetry.llm.scratch import written
-from folimetry.llm.words import LETTERS, mix, word_hashes, word_spans
+from folimetry.llm.words import LETTERS, mix, span_hashes, word_hashes, word_spans
 
 #: Insults by kind.
 LEXICONS = (
@@ -30,38 +32,48 @@ LEXICONS = (
     ("loser", "pathetic", "clown", "coward", "failure"),
     ("disgusting", "repulsive", "hateful", "despicable", "revolting"),
 )
-WORD_VOTERS, PREFIX_VOTERS = 6, 4
-VOTERS = len(LEXICONS) + WORD_VOTERS + PREFIX_VOTERS + 2
-#: Lengths in bytes of the word beginnings that are features of longer words.
-PREFIXES = (4, 5, 6)
-#: Labelled rows of either label, and rows for the classifier beside them, at most; those of smallest hash.
+#: Lengths in bytes of the word beginnings that are features of longer words; from LONG on they are long patterns.
+BEGINNINGS = (4, 5, 6, 7, 8)
+LONG = 7
+#: Voters after the lexicons: telling words, short and long beginnings, repetition, density, variety.
+WORDS, SHORT, LONGER, AGAIN, DENSE, VARIED = range(len(LEXICONS), len(LEXICONS) + 6)
+VOTERS = len(LEXICONS) + 6
+#: Votes; a combination is a number of base 3.
+CLEAN, NOTHING, TOXIC = 0, 1, 2
+POWERS = 3 ** np.arange(VOTERS, dtype=np.int64)
+#: Words of a text from which on the absence of all telling words is a vote, and shares of telling words that are votes.
+LEAST_WORDS, DENSE_SHARE, THIN_SHARE = 20, 0.008, 0.001
+#: Labelled rows of either label, and unlabelled rows for the classifier beside them, at most; those of smallest hash.
 SAMPLE_ROWS = 8_000
-#: Words and beginnings the classifier knows at most.
+#: Features the classifier knows at most.
 VOCABULARY = 60_000
-#: Documents each must occur in, and the share of the label's rows that those of a telling key must be.
-LEAST_DOCS, LEAST_SHARE = 3, 0.004
+#: Documents that a feature must occur in, its log odds, and by how many standard errors its two shares must differ.
+LEAST_DOCS, LEAST_LOG_ODDS, LEAST_ERRORS = 3, 1.0, 2.5
+#: The same of a voter's key.
+VOTER_DOCS, VOTER_LOG_ODDS, VOTER_ERRORS = 4, 2.5, 4.0
 #: Min-hashes of a sampled document, band and matches from which two count as copies, of which one is kept.
 MIN_HASHES, BAND, ALIKE = 16, 4, 10
 SMOOTHING = 4.0
-LEAST_LOG_ODDS = 1.0
-VOTER_LOG_ODDS, VOTER_DOCS, VOTER_SHARE = 2.5, 4, 0.01
 EM_ROUNDS = 25
-EPOCHS, STEPS, BATCH, RATE, DECAY, SEED = 30, 4000, 256, 0.1, 1e-5, 23
+EPOCHS, STEPS, BATCH, RATE, DECAY, SEED = 30, 4000, 256, 0.1, 1e-4, 23
 THRESHOLD = 0.5
-SLICE_BYTES = 2 << 20
-KINDS = [np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
+SLICE_BYTES = 1 << 19
+KINDS = mix(np.arange(1, len(BEGINNINGS) + 2, dtype=np.uint64))
 
 
-def keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every word of letters and of its beginnings, A-Z lower-cased; repeated ones too."""
+def keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, kind) of every word of letters and of its beginnings, A-Z lower-cased, repeated ones too, and the words of
+    each row. Kind 0 is a whole word, others the place of a beginning's length, counted from 1."""
     part, starts, ends, borders = word_spans(texts, LETTERS)
     rows = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
-    out_rows, out_keys = [rows], [mix(word_hashes(part, starts, ends) ^ KINDS[0])]
-    for size, kind in zip(PREFIXES, KINDS[1:], strict=True):
+    whole, *beginnings = span_hashes(part, starts, ends, BEGINNINGS)
+    out_rows, out_keys, kinds = [rows], [mix(whole ^ KINDS[0])], [np.zeros(len(rows), np.int8)]
+    for k, (size, found) in enumerate(zip(BEGINNINGS, beginnings, strict=True), 1):
         longer = np.flatnonzero(ends - starts > size)
         out_rows.append(rows[longer])
-        out_keys.append(mix(word_hashes(part, starts[longer], starts[longer] + size) ^ kind))
-    return np.concatenate(out_rows), np.concatenate(out_keys)
+        out_keys.append(mix(found[longer] ^ KINDS[k]))
+        kinds.append(np.full(len(longer), k, np.int8))
+    return np.concatenate(out_rows), np.concatenate(out_keys), np.concatenate(kinds), np.diff(borders)
 
 
 def word_keys(words: tuple[str, ...]) -> np.ndarray:
@@ -89,30 +101,51 @@ class KeyTable:
 
 @dataclass
 class Features:
-    """Known keys, the voter each belongs to (-1: none) and the log odds of label 1 that it carries."""
+    """Known keys, the voter that each belongs to (-1: none), and whether its repetition in a document is a vote (0 or 1).
+    Feature k is key k's occurrence, feature len(keys) + k its repetition."""
 
     keys: np.ndarray
     voter: np.ndarray
-    odds: np.ndarray
+    again: np.ndarray
 
     def __post_init__(self) -> None:
         self.table = KeyTable(self.keys)
 
+    @property
+    def size(self) -> int:
+        return 2 * len(self.keys)
+
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, feature), each pair once and by row, and the set of voters that fire of each row, as bits."""
-        rows, asked = keys(texts)
+        """(row, feature), each pair once and by row, and each row's combination of votes."""
+        rows, asked, _, words = keys(texts)
         which, feature = self.table.find(asked)
-        rows = rows[which]
-        voter = self.voter[feature]
-        fixed = (voter >= 0) & (voter < len(LEXICONS) + WORD_VOTERS)
-        pair, times = np.unique(np.stack([rows, feature]), axis=1, return_counts=True) if len(rows) else (np.empty((2, 0), np.int64), np.empty(0))
-        bits = np.zeros(len(texts), np.int64)
-        hit = self.voter[pair[1]]
-        np.bitwise_or.at(bits, pair[0][hit >= 0], 1 << hit[hit >= 0])
-        many = np.bincount(pair[0][(hit >= 0) & (hit < len(LEXICONS) + WORD_VOTERS)], minlength=len(texts)) >= 2
-        often = np.bincount(rows[fixed], minlength=len(texts)) >= 3
-        bits |= many.astype(np.int64) << (VOTERS - 2) | often.astype(np.int64) << (VOTERS - 1)
-        return pair[0], pair[1], bits
+        pair, times = np.unique(rows[which] * max(len(self.keys), 1) + feature, return_counts=True)
+        row, key = np.divmod(pair, max(len(self.keys), 1))
+        n = len(texts)
+
+        def rows_of(hit: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+            return np.bincount(row[hit], None if weight is None else weight[hit], minlength=n)
+
+        voter, votes = self.voter[key], np.full((n, VOTERS), NOTHING, np.int64)
+        telling = voter >= 0
+        fired = np.stack([rows_of(voter == v) > 0 for v in range(LONGER + 1)], axis=1)
+        repeated = rows_of((self.again[key] > 0) & (times > 1)) > 0
+        # telling words count together; the telling beginning that occurs most counts alone, for they overlap
+        hits, begun = rows_of(telling & (voter < SHORT), times.astype(float)), voter >= SHORT
+        np.maximum.at(hits, row[begun], times[begun])
+        share, different = hits / np.maximum(words, 1), rows_of(telling & (voter < SHORT))
+        silent = (rows_of(telling) == 0) & (words >= LEAST_WORDS)
+        votes[:, : LONGER + 1][fired] = TOXIC
+        votes[repeated, AGAIN] = TOXIC
+        votes[(share >= DENSE_SHARE) & (hits >= 2), DENSE] = TOXIC
+        votes[different >= 2, VARIED] = TOXIC
+        for v in (WORDS, SHORT, LONGER, AGAIN, VARIED):
+            votes[silent & (votes[:, v] == NOTHING), v] = CLEAN
+        votes[(share < THIN_SHARE) & (words >= LEAST_WORDS) & (votes[:, DENSE] == NOTHING), DENSE] = CLEAN
+        twice = times > 1
+        row, feature = np.concatenate([row, row[twice]]), np.concatenate([key, key[twice] + len(self.keys)])
+        order = np.argsort(row, kind="stable")
+        return row[order], feature[order], votes @ POWERS
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,74 +192,105 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 
 
 def _key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of either label that hold each key, over the task's rows."""
-    found: list[list[np.ndarray]] = [[], []]
+    """Documents of either label that hold each key, and hold it again, over the task's rows (a bounded sample)."""
+    found: list[np.ndarray] = []
     for batch in batches:
         for b in by_bytes(batch, "text", SLICE_BYTES):
             label = b.column("label").to_numpy()
-            rows, key = keys(whole_texts(b.column("text")))
-            pair = np.unique(np.stack([key, rows.astype(np.uint64)]), axis=1)
-            for y in (0, 1):
-                found[y].append(pair[0][label[pair[1].astype(np.int64)] == y])
-    for y in (0, 1):
-        if found[y]:
-            key, count = np.unique(np.concatenate(found[y]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), y), pa.int32()), pa.array(count, pa.int64())], ["key", "label", "docs"])
+            rows, key, kind, _ = keys(whole_texts(b.column("text")))
+            order = np.lexsort((rows, key))
+            rows, key, kind = rows[order], key[order], kind[order]
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (rows[1:] != rows[:-1]))[: len(key)])
+            again = np.diff(np.append(first, len(key))) > 1
+            y = label[rows[first]]
+            found.append(np.stack([key[first].view(np.int64), kind[first].astype(np.int64), y, y * again, 1 - y, (1 - y) * again]).astype(np.int64))
+    if found:
+        key, kind, *counts = np.concatenate(found, axis=1)
+        order = np.argsort(key, kind="stable")
+        at = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])[: len(key)])
+        sums = [np.add.reduceat(c[order], at) if len(at) else c for c in counts]
+        yield pa.RecordBatch.from_arrays([pa.array(key[order][at]), pa.array(kind[order][at].astype(np.int32)), *map(pa.array, sums)], ["key", "kind", "ones", "ones_again", "zeros", "zeros_again"])
+
+
+COUNTS = ("ones", "ones_again", "zeros", "zeros_again")
 
 
 def find_features(sample: DataFrame) -> Features:
-    """Keys that tell the labels of the sample apart, and the voters made of them."""
+    """Keys that tell the labels of the sample apart by occurring or by occurring again, and the voters made of them."""
     totals = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    whole = sum(totals.values())
     fixed = [word_keys(words) for words in LEXICONS]
     known = np.concatenate(fixed)
     voters = np.concatenate([np.full(len(k), i) for i, k in enumerate(fixed)])
-    odds = np.full(len(known), VOTER_LOG_ODDS)
+    again = np.ones(len(known), np.int8)
     if len(totals) < 2:
-        return Features(known, voters, odds)
-    share = totals[1] / whole
-    counted = sample.select("label", "text").mapInArrow(trimmed(_key_counts), "key long, label int, docs long").groupBy("key").agg(
-        F.sum(F.when(F.col("label") == 1, F.col("docs")).otherwise(0)).alias("ones"), F.sum(F.when(F.col("label") == 0, F.col("docs")).otherwise(0)).alias("zeros"),
-    )
-    log_odds = F.log((F.col("ones") + SMOOTHING * share) / (F.col("zeros") + SMOOTHING * (1 - share))) - float(np.log(share / (1 - share)))
+        return Features(known, voters, again)
+    ones, zeros = totals[1], totals[0]
+    share = ones / (ones + zeros)
+    counted = sample.select("label", "text").mapInArrow(trimmed(_key_counts), "key long, kind int, " + ", ".join(f"{c} long" for c in COUNTS))
+    counted = counted.groupBy("key").agg(F.first("kind").alias("kind"), *(F.sum(c).alias(c) for c in COUNTS))
+
+    def odds(suffix: str) -> Column:
+        return F.log((F.col(f"ones{suffix}") + SMOOTHING * share) / (F.col(f"zeros{suffix}") + SMOOTHING * (1 - share))) - float(np.log(share / (1 - share)))
+
+    def errors(suffix: str) -> Column:
+        a, b = F.col(f"ones{suffix}") / ones, F.col(f"zeros{suffix}") / zeros
+        p = (F.col(f"ones{suffix}") + F.col(f"zeros{suffix}")) / (ones + zeros)
+        return F.abs(a - b) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / ones + 1 / zeros))
+
+    def tells(suffix: str) -> Column:
+        held = F.col(f"ones{suffix}") + F.col(f"zeros{suffix}") >= LEAST_DOCS
+        return held & (F.abs(odds(suffix)) >= LEAST_LOG_ODDS) & (errors(suffix) >= LEAST_ERRORS)
+
+    def votes(suffix: str) -> Column:
+        return (F.col(f"ones{suffix}") >= VOTER_DOCS) & (odds(suffix) >= VOTER_LOG_ODDS) & (errors(suffix) >= VOTER_ERRORS)
+
     chosen = (
-        counted.filter(F.col("ones") + F.col("zeros") >= LEAST_DOCS).withColumn("odds", log_odds).filter(F.abs("odds") >= LEAST_LOG_ODDS)
-        .filter(F.when(F.col("odds") > 0, F.col("ones") >= LEAST_SHARE * totals[1]).otherwise(F.col("zeros") >= LEAST_SHARE * totals[0]))
-        .orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("ones") + F.col("zeros"))), "key").limit(VOCABULARY).toPandas()
+        counted.filter(tells("") | tells("_again")).withColumns({"votes": votes(""), "votes_again": votes("_again"), "errors": F.greatest(errors(""), errors("_again"))})
+        .orderBy(F.desc("errors"), "key").limit(VOCABULARY).select("key", "kind", "votes", "votes_again").toPandas()
+    )
+    chosen = chosen[~np.isin(chosen["key"].to_numpy(np.int64).view(np.uint64), known)]
+    kind = chosen["kind"].to_numpy()
+    voter = np.where(kind == 0, WORDS, np.where(np.array((0, *BEGINNINGS))[kind] >= LONG, LONGER, SHORT))
+    return Features(
+        np.concatenate([known, chosen["key"].to_numpy(np.int64).view(np.uint64)]), np.concatenate([voters, np.where(chosen["votes"].to_numpy(bool), voter, -1)]),
+        np.concatenate([again, chosen["votes_again"].to_numpy(bool).astype(np.int8)]),
     )
-    key = chosen["key"].to_numpy(np.int64).view(np.uint64)
-    fresh = ~np.isin(key, known)
-    key, found = key[fresh], chosen[fresh]
-    strong = (found["odds"].to_numpy() >= VOTER_LOG_ODDS) & (found["ones"].to_numpy() >= max(VOTER_DOCS, VOTER_SHARE * totals[1]))
-    # a key doesn't tell of what kind it is, so word and beginning voters are dealt by key over both ranges
-    voter = len(LEXICONS) + (mix(key) % np.uint64(WORD_VOTERS + PREFIX_VOTERS)).astype(np.int64)
-    voter[~strong] = -1
-    return Features(np.concatenate([known, key]), np.concatenate([voters, voter]), np.concatenate([odds, found["odds"].to_numpy()]))
 
 
 def _vote_counts(features):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((3, 1 << VOTERS), np.int64)
+        counts = np.zeros((3, 3**VOTERS), np.int32)
         for batch in batches:
             for b in by_bytes(batch, "text", SLICE_BYTES):
                 bits = features.value.of(whole_texts(b.column("text")))[2]
                 label = b.column("label").to_numpy(zero_copy_only=False)
                 np.add.at(counts, (label, bits), 1)
         label, bits = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(bits, pa.int64()), pa.array(counts[label, bits])], ["label", "votes", "docs"])
+        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(bits, pa.int64()), pa.array(counts[label, bits].astype(np.int64))], ["label", "votes", "docs"])
 
     return run
 
 
 @dataclass
 class LabelModel:
-    """Chance of label 1 of each set of firing voters."""
+    """Chance of label 1 of each combination of votes, the tree's parents, and each voter's accuracy where it votes."""
 
     posterior: np.ndarray
     parents: np.ndarray
     accuracies: np.ndarray
 
 
+def agreement(said: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Accuracy of each voter, estimated from how often its votes (1, 0, -1) are those of the others' majority."""
+    out = np.empty(said.shape[1])
+    for j in range(said.shape[1]):
+        others = np.sign(said.sum(axis=1) - said[:, j])
+        both = (others != 0) & (said[:, j] != 0)
+        same = docs @ (both & (others == said[:, j]))
+        out[j] = (same + 3) / (docs @ both + 4)
+    return np.clip(out, 0.05, 0.98)
+
+
 def _tree(weight: np.ndarray) -> np.ndarray:
     """Parent of each voter in the tree of largest weight; voter 0 has none (-1)."""
     n = len(weight)
@@ -242,36 +306,36 @@ def _tree(weight: np.ndarray) -> np.ndarray:
 
 
 def fit_label_model(votes: np.ndarray, docs: np.ndarray, ones: np.ndarray, zeros: np.ndarray, rounds: int = EM_ROUNDS) -> LabelModel:
-    """From sets of votes (bits) with the documents that have them, and labelled training documents among these."""
-    fire = (votes[:, None] >> np.arange(VOTERS) & 1).astype(float)
-    post = 1 / (1 + np.exp(3 - 2 * fire.sum(axis=1)))
+    """From combinations of votes with the documents that have them, and labelled training documents among these."""
+    state = votes[:, None] // POWERS % 3
+    said = state - NOTHING
+    accuracies = agreement(said, docs)
+    post = 1 / (1 + np.exp(-np.clip(said @ np.log(accuracies / (1 - accuracies)), -30, 30)))
+    is_ = (state[:, :, None] == np.arange(3)).astype(float)  # combination, voter, vote
+    flat = is_.reshape(len(votes), -1)
     parents = np.full(VOTERS, -1)
     for _ in range(rounds):
         prior = (docs @ post + 1) / (docs.sum() + 2)
         weights = [docs * (1 - post) + zeros, docs * post + ones]
-        apart, single = np.zeros((VOTERS, VOTERS)), []
+        apart, single, joint = np.zeros((VOTERS, VOTERS)), [], []
         for w in weights:
-            total = w.sum() + 2
-            one = (w @ fire + 1) / total
-            both = (fire.T @ (fire * w[:, None]) + one[:, None] * one) / (w.sum() + 1)
+            total = w.sum() + 3
+            one = (np.tensordot(w, is_, 1) + 1) / total
+            both = ((flat.T @ (flat * w[:, None])).reshape(VOTERS, 3, VOTERS, 3) + one[:, :, None, None] * one[None, None]) / (w.sum() + 1)
+            apart += total * np.einsum("iajb,iajb->ij", both, np.log(np.maximum(both, 1e-12) / (one[:, :, None, None] * one[None, None])))
             single.append(one)
-            for a, b, p in ((1, 1, both), (1, 0, one[:, None] - both), (0, 1, one - both), (0, 0, 1 - one[:, None] - one + both)):
-                alone = (one if a else 1 - one)[:, None] * (one if b else 1 - one)
-                p = np.maximum(p, 1e-12)
-                apart += total * p * np.log(p / alone)
+            joint.append(both)
         parents = _tree(apart)
         score = np.full(len(votes), np.log(prior / (1 - prior)))
-        for y, w in ((1, weights[1]), (-1, weights[0])):
-            for j in range(VOTERS):
-                of = fire[:, parents[j]] if parents[j] >= 0 else np.zeros(len(votes))
-                for value in (0, 1):
-                    rows = of == value
-                    chance = (w[rows] @ fire[rows, j] + single[(y + 1) // 2][j]) / (w[rows].sum() + 1)
-                    score[rows] += y * np.log(np.clip(np.where(fire[rows, j] > 0, chance, 1 - chance), 1e-6, 1))
+        for y, one, both in ((-1, *(x[0] for x in (single, joint))), (1, *(x[1] for x in (single, joint)))):
+            for j, parent in enumerate(parents):
+                chance = one[j][state[:, j]] if parent < 0 else both[parent, state[:, parent], j, state[:, j]] / both[parent, :, j].sum(axis=1)[state[:, parent]]
+                score += y * np.log(np.clip(chance, 1e-6, 1))
         post = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-    table = np.zeros(1 << VOTERS)
+    table = np.zeros(3**VOTERS)
     table[votes] = post
-    return LabelModel(table, parents, (docs * post) @ fire / np.maximum(docs @ fire, 1))
+    right = docs @ np.where(said > 0, post[:, None], np.where(said < 0, 1 - post[:, None], 0))
+    return LabelModel(table, parents, right / np.maximum(docs @ (said != 0), 1))
 
 
 @dataclass
@@ -279,28 +343,27 @@ class Linear:
     weights: np.ndarray
     bias: float
 
-    def score(self, rows: np.ndarray, features: np.ndarray, odds: np.ndarray, n: int) -> np.ndarray:
-        z = np.bincount(rows, (self.weights * odds)[features], minlength=n) + self.bias
+    def score(self, rows: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
+        z = np.bincount(rows, self.weights[features], minlength=n) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_linear(rows: list[np.ndarray], target: np.ndarray, odds: np.ndarray) -> Linear:
-    """Logistic regression on soft targets by AdaGrad; a feature's value is its log odds."""
-    weights, bias = np.full(len(odds), 0.1), -2.0
-    squares, bias_square = np.full(len(odds), 1e-2), 1e-2
+def fit_linear(rows: list[np.ndarray], target: np.ndarray, size: int) -> Linear:
+    """Logistic regression on soft targets by AdaGrad; a feature is there or not."""
+    weights, bias = np.zeros(size), -2.0
+    squares, bias_square = np.full(size, 1e-2), 1e-2
     rng = np.random.default_rng(SEED)
     for _ in range(max(EPOCHS, STEPS * BATCH // len(rows)) if len(rows) else 0):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]
-            size = [len(rows[i]) for i in batch]
-            features, row = np.concatenate([rows[i] for i in batch]), np.repeat(np.arange(len(batch)), size)
-            z = np.bincount(row, (weights * odds)[features], minlength=len(batch)) + bias
+            features, row = np.concatenate([rows[i] for i in batch]), np.repeat(np.arange(len(batch)), [len(rows[i]) for i in batch])
+            z = np.bincount(row, weights[features], minlength=len(batch)) + bias
             out = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target[batch]
             used, place = np.unique(features, return_inverse=True)
-            slope = np.bincount(place, out[row] * odds[features], minlength=len(used)) / len(batch) + DECAY * weights[used]
+            slope = np.bincount(place, out[row], minlength=len(used)) / len(batch) + DECAY * weights[used]
             squares[used] += slope**2
-            weights[used] = np.maximum(weights[used] - RATE * slope / np.sqrt(squares[used]), 0)
+            weights[used] -= RATE * slope / np.sqrt(squares[used])
             bias_square += out.mean() ** 2
             bias -= RATE * out.mean() / bias_square**0.5
     return Linear(weights, bias)
@@ -325,25 +388,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tu
     schema = "label int, votes long, docs long"
     every = docs.select("text", F.lit(2).alias("label")).mapInArrow(trimmed(_vote_counts(shared)), schema)
     counted = every.unionByName(sample.select("text", "label").mapInArrow(trimmed(_vote_counts(shared)), schema))
-    rows = counted.groupBy("label", "votes").agg(F.sum("docs").alias("docs")).collect()  # 3 * 2**VOTERS at most
+    rows = counted.groupBy("label", "votes").agg(F.sum("docs").alias("docs")).collect()  # 3 * 3**VOTERS at most
     votes = np.array(sorted({r.votes for r in rows}), np.int64)
     counts = np.zeros((3, len(votes)))
     for r in rows:
         counts[r.label, np.searchsorted(votes, r.votes)] = r.docs
-    model = fit_label_model(votes, counts[2], counts[1], counts[0]) if len(votes) else LabelModel(np.zeros(1 << VOTERS), np.full(VOTERS, -1), np.zeros(VOTERS))
+    model = fit_label_model(votes, counts[2], counts[1], counts[0]) if len(votes) else LabelModel(np.zeros(3**VOTERS), np.full(VOTERS, -1), np.zeros(VOTERS))
     others = docs.filter(~held_out(F.col("doc_id"))).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     beside = docs.select("doc_id", "text").join(F.broadcast(others), "doc_id")
     fitted = sorted(sample.select("doc_id", "text").unionByName(beside).mapInArrow(trimmed(_featured(shared)), "doc_id long, votes long, features array<int>").collect())
     lists = [np.array(r.features, np.int64) for r in fitted]
-    linear = fit_linear(lists, model.posterior[np.array([r.votes for r in fitted], np.int64)], features.odds)
+    linear = fit_linear(lists, model.posterior[np.array([r.votes for r in fitted], np.int64)], features.size)
     return features, model, linear
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs(doc_id, text).
 
-    Null texts count as empty and are scored like any other (by the bias alone). Repeated rows are scored each. Without
-    labels the voters are the fixed lexicons. An empty table gives an empty result.
+    Null texts count as empty and are scored like any other (by the bias alone); texts of any length are scored whole.
+    Equal texts have equal scores; repeated rows are rows of their own. Labels of identifiers that docs lacks teach
+    nothing; without labels the voters are the fixed lexicons. An empty table gives an empty result. Other columns aren't read.
     """
     features, _, linear = fit_toxicity(docs, labels)
     model = docs.sparkSession.sparkContext.broadcast((features, linear))
@@ -353,7 +417,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             for b in by_bytes(batch, "text", SLICE_BYTES):
                 rows, feature, _ = known.of(whole_texts(b.column("text")))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(line.score(rows, feature, known.odds, b.num_rows))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(line.score(rows, feature, b.num_rows))], ["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -34,18 +34,29 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BROADCAST_REPEATS = 200_000
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, row: int) -> bytes:
-    """One gzip member. A revisit holds the HTTP header alone, whose Content-Length is that of the full payload."""
+def record_id(page: int | None, row: int) -> str:
+    name = hashlib.md5(f"{page}/{row}".encode()).hexdigest()
+    return f"<urn:uuid:{name[:8]}-{name[8:12]}-{name[12:16]}-{name[16:20]}-{name[20:]}>"
+
+
+def quoted_uri(url: str) -> str:
+    return quote(url, safe="".join(map(chr, range(33, 127))))
+
+
+def record(page: int | None, url: str | None, payload: bytes, digest: str, revisit: bool, row: int, refers_to: int | None, refers_row: int | None, refers_url: str | None) -> bytes:
+    """One gzip member. A revisit holds the HTTP header alone, whose Content-Length is that of the full payload, and names
+    the response with its record, page and address."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    name = hashlib.md5(f"{page}/{row}".encode()).hexdigest()
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{name[:8]}-{name[8:12]}-{name[12:16]}-{name[16:20]}-{name[20:]}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page, row)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}"]
     if page is not None:
         lines.append(f"X-Page-Id: {page}")
     if url is not None:
-        lines.append(f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 127))))}")
+        lines.append(f"WARC-Target-URI: {quoted_uri(url)}")
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", *([f"X-Refers-To-Page-Id: {refers_to}"] if refers_to is not None else [])]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, refers_row)}", f"WARC-Refers-To-Date: {DATE}"]
+        lines += [f"WARC-Refers-To-Target-URI: {quoted_uri(refers_url)}"] if refers_url is not None else []
+        lines += [f"X-Refers-To-Page-Id: {refers_to}"] if refers_to is not None else []
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
     made = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return made.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n") + made.flush()
@@ -132,8 +143,8 @@ def _next_magic(source, at: int, end: int) -> int:
 
 
 def repeats(pages: DataFrame) -> DataFrame:
-    """(digest, keeper) of payloads of LEAST_PAYLOAD bytes or more that several rows of (row_id, page_id, digest, bytes) have."""
-    keeper = F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "row_id")
+    """(digest, keeper) of payloads of LEAST_PAYLOAD bytes or more that several rows of (row_id, page_id, url, digest, bytes) have."""
+    keeper = F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "row_id", "url")
     return (
         pages.filter(F.col("bytes") >= LEAST_PAYLOAD).groupBy("digest").agg(F.min(keeper).alias("keeper"), F.count("*").alias("n"))
         .filter("n > 1").select("digest", "keeper")
@@ -148,16 +159,17 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = numbered(pages.select("page_id", "url", "html"), "row_id").select("page_id", "url", payload.alias("payload"), "row_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
-    found = written(repeats(rows.drop("payload", "url")))
+    found = written(repeats(rows.drop("payload")))
     known = F.broadcast(found) if found.count() <= BROADCAST_REPEATS else found
     marked = rows.join(known, "digest", "left").withColumn("revisit", F.coalesce(F.col("bytes") >= LEAST_PAYLOAD, F.lit(False)) & F.coalesce(F.col("keeper.row_id") != F.col("row_id"), F.lit(False)))
-    dealt = marked.select("page_id", "url", "payload", "digest", "row_id", "revisit", F.col("keeper.page_id").alias("refers_to"))
+    of_keeper = (F.col(f"keeper.{c}").alias(n) for c, n in (("page_id", "refers_to"), ("row_id", "refers_row"), ("url", "refers_url")))
+    dealt = marked.select("page_id", "url", "payload", "digest", "row_id", "revisit", *of_keeper)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = f"{folder}/pages-{TaskContext.get().partitionId():06d}.warc.gz"
 
         def members() -> Iterator[bytes]:
-            names = ("page_id", "url", "payload", "digest", "refers_to", "revisit", "row_id")
+            names = ("page_id", "url", "payload", "digest", "revisit", "row_id", "refers_to", "refers_row", "refers_url")
             for b in batches:
                 for k in range(0, b.num_rows, 256):
                     part = b.slice(k, 256)

@@ -64,7 +64,13 @@ HASH_BYTES = 1 << 18
 
 def word_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """64-bit hash of each span of bytes, A-Z lower-cased if asked. Spans rise and don't overlap."""
-    out = np.empty(len(starts), np.uint64)
+    return span_hashes(part, starts, ends, (), lower)[0]
+
+
+def span_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, beginnings: tuple[int, ...], lower: bool = True) -> list[np.ndarray]:
+    """Hashes of the spans, then those of their first bytes, so many as each of `beginnings` says (spans that are no longer
+    give their own hash)."""
+    out = [np.empty(len(starts), np.uint64) for _ in range(len(beginnings) + 1)]
     a = 0
     while a < len(starts):
         first = int(starts[a])
@@ -74,6 +80,9 @@ def word_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         total = np.zeros(len(here) + 1, np.uint64)
         np.cumsum(_BYTE[LOWER[here] if lower else here] * up[: len(here)], out=total[1:])
         x, y = starts[a:b] - first, ends[a:b] - first
-        out[a:b] = mix((total[y] - total[x]) * down[x] + (y - x).astype(np.uint64))
+        scale, before = down[x], total[x]
+        for k, n in enumerate((None, *beginnings)):
+            z = y if n is None else np.minimum(x + n, y)
+            out[k][a:b] = mix((total[z] - before) * scale + (z - x).astype(np.uint64))
         a = b
     return out

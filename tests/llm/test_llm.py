@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("folimetry.llm.registry")
 import public_tokenizers as P
 
-from folimetry.llm import exact_dedup, neighbours, ngram_join, overlaps, packed_ids, quality, sentence_pieces, source_mix, toxicity, url_filter, warc
+from folimetry.llm import exact_dedup, neighbours, ngram_join, overlaps, packed_ids, quality, scratch, sentence_pieces, source_mix, toxicity, url_filter, warc
 from folimetry.llm.components import components
 from folimetry.llm.scratch import shared_folder, written
 
@@ -215,15 +215,38 @@ def test_exact_groups_with_null_and_repeated_ids(spark):
     assert exact_dedup.exact_groups(docs_of(spark, [])).count() == 0
 
 
-def test_index_compacts_and_finds():
+def test_index_compacts():
     rng = np.random.default_rng(0)
-    index, want = exact_dedup.DigestIndex(memtable_rows=64, fanout=3), Counter()
+    index, copies, least = exact_dedup.DigestIndex(memtable_rows=64, fanout=3), Counter(), {}
     for _ in range(30):
-        high = rng.integers(0, 200, 40)
-        index.put(high, high * 3, np.arange(40), np.arange(40), np.ones(40, np.int64))
-        want.update(high.tolist())
-    ask = np.arange(250)
-    assert index.copies_of(ask, ask * 3).tolist() == [want[i] for i in range(250)] and index.copies_of(ask, ask * 3 + 1).sum() == 0
+        high, unknown, place, row = rng.integers(0, 200, 40), rng.integers(0, 2, 40), rng.integers(-50, 50, 40), rng.integers(0, 9, 40)
+        index.put((high, high * 3, unknown, place, row, np.ones(40, np.int64)))
+        copies.update(high.tolist())
+        for h, *identity in zip(*(x.tolist() for x in (high, unknown, place, row)), strict=True):
+            least[h] = min(least.get(h, identity), identity)
+    high, low, *identity, n = index.merged()
+    assert high.tolist() == sorted(copies) and n.tolist() == [copies[h] for h in sorted(copies)] and (low == high * 3).all()
+    assert [list(x) for x in zip(*(c.tolist() for c in identity), strict=True)] == [least[h] for h in high.tolist()]
+    assert all(len(c) == 0 for c in exact_dedup.DigestIndex().merged())
+
+
+def test_filter_knows_all_hits(spark):
+    held = np.random.default_rng(1).integers(-(2**63), 2**63, 3000)
+    hits = spark.createDataFrame([(int(h),) for h in held], "high long").repartition(3)
+    made = exact_dedup.filter_of(hits, 3000)
+    assert made.may_hold(held).all() and made.may_hold(np.random.default_rng(2).integers(-(2**63), 2**63, 3000)).mean() < 0.05
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_exact_groups_by_shuffle(spark, monkeypatch, few):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_HITS", few)
+    texts = [f"t{i % 7}" if i % 3 else f"u{i}" for i in range(60)]
+    got = exact_dedup.exact_groups(docs_of(spark, texts, [i if i % 5 else None for i in range(60)]), "smallest", 2 if few else 32).collect()
+    for r in got:
+        same = [i for i in range(60) if hashlib.sha256(texts[i].encode()).hexdigest() == r.text_sha256]
+        ids = [i for i in same if i % 5]
+        assert r.group_size == len(same) and r.keep_id == (min(ids) if ids else None)
+    assert sum(r.kept for r in got) == len(set(texts)) and len(got) == 60
 
 
 # --- 5
@@ -242,6 +265,41 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), shared_folder(spark))).count() == 0
 
 
+def test_warc_survives_planted_members(spark):
+    """Magic bytes in payloads, and whole members or their beginnings between records, don't make or hide records."""
+    rng = random.Random(0)
+    noise = ["".join(rng.choice(["\x1f\x8b\x08", "WARC/1.1\r\n", "\r\n\r\n", chr(rng.randrange(32, 0x3000))]) for _ in range(4000)) for _ in range(6)]
+    pages = spark.createDataFrame([(i, "u", t) for i, t in enumerate(noise)], "page_id long, url string, html string")
+    files = warc.write_warc(pages, shared_folder(spark))
+    for split in (7, 997, 1 << 22):
+        got = warc.read_warc(files, split).collect()
+        assert sorted((r.page_id, r.payload_digest) for r in got) == [(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(noise)]
+    whole = warc.record(1, "u", b"x" * 500, hashlib.sha256(b"x" * 500).hexdigest(), False, 0, None, None, None)
+    import gzip
+    import io
+
+    junk = [b"\x1f\x8b\x08", whole[: len(whole) // 2], gzip.compress(b"WARC/1.1 not a record"), gzip.compress(b"other"), b""]
+    data, starts = b"", []
+    for k in range(20):
+        data += junk[k % 5]
+        starts.append(len(data))
+        data += whole
+    for split in (1, 13, 400, 1 << 20):
+        found = [r.offset for a in range(0, len(data), split) for r in warc.records_between(io.BytesIO(data), a, min(a + split, len(data)))]
+        assert found == starts
+
+
+def test_warc_revisits_name_their_response(spark):
+    rows = [(3, "http://b/é", "x" * 200), (2, "http://a/ b", "x" * 200)]
+    files = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), shared_folder(spark))
+    found = {}
+    for f in files.collect():
+        where, inner = scratch.filesystem(f.path)
+        with where.open_input_file(inner) as source:
+            found |= {r.headers["x-page-id"]: r.headers for r in warc.records_between(source, 0, f.size)}
+    assert found["3"]["warc-refers-to"] == found["2"]["warc-record-id"] and found["3"]["warc-refers-to-target-uri"] == found["2"]["warc-target-uri"] == "http://a/%20b"
+
+
 # --- 6
 
 
@@ -257,6 +315,35 @@ def test_toxicity_learns_and_scores_everything(spark):
     assert held and np.mean([r.predicted == (r.doc_id >= 120) for r in held]) > 0.9 and got[200].predicted == 0
 
 
+def test_repeated_and_long_documents_score_alike(spark):
+    rng = random.Random(2)
+    plain = [" ".join(rng.choice("abcdef") * 3 for _ in range(30)) for _ in range(80)]
+    texts = [t + " you idiot moron" if i % 2 else t for i, t in enumerate(plain)]
+    rows = list(enumerate(texts)) + [(1, texts[1]), (1, texts[1]), (None, texts[3]), (500, "scum moron " * 100_000)]
+    docs = spark.createDataFrame([(*r, 0.0, 1) for r in rows], "doc_id long, text string, score double, held_out int")
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(80)] + [(1, 1, 0), (9999, 1, 1), (None, 1, 1)], "doc_id long, toxic int, quality int")
+    for scored in (toxicity.toxicity_scores(docs, labels), quality.quality_scores(docs, labels)):
+        got = scored.collect()
+        assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 1}) == 1 and {r.doc_id for r in got} == {i for i, _ in rows}
+        assert next(r for r in got if r.doc_id is None).held_out is False
+    found = toxicity.toxicity_scores(docs, labels).filter("doc_id = 500").first()
+    assert found.predicted == 1
+
+
+def test_label_model_finds_accuracies_and_correlations():
+    """Votes drawn from known accuracies, two voters being copies of each other."""
+    rng = np.random.default_rng(0)
+    n, right = 20_000, np.array([0.9, 0.9, 0.6, 0.85, 0.85, 0.7, 0.8, 0.75, 0.8, 0.9])
+    label = rng.random(n) < 0.3
+    votes = np.where(rng.random((n, 10)) < right, label[:, None], ~label[:, None]) * 2
+    votes[:, 9] = votes[:, 0]
+    votes[rng.random((n, 10)) < 0.3] = toxicity.NOTHING
+    names, docs = np.unique(votes @ toxicity.POWERS, return_counts=True)
+    model = toxicity.fit_label_model(names, docs.astype(float), np.zeros(len(names)), np.zeros(len(names)))
+    assert np.abs(model.accuracies - right).max() < 0.06 and (model.parents[9] == 0 or model.parents[0] == 9)
+    assert ((model.posterior[votes @ toxicity.POWERS] > 0.5) == label).mean() > 0.9
+
+
 def test_toxicity_without_rows_or_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity_scores(docs_of(spark, []), none).count() == 0
@@ -266,23 +353,34 @@ def test_toxicity_without_rows_or_labels(spark):
 # --- 7
 
 
-def test_neighbours(spark):
+def nearest_by_force(rows, k=10):
+    """Of each row number that asks, (distance, id) of the nearest others."""
+    usable = [(r, i, np.array(v, np.float32).astype(np.float64)) for r, (i, v) in enumerate(rows) if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    out = []
+    for r, i, v in usable:
+        if i % 100 == 0:
+            gaps = sorted((float(np.sqrt(((v - w) ** 2).sum())), j) for s, j, w in usable if s != r and len(w) == len(v))
+            out.append((i, gaps[:k]))
+    return out
+
+
+@pytest.mark.parametrize(("n", "width", "shards"), [(1500, 16, 1), (3000, 8, 4)])
+def test_neighbours(spark, monkeypatch, n, width, shards):
+    monkeypatch.setattr(neighbours, "LEAST_SHARD", -(-n // shards))
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    x = rng.normal(size=(n, width)).astype(np.float32)
     x[200:700] = x[200]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1500, None), (1600, [0.0] * 16), (1700, [float("nan")] * 16), (1800, [1.0, None])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(n, None), (n + 100, [0.0] * width), (n + 200, [float("nan")] * width), (n + 300, [1.0, None]), (0, x[5].tolist()), (100, x[100].tolist()), (400, [1.0, 2.0]), (401, [1.0, 3.0])]
+    table = spark.createDataFrame([(*r, "c") for r in rows], "vec_id long, embedding array<float>, row string")
     got = neighbours.nearest_rows(table, "vec_id", "embedding", F.col("vec_id") % 100 == 0).collect()
-    hits, d = 0, x.astype(np.float64)
-    for q in range(0, 1500, 100):
-        gap = np.sqrt(((d - d[q]) ** 2).sum(axis=1))
-        best = [i for i in np.lexsort((np.arange(1500), gap)) if i != q][:10]
-        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
-        assert [r[0] for r in mine] == list(range(1, 11)) and np.allclose([r[2] for r in mine], gap[[r[1] for r in mine]])
-        hits += len(set(best) & {r[1] for r in mine})
-    assert hits >= 0.9 * 150 and {r.query_id for r in got} == set(range(0, 1500, 100))
+    want = nearest_by_force(rows)
+    assert Counter(r.query_id for r in got) == Counter(q for q, gaps in want for _ in gaps)
+    true, mine = Counter((q, round(g, 9), i) for q, gaps in want for g, i in gaps), Counter((r.query_id, round(r.score, 9), r.vec_id) for r in got)
+    assert sum((true & mine).values()) >= 0.95 * sum(true.values())
+    twins = sorted((r.rank, r.vec_id) for r in got if r.query_id == 300)  # ties: the smallest keys, in order, but its own
+    assert twins == [(k + 1, 200 + k) for k in range(10)]
     assert neighbours.nearest_rows(table.filter("vec_id < 0"), "vec_id", "embedding", F.col("vec_id") % 100 == 0).count() == 0
-    assert neighbours.nearest_rows(table.filter("vec_id in (0, 1, 2)"), "vec_id", "embedding", F.col("vec_id") % 100 == 0).count() == 2
+    assert neighbours.nearest_rows(table.filter("vec_id in (1, 2, 600)"), "vec_id", "embedding", F.col("vec_id") % 100 == 0).count() == 2
 
 
 # --- 8
@@ -306,6 +404,20 @@ def test_packed_documents(spark):
     assert packed_ids.packed_documents(docs_of(spark, []), P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packed_documents_with_null_and_repeated_ids(spark):
+    from tokenizers import Tokenizer
+
+    tool, rows = Tokenizer.from_file(P.path("byte_bpe_50k.json")), [(3, "c"), (None, "no id"), (1, "first one"), (1, "a"), (3, None), (1, "first one"), (2, "long " * 300_000)]
+    docs = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, row long")
+    want, start = [], 0
+    for i, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):  # as stored where ids repeat
+        ids = np.array([*tool.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = packed_ids.packed_documents(written(docs.coalesce(1)), P.path("byte_bpe_50k.json")).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+
+
 def test_packed_documents_with_added_tokens(spark):
     from tokenizers import Tokenizer
 
@@ -356,6 +468,22 @@ def test_mix(spark):
     assert len(got) == 602
 
 
+def test_mix_of_odd_rows(spark):
+    schema = "doc_id long, text string, source string, target double, taken long, size string, row_id string"
+    assert source_mix.mix_counts(source_mix.sized(spark.createDataFrame([], schema))).count() == 0
+    rows = [(7, "a b", "x")] * 300 + [(None, "c", None)] * 50 + [(1, None, "x"), (2, "  ", "y"), (3, "w " * 200_000, "z")]
+    docs = written(spark.createDataFrame([(*r, 0.5, 9, "s", "r") for r in rows], schema))
+    got, again = (sorted(map(tuple, source_mix.mix_counts(source_mix.sized(docs)).collect())) for _ in range(2))
+    assert got == again and len(got) == len(rows) and Counter(r[1] for r in got) == Counter(r[0] for r in rows)
+    by_source = source_mix.targets([("x", 600), (None, 50), ("y", 0), ("z", 200_000)])
+    for s, ids in (("x", {7, 1}), (None, {None}), ("z", {3})):
+        mine = [r for r in source_mix.mix_counts(source_mix.sized(docs)).collect() if r.doc_id in ids]
+        assert all(r.target == by_source[s] and r.taken in (0, r["size"], 2 * r["size"], 3 * r["size"]) for r in mine)
+        whole = sum(r["size"] for r in mine)
+        least = min(r["size"] for r in mine if r["size"])
+        assert whole * (by_source[s] // whole if by_source[s] < 3 * whole else 3) <= sum(r.taken for r in mine) + least and sum(r.taken for r in mine) <= by_source[s] + 1
+
+
 # --- 10
 
 
@@ -371,6 +499,24 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df.filter("page_id < 0")).count() == 0
 
 
+def test_url_filter_ties_and_long_urls(spark):
+    rules = [("a.b", "/c", "allow"), ("b", "/cde", "block"), ("b", "/", "block"), ("a.b", "/" + "x" * 5000, "block"), ("B", "/q", "allow")]
+    cases = {
+        "x://a.b/cde": ("a.b/c", "allow"),  # as long as b/cde (5 characters each): the longer host wins
+        "x://z.b/cdef": ("b/cde", "block"), "x://a.b/" + "x" * 9000: ("a.b/" + "x" * 5000, "block"), "x://" + "s." * 3000 + "a.b/c": ("a.b/c", "allow"),
+        "x://b/Q": ("b/", "block"), "x://B/q": ("B/q".lower(), "allow"), "x://ab/c": (None, "allow"),
+    }
+    df = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(cases)], "page_id long, url string, host string, path string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(df, rules).collect()}
+    assert got == dict(enumerate(cases.values()))
+    assert {r.verdict for r in url_filter.filter_urls(df, [], default="block").collect()} == {"block"}
+
+
+def test_encoding_of_an_empty_table(spark):
+    got = sentence_pieces.encode_texts(docs_of(spark, []), P.path("piece_bpe_32k.model"))
+    assert got.count() == 0 and got.columns == ["doc_id", "keep_id", "size", "n_tokens", "ids", "decoded"]
+
+
 CLASHES = ["doc_id", "text", "lang", "source", "n_chars", "__row", "_metadata", "__times", "__copy", "__text", "__path", "__file", "__at", "ids", "n_tokens", "Decoded", "row_id", "score", "c0", "a.b", "component"]
 
 
