@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # Names of steps that configurations use, and each one's parameter.
 NOISE, SALT_AND_PEPPER = "noise", "salt_and_pepper"
 AMOUNTS = {NOISE: "sigma", SALT_AND_PEPPER: "amount"}
+DEFAULT_AMOUNTS = {NOISE: 25.0, SALT_AND_PEPPER: 0.02}
 #: Known, but not built: they need an imaging library.
 UNBUILT = ("blur", "jpeg", "rotate", "dpi_reduction")
 KNOWN = (*AMOUNTS, *UNBUILT)
@@ -78,3 +79,13 @@ def degraded(pixels: Column, name: Column, amount: Column, width: Column | None
         return pd.Series(out, dtype=object)
 
     return apply(pixels, name, amount, F.lit(0) if width is None else width.cast("int"))
+
+
+def sweep(pages: DataFrame, steps: list[dict], pixels: str = "pixels", width: str | None = None) -> DataFrame:
+    """Every page under every variant that is built, with its label; variants that aren't are left out, and the page itself
+    comes first with an empty label. Each page's bytes are read once; the variants are a broadcast list."""
+    built = [(label, name, float(p.get(AMOUNTS[name], DEFAULT_AMOUNTS[name]))) for label, name, p in grid(steps, tuple(AMOUNTS))]
+    listed = F.array(*(F.struct(F.lit(a).alias("label"), F.lit(b).alias("name"), F.lit(c).alias("amount")) for a, b, c in [("", "", 0.0), *built]))
+    each = pages.withColumn("__v", F.explode(listed))
+    made = degraded(F.col(pixels), F.col("__v.name"), F.col("__v.amount"), F.col(width) if width else None)
+    return each.withColumns({pixels: made, "degradation_label": F.col("__v.label")}).drop("__v")

@@ -107,6 +107,13 @@ register(
 register("degrade_pixels", lambda s, d: table(s, d, "pages").select("page_id", F.sha2(degrade.degraded(F.coalesce("html", F.lit("")).cast("binary"), F.when(F.col("page_id") % 2 == 0, "noise").otherwise("salt_and_pepper"), F.when(F.col("page_id") % 2 == 0, 25.0).otherwise(0.1)), 256).alias("digest")))
 
 
+register(
+    "degradation_sweep",
+    lambda s, d: degrade.sweep(table(s, d, "pages").select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("pixels")), STEPS).select("page_id", "degradation_label", F.octet_length("pixels").cast("long").alias("bytes")),
+    "SELECT page_id, label AS degradation_label, octet_length(encode(coalesce(html, ''))) AS bytes FROM pages, (VALUES (''), ('noise_sigma=10'), ('noise_sigma=25'), ('salt_and_pepper(amount=0.25)')) v(label)",
+)
+
+
 def _export(s: SparkSession, d: str) -> DataFrame:
     """Order lines as annotation exports, a task an order: a rectangle and a text for each line, both with its number as id,
     rectangles in order of parts and texts after them; every seventh order has no annotations."""

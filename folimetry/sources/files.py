@@ -75,6 +75,29 @@ def first_of(json: DataFrame, txt: DataFrame, key: str) -> DataFrame:
     return both.select(key, F.coalesce("a", "b").alias("full_text"), F.when(F.col("a").isNotNull(), "json").otherwise("txt").alias("origin"))
 
 
+TASK = "image_paths array<string>, device string, params string"
+RESPONSE = (
+    "model_load_time_seconds double, ram_before_load_mb double, ram_after_load_mb double, peak_ram_mb double, vram_before_load_mb double, vram_after_load_mb double, peak_vram_mb double, "
+    "pages array<struct<image_path:string,prediction_time_seconds:double,ram_after_mb:double,result:string,error:string>>"
+)
+
+
+def task_documents(images: DataFrame, keys: list[str], device: str = "cpu", params: str = "{}") -> DataFrame:
+    """keys and a worker's task as JSON, one a key, from images(keys, position, path): paths in order, device, parameters."""
+    paths = images.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("position", "path"))).alias("p"))
+    head = F.to_json(F.struct(F.col("p.path").alias("image_paths"), F.lit(device).alias("device")))
+    return paths.select(*keys, F.concat(F.regexp_replace(head, r"\}$", ',"params":'), F.lit(params), F.lit("}")).alias("document"))
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """file and the fields of each worker response below a path, a file each; times default to 0, and a file that isn't JSON
+    has null pages. Results stay JSON texts, for json_pages() or layout_page()."""
+    whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
+    read = whole.select("file", F.from_json("value", RESPONSE).alias("r"))
+    times = ("model_load_time_seconds", "ram_before_load_mb", "ram_after_load_mb", "peak_ram_mb")
+    return read.select("file", *(F.coalesce(f"r.{c}", F.lit(0.0)).alias(c) for c in times), *(f"r.{c}" for c in ("vram_before_load_mb", "vram_after_load_mb", "peak_vram_mb", "pages")))
+
+
 def image_bytes(source: Column) -> Column:
     """Bytes of a data URL, of text between base64 markers, or of raw base64 of 32 characters or more; else null."""
     inner = F.when(F.startswith(source, F.lit("data:")), F.substring_index(source, ",", -1)).when(F.contains(source, F.lit("<|base64|>")), F.regexp_extract(source, r"<\|base64\|>([A-Za-z0-9+/=]*)", 1)).when(source.rlike(r"^[A-Za-z0-9+/=]{32,}$"), source)

@@ -274,6 +274,18 @@ def test_resampling_of_groups(spark):
     assert test["x"].significant and test["x"].n == 5 and test["y"].p_value is None
 
 
+def test_merged_resampling_agrees(spark):
+    rng = np.random.default_rng(7)
+    rows = [(g, i, float(v)) for g, n in (("a", 2000), ("b", 500)) for i, v in enumerate(rng.normal(5, 2, n))] + [("a", 9000, None), ("c", 1, 0.5)]
+    df = spark.createDataFrame(rows, "g string, i long, x double").repartition(3)
+    got = {r.g: r for r in statistics.bootstrap_merged(df, ["g"], "x", "i").collect()}
+    again = {r.g: r for r in statistics.bootstrap_merged(df.repartition(5), ["g"], "x", "i").collect()}
+    for g in "ab":
+        low, high = statistics.interval(np.array([x for k, _, x in rows if k == g and x is not None]))
+        assert abs(got[g].ci_lower - low) < 0.15 * (high - low) and abs(got[g].ci_upper - high) < 0.15 * (high - low) and got[g].ci_lower == pytest.approx(again[g].ci_lower)
+    assert got["c"].ci_lower == got["c"].ci_upper == 0.5
+
+
 def test_diff_and_inline_formulas(spark):
     for old, new in (("kitten", "sitting"), ("", "a"), ("same", "same")):
         ops = alignment.diff_ops(old, new)
@@ -369,6 +381,22 @@ def test_summary_upsert_on_disk(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/results").first().value == '{"é":1}'
 
 
+def test_worker_files(spark, tmp_path):
+    images = spark.createDataFrame([("m", 1, "b.png"), ("m", 0, "a.png")], "model string, position long, path string")
+    task = files.task_documents(images, ["model"], "cuda", '{"dpi":200}')
+    files.write_results(task, f"{tmp_path}/tasks")
+    assert spark.read.text(f"{tmp_path}/tasks").first().value == '{"image_paths":["a.png","b.png"],"device":"cuda","params":{"dpi":200}}'
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.json").write_text('{"model_load_time_seconds": 2,\n "pages": [{"image_path": "a.png", "result": {"page_number": 1}}, {"error": "x"}], "odd": 1}')
+    (tmp_path / "r" / "b.json").write_text("{broken")
+    got = {r.file: r for r in files.read_responses(spark, f"{tmp_path}/r").collect()}
+    assert got["a.json"].model_load_time_seconds == 2 and got["a.json"].peak_ram_mb == 0 and got["a.json"].pages[0].result == '{"page_number":1}' and got["a.json"].pages[1].error == "x" and got["b.json"].pages is None
+    (tmp_path / "i").mkdir()
+    (tmp_path / "i" / "p.PNG").write_bytes(b"abc")
+    (tmp_path / "i" / "t.txt").write_bytes(b"no")
+    assert [bytes(r.content) for r in files.load_images(spark, f"{tmp_path}/i").collect()] == [b"abc"]
+
+
 def test_replaced_table_survives_a_crash(spark, tmp_path):
     path = f"{tmp_path}/t"
     files.replace_table(spark.range(3), path)
