@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folimetry.functions import formatting
 from folimetry.operators import statistics as st
 from folimetry.plans.catalogue import register
 from folimetry.plans.inputs import REGIONS, SCORES, regions, scores, table
@@ -57,7 +58,7 @@ def _bullets(df: DataFrame) -> DataFrame:
 
 
 _regions("bullet_context", _bullets, "SELECT page, idx, coalesce(category = 'N' AND lag(category) OVER w = 'R' AND lead(category) OVER w = 'R' AND abs(x1 - lag(x1) OVER w) <= 100 AND abs(x1 - lead(x1) OVER w) <= 100, false) AS bullet FROM gt WINDOW w AS (PARTITION BY page ORDER BY idx)")
-_regions("label_class", lambda df: df.groupBy(F.when(F.col("category") == "A", "text").when(F.col("category") == "N", "table").otherwise("image").alias("class")).agg(F.count("*").alias("n")), "SELECT CASE category WHEN 'A' THEN 'text' WHEN 'N' THEN 'table' ELSE 'image' END AS class, count(*) AS n FROM gt GROUP BY 1")
+_regions("label_class", lambda df: df.groupBy(formatting.label_class(F.col("category"), {"text": ("A",), "table": ("N",), "image": ("R",)}).alias("class")).agg(F.count("*").alias("n")), "SELECT CASE category WHEN 'A' THEN 'text' WHEN 'N' THEN 'table' ELSE 'image' END AS class, count(*) AS n FROM gt GROUP BY 1")
 
 
 def _turns(name: str, joiner: str, head: bool, sql: str) -> None:

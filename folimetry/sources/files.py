@@ -27,6 +27,15 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return kept.filter(F.lower(F.regexp_extract("file", r"(\.[^.]*)$", 1)).isin(*SUPPORTED)).select("test_set", "file", "path", "modified")
 
 
+def list_test_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """(test_set) of the folders one below that hold files, sorted; none for a folder that isn't there."""
+    fs, place = _place(spark, folder)
+    if not fs.exists(place):
+        return spark.createDataFrame([], "test_set string")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.element_at(F.split("path", "/"), -2).alias("test_set"))
+    return found.distinct().orderBy("test_set")
+
+
 def stale(sources: DataFrame, cached: DataFrame) -> DataFrame:
     """Sources without cached pages, or whose oldest cached page is older than the source."""
     oldest = cached.groupBy("test_set", "file").agg(F.min("modified").alias("oldest"))

@@ -395,6 +395,8 @@ def test_worker_files(spark, tmp_path):
     (tmp_path / "i" / "p.PNG").write_bytes(b"abc")
     (tmp_path / "i" / "t.txt").write_bytes(b"no")
     assert [bytes(r.content) for r in files.load_images(spark, f"{tmp_path}/i").collect()] == [b"abc"]
+    assert [r.test_set for r in files.list_test_sets(spark, f"{tmp_path}").collect()] == ["i", "r", "tasks"] and files.list_test_sets(spark, f"{tmp_path}/none").count() == 0
+    assert [r.file for r in files.list_files(spark, f"{tmp_path}").collect()] == ["p.PNG"]
 
 
 def test_replaced_table_survives_a_crash(spark, tmp_path):
