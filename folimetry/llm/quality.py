@@ -30,6 +30,8 @@ DIM = 32
 NONZERO = 4
 WINDOW = 2
 SLICE_BYTES = 1 << 18
+#: Words whose contexts are held at once.
+SLICE_WORDS = 1 << 17
 THRESHOLD = 0.3
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 40, 256, 3e-3, 1e-4, 17
 CALIBRATION_SHARE = 5
@@ -45,7 +47,7 @@ def index_vectors() -> np.ndarray:
     return vectors
 
 
-_UPPER, _LOWER, _DIGIT, _OTHER = (np.zeros(256, np.int32) for _ in range(4))
+_UPPER, _LOWER, _DIGIT, _OTHER = (np.zeros(256, np.int8) for _ in range(4))
 _UPPER[65:91] = 1
 _LOWER[97:123] = _LOWER[0x80:] = 1
 _DIGIT[48:58] = 1
@@ -58,7 +60,8 @@ def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes = word_hashes(part, starts, ends)
     counts = []
     for kind in (_UPPER, _LOWER, _OTHER):
-        total = np.concatenate([[0], np.cumsum(kind[part], dtype=np.int64)])
+        total = np.zeros(len(part) + 1, np.int32)
+        np.cumsum(kind[part], dtype=np.int32, out=total[1:])
         counts.append(total[ends] - total[starts])
     upper, lower, other = counts
     size = ends - starts
@@ -88,16 +91,21 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batch, "text", SLICE_BYTES):
             bucket, shape, borders = symbols(whole_texts(b.column("text")))
             # WINDOW empty places between documents: no context reaches across
-            place = np.arange(len(bucket)) + WINDOW * (np.repeat(np.arange(len(borders) - 1), np.diff(borders)) + 1)
-            own = np.zeros((len(bucket) + WINDOW * (len(borders) + 1), DIM), np.int8)
-            own[place] = vectors[bucket] + vectors[shape]
-            around = np.zeros((len(bucket), DIM), np.int16)
-            for step in range(1, WINDOW + 1):
-                around += own[place - step]
-                around += own[place + step]
-            for ids in (bucket, shape):
-                order = np.argsort(ids, kind="stable")
-                if len(order):
+            place = np.arange(len(bucket)) + WINDOW * np.repeat(np.arange(len(borders) - 1), np.diff(borders))
+            for a in range(0, len(bucket), SLICE_WORDS):
+                z = min(a + SLICE_WORDS, len(bucket))
+                low, high = max(a - WINDOW, 0), min(z + WINDOW, len(bucket))
+                at = place[low:high] - place[a] + 2 * WINDOW
+                near = at >= 0  # those before may be in another document, far enough to be out of sight
+                own = np.zeros((int(at[-1]) + 2 * WINDOW + 1, DIM), np.int8)
+                own[at[near]] = vectors[bucket[low:high][near]] + vectors[shape[low:high][near]]
+                here = at[a - low : z - low]
+                around = np.zeros((z - a, DIM), np.int16)
+                for step in range(1, WINDOW + 1):
+                    around += own[here - step]
+                    around += own[here + step]
+                for ids in (bucket[a:z], shape[a:z]):
+                    order = np.argsort(ids, kind="stable")
                     first = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
                     table[ids[order][first]] += np.add.reduceat(around[order], first, axis=0, dtype=np.int64)
                     seen += np.bincount(ids, minlength=SYMBOLS)
@@ -137,8 +145,10 @@ def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     rows = len(n)
     each = np.maximum(n, 1)[:, None]
     words = np.zeros((rows, DIM), np.float32)
-    some = np.flatnonzero(n)
-    if len(some):
+    if len(bucket) > SLICE_WORDS:  # long texts: counts of buckets are smaller than a vector a word
+        for k in np.flatnonzero(n).tolist():
+            words[k] = np.bincount(bucket[borders[k] : borders[k + 1]], minlength=BUCKETS) @ vectors[:BUCKETS]
+    elif some := np.flatnonzero(n).tolist():
         words[some] = np.add.reduceat(vectors[bucket], borders[:-1][some], axis=0)
     shapes = np.bincount(np.repeat(np.arange(rows), n) * SHAPES + shape - BUCKETS, minlength=rows * SHAPES).reshape(rows, SHAPES) / each
     of_shapes = vectors[BUCKETS:]
