@@ -19,4 +19,11 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int = S
     """(doc_id, text, label) of at most `rows` labelled documents outside the held-out fold."""
     usable = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded: at most `rows` identifiers
+    return texts_of(docs, chosen)
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """chosen(doc_id, ...), a bounded list that is broadcast, with a text of docs for each row: of a repeated identifier the
+    first text in order, so that the result isn't longer than the list."""
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return met.groupBy(*chosen.columns).agg(F.min("text").alias("text"))

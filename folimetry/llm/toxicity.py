@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folimetry.llm.folds import held_out
+from folimetry.llm.folds import held_out, texts_of
 from folimetry.llm.pieces import by_bytes, trimmed, whole_texts
 from folimetry.llm.scratch import written
 from folimetry.llm.words import LETTERS, mix, span_hashes, word_hashes, word_spans
@@ -182,13 +182,13 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """(doc_id, text, label) of at most SAMPLE_ROWS training rows of either label."""
     usable = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
     part = [usable.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for y in (0, 1)]
-    chosen = docs.select("doc_id", "text").join(F.broadcast(part[0].unionByName(part[1])), "doc_id")  # bounded
+    chosen = written(texts_of(docs, part[0].unionByName(part[1])))
     rows = chosen.select("doc_id", "text").mapInArrow(trimmed(_signatures), "doc_id long, signature array<long>").toPandas()
     if len(rows):
         apart = independent(rows["doc_id"].to_numpy(), np.stack(rows["signature"].to_numpy()))
         kept = docs.sparkSession.createDataFrame([(int(i),) for i in apart], "doc_id long")
         chosen = chosen.join(F.broadcast(kept), "doc_id", "left_semi")  # bounded too
-    return written(chosen)
+    return chosen
 
 
 def _key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,8 +394,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tu
     for r in rows:
         counts[r.label, np.searchsorted(votes, r.votes)] = r.docs
     model = fit_label_model(votes, counts[2], counts[1], counts[0]) if len(votes) else LabelModel(np.zeros(3**VOTERS), np.full(VOTERS, -1), np.zeros(VOTERS))
-    others = docs.filter(~held_out(F.col("doc_id"))).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    beside = docs.select("doc_id", "text").join(F.broadcast(others), "doc_id")
+    others = docs.filter(~held_out(F.col("doc_id"))).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).distinct()
+    beside = texts_of(docs, others).select("doc_id", "text")
     fitted = sorted(sample.select("doc_id", "text").unionByName(beside).mapInArrow(trimmed(_featured(shared)), "doc_id long, votes long, features array<int>").collect())
     lists = [np.array(r.features, np.int64) for r in fitted]
     linear = fit_linear(lists, model.posterior[np.array([r.votes for r in fitted], np.int64)], features.size)
