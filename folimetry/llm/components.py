@@ -23,15 +23,15 @@ def components(links: DataFrame) -> DataFrame:
     """
     folder = shared_folder(links.sparkSession)
     pair = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
-    now = written(links.filter("u <> v").select(*pair).distinct(), folder)
+    now = written(links.filter("u <> v").select(*pair).distinct(), folder, links.count())
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), folder)
+        large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), folder, 2 * state[0])
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x"))
-        earlier, now = now, written(small.select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).filter("u <> v").distinct(), folder)
+        earlier, now = now, written(small.select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).filter("u <> v").distinct(), folder, 2 * state[0])
         release(earlier, large)
         before, state = state, _state(now)
         if state == before:

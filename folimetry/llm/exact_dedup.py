@@ -154,7 +154,7 @@ def filter_of(hits: DataFrame, n: int) -> BloomFilter:
     schema = "block long, bits binary"
     made = hits.select("high").mapInArrow(trimmed(fill), schema).repartition("block").mapInArrow(trimmed(merge), schema)
     out = BloomFilter(bits)
-    for row in made.toLocalIterator():
+    for row in made.collect():
         out.words.reshape(-1, FILTER_BLOCK // 8)[row.block] = np.frombuffer(row.bits, np.uint8)
     return out
 
@@ -203,7 +203,7 @@ def exact_groups(docs: DataFrame, keep: str = "largest", digest_hex: int = 32, r
     texts = hashed.select("high", "low", *IDENTITY[:2], "row_id", "doc_id", "text", "text_sha256").join(found, ["high", "low"], "left_semi")
     # byte by byte: copies are one row a task and text before they meet
     several = texts.groupBy("high", "low", "text").agg(F.lit(1).alias("one")).groupBy("high", "low").agg(F.count("*").alias("texts")).filter("texts > 1")
-    several = written(several.select("high", "low"), folder)
+    several = written(several.select("high", "low"), folder, n)
     asked = may_have_copies(keys, hits, n)
     own = {"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}
     columns = ["row_id", "doc_id", "text_sha256", "keep_id", "group_size", "kept"]

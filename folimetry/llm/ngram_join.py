@@ -376,18 +376,18 @@ def _visits(percent: int, exact: bool):
 def _across(members: DataFrame, links: DataFrame, percent: int, folder: str) -> list[DataFrame]:
     """Links between blocks of one cluster, from members(cluster, block, row_id, n, bitmap, shingles) of clusters of several
     blocks and the links inside blocks."""
-    found = [links]
-    places = members.select(*BLOCK, "row_id", "n")
+    found, places = [links], members.select(*BLOCK, "row_id", "n")
+    n = places.count()
 
     def labelled() -> DataFrame:
         parts = components(found[0] if len(found) == 1 else found[0].unionByName(found[1]))
         tagged = places.join(parts.withColumnRenamed("node", "row_id"), "row_id", "left")
-        return written(tagged.withColumn("component", F.coalesce("component", "row_id")), folder)
+        return written(tagged.withColumn("component", F.coalesce("component", "row_id")), folder, n)
 
     now = labelled()
     for _ in range(JOINING_ROUNDS):
         several = now.groupBy("cluster", "component").agg(F.count("*").alias("size"), F.min_by(F.struct("row_id", "n"), F.xxhash64("row_id")).alias("head")).filter("size > 1")
-        heads = written(_dealt(several.select("cluster", "head.row_id", "head.n")), folder)
+        heads = written(_dealt(several.select("cluster", "head.row_id", "head.n")), folder, n)
         more = written(_inside(heads.join(members.drop(*BLOCK, "n"), "row_id"), percent), folder)
         joined = more.count()
         found = [found[0], more if len(found) == 1 else found[1].unionByName(more)]
@@ -432,12 +432,13 @@ def ngram_components(docs: DataFrame, words: int = 3, percent: int = 90, row: st
     sets = written(rows.mapInArrow(trimmed(_sets(words)), SET_SCHEMA), folder)
     equal = ["n_shingles", "sum_a", "sum_b"]
     classes = sets.filter("n_shingles > 0").groupBy(*equal)
-    classes = written(classes.agg(F.min("doc_id").alias("least_id"), F.min("row_id").alias("leader"), F.count("*").alias("set_rows")), folder)
-    copies = written(sets.join(classes.filter("set_rows > 1"), equal).filter("row_id <> leader").select("row_id"), folder)
+    n = sets.count()
+    classes = written(classes.agg(F.min("doc_id").alias("least_id"), F.min("row_id").alias("leader"), F.count("*").alias("set_rows")), folder, n)
+    copies = written(sets.join(classes.filter("set_rows > 1"), equal).filter("row_id <> leader").select("row_id"), folder, n)
     leaders = rows.select("row_id", "text").join(_listed(copies), "row_id", "left_anti")
     near = candidates(leaders, sets, words, percent, folder)
     clusters = components(near).select(F.col("node").alias("row_id"), F.col("component").alias("cluster"))
-    plan = written(_dealt(clusters.join(sets.select("row_id", F.col("n_shingles").cast("int").alias("n")), "row_id")), folder)
+    plan = written(_dealt(clusters.join(sets.select("row_id", F.col("n_shingles").cast("int").alias("n")), "row_id")), folder, clusters.count())
 
     def members(of: DataFrame) -> DataFrame:
         kept = ["row_id", *BLOCK, "n"]
@@ -445,7 +446,7 @@ def ngram_components(docs: DataFrame, words: int = 3, percent: int = 90, row: st
         return chosen.mapInArrow(trimmed(_arrays(words, kept)), "row_id long, cluster long, block int, n int, bitmap binary, shingles binary")
 
     inside = written(_inside(members(plan), percent), folder)
-    wide = written(plan.join(plan.filter("block > 0").select("cluster").distinct(), "cluster", "left_semi"), folder)
+    wide = written(plan.join(plan.filter("block > 0").select("cluster").distinct(), "cluster", "left_semi"), folder, plan.count())
     links = inside
     if not wide.isEmpty():
         arrays = written(members(wide.select(*BLOCK, "row_id", "n")), folder)
@@ -457,9 +458,9 @@ def ngram_components(docs: DataFrame, words: int = 3, percent: int = 90, row: st
         release(arrays)
     linked = components(links)
     joined = classes.select(*equal, "leader", "least_id", "set_rows").join(linked.withColumnRenamed("node", "leader"), "leader", "left")
-    joined = written(joined.withColumn("component", F.coalesce("component", "leader")), folder)
+    joined = written(joined.withColumn("component", F.coalesce("component", "leader")), folder, n)
     labels = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    known = written(joined.join(labels, "component").select(*equal, "set_rows", "component", "component_id"), folder)
+    known = written(joined.join(labels, "component").select(*equal, "set_rows", "component", "component_id"), folder, n)
     release(classes, copies, near, plan, inside, wide, joined)
     return sets.select("row_id", "doc_id", *equal).join(known, equal, "left").select(
         "row_id", "doc_id", "n_shingles", F.coalesce("set_rows", F.lit(1)).alias("set_rows"),

@@ -27,9 +27,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/folimetry-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """The same rows read back from a Parquet table, so that lineage ends there and a lost executor costs one stage."""
+#: Rows of a file where a table's size is known beforehand.
+FILE_ROWS = 1 << 14
+
+
+def written(df: DataFrame, folder: str | None = None, rows: int | None = None) -> DataFrame:
+    """The same rows read back from a Parquet table, so that lineage ends there and a lost executor costs one stage. `rows`
+    says how many there are at most, if that is known: a small table isn't made in as many tasks and files as a large one."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{folder or shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)

@@ -119,7 +119,8 @@ def mix_levels(
     each document is taken at least), and which are taken once more: none (more = 0), all (more = docs), or those up to
     (cut, cut_row) in order of their spread. A row a source and size."""
     spark = docs.sparkSession
-    per_length = written(docs.groupBy("source_key", "source", "size").agg(F.count("*").alias("docs")))
+    per_length = written(docs.groupBy("source_key", "source", "size").agg(F.count("*").alias("docs")), rows=docs.count())
+    n = per_length.count()
     totals = per_length.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("words")).collect()  # a row a source
     wanted = targets([(r.source, r.words) for r in totals], weights, share, cap)
     words = {r.source: r.words for r in totals}
@@ -145,11 +146,11 @@ def mix_levels(
     in_buckets = keyed.groupBy(*group, "more", "bucket").agg(F.count("*").alias("here"))
     upto = F.sum("here").over(Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     at_cut = in_buckets.withColumn("upto", upto).filter("upto >= more and upto - here < more").select(*group, "bucket", (F.col("more") - F.col("upto") + F.col("here")).alias("nth"))
-    at_cut = written(at_cut)
+    at_cut = written(at_cut, rows=n)
     at_cut = F.broadcast(at_cut) if at_cut.count() <= BROADCAST_ROWS else at_cut.hint("merge")
     rank = F.row_number().over(Window.partitionBy(*group).orderBy("spread", "row_id"))
     cuts = keyed.join(at_cut, [*group, "bucket"]).withColumn("rank", rank).filter("rank = nth").select(*group, F.col("spread").alias("cut"), F.col("row_id").alias("cut_row"))
-    return written(fitted.join(cuts, group, "left").join(plan, "source_no").select("source_key", "size", "source_size", "target", "passes", "docs", "more", "cut", "cut_row"))
+    return written(fitted.join(cuts, group, "left").join(plan, "source_no").select("source_key", "size", "source_size", "target", "passes", "docs", "more", "cut", "cut_row"), rows=n)
 
 
 def _times() -> Column:
