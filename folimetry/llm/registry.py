@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folimetry.llm import exact_dedup, neighbours, ngram_join, packed_ids, quality, sentence_pieces, source_mix, toxicity, url_filter, warc
+from folimetry.llm import exact_dedup, fill_middle, neighbours, ngram_join, packed_ids, quality, sentence_pieces, source_mix, toxicity, url_filter, warc, whitening
 
 QUERIES = {
     "op5_warc": warc.op5_warc,
@@ -15,9 +15,12 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op9_source_mix": source_mix.op9_source_mix,
     "op10_url_filters": url_filter.op10_url_filters,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_whitening": whitening.op12_whitening,
 }
 ORACLES = {
     "op5_warc": warc.OP5_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op10_url_filters": url_filter.OP10_SQL,
+    "op11_fill_middle": fill_middle.OP11_SQL,
 }

@@ -615,12 +615,12 @@ def test_rows_stay_known_when_scans_split_differently(spark, monkeypatch):
     spark.createDataFrame(rows, "doc_id long, text string, html string").repartition(8).write.parquet(path)
     docs = spark.read.parquet(path)
 
-    def shaken(df, folder=None):
+    def shaken(df, folder=None, rows=None):
         jobs[0] += 1
         spark.conf.set("spark.sql.files.maxPartitionBytes", "64k" if jobs[0] % 2 else "128m")
         spark.conf.set("spark.sql.files.openCostInBytes", "64k" if jobs[0] % 2 else "4m")
         spark.conf.set("spark.sql.files.minPartitionNum", "1")
-        return written(df, folder)
+        return written(df, folder, rows)
 
     for module in (exact_dedup, ngram_join, warc):
         monkeypatch.setattr(module, "written", shaken)
