@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folimetry.llm import exact_dedup, fill_middle, neighbours, ngram_join, packed_ids, quality, sentence_pieces, source_mix, toxicity, url_filter, warc, whitening
+from folimetry.llm import exact_dedup, fill_middle, lm_scores, neighbours, ngram_join, packed_ids, quality, sentence_pieces, source_mix, toxicity, url_filter, warc, whitening
 
 QUERIES = {
     "op5_warc": warc.op5_warc,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_filters": url_filter.op10_url_filters,
     "op11_fill_middle": fill_middle.op11_fill_middle,
     "op12_whitening": whitening.op12_whitening,
+    "op13_lm_scores": lm_scores.op13_lm_scores,
 }
 ORACLES = {
     "op5_warc": warc.OP5_SQL,

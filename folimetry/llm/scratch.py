@@ -31,14 +31,18 @@ def shared_folder(spark: SparkSession) -> str:
 FILE_ROWS = 1 << 14
 
 
-def written(df: DataFrame, folder: str | None = None, rows: int | None = None) -> DataFrame:
+#: Options of written() for rows of some MB each, so that neither writer nor reader holds many at once.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
+
+
+def written(df: DataFrame, folder: str | None = None, rows: int | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """The same rows read back from a Parquet table, so that lineage ends there and a lost executor costs one stage. `rows`
     says how many there are at most, if that is known: a small table isn't made in as many tasks and files as a large one."""
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{folder or shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _PATHS[table] = path
     return table
