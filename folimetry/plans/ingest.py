@@ -99,38 +99,27 @@ def _stale(s: SparkSession, d: str) -> DataFrame:
 
 
 register("cache_stale", _stale, "WITH s AS (SELECT event_type AS test_set, user_id::VARCHAR AS file, min(ts) AS modified FROM events GROUP BY 1, 2), c AS (SELECT event_type AS test_set, user_id::VARCHAR AS file, min(ts) AS oldest FROM events WHERE hour(ts) > 12 GROUP BY 1, 2) SELECT test_set, file, modified FROM s LEFT JOIN c USING (test_set, file) WHERE oldest IS NULL OR oldest < modified")
-STEPS = [{"name": "noise", "params": {"sigma": [10, 25]}}, {"name": "salt_and_pepper", "params": {"amount": 0.25}}, {"name": "unknown", "params": {}}, {"name": "blur"}]
-register(
-    "degradation_grid", lambda s, d: degrade.variants(s, STEPS).select("label", "name"),
-    "SELECT * FROM (VALUES ('noise_sigma=10', 'noise'), ('noise_sigma=25', 'noise'), ('salt_and_pepper(amount=0.25)', 'salt_and_pepper'), ('blur()', 'blur')) t(label, name)",
-)
 register("degrade_pixels", lambda s, d: table(s, d, "pages").select("page_id", F.sha2(degrade.degraded(F.coalesce("html", F.lit("")).cast("binary"), F.when(F.col("page_id") % 2 == 0, "noise").otherwise("salt_and_pepper"), F.when(F.col("page_id") % 2 == 0, 25.0).otherwise(0.1)), 256).alias("digest")))
 
 
-register(
-    "degradation_sweep",
-    lambda s, d: degrade.sweep(table(s, d, "pages").select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("pixels")), STEPS).select("page_id", "degradation_label", F.octet_length("pixels").cast("long").alias("bytes")),
-    "SELECT page_id, label AS degradation_label, octet_length(encode(coalesce(html, ''))) AS bytes FROM pages, (VALUES (''), ('noise_sigma=10'), ('noise_sigma=25'), ('salt_and_pepper(amount=0.25)')) v(label)",
-)
-
-
 def _export(s: SparkSession, d: str) -> DataFrame:
     """Order lines as annotation exports, a task an order: a rectangle and a text for each line, both with its number as id,
-    rectangles in order of parts and texts after them; every seventh order has no annotations."""
+    rectangles in order of parts and texts after them; every seventh order has no annotations. Sizes of pages differ."""
     key = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     kind = F.element_at(F.create_map(F.lit("A"), F.lit("Table"), F.lit("N"), F.lit("Picture"), F.lit("R"), F.lit("Formula")), F.col("l_returnflag"))
+    sides = ((1000 + 100 * (F.col("l_orderkey") % 5)).alias("original_width"), (2000 + 100 * (F.col("l_orderkey") % 6)).alias("original_height"))
     rectangle = F.to_json(F.struct(
-        F.col("l_linenumber").cast("string").alias("id"), F.lit("rectanglelabels").alias("type"), F.lit(1000).alias("original_width"), F.lit(2000).alias("original_height"),
+        F.col("l_linenumber").cast("string").alias("id"), F.lit("rectanglelabels").alias("type"), *sides,
         F.struct((F.col("l_partkey") % 50).alias("x"), (F.col("l_suppkey") % 50).alias("y"), F.lit(10).alias("width"), F.lit(5).alias("height"), F.array(kind).alias("rectanglelabels")).alias("value"),
     ))
     written = F.to_json(F.struct(
-        F.col("l_linenumber").cast("string").alias("id"), F.lit("textarea").alias("type"), F.lit(1000).alias("original_width"), F.lit(2000).alias("original_height"),
+        F.col("l_linenumber").cast("string").alias("id"), F.lit("textarea").alias("type"), *sides,
         F.struct(F.array(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.lit("é")).alias("text")).alias("value"),
     ))
     tasks = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*key, rectangle.alias("r"), written.alias("t")))).alias("x"))
     results = F.array_join(F.concat(F.transform("x", lambda v: v["r"]), F.transform("x", lambda v: v["t"])), ",")
     body = F.when(F.col("l_orderkey") % 7 == 0, "[]").otherwise(F.concat(F.lit('[{"result":['), results, F.lit("]}]")))
-    return tasks.select(F.col("l_orderkey").alias("task"), F.concat(F.lit('{"file_upload":"0a1b2c3d-'), F.col("l_orderkey").cast("string"), F.lit('.png","annotations":'), body, F.lit("}")).alias("json"))
+    return tasks.repartition(7).select(F.col("l_orderkey").alias("task"), F.concat(F.lit('{"file_upload":"0a1b2c3d-'), F.col("l_orderkey").cast("string"), F.lit('.png","annotations":'), body, F.lit("}")).alias("json"))
 
 
 def _annotations(s: SparkSession, d: str) -> DataFrame:
@@ -143,7 +132,8 @@ register(
     f AS (SELECT l_orderkey, l_linenumber, min(k) AS first, arg_max(l_partkey, k) AS part, arg_max(l_suppkey, k) AS supp, arg_max(l_returnflag, k) AS flag FROM l GROUP BY 1, 2)
     SELECT l_orderkey AS task, l_orderkey || '.png' AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY first) - 1 AS place, CASE flag WHEN 'A' THEN 'table' WHEN 'N' THEN 'picture' ELSE 'formula' END AS category,
       CASE flag WHEN 'A' THEN 'html' WHEN 'N' THEN 'plain' ELSE 'latex' END AS text_format, 's' || supp || chr(10) || 'é' AS text,
-      (part % 50) * 10.0::DOUBLE AS x1, (supp % 50) * 20.0::DOUBLE AS y1, (part % 50) * 10.0::DOUBLE + 100 AS x2, (supp % 50) * 20.0::DOUBLE + 100 AS y2 FROM f""",
+      (part % 50) * w::DOUBLE AS x1, (supp % 50) * h::DOUBLE AS y1, (part % 50 + 10) * w::DOUBLE AS x2, (supp % 50 + 5) * h::DOUBLE AS y2
+    FROM (SELECT *, 10 + l_orderkey % 5 AS w, 20 + l_orderkey % 6 AS h FROM f)""",
 )
 
 
@@ -155,5 +145,5 @@ register(
     "annotation_pages", _annotated,
     """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k FROM lineitem WHERE l_orderkey % 7 <> 0),
     f AS (SELECT l_orderkey, l_linenumber, min(k) AS first, arg_max(l_suppkey, k) AS supp, arg_max(l_returnflag, k) AS flag FROM l GROUP BY 1, 2)
-    SELECT l_orderkey AS task, 1000 AS width, 2000 AS height, count(*) AS regions, md5(coalesce(string_agg(CASE WHEN flag <> 'N' THEN 's' || supp || chr(10) || 'é' END, chr(10) ORDER BY first), '')) AS digest FROM f GROUP BY 1""",
+    SELECT l_orderkey AS task, 1000 + 100 * (l_orderkey % 5) AS width, 2000 + 100 * (l_orderkey % 6) AS height, count(*) AS regions, md5(coalesce(string_agg(CASE WHEN flag <> 'N' THEN 's' || supp || chr(10) || 'é' END, chr(10) ORDER BY first), '')) AS digest FROM f GROUP BY 1""",
 )

@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from folimetry.operators.statistics import upsert
 
@@ -124,37 +123,46 @@ def annotations(exports: DataFrame, text: str = "json") -> DataFrame:
     """The columns of `exports` but its text, with one row a region of each annotation export: file, order, text, category,
     text_format, bbox in pixels, and the page's width and height.
 
-    Of a task's annotations the first counts. A rectangle and a text belong together by id; of several rectangles or texts
-    of an id the last counts, and regions are ordered by their id's first rectangle. Turned rectangles give the upright box
-    around them. Tasks without annotations or results, and malformed ones, give no rows.
+    Of a task's annotations the first counts. A rectangle and a text belong together by id (none is an id, too); of several
+    rectangles or texts of an id the last counts, and regions are ordered by their id's first rectangle. Turned rectangles
+    give the upright box around them. The page's size is that of its first item. Tasks without annotations or results, and
+    malformed ones, give no rows. A task is worked on in its own row: none is numbered, joined or shuffled, so that repeated
+    tasks stay apart however rows come.
     """
     others = [c for c in exports.columns if c != text]
-    parsed = exports.withColumn("__task", F.monotonically_increasing_id()).withColumn("__v", F.try_parse_json(text)).filter("__v is not null")
+    own = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(others)]
+    parsed = exports.select(*own, F.try_parse_json(text).alias("__v")).filter("__v is not null")
     upload = F.regexp_replace(F.coalesce(F.try_variant_get("__v", "$.file_upload", "string"), F.lit("")), "^[0-9a-f]{8}-", "")
-    items = F.try_variant_get("__v", "$.annotations[0].result", "array<variant>")
-    rows = parsed.select("__task", F.struct(*others, upload.alias("__file")).alias("__own"), F.posexplode(items).alias("__at", "__item"))
-
-    def get(path: str, kind: str) -> Column:
-        return F.try_variant_get("__item", path, kind)
-
-    sides = {n: get(f"$.value.{n}", "double") for n in ("x", "y", "width", "height")}
-    shape = F.struct(
-        *(c.alias(n) for n, c in sides.items()), F.coalesce(get("$.value.rotation", "double"), F.lit(0.0)).alias("rotation"),
-        get("$.original_width", "int").alias("page_width"), get("$.original_height", "int").alias("page_height"), F.lower(get("$.value.rectanglelabels[0]", "string")).alias("category"),
+    kept = [F.col(f"__c{i}") for i in range(len(others))]
+
+    def item(v: Column) -> Column:
+        def get(path: str, kind: str) -> Column:
+            return F.try_variant_get(v, path, kind)
+
+        sides = {n: get(f"$.value.{n}", "double") for n in ("x", "y", "width", "height")}
+        return F.struct(
+            get("$.id", "string").alias("id"), get("$.type", "string").alias("kind"), *(c.alias(n) for n, c in sides.items()), F.coalesce(get("$.value.rotation", "double"), F.lit(0.0)).alias("rotation"),
+            get("$.original_width", "int").alias("page_width"), get("$.original_height", "int").alias("page_height"), F.lower(get("$.value.rectanglelabels[0]", "string")).alias("category"),
+            F.array_join(get("$.value.text", "array<string>"), "\n").alias("text"),
+        )
+
+    def last(items: Column) -> Column:
+        return F.get(items, F.size(items) - 1)
+
+    found = F.try_variant_get("__v", "$.annotations[0].result", "array<variant>")
+    items = parsed.select(*kept, upload.alias("__file"), F.transform(found, item).alias("__items"))
+    split = items.select(*kept, "__file", "__items", F.filter("__items", lambda i: i["kind"] == "rectanglelabels").alias("__boxes"), F.filter("__items", lambda i: i["kind"] == "textarea").alias("__texts"))
+    ids = F.array_distinct(F.transform("__boxes", lambda b: b["id"]))
+    rows = split.select(*kept, "__file", F.get("__items", F.lit(0)).alias("__head"), "__boxes", "__texts", F.posexplode(ids).alias("order", "__id"))
+    placed = rows.select(
+        *kept, "__file", "__head", "order", last(F.filter("__boxes", lambda b: b["id"].eqNullSafe(F.col("__id")))).alias("__box"),
+        last(F.filter("__texts", lambda t: t["id"].eqNullSafe(F.col("__id"))))["text"].alias("__text"),
     )
-    kind, words = get("$.type", "string"), get("$.value.text", "array<string>")
-    found = rows.groupBy("__task", get("$.id", "string").alias("__id")).agg(
-        F.first("__own").alias("__own"), F.min(F.when(kind == "rectanglelabels", F.col("__at"))).alias("__first"),
-        F.max_by(F.when(kind == "rectanglelabels", shape), F.when(kind == "rectanglelabels", F.col("__at"))).alias("__box"),
-        F.max_by(F.when(kind == "textarea", F.array_join(words, "\n")), F.when(kind == "textarea", F.col("__at"))).alias("__text"),
-    ).filter("__first is not null")
-    size = rows.filter("__at = 0").select("__task", get("$.original_width", "int").alias("width"), get("$.original_height", "int").alias("height"))
-    order = (F.row_number().over(Window.partitionBy("__task").orderBy("__first")) - 1).alias("order")
     category = F.col("__box.category")
-    placed = found.join(size, "__task")
     return placed.select(
-        *(F.col(f"__own.{c}").alias(c) for c in others), F.col("__own.__file").alias("file"), order, F.coalesce("__text", F.lit("")).alias("text"), category.alias("category"),
-        F.when(category == "table", "html").when(category == "formula", "latex").otherwise("plain").alias("text_format"), upright(F.col("__box")).alias("bbox"), "width", "height",
+        *(F.col(f"__c{i}").alias(c) for i, c in enumerate(others)), F.col("__file").alias("file"), "order", F.coalesce("__text", F.lit("")).alias("text"), category.alias("category"),
+        F.when(category == "table", "html").when(category == "formula", "latex").otherwise("plain").alias("text_format"), upright(F.col("__box")).alias("bbox"),
+        F.col("__head.page_width").alias("width"), F.col("__head.page_height").alias("height"),
     )
 
 
