@@ -129,10 +129,12 @@ def _tag(block: dict, number: str) -> dict:
     return block | {"content": f"{content[:-3]} \\tag{{{number}}}\n$$"} if content.endswith("\n$$") else block
 
 
+#: Letters, each hyphen or apostrophe of a kind followed by something else: what passes for a word where no table is at hand.
+WORD_SHAPE = re.compile(r"[a-z](?:[a-z]|-(?!-)|'(?!')){2,30}")
+
+
 def likely_word(token: str) -> bool:
-    """Whether a joined token looks like a word: letters, single hyphens and apostrophes, 3 to 31 of them."""
-    low = token.strip().lower()
-    return re.fullmatch(r"[a-z][a-z'\-]{2,30}", low) is not None and "--" not in low and "''" not in low
+    return WORD_SHAPE.fullmatch(token.strip().lower()) is not None
 
 
 def with_whole_words(blocks: list[dict], valid: Callable[[str], bool] = likely_word) -> list[dict]:
@@ -201,6 +203,11 @@ complete_bullets = _on_pages(with_bullets)
 assemble = _on_pages(assembled)
 
 
+def merge_known_words(blocks: Column, known: Callable[[str], bool]) -> Column:
+    """merge_words() where `known` says what a word is: a table of frequencies (operators.frequencies)."""
+    return _on_pages(lambda page: with_whole_words(page, known))(blocks)
+
+
 def page_markdown(blocks: Column) -> Column:
     """Markdown of assembled blocks: their contents joined by blank lines, images left out."""
     kept = F.filter(blocks, lambda b: ~b["label"].isin(*CLASSES["image"]) & (F.coalesce(b["content"], F.lit("")) != ""))

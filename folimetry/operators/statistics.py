@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -78,10 +80,9 @@ def bootstrap(df: DataFrame, keys: list[str], value: str, order: list[str]) -> D
     return df.select(*dict.fromkeys([*keys, value, *order])).groupBy(*keys).applyInPandas(run, f"{schema}, ci_lower double, ci_upper double, n long")
 
 
-def bootstrap_merged(df: DataFrame, keys: list[str], value: str, row: str, resamples: int = 1000, confidence: float = CONFIDENCE) -> DataFrame:
-    """Interval of the mean of groups too large for one task, by Poisson resampling: how often a value is drawn in each
-    resample follows from its row number alone, so that tasks add up sums and counts of `resamples` draws and nothing
-    else. Not the draws of bootstrap(); the intervals agree as the groups grow. Resamples without a draw are left out."""
+def _poisson_means(df: DataFrame, keys: list[str], value: str, row: str, resamples: int) -> DataFrame:
+    """(keys, draw, mean, times) of Poisson resamples: how often a value is drawn in each follows from its row number alone,
+    so that tasks add up sums and counts of `resamples` draws and nothing else."""
     names = [f.name for f in df.select(*keys).schema]
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,8 +102,77 @@ def bootstrap_merged(df: DataFrame, keys: list[str], value: str, row: str, resam
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
     rows = df.select(*keys, F.col(value).cast("double").alias("__x"), F.col(row).cast("long").alias("__row"))
     drawn = rows.mapInPandas(draw, f"{kinds}, draw int, total double, times double").groupBy(*keys, "draw").agg((F.sum("total") / F.sum("times")).alias("mean"), F.sum("times").alias("times"))
+    return drawn.filter("times > 0")
+
+
+def bootstrap_merged(df: DataFrame, keys: list[str], value: str, row: str, resamples: int = 1000, confidence: float = CONFIDENCE) -> DataFrame:
+    """Interval of the mean of groups too large for one task, by Poisson resampling. Not the draws of bootstrap(); the
+    intervals agree as the groups grow. Resamples without a draw are left out."""
     low, high = 0.5 - confidence / 2, 0.5 + confidence / 2
-    return drawn.filter("times > 0").groupBy(*keys).agg(F.percentile("mean", F.lit(low)).alias("ci_lower"), F.percentile("mean", F.lit(high)).alias("ci_upper"))
+    return _poisson_means(df, keys, value, row, resamples).groupBy(*keys).agg(F.percentile("mean", F.lit(low)).alias("ci_lower"), F.percentile("mean", F.lit(high)).alias("ci_upper"))
+
+
+#: Bins between a group's least and largest value, in which values of known rank are looked for first.
+BINS = 4096
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Rows of equal keys, where null equals null, with the keys once."""
+    named = right.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(c for c in right.columns if c not in keys))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
+    return left.join(named, same, how).drop(*(f"__k{i}" for i in range(len(keys))))
+
+
+def values_at(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(keys, n, and a column for each of `ranks`): the values that come at these places, from 1, when a group's defined values
+    are sorted. Each rank is a function of the number of values, which it is kept within; groups of none have nulls.
+
+    No group meets in one task: values are counted by bin, then the distinct values of the bins that the places fall in.
+    """
+    x = df.select(*keys, defined(F.col(value).cast("double")).alias("__x"))
+    sizes = x.groupBy(*keys).agg(F.count("__x").alias("n"), F.min("__x").alias("__low"), F.max("__x").alias("__high"))
+    share = (F.col("__x") - F.col("__low")) / (F.col("__high") - F.col("__low"))
+    bins = F.when(F.col("__high") > F.col("__low"), F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise(0)
+    binned = _met(x.filter("__x is not null"), sizes, keys).withColumn("__bin", bins)
+    placed = F.array(*(F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.least(F.col("n"), rank(F.col("n")).cast("long"))).alias("k")) for name, rank in ranks.items()))
+
+    def reached(counted: DataFrame, by: list[str], at: str) -> DataFrame:
+        """Rows with how many values come before them, in order of `at`."""
+        return counted.withColumn("__before", F.sum("__n").over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["__before"])
+
+    held = reached(binned.groupBy(*keys, "__bin", "n").agg(F.count("*").alias("__n")), keys, "__bin")
+    holding = held.withColumn("__p", F.explode(placed)).filter("__p.k > __before and __p.k <= __before + __n")
+    wanted = holding.select(*keys, "__bin", F.col("__p.name").alias("__name"), (F.col("__p.k") - F.col("__before")).alias("__left"))
+    inside = _met(binned.groupBy(*keys, "__bin", "__x").agg(F.count("*").alias("__n")), wanted, [*keys, "__bin"])
+    found = reached(inside, [*keys, "__name"], "__x").filter("__left > __before and __left <= __before + __n")
+    columns = [F.max(F.when(F.col("__name") == name, F.col("__x"))).alias(name) for name in ranks]
+    return _met(sizes.select(*keys, "n"), found.groupBy(*keys).agg(*columns), keys, "left")
+
+
+def median_merged(df: DataFrame, keys: list[str], value: str, confidence: float = CONFIDENCE) -> DataFrame:
+    """(keys, n, median, ci_lower, ci_upper) of groups too large for one task: the bootstrap's percentile interval of the
+    median without drawing.
+
+    How many of a resample's values are at most the k-th smallest is binomial, so that the interval's ends are values of
+    known rank, half the group plus or minus z * sqrt(n) / 2. That holds for groups of some ten values on; of two middle
+    values the median is the lower one. Groups of one have their value, groups of none nulls.
+    """
+    z = NormalDist().inv_cdf(0.5 + confidence / 2)
+    return values_at(
+        df, keys, value, {"median": lambda n: F.ceil(n / 2), "ci_lower": lambda n: F.ceil(n / 2 - z * F.sqrt(n) / 2), "ci_upper": lambda n: F.ceil(n / 2 + z * F.sqrt(n) / 2)},
+    )
+
+
+def paired_merged(pairs: DataFrame, keys: list[str], row: str, resamples: int = 1000) -> DataFrame:
+    """(keys, mean_a, mean_b, p_value, significant, n) of groups of pairs (a, b) too large for one task: how often the mean
+    of Poisson-drawn differences is as far from their mean as that is from zero. Not the draws of paired_test(); the values
+    agree as the groups grow. Pairs with an undefined side don't count; fewer than two pairs give no p value."""
+    both = pairs.filter(defined(F.col("a")).isNotNull() & defined(F.col("b")).isNotNull()).withColumn("__gap", F.col("a") - F.col("b"))
+    means = both.groupBy(*keys).agg(F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg("__gap").alias("__seen"), F.count("*").alias("n"))
+    drawn = _poisson_means(both, keys, "__gap", row, resamples)
+    far = F.when(F.abs(F.col("mean") - F.col("__seen")) >= F.abs("__seen"), 1.0).otherwise(0.0)
+    found = _met(drawn, means, keys).groupBy(*keys).agg(F.first("mean_a").alias("mean_a"), F.first("mean_b").alias("mean_b"), F.when(F.first("n") > 1, F.avg(far)).alias("p_value"), F.first("n").alias("n"))
+    return found.withColumn("significant", F.col("p_value") < 0.05)
 
 
 def compare(a: DataFrame, b: DataFrame, keys: list[str], score: str = "score") -> DataFrame:

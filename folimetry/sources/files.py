@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from folimetry.operators.statistics import upsert
 
@@ -77,6 +78,35 @@ def json_pages(documents: DataFrame, text: str = "json") -> DataFrame:
     )
 
 
+def nested_regions(documents: DataFrame, text: str = "json") -> DataFrame:
+    """The columns of `documents` but its text, with a row for each region at any depth: position of its page, page number,
+    path (places from the top region down), parent (the path above, null at the top) and region.
+
+    Children are followed level by level by a recursive query; a region without children, or whose children aren't a list,
+    ends there. Entries that aren't objects are regions of defaults. Malformed documents give no rows. Spark stops recursive
+    queries at a million rows unless spark.sql.cteRecursionRowLimit says otherwise; where the session leaves it unset, it
+    is lifted here.
+    """
+    spark, others = documents.sparkSession, [c for c in documents.columns if c != text]
+    if spark.conf.get("spark.sql.cteRecursionRowLimit", None) in (None, "1000000"):
+        spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    own = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
+    parsed = documents.select(own.alias("own"), F.try_parse_json(text).alias("document")).filter("document is not null")
+    pages = parsed.select("own", F.posexplode(F.try_variant_get("document", "$.pages", "array<variant>")).alias("position", "p"))
+    number = F.coalesce(F.try_variant_get("p", "$.page_number", "int"), F.try_variant_get("p", "$.page", "int"), F.lit(1))
+    tops = pages.select("own", "position", number.alias("page"), F.try_variant_get("p", "$.regions", "array<variant>").alias("regions"))
+    found = spark.sql(
+        """WITH RECURSIVE r(own, position, page, path, v) MAX RECURSION LEVEL 100000 AS (
+          SELECT own, position, page, array(e.pos), e.col FROM {tops}, LATERAL posexplode(regions) e
+          UNION ALL
+          SELECT r.own, r.position, r.page, concat(r.path, array(e.pos)), e.col FROM r, LATERAL posexplode(try_variant_get(r.v, '$.children', 'array<variant>')) e
+        ) SELECT * FROM r""",
+        tops=tops,
+    )
+    parent = F.when(F.size("path") > 1, F.slice("path", 1, F.size("path") - 1))
+    return found.select(*(F.col(f"own.c{i}").alias(c) for i, c in enumerate(others)), "position", "page", "path", parent.alias("parent"), region_of(F.col("v")).alias("region"))
+
+
 def first_of(json: DataFrame, txt: DataFrame, key: str) -> DataFrame:
     """A stem's structured ground truth, else its plain one."""
     both = json.select(key, F.col("full_text").alias("a")).join(txt.select(key, F.col("full_text").alias("b")), key, "full")
@@ -199,6 +229,55 @@ def load_images(spark: SparkSession, folder: str) -> DataFrame:
     return found.filter(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*IMAGES)).select("path", "content")
 
 
+# --- results that arrive or change
+
+#: A result file's summary: what its name says where its content doesn't.
+RESULT = "model_name string, test_set string, device string, timestamp string, measured_runs long, total_pages_processed long, average_prediction_time_s_per_page double"
+
+
+def changed_since(listed: DataFrame, log: DataFrame) -> DataFrame:
+    """Rows of listed(path, modified) that log(path, modified) doesn't have, or has at another time. The newest entry counts."""
+    known = log.groupBy("path").agg(F.max("modified").alias("__known"))
+    return listed.join(known, "path", "left").filter(F.col("__known").isNull() | (F.col("__known") != F.col("modified"))).drop("__known")
+
+
+def result_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, modified) of the result files below a folder; contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*_results.json").load(folder)
+    return found.select("path", F.col("modificationTime").alias("modified"))
+
+
+def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path and a summary row of each result file: model and device by content, else by name, test set by folder; files that aren't JSON give no rows."""
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    read = whole.select("path", F.try_parse_json("value").alias("v"), F.from_json("value", RESULT).alias("r")).filter("v is not null")
+    parts = F.split("path", "/")
+    model, device = result_name(F.element_at(parts, -1))
+    return read.select(
+        "path", F.coalesce("r.model_name", model).alias("Model"), F.coalesce("r.test_set", F.element_at(parts, -2)).alias("Test Set"), F.coalesce("r.device", device).alias("Device"),
+        F.col("r.timestamp").alias("Timestamp"), F.col("r.measured_runs").alias("Runs"), F.col("r.total_pages_processed").alias("Pages"), F.col("r.average_prediction_time_s_per_page").alias("Avg Speed (s/page)"),
+    )
+
+
+def refresh_summary(spark: SparkSession, folder: str, summary: str, log: str) -> int:
+    """Read the result files that are new or have changed since the log, merge them into the summary and note them; how many
+    they are. The log is written last: after a crash the same files are read once more, to the same effect. Of files with
+    the same model, test set and device the newest counts. Paths that changed go through the driver, contents don't."""
+    restore_table(spark, log)
+    fs, place = _place(spark, log)
+    old = spark.read.schema("path string, modified timestamp").parquet(log) if fs.exists(place) else spark.createDataFrame([], "path string, modified timestamp")
+    found = changed_since(result_files(spark, folder), old).collect()
+    if not found:
+        return 0
+    times = spark.createDataFrame([(r.path, r.modified) for r in found], "path string, modified timestamp")
+    stamped = read_results(spark, [r.path for r in found]).join(times, "path", "left")
+    newest = F.row_number().over(Window.partitionBy(*SUMMARY_KEYS).orderBy(F.desc("modified"), F.desc("path")))
+    rows = stamped.withColumn("__k", newest).filter("__k = 1").drop("__k", "path", "modified")
+    upsert_summary(rows, summary)
+    replace_table(old.join(times.select("path"), "path", "left_anti").unionByName(times), log)
+    return len(found)
+
+
 # --- sinks
 
 
