@@ -3,9 +3,13 @@
 Vectors are dealt to shards by a hash; shards grow with the table up to a bound. A shard's equal vectors are one node. A
 node's top layer follows from a hash. Nodes are inserted a block at a time: each looks for its nearest in the graph built
 so far, layer by layer, and among its block; what is found is thinned so that links lead in different directions, and
-made mutual, where a node with too many links keeps the nearest. Layers are flat arrays of neighbour numbers. Queries go
+made mutual, where a node with too many links thins them in the same way. Layers are flat arrays of neighbour numbers. Queries go
 down the layers in step, many at a time; the distances of what they find are computed again in double precision.
 
+The graph works in single precision on vectors that are moved to the shard's mean and scaled by a power of two. A query that
+is far from the shard, or finds vectors nearer than single precision tells apart, is compared with all of the shard's
+vectors in double precision instead: no vector of finite components is lost, whatever its size.
+
 Queries are written once to the shared folder and read by each shard's task in blocks.
 """
 
@@ -33,6 +37,11 @@ BUILD_BEAM, BEAM, UPPER_BEAM, EXPAND = 48, 256, 8, 6
 QUERY_BLOCK = 128
 BUILD_BLOCK = 256
 NEAREST = 10
+#: Against the shard's largest component: a query is far beyond this, and distances below this aren't told apart (some 64
+#: roundings of a component).
+FAR, CLOSE = 16.0, 2.0**-18
+#: Vectors that a query is compared with at once in double precision.
+EXACT_ROWS = 1 << 12
 QUERY_STEP = 100
 
 
@@ -56,20 +65,27 @@ def _nearest(near: np.ndarray, gaps: np.ndarray, most: int) -> tuple[np.ndarray,
     return np.take_along_axis(near, order, axis=1), np.take_along_axis(gaps, order, axis=1)
 
 
-def _chosen(near: np.ndarray, apart: np.ndarray, vectors: np.ndarray, links: int) -> np.ndarray:
+#: Part of a distance by which another node must be nearer to a candidate than the row's own node, to make it needless. Of
+#: nodes close together one then doesn't hide the others' links to far ones.
+HIDDEN = 1 - 2.0**-10
+#: Squared distances up to this part of a squared norm are rounding: such nodes hide each other, too.
+ROUNDING = 2.0**-20
+
+
+def _chosen(near: np.ndarray, apart: np.ndarray, vectors: np.ndarray, links: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each row's candidates, nearest first, those nearer to the row's node than to any chosen before; then the nearest
-    of the others, up to the number of links."""
+    of the others, up to the number of links; and their distances."""
     found = vectors[near]
     norms = np.einsum("ijk,ijk->ij", found, found)
     between = norms[:, :, None] + norms[:, None, :] - 2 * np.matmul(found, found.transpose(0, 2, 1))
     taken = np.zeros(near.shape, bool)
     for j in range(near.shape[1]):
-        blocked = (taken & (between[:, j, :] < apart[:, j, None])).any(axis=1)
+        blocked = (taken & ((between[:, j, :] < HIDDEN * apart[:, j, None]) | (between[:, j, :] <= ROUNDING * norms[:, j, None]))).any(axis=1)
         taken[:, j] = ~blocked & (taken.sum(axis=1) < links) & np.isfinite(apart[:, j])
     rank = np.argsort(np.where(taken, 0, 1) + np.isinf(apart), axis=1, kind="stable")[:, :links]
-    out = np.take_along_axis(near, rank, axis=1)
-    out[np.isinf(np.take_along_axis(apart, rank, axis=1))] = -1
-    return out
+    out, gaps = np.take_along_axis(near, rank, axis=1), np.take_along_axis(apart, rank, axis=1)
+    out[np.isinf(gaps)] = -1
+    return out, gaps
 
 
 class Graph:
@@ -114,7 +130,7 @@ class Graph:
         near = np.hstack([found, np.broadcast_to(new, (len(new), len(new)))])
         gaps = np.hstack([self._gaps(own, found), among.astype(np.float32)])
         near, gaps = _nearest(near, gaps, BUILD_BEAM)
-        chosen = _chosen(near, gaps, self.vectors, layer.links.shape[1] // 2)
+        chosen, _ = _chosen(near, gaps, self.vectors, layer.links.shape[1] // 2)
         start, end = np.repeat(new, chosen.shape[1]), chosen.reshape(-1)
         start, end = start[end >= 0], end[end >= 0]
         start, end = np.divmod(np.unique(np.concatenate([start * len(self.vectors) + end, end * len(self.vectors) + start])), len(self.vectors))
@@ -129,7 +145,12 @@ class Graph:
         more, more_gaps = np.full((len(targets), width), -1, np.int64), np.full((len(targets), width), np.inf, np.float32)
         more[row[fits], rank[fits]], more_gaps[row[fits], rank[fits]] = end[fits], gap[fits]
         at = layer.place[targets]
-        kept, kept_gaps = _nearest(np.hstack([layer.links[at], more]), np.hstack([layer.gaps[at], more_gaps]), width)
+        both, both_gaps = _nearest(np.hstack([layer.links[at], more]), np.hstack([layer.gaps[at], more_gaps]), 2 * width)
+        kept, kept_gaps = both[:, :width].copy(), both_gaps[:, :width].copy()
+        full = np.flatnonzero(np.isfinite(both_gaps[:, width]))  # links that lead elsewhere stay among many near ones
+        for k in range(0, len(full), BUILD_BLOCK):
+            part = full[k : k + BUILD_BLOCK]
+            kept[part], kept_gaps[part] = _chosen(both[part], both_gaps[part], self.vectors, width)
         layer.links[at], layer.gaps[at] = np.where(np.isfinite(kept_gaps), kept, -1), kept_gaps
 
     def search(self, queries: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -179,34 +200,82 @@ class Graph:
             ids, gaps, done = np.hstack([ids, fresh]), np.hstack([gaps, more]), np.hstack([done, fresh < 0])
 
 
+def _power(x: np.ndarray) -> int:
+    """Exponent of two above the largest component."""
+    return int(np.frexp(np.abs(x).max(initial=0.0))[1])
+
+
+def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, scaled by a power of two so that squares neither overflow nor vanish."""
+    power = max(_power(vectors), _power(query)) + 1
+    delta = np.ldexp(vectors, -power) - np.ldexp(query, -power)
+    inner = _power(delta)
+    return np.ldexp(np.sqrt((np.ldexp(delta, -inner) ** 2).sum(axis=1)), power + inner)
+
+
 class Shard:
     """A graph over a shard's distinct vectors, with the identifiers and row numbers of each, by identifier."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray) -> None:
-        self.vectors, node = np.unique(vectors, axis=0, return_inverse=True)
+        self.vectors, node = np.unique(vectors.astype(np.float64), axis=0, return_inverse=True)
         node = node.reshape(-1)
         order = np.lexsort((rows, ids, node))
         self.ids, self.rows, self.first = ids[order], rows[order], np.searchsorted(node[order], np.arange(len(self.vectors) + 1))
-        self.graph = Graph(self.vectors, self.rows[self.first[:-1]])
+        self.power = _power(self.vectors)
+        moved = np.ldexp(self.vectors, -self.power)
+        self.centre = moved.mean(axis=0)
+        moved -= self.centre
+        self.inner = _power(moved)
+        self.graph = Graph(np.ldexp(moved, -self.inner), self.rows[self.first[:-1]])
+
+    def _found(self, queries: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Nodes that the graph finds for each query, and which queries are too far away for it."""
+        with np.errstate(over="ignore"):
+            moved = np.ldexp(np.ldexp(queries, -self.power) - self.centre, -self.inner)
+        far = ~(np.abs(moved).max(axis=1, initial=0.0) <= FAR)
+        out = [np.empty(0, np.int64)] * len(queries)
+        near = np.flatnonzero(~far)
+        if len(near):
+            for k, nodes in zip(near.tolist(), self.graph.search(moved[near]), strict=True):
+                out[k] = nodes[nodes >= 0]
+        return out, far
+
+    def _rows_of(self, nodes: np.ndarray, gap: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers and distances of the k nearest rows of the nodes but the query's own, by distance and identifier."""
+        places, gaps, have = [], [], 0
+        for g in np.unique(gap):  # of a vector's rows the first k + 1 are enough: one may be the query
+            here = np.concatenate([np.arange(self.first[n], min(self.first[n + 1], self.first[n] + k + 1)) for n in nodes[gap == g]])
+            here = here[self.rows[here] != own]
+            places.append(here[np.argsort(self.ids[here], kind="stable")])
+            gaps.append(np.full(len(here), g))
+            have += len(here)
+            if have >= k:
+                break
+        return (self.ids[np.concatenate(places)[:k]], np.concatenate(gaps)[:k]) if places else (np.empty(0, np.int64), np.empty(0))
+
+    def _exact(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest rows by comparison with all vectors; of each part, only nodes that can be among them are kept."""
+        nodes, gaps = np.empty(0, np.int64), np.empty(0)
+        for a in range(0, len(self.vectors), EXACT_ROWS):
+            nodes = np.concatenate([nodes, np.arange(a, min(a + EXACT_ROWS, len(self.vectors)))])
+            gaps = np.concatenate([gaps, distances(self.vectors[a : a + EXACT_ROWS], query)])
+            if len(nodes) > k + 1:
+                kept = gaps <= np.partition(gaps, k)[k]
+                nodes, gaps = nodes[kept], gaps[kept]
+        return self._rows_of(nodes, gaps, own, k)
 
     def nearest(self, query_rows: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Identifiers and distances of each query's k nearest rows found but its own one, by distance and identifier."""
-        out = []
+        out, close = [], np.ldexp(CLOSE, self.power + self.inner) * max(queries.shape[1], 1) ** 0.5
         for a in range(0, len(query_rows), QUERY_BLOCK):
-            block = queries[a : a + QUERY_BLOCK]
-            for own, vector, nodes in zip(query_rows[a : a + QUERY_BLOCK], block, self.graph.search(block), strict=True):
-                nodes = nodes[nodes >= 0]
-                gap = np.sqrt(((self.vectors[nodes].astype(np.float64) - vector.astype(np.float64)) ** 2).sum(axis=1))
-                places, gaps, have = [], [], 0
-                for g in np.unique(gap):  # of a vector's rows the first k + 1 are enough: one may be the query
-                    here = np.concatenate([np.arange(self.first[n], min(self.first[n + 1], self.first[n] + k + 1)) for n in nodes[gap == g]])
-                    here = here[self.rows[here] != own]
-                    places.append(here[np.argsort(self.ids[here], kind="stable")])
-                    gaps.append(np.full(len(here), g))
-                    have += len(here)
-                    if have >= k:
-                        break
-                out.append((self.ids[np.concatenate(places)[:k]], np.concatenate(gaps)[:k]) if places else (np.empty(0, np.int64), np.empty(0)))
+            block = queries[a : a + QUERY_BLOCK].astype(np.float64)
+            found, far = self._found(block)
+            for own, query, nodes, away in zip(query_rows[a : a + QUERY_BLOCK], block, found, far, strict=True):
+                if not away:
+                    ids, gaps = self._rows_of(nodes, distances(self.vectors[nodes], query), own, k)
+                if away or len(ids) < min(k, len(self.rows)) or 0 < gaps[-1] < close:
+                    ids, gaps = self._exact(query, own, k)
+                out.append((ids, gaps))
         return out
 
 
@@ -240,7 +309,8 @@ def nearest_rows(table: DataFrame, key: str, vector: str, queries: Column, k: in
     """query_id, rank, vec_id and score (Euclidean distance) of the k nearest rows found for each query of the table.
 
     Null, zero and non-finite vectors, and rows without a key, take no part; vectors of different lengths aren't
-    compared. Ties go to the smaller key. A query isn't its own neighbour; other rows that repeat its key or vector are. Queries that repeat a
+    compared. Components may have any finite size: counts and distances hold as long as the distance itself is a double.
+    Ties go to the smaller key. A query isn't its own neighbour; other rows that repeat its key or vector are. Queries that repeat a
     key have k answers each. With fewer candidates than k all are given. Groups of equal vectors of any size are one node
     each a shard. An empty table gives an empty result. Other columns aren't read.
     """
@@ -253,7 +323,7 @@ def nearest_rows(table: DataFrame, key: str, vector: str, queries: Column, k: in
     rows.filter("asked").select("row", "vec_id", "vector", "width").write.parquet(asked)
     shards = _shards(rows)
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).select("width", "shard", "vec_id", "row", "vector")
-    dealt = dealt.repartition(shards, "width", "shard").sortWithinPartitions("width", "shard")
+    dealt = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("width", "shard")  # a task a shard
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answers(parts: list[tuple[np.ndarray, ...]], width: int) -> Iterator[pa.RecordBatch]:
@@ -291,7 +361,7 @@ def nearest_rows(table: DataFrame, key: str, vector: str, queries: Column, k: in
 def _shards(rows: DataFrame) -> int:
     """As many shards as there are cores while each has LEAST_SHARD vectors; then they grow up to MOST_SHARD or SHARD_BYTES."""
     n, width = rows.agg(F.count("*"), F.max("width")).first()
-    most = min(MOST_SHARD, max(1, SHARD_BYTES // (4 * (width or 1))))
+    most = min(MOST_SHARD, max(1, SHARD_BYTES // (8 * (width or 1))))
     return max(1, min(-(-n // LEAST_SHARD), rows.sparkSession.sparkContext.defaultParallelism), -(-n // most))
 
 
