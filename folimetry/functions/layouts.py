@@ -98,42 +98,62 @@ def _is(v: Column, kind: str) -> Column:
     return F.startswith(F.schema_of_variant(v), F.lit(kind))
 
 
-def _coordinates(item: Column) -> tuple[Column, Column]:
-    """Four numbers of an item's bbox, and whether it has as many at least."""
-    many = F.try_variant_get(item, "$.bbox", "array<double>")
-    return F.slice(many, 1, 4), F.coalesce(F.size(many) >= 4, F.lit(False))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _text(item: Column) -> Column:
-    """The text of an item: a string, or another value written as one; missing, null and false ones are empty."""
-    found = F.try_variant_get(item, "$.text", "string")
-    return F.coalesce(F.when(found.isin("false", "0") & ~_is(F.try_variant_get(item, "$.text", "variant"), "STRING"), F.lit("")).otherwise(found), F.lit(""))
+def _read(item: Column, *more: Column) -> Column:
+    """An item's parts: numbers of its box (four, or null), its text, and `more`.
+
+    The text is a string, or another value written as one; missing, null and false ones are empty.
+    """
+    text = let(
+        F.try_variant_get(item, "$.text", "variant"),
+        lambda v: let(F.try_variant_get(v, "$", "string"), lambda found: F.coalesce(F.when(found.isin("false", "0") & ~_is(v, "STRING"), F.lit("")).otherwise(found), F.lit(""))),
+    )
+    numbers = let(F.try_variant_get(item, "$.bbox", "array<double>"), lambda many: F.when(F.size(many) >= 4, F.slice(many, 1, 4)))
+    return F.struct(numbers.alias("numbers"), text.alias("text"), *more)
+
+
+def _box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    return F.struct(F.least(x1, x2).alias("x1"), F.least(y1, y2).alias("y1"), F.greatest(x1, x2).alias("x2"), F.greatest(y1, y2).alias("y2"))
 
 
 def _capitalised(item: Column, index: Column, width: Column, height: Column) -> Column:
     """Boxes between 0 and 1 are shares of the page; reversed sides are swapped; the category may be called type."""
-    numbers, boxed = _coordinates(item)
-    share = F.forall(numbers, lambda v: (v >= 0) & (v <= 1))
-    x1, y1, x2, y2 = (numbers[i] * F.when(share, size).otherwise(1.0) for i, size in enumerate((width, height, width, height)))
-    box = F.struct(F.least(x1, x2).alias("x1"), F.least(y1, y2).alias("y1"), F.greatest(x1, x2).alias("x2"), F.greatest(y1, y2).alias("y2"))
-    named = [F.try_variant_get(item, f"$.{k}", "variant") for k in ("category", "type")]
-    raw = F.coalesce(*named)
-    name = F.when(raw.isNull(), "Text").when(_is(raw, "STRING"), F.try_variant_get(raw, "$", "string"))
-    category = F.when(name.isNull(), "text").otherwise(_lookup(LABELS_CAPITALISED, name, F.lower(name)))
+    raw = F.coalesce(*(F.try_variant_get(item, f"$.{k}", "variant") for k in ("category", "type")))
     confidence = F.coalesce(*(F.try_variant_get(item, f"$.{k}", "double") for k in ("confidence", "score")), F.lit(-1.0))
-    text = _text(item)
-    return region(text, category, parse.text_format(category, text), F.when(boxed, box), index, confidence)
+
+    def category(v: Column) -> Column:
+        name = F.when(v.isNull(), "Text").when(_is(v, "STRING"), F.try_variant_get(v, "$", "string"))
+        return let(name, lambda n: F.when(n.isNull(), "text").otherwise(_lookup(LABELS_CAPITALISED, n, F.lower(n))))
+
+    def placed(numbers: Column) -> Column:
+        scaled = let(F.forall(numbers, lambda v: (v >= 0) & (v <= 1)), lambda share: F.array(*(numbers[i] * F.when(share, size).otherwise(1.0) for i, size in enumerate((width, height, width, height)))))
+        return F.when(numbers.isNotNull(), let(scaled, lambda n: _box(*(n[i] for i in range(4)))))
+
+    return let(
+        _read(item, let(raw, category).alias("category"), confidence.alias("confidence")),
+        lambda x: region(x["text"], x["category"], parse.text_format(x["category"], x["text"]), placed(x["numbers"]), index, x["confidence"]),
+    )
 
 
 def _snake(item: Column, index: Column, width: Column, height: Column) -> Column:
     """Boxes are cut at the page, reversed sides swapped, and those without area dropped; unknown formats are markdown."""
-    numbers, boxed = _coordinates(item)
-    x1, y1, x2, y2 = (F.least(F.greatest(numbers[i], F.lit(0.0)), size.cast("double")) for i, size in enumerate((width, height, width, height)))
-    box = F.struct(F.least(x1, x2).alias("x1"), F.least(y1, y2).alias("y1"), F.greatest(x1, x2).alias("x2"), F.greatest(y1, y2).alias("y2"))
     name = F.lower(F.trim(F.coalesce(F.try_variant_get(item, "$.category", "string"), F.lit("text"))))
-    category = _lookup(LABELS_SNAKE, name, name)
-    form = F.when(category == "table", "html").when(category == "formula", "latex").when(category == "picture", "plain").otherwise("markdown")
-    return region(_text(item), category, form, F.when(boxed & (x1 != x2) & (y1 != y2), box), index)
+
+    def placed(numbers: Column) -> Column:
+        cut = F.array(*(F.least(F.greatest(numbers[i], F.lit(0.0)), size.cast("double")) for i, size in enumerate((width, height, width, height))))
+        return F.when(numbers.isNotNull(), let(cut, lambda n: F.when((n[0] != n[2]) & (n[1] != n[3]), _box(*(n[i] for i in range(4))))))
+
+    def form(category: Column) -> Column:
+        return F.when(category == "table", "html").when(category == "formula", "latex").when(category == "picture", "plain").otherwise("markdown")
+
+    return let(
+        _read(item, let(name, lambda n: _lookup(LABELS_SNAKE, n, n)).alias("category")),
+        lambda x: region(x["text"], x["category"], form(x["category"]), placed(x["numbers"]), index),
+    )
 
 
 _DIALECTS: dict[str, Callable[..., Column]] = {"capitalised": _capitalised, "snake": _snake}
@@ -146,26 +166,29 @@ def layout_page(json: Column, width: Column, height: Column, dialect: str = "cap
     LIST_KEYS that holds one, or an object that has a box or category. Items that are no objects are left out, though the
     order counts them. Text that isn't JSON is the page's text.
     """
-    document = F.try_parse_json(json)
+    none = F.array().cast("array<variant>")
 
-    def under(key: str) -> Column:
-        return F.try_variant_get(document, f"$.{key}", "array<variant>")
+    def items(document: Column) -> Column:
+        def under(key: str) -> Column:
+            return F.try_variant_get(document, f"$.{key}", "array<variant>")
+
+        single = F.array(document)
+        if dialect == "capitalised":
+            has = F.try_variant_get(document, "$.layout", "variant").isNotNull()
+            of_object = F.when(has, F.coalesce(under("layout"), none)).otherwise(single)
+        else:
+            has = F.coalesce(*(F.try_variant_get(document, f"$.{k}", "variant") for k in ("bbox", "category"))).isNotNull()
+            of_object = let(F.coalesce(*map(under, LIST_KEYS)), lambda found: F.when(F.size(found) > 0, found).when(has, single).otherwise(none))
+        return let(F.schema_of_variant(document), lambda kind: F.coalesce(F.when(F.startswith(kind, F.lit("ARRAY")), F.try_variant_get(document, "$", "array<variant>")).when(F.startswith(kind, F.lit("OBJECT")), of_object), none))
 
-    itself = F.try_variant_get(document, "$", "array<variant>")
-    single = F.array(document)
-    none = F.array().cast("array<variant>")
-    if dialect == "capitalised":
-        has = F.try_variant_get(document, "$.layout", "variant").isNotNull()
-        of_object = F.when(has, F.coalesce(under("layout"), none)).otherwise(single)
-    else:
-        has = F.coalesce(*(F.try_variant_get(document, f"$.{k}", "variant") for k in ("bbox", "category"))).isNotNull()
-        found = F.coalesce(*map(under, LIST_KEYS))
-        of_object = F.when(F.size(found) > 0, found).when(has, single).otherwise(none)
-    items = F.coalesce(F.when(_is(document, "ARRAY"), itself).when(_is(document, "OBJECT"), of_object), none)
     read = _DIALECTS[dialect]
-    regions = F.filter(F.transform(items, lambda v, i: F.when(_is(v, "OBJECT"), read(v, i, width, height))), lambda r: r.isNotNull())
-    regions = F.when(document.isNull(), F.array().cast(f"array<{REGION}>")).otherwise(regions)
-    return F.struct(F.when(document.isNull(), F.coalesce(json, F.lit(""))).otherwise(page_text(regions)).alias("full_text"), regions.alias("regions"))
+
+    def page(document: Column) -> Column:
+        regions = F.filter(F.transform(items(document), lambda v, i: F.when(_is(v, "OBJECT"), read(v, i, width, height))), lambda r: r.isNotNull())
+        plain = F.struct(F.coalesce(json, F.lit("")).alias("full_text"), F.array().cast(f"array<{REGION}>").alias("regions"))
+        return F.when(document.isNull(), plain).otherwise(let(regions, lambda found: F.struct(page_text(found).alias("full_text"), found.alias("regions"))))
+
+    return let(F.try_parse_json(json), page)
 
 
 def layout_markdown(json: Column, keep: bool = False) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from math import isqrt
 
 import numpy as np
 
@@ -12,8 +14,9 @@ from folimetry.operators.trees import table_similarity
 def edit_counts(reference: str, predicted: str) -> tuple[int, int, int, int]:
     """(hits, substitutions, deletions, insertions) of one shortest alignment.
 
-    Columns of the distance matrix are kept as bit vectors of their vertical steps, so a pair of n and m characters costs
-    n big-integer steps of m bits. Going back, a match or substitution is preferred to a deletion, that to an insertion.
+    Columns of the distance matrix are bit vectors of their vertical steps, so a pair of n and m characters costs m
+    big-integer steps of n bits. One column in some sqrt(m) is kept; going back, those between are made again, once. A match
+    or substitution is preferred to a deletion, that to an insertion.
     """
     a = 0
     while a < min(len(reference), len(predicted)) and reference[a] == predicted[a]:
@@ -29,29 +32,49 @@ def edit_counts(reference: str, predicted: str) -> tuple[int, int, int, int]:
     for i, c in enumerate(ref):
         at[c] = at.get(c, 0) | 1 << i
     full = (1 << len(ref)) - 1
-    up, down, columns = full, 0, []
-    for c in hyp:
-        equal = at.get(c, 0)
-        vertical = equal | down
-        across = (((equal & up) + up) ^ up) | equal
-        plus, minus = down | ~(across | up) & full, up & across
-        plus, minus = plus << 1 | 1, minus << 1
-        up, down = (minus | ~(vertical | plus)) & full, plus & vertical & full
-        columns.append((up, down))
+
+    def following(state: tuple[int, int], chars: str) -> Iterator[tuple[int, int]]:
+        """Steps up and down of the columns after one."""
+        up, down = state
+        for c in chars:
+            equal = at.get(c, 0)
+            vertical = equal | down
+            across = (((equal & up) + up) ^ up) | equal
+            plus, minus = down | ~(across | up) & full, up & across
+            plus, minus = plus << 1 | 1, minus << 1
+            up, down = (minus | ~(vertical | plus)) & full, plus & vertical & full
+            yield up, down
+
+    stride = isqrt(len(hyp)) + 1
+    kept, state = [(full, 0)], (full, 0)
+    for a in range(0, len(hyp), stride):
+        for state in following(state, hyp[a : a + stride]):
+            pass
+        kept.append(state)
+    held: dict[int, list[tuple[int, int]]] = {}
+
+    def column(c: int) -> tuple[int, int]:
+        """Column c of the matrix, from 1."""
+        block = (c - 1) // stride
+        if block not in held:
+            if len(held) > 1:
+                held.pop(max(held))
+            held[block] = list(following(kept[block], hyp[block * stride : (block + 1) * stride]))
+        return held[block][(c - 1) % stride]
+
     i, j, subs, dels, ins = len(ref), len(hyp), 0, 0, 0
 
-    def step(row: int, column: int) -> int:
-        """Distance at (row, column) less that at (row - 1, column)."""
-        if column == 0:
+    def step(row: int, c: int) -> int:
+        """Distance at (row, c) less that at (row - 1, c)."""
+        if c == 0:
             return 1
-        u, d = columns[column - 1]
+        u, d = column(c)
         return (u >> row - 1 & 1) - (d >> row - 1 & 1)
 
-    distance = len(hyp) + sum(step(r, len(hyp)) for r in range(1, len(ref) + 1))
-    here = distance
+    here = len(hyp) + column(len(hyp))[0].bit_count() - column(len(hyp))[1].bit_count()
     while i and j:
         above = here - step(i, j)
-        left_above = _distance_left(columns, i, j, here)
+        left_above = _distance_left(column, i, j)
         left = left_above + step(i, j - 1)
         if ref[i - 1] == hyp[j - 1] and left_above == here:
             hits, i, j, here = hits + 1, i - 1, j - 1, left_above
@@ -64,11 +87,11 @@ def edit_counts(reference: str, predicted: str) -> tuple[int, int, int, int]:
     return hits, subs, dels + i, ins + j
 
 
-def _distance_left(columns: list[tuple[int, int]], i: int, j: int, here: int) -> int:
+def _distance_left(column: Callable[[int], tuple[int, int]], i: int, j: int) -> int:
     """Distance at (i - 1, j - 1): the top row of column j - 1 is j - 1, and each bit below adds its step."""
     if j == 1:
         return i - 1
-    up, down = columns[j - 2]
+    up, down = column(j - 1)
     mask = (1 << i - 1) - 1
     return j - 1 + (up & mask).bit_count() - (down & mask).bit_count()
 

@@ -229,7 +229,7 @@ def _overlap(one: np.ndarray, others: np.ndarray, pixel: int) -> np.ndarray:
         return both / union if pixel else np.where(union <= 0, 0.0, both / union)
 
 
-def nms_class_aware(df: DataFrame, same: float = 0.6, other: float = 0.98) -> DataFrame:
+def nms_class_aware(df: DataFrame, same: float = 0.6, other: float = 0.95) -> DataFrame:
     """Inclusive IoU; a box is kept if it is below the threshold against every kept one."""
     return suppress(
         df, lambda y, x: iou_inclusive(_sides(y), _sides(x)) < F.when(y["category"] == x["category"], same).otherwise(other),

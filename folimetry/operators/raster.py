@@ -36,7 +36,7 @@ def blurred(pixels: np.ndarray, radius: float) -> np.ndarray:
     for axis in (1, 0):
         size = out.shape[axis]
         wide = np.take(out, np.clip(np.arange(-reach, size + reach), 0, size - 1), axis=axis)
-        out = sum(w * np.take(wide, np.arange(k, k + size), axis=axis) for k, w in enumerate(weights))
+        out = sum(w * (wide[:, k : k + size] if axis else wide[k : k + size]) for k, w in enumerate(weights))
     return _bytes(out)
 
 
@@ -49,6 +49,8 @@ def _cosines() -> np.ndarray:
 
 
 COSINES = _cosines()
+#: The transform of a block whose 64 values are in one row.
+BLOCK_COSINES = np.kron(COSINES, COSINES)
 
 
 def quantisation(table: np.ndarray, quality: int) -> np.ndarray:
@@ -61,10 +63,10 @@ def quantisation(table: np.ndarray, quality: int) -> np.ndarray:
 def _through_blocks(plane: np.ndarray, table: np.ndarray) -> np.ndarray:
     """A plane of whole 8x8 blocks, transformed, rounded to multiples of the table and transformed back."""
     h, w = plane.shape
-    blocks = plane.reshape(h // 8, 8, w // 8, 8).transpose(0, 2, 1, 3) - 128
-    kept = np.round(COSINES @ blocks @ COSINES.T / table) * table
-    back = COSINES.T @ kept @ COSINES + 128
-    return np.clip(np.round(back), 0, 255).transpose(0, 2, 1, 3).reshape(h, w)
+    blocks = plane.reshape(h // 8, 8, w // 8, 8).transpose(0, 2, 1, 3).reshape(-1, 64) - 128
+    kept = np.round(blocks @ BLOCK_COSINES.T / table.reshape(64)) * table.reshape(64)
+    back = np.clip(np.round(kept @ BLOCK_COSINES + 128), 0, 255)
+    return back.reshape(h // 8, w // 8, 8, 8).transpose(0, 2, 1, 3).reshape(h, w)
 
 
 def _doubled(plane: np.ndarray, axis: int) -> np.ndarray:
@@ -114,6 +116,8 @@ def rotated(pixels: np.ndarray, degrees: float, fill: int = WHITE) -> np.ndarray
         return pixels.copy()
     cos, sin = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
     out = np.full(pixels.shape, fill, np.uint8)
+    edged = np.pad(pixels, ((2, 2), (2, 2), (0, 0)), mode="edge")
+    values = edged.reshape(-1, pixels.shape[2]).astype(np.float32)
     rows = max(1, TURN_PIXELS // w)
     for top in range(0, h, rows):
         y, x = np.mgrid[top : min(top + rows, h), 0:w] + 0.5
@@ -122,11 +126,12 @@ def rotated(pixels: np.ndarray, degrees: float, fill: int = WHITE) -> np.ndarray
         inside = (from_x >= 0) & (from_x < w) & (from_y >= 0) & (from_y < h)
         from_x, from_y = from_x[inside] - 0.5, from_y[inside] - 0.5
         left, above = np.floor(from_x).astype(int), np.floor(from_y).astype(int)
+        corner = (above + 1) * edged.shape[1] + left + 1  # of the 4x4
+        across = [_cubic(from_x - left - dx)[:, None] for dx in range(-1, 3)]
         total = np.zeros((len(left), pixels.shape[2]))
-        for dy in range(-1, 3):
-            line = pixels[np.clip(above + dy, 0, h - 1)[:, None], np.clip(left[:, None] + np.arange(-1, 3), 0, w - 1)]
-            across = _cubic(from_x[:, None] - left[:, None] - np.arange(-1, 3))
-            total += _cubic(from_y - above - dy)[:, None] * np.einsum("ijk,ij->ik", line, across)
+        for dy in range(4):
+            line = sum(weight * values.take(corner + (dy * edged.shape[1] + dx), axis=0) for dx, weight in enumerate(across))
+            total += _cubic(from_y - above - (dy - 1))[:, None] * line
         out[top : top + rows][inside] = _bytes(total)
     return out
 
@@ -153,7 +158,7 @@ def resampled(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
             at, weights = _bands(out.shape[axis], wanted)
             shape = [1] * 3
             shape[axis] = wanted
-            out = _bytes(sum(np.take(out, at[:, k], axis=axis) * weights[:, k].reshape(shape) for k in range(at.shape[1])))
+            out = _bytes(sum(out.take(at[:, k], axis=axis) * weights[:, k].reshape(shape) for k in range(at.shape[1])))
     return out.copy() if out is pixels else out
 
 

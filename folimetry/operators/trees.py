@@ -5,9 +5,10 @@ void and self-closing elements stay open, so what follows nests below them. An e
 in place of the one before, unless it closes itself: then both go below a new element `root`. Attributes don't matter, and
 an element's text is its own pieces of text, stripped and joined by spaces.
 
-Trees are compared from the deepest level up: the distance of two elements needs the distances of their children alone,
-which are one level below. A row of distances, from one element to all of the other tree's elements of its level, is
-kept until its parent's row is made.
+Equal subtrees of either tree are one number. Two trees are compared level by level: going down, pairs of different
+subtrees give pairs of their children, without the equal ones that both lists begin and end with; going up, all pairs of a
+level with as many children are aligned at once in arrays. Equal beginnings and ends may be left out because the distance
+is a metric: an alignment that pairs them is never longer.
 """
 
 from __future__ import annotations
@@ -99,41 +100,134 @@ def parse_tree(html: str) -> Tree | None:
     return None if reader.root < 0 else Tree(reader.tags, [" ".join(w) for w in reader.words], reader.parents, reader.root)
 
 
-def _aligned(costs: list[np.ndarray], delete: np.ndarray, insert: np.ndarray) -> float:
-    """Least cost of aligning children in order: matched at costs[i][j], left out or put in at their sizes."""
-    added = np.concatenate([[0], np.cumsum(insert)]).astype(np.float64)
+#: Entries of child distances that are aligned at once.
+CELLS = 1 << 21
+#: Product of two trees' elements up to which arrays cost more than they save, and levels of such trees at most.
+FEW, SHALLOW = 1200, 30
+
+
+class _Subtrees:
+    """Different subtrees of some trees, by number: tag and text as numbers, size, children by number."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple, int] = {}
+        self.names: dict[str, int] = {}
+        self.tags: list[int] = []
+        self.texts: list[int] = []
+        self.sizes: list[int] = []
+        self.below: list[tuple[int, ...]] = []
+
+    def add(self, tree: Tree) -> int:
+        """The number of the whole tree."""
+        number = [0] * len(tree)
+        for k in range(len(tree) - 1, -1, -1):
+            tag, text = (self.names.setdefault(x, len(self.names)) for x in (tree.tags[k], tree.texts[k]))
+            key = (tag, text, tuple(number[int(tree.first[k]) : int(tree.first[k + 1])]))
+            if key not in self.known:
+                self.known[key] = len(self.known)
+                self.tags.append(tag)
+                self.texts.append(text)
+                self.sizes.append(int(tree.size[k]))
+                self.below.append(key[2])
+            number[k] = self.known[key]
+        return number[0]
+
+
+def _parted(x: tuple[int, ...], y: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Both lists without the equal members that they begin and end with."""
+    least, a, z = min(len(x), len(y)), 0, 0
+    while a < least and x[a] == y[a]:
+        a += 1
+    while z < least - a and x[-1 - z] == y[-1 - z]:
+        z += 1
+    return x[a : len(x) - z], y[a : len(y) - z]
+
+
+def _aligned(costs: np.ndarray, delete: np.ndarray, insert: np.ndarray) -> np.ndarray:
+    """Least cost of aligning children in order, for each of many pairs: matched at costs[:, i, j], left out or put in at
+    their sizes."""
+    added = np.concatenate([np.zeros((len(costs), 1)), np.cumsum(insert, axis=1)], axis=1)
     row = added
-    for cost, removed in zip(costs, delete, strict=True):
-        best = row + removed
-        best[1:] = np.minimum(best[1:], row[:-1] + cost)
-        row = np.minimum.accumulate(best - added) + added
-    return float(row[-1])
+    for i in range(costs.shape[1]):
+        best = row + delete[:, i, None]
+        best[:, 1:] = np.minimum(best[:, 1:], row[:, :-1] + costs[:, i])
+        row = np.minimum.accumulate(best - added, axis=1) + added
+    return row[:, -1]
+
+
+def _few(of: _Subtrees, x: int, y: int) -> int:
+    """Distance of two small subtrees, pair by pair."""
+    if x == y:
+        return 0
+    apart = (of.tags[x] != of.tags[y]) + (of.texts[x] != of.texts[y])
+    left, right = _parted(of.below[x], of.below[y])
+    sizes = of.sizes
+    if not left or not right:
+        return apart + sum(sizes[i] for i in left) + sum(sizes[j] for j in right)
+    row = [0]
+    for j in right:
+        row.append(row[-1] + sizes[j])
+    for i in left:
+        above, row = row, [row[0] + sizes[i]]
+        for k, j in enumerate(right):
+            row.append(min(above[k] + _few(of, i, j), above[k + 1] + sizes[i], row[k] + sizes[j]))
+    return apart + row[-1]
 
 
 def tree_distance(a: Tree, b: Tree) -> float:
     """Ordered edit distance of two roots: another tag costs one, another text one, and children that have no partner
     cost the size of their subtrees."""
-    names = {x: k for k, x in enumerate(dict.fromkeys([*a.tags, *b.tags, *a.texts, *b.texts]))}
-    tag, text = np.array([names[x] for x in b.tags]), np.array([names[x] for x in b.texts])
-    rows: dict[int, np.ndarray] = {}
-    deepest = len(b.levels) - 2
-    for x in range(len(a) - 1, -1, -1):
-        level = int(a.depth[x])
-        if level > deepest:
-            continue
-        low, high = int(b.levels[level]), int(b.levels[level + 1])
-        row = (tag[low:high] != names[a.tags[x]]).astype(np.float64) + (text[low:high] != names[a.texts[x]])
-        mine = range(int(a.first[x]), int(a.first[x + 1]))
-        if not mine:
-            row += b.size[low:high] - 1
-        else:
-            below = [rows.pop(c) for c in mine] if level < deepest else []
-            start = int(b.levels[level + 1])
-            for k in range(low, high):
-                p, q = int(b.first[k]), int(b.first[k + 1])
-                row[k - low] += _aligned([r[p - start : q - start] for r in below], a.size[mine.start : mine.stop], b.size[p:q]) if p < q else a.size[x] - 1
-        rows[x] = row
-    return float(rows[0][0])
+    found = _Subtrees()
+    roots = found.add(a), found.add(b)
+    if len(a) * len(b) <= FEW and len(a.levels) <= SHALLOW:
+        return float(_few(found, *roots))
+    count = len(found.known)
+    tags, texts, sizes = (np.array(v, np.int64) for v in (found.tags, found.texts, found.sizes))
+    bare = np.array([not children for children in found.below])
+
+    def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Distances of pairs of which one has no children: those of the other are left over."""
+        return (sizes[x] - 1.0) + (sizes[y] - 1.0) + (tags[x] != tags[y]) + (texts[x] != texts[y])
+
+    if roots[0] == roots[1]:
+        return 0.0
+    if bare[roots[0]] or bare[roots[1]]:
+        return float(apart(*np.array(roots)))
+    levels, pairs = [], np.array([roots[0] * count + roots[1]], np.int64)
+    while len(pairs):
+        groups: dict[tuple[int, int], list] = {}
+        for k, code in enumerate(pairs.tolist()):
+            x, y = _parted(found.below[code // count], found.below[code % count])
+            groups.setdefault((len(x), len(y)), []).append((k, x, y))
+        level, wanted = [], [np.empty(0, np.int64)]
+        for (p, q), members in groups.items():
+            at, x, y = (np.array([m[i] for m in members], np.int64).reshape(len(members), *shape) for i, shape in ((0, ()), (1, (p,)), (2, (q,))))
+            level.append((at, x, y))
+            step = max(1, CELLS // max(p * q, 1))
+            for k in range(0, len(at) if p and q else 0, step):
+                left, right = x[k : k + step, :, None], y[k : k + step, None, :]
+                wanted.append(np.unique((left * count + right)[(left != right) & ~bare[left] & ~bare[right]]))
+        levels.append((pairs, level))
+        pairs = np.unique(np.concatenate(wanted))
+    known, values = np.empty(0, np.int64), np.empty(0)
+    for pairs, level in reversed(levels):
+        x, y = np.divmod(pairs, count)
+        made = (tags[x] != tags[y]).astype(np.float64) + (texts[x] != texts[y])
+        for at, x, y in level:
+            p, q = x.shape[1], y.shape[1]
+            if not p or not q:
+                made[at] += sizes[x].sum(axis=1) + sizes[y].sum(axis=1)
+                continue
+            step = max(1, CELLS // (p * q))
+            for k in range(0, len(at), step):
+                left, right = np.broadcast_arrays(x[k : k + step, :, None], y[k : k + step, None, :])
+                costs = np.where(left == right, 0.0, apart(left, right))
+                deep = (left != right) & ~bare[left] & ~bare[right]
+                if deep.any():
+                    costs[deep] = values[np.searchsorted(known, left[deep] * count + right[deep])]
+                made[at[k : k + step]] += _aligned(costs, sizes[x[k : k + step]], sizes[y[k : k + step]])
+        known, values = pairs, made
+    return float(values[0])
 
 
 def table_similarity(a: str, b: str) -> float:

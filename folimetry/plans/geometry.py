@@ -70,7 +70,7 @@ def _nms_sql(keep: str) -> str:
 
 register("metric_layout_iou", lambda s, d: lo.layout_scores(*_both(s, d)))
 register("metric_reading_order", lambda s, d: lo.reading_order(*_both(s, d)))
-register("nms_class_aware", lambda s, d: lo.nms_class_aware(predictions(s, d)), _nms_sql(f"{_iou('y', 'b', 1)} < CASE WHEN y.category = b.category THEN 0.6 ELSE 0.98 END"))
+register("nms_class_aware", lambda s, d: lo.nms_class_aware(predictions(s, d), other=0.98), _nms_sql(f"{_iou('y', 'b', 1)} < CASE WHEN y.category = b.category THEN 0.6 ELSE 0.98 END"))
 register("nms_greedy", lambda s, d: lo.nms_greedy(predictions(s, d)), _nms_sql(f"{_iou('y', 'b')} <= 0.5"))
 register(
     "kendall_tau", lambda s, d: lo.kendall(regions(s, d), ["page"], "x1", "y1").withColumn("tau", F.round("tau", 9)),

@@ -183,7 +183,9 @@ def _tree_distance(a, b, x=0, y=0):
     return (a.tags[x] != b.tags[y]) + (a.texts[x] != b.texts[y]) + row[-1]
 
 
-def test_tree_distance_by_recursion():
+@pytest.mark.parametrize("few", [trees.FEW, 0])
+def test_tree_distance_by_recursion(monkeypatch, few):
+    monkeypatch.setattr(trees, "FEW", few)  # pair by pair, and in arrays
     rng, met = random.Random(0), 0
     for _ in range(600):
         x, y = (trees.parse_tree("".join(rng.choice(["<a>", "<b>", "</a>", "</b>", "<a/>", "x", "y ", "<br>"]) for _ in range(rng.randrange(1, 16)))) for _ in range(2))
@@ -201,6 +203,38 @@ def test_trees_of_any_depth():
     assert trees.parse_tree("plain") is None and trees.parse_tree(None) is None and trees.parse_tree("<a>x<c> y </c></a>z").texts == ["x", "y"]
 
 
+def test_long_tables_are_compared_in_arrays(monkeypatch):
+    rng = random.Random(5)
+
+    def table(rows):
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
+
+    for size in (3, 9):
+        rows = [[rng.randrange(6) for _ in range(rng.randrange(1, 5))] for _ in range(size)]
+        other = [list(r) for r in rows if rng.random() < 0.8] + [[1, 2]]
+        other[0][0] = 99
+        monkeypatch.setattr(trees, "CELLS", 16)  # several slices a level
+        monkeypatch.setattr(trees, "FEW", 0)
+        x, y = trees.parse_tree(table(rows)), trees.parse_tree(table(other))
+        assert trees.tree_distance(x, y) == _tree_distance(x, y)
+    long = [[rng.randrange(1000) for _ in range(20)] for _ in range(300)]
+    changed = [r if k % 50 else [0] * 20 for k, r in enumerate(long)]
+    assert trees.table_similarity(table(long), table(changed)) == 1 - 6 * 20 / (1 + 300 * 21)
+
+
+def test_alignment_of_long_texts_in_little_memory():
+    import tracemalloc
+
+    rng = random.Random(6)
+    a = "".join(rng.choice("abcdefgh ") for _ in range(30_000))
+    b = "".join(c if rng.random() > 0.1 else "z" for c in a)[:-50]
+    tracemalloc.start()
+    hits, subs, dels, ins = alignment.edit_counts(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6 and hits + subs + dels == len(a) and hits + subs + ins == len(b) and subs + dels + ins == alignment.edit_distance(a, b)
+
+
 def test_concordance_by_pairs():
     for seed in range(40):
         rng = np.random.default_rng(seed)
