@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
 from math import isqrt
 
 import numpy as np
@@ -180,7 +179,89 @@ def teds(reference: list[str], predicted: list[str]) -> float:
     return float(sum(scores[i, j] for i, j in assign(scores)) / len(reference))
 
 
+class _Substrings:
+    """All substrings of a text as states: those that end at the same places are one. Made in time linear in the text."""
+
+    def __init__(self, text: str) -> None:
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.size, self.end = [-1], [0], [-1]  # shorter ends, longest member, where it first ends
+        last = 0
+        for k, c in enumerate(text):
+            here = self._state(self.size[last] + 1, k, {})
+            p = last
+            while p >= 0 and c not in self.next[p]:
+                self.next[p][c] = here
+                p = self.link[p]
+            if p < 0:
+                self.link[here] = 0
+            else:
+                q = self.next[p][c]
+                if self.size[q] > self.size[p] + 1:
+                    part = self._state(self.size[p] + 1, self.end[q], dict(self.next[q]))
+                    self.link[part], self.link[q] = self.link[q], part
+                    while p >= 0 and self.next[p].get(c) == q:
+                        self.next[p][c] = part
+                        p = self.link[p]
+                    q = part
+                self.link[here] = q
+            last = here
+
+    def _state(self, size: int, end: int, following: dict[str, int]) -> int:
+        self.next.append(following)
+        self.link.append(-1)
+        self.size.append(size)
+        self.end.append(end)
+        return len(self.next) - 1
+
+    def longest_in(self, text: str) -> tuple[int, int, int]:
+        """(place in `text`, place in the own text, length) of the longest common substring: of several the first in
+        `text`, then the first in the own text."""
+        state = length = 0
+        best = (0, 0, 0)
+        for k, c in enumerate(text):
+            while state and c not in self.next[state]:
+                state = self.link[state]
+                length = self.size[state]
+            if c in self.next[state]:
+                state, length = self.next[state][c], length + 1
+            if length > best[2]:
+                best = (k - length + 1, self.end[state] - length + 1, length)
+        return best
+
+
+def common_blocks(reference: str, predicted: str) -> list[tuple[int, int, int]]:
+    """(place, place, length) of the longest common substring, and of those before it and after it in the same way, in order;
+    neighbours are one. The time is linear in the texts for each depth of halving."""
+    out, todo = [], [(0, len(reference), 0, len(predicted))]
+    while todo:
+        a, z, c, e = todo.pop()
+        if a == z or c == e:
+            continue
+        if reference[a:z] == predicted[c:e]:
+            out.append((a, c, z - a))
+            continue
+        i, j, n = _Substrings(predicted[c:e]).longest_in(reference[a:z])
+        if n:
+            i, j = a + i, c + j
+            out.append((i, j, n))
+            todo += [(a, i, c, j), (i + n, z, j + n, e)]
+    merged: list[tuple[int, int, int]] = []
+    for i, j, n in sorted(out):
+        if merged and merged[-1][0] + merged[-1][2] == i and merged[-1][1] + merged[-1][2] == j:
+            merged[-1] = (*merged[-1][:2], merged[-1][2] + n)
+        else:
+            merged.append((i, j, n))
+    return merged
+
+
 def diff_ops(reference: str, predicted: str) -> list[tuple[str, str, str]]:
-    """Runs that are equal, replaced, deleted or inserted."""
-    found = SequenceMatcher(None, reference, predicted, autojunk=False).get_opcodes()
-    return [(kind, reference[a:b], predicted[c:d]) for kind, a, b, c, d in found]
+    """Runs that are equal, replaced, deleted or inserted, between common_blocks()."""
+    out, a, c = [], 0, 0
+    for i, j, n in [*common_blocks(reference, predicted), (len(reference), len(predicted), 0)]:
+        if a < i or c < j:
+            kind = "replace" if a < i and c < j else "delete" if a < i else "insert"
+            out.append((kind, reference[a:i], predicted[c:j]))
+        if n:
+            out.append(("equal", reference[i : i + n], predicted[j : j + n]))
+        a, c = i + n, j + n
+    return out

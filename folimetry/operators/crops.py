@@ -59,3 +59,20 @@ def draw_boxes(pages: DataFrame, pixels: str, width: str, boxes: Column, colour:
         return pd.Series(out, dtype=object)
 
     return pages.withColumn(pixels, run(F.col(pixels), F.col(width).cast("int"), sides))
+
+
+def limit_images(pages: DataFrame, pixels: str, width: str, long_side: int = 3500, channels: int = 3) -> DataFrame:
+    """The columns of `pages` with `pixels` and `width` of images whose longer side is `long_side` at most: larger ones are
+    resampled in proportion. Pages whose bytes aren't whole rows, and null ones, stay as they are."""
+
+    @F.pandas_udf("struct<pixels:binary,width:int>")
+    def run(raws: pd.Series, widths: pd.Series) -> pd.DataFrame:
+        out = []
+        for raw, w in zip(raws, widths, strict=True):
+            page = _image(raw, w, channels)
+            made = None if page is None else raster.limited(page, long_side)
+            out.append((raw, None if pd.isna(w) else int(w)) if made is None else (made.tobytes(), made.shape[1]))
+        return pd.DataFrame(out, columns=["pixels", "width"]).astype({"width": "Int32"})
+
+    made = pages.withColumn("__made", run(F.col(pixels), F.col(width).cast("int")))
+    return made.withColumns({pixels: F.col("__made.pixels"), width: F.col("__made.width")}).drop("__made")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -402,3 +404,25 @@ def resize_by_steps(width: Column, height: Column, factor: int = 28, least: int
 
 def resize_by_blocks(width: Column, height: Column, grid: int = 28, least: int = 1792 * 28, most: int = 3072 * 2048) -> Column:
     return _resized(width, height, lambda w, h: sides_by_blocks(w, h, grid, least, most))
+
+
+def first_close(reference: DataFrame, candidates: DataFrame, page: str = "page", place: str = "idx", tolerance: float = 1.0) -> DataFrame:
+    """(page, place, match) of each reference box: the smallest place of a candidate on its page with all four sides within
+    the tolerance, or null. Boxes meet by cells of their left and top sides as wide as the tolerance, in which a candidate
+    is once and a reference box looks into nine; boxes with a null side match nothing."""
+    if tolerance <= 0:
+        raise ValueError("the tolerance must be above 0")
+
+    def cell(side: str) -> Column:
+        return F.floor(F.col(side).cast("double") / tolerance)
+
+    given = reference.select(page, place, *SIDES)
+    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    asked = given.withColumn("__n", F.explode(near)).select(
+        F.col(page).alias("__page"), F.col(place).alias("__place"), *(F.col(c).alias(f"__{c}") for c in SIDES), (cell("x1") + F.col("__n.i")).alias("__i"), (cell("y1") + F.col("__n.j")).alias("__j"),
+    )
+    there = candidates.select(page, F.col(place).alias("__match"), *SIDES, cell("x1").alias("__i"), cell("y1").alias("__j"))
+    close = reduce(lambda x, y: x & y, (F.abs(F.col(c) - F.col(f"__{c}")) <= tolerance for c in SIDES))
+    met = asked.join(there, (F.col("__page") == F.col(page)) & (asked["__i"] == there["__i"]) & (asked["__j"] == there["__j"]) & close)
+    found = met.groupBy("__page", "__place").agg(F.min("__match").alias("match"))
+    return given.select(page, place).join(found.withColumnsRenamed({"__page": page, "__place": place}), [page, place], "left")

@@ -172,7 +172,7 @@ def limited(pixels: np.ndarray, long_side: int = 3500) -> np.ndarray:
     """Made smaller, if its longer side is above `long_side`."""
     h, w = pixels.shape[:2]
     scale = min(1.0, long_side / max(h, w, 1))
-    return resampled(pixels, max(1, int(w * scale)), max(1, int(h * scale))) if scale < 1 else pixels.copy()
+    return resampled(pixels, max(1, int(w * scale)), max(1, int(h * scale))) if scale < 1 and pixels.size else pixels.copy()
 
 
 # --- polygons

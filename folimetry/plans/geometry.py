@@ -184,13 +184,7 @@ register(
 
 def _matched(s: SparkSession, d: str) -> DataFrame:
     """First polygon (predicted box) with all four sides within 1 of the reference box; else none."""
-
-    met = lo.renamed(regions(s, d), "g_").join(lo.renamed(predictions(s, d), "p_"), "page", "left")
-    close = F.lit(True)
-    for side in lo.SIDES:
-        close = close & (F.abs(F.col("g_" + side) - F.col("p_" + side)) <= 1)
-    first = met.withColumn("hit", F.when(close, F.col("p_idx"))).groupBy("page", "g_idx").agg(F.min("hit").alias("poly"))
-    return first.select("page", F.col("g_idx").alias("idx"), F.coalesce("poly", F.lit(-1)).alias("poly"))
+    return lo.first_close(regions(s, d), predictions(s, d)).select("page", "idx", F.coalesce("match", F.lit(-1)).alias("poly"))
 
 
 register(

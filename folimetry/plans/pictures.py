@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folimetry.operators import degrade
-from folimetry.operators.crops import crop_regions
+from folimetry.operators.crops import crop_regions, draw_boxes, limit_images
 from folimetry.plans.catalogue import register
 from folimetry.plans.inputs import table
 from folimetry.sources import images
@@ -148,3 +148,26 @@ register(
       FROM g JOIN e USING (page_id), range({WIDTH}) t(x) GROUP BY ALL)
     SELECT page_id, any_value(width) AS width, any_value(height)::INT AS height, count(*) FILTER (WHERE edge OR inside) AS kept, count(*) AS pixels FROM c JOIN p USING (page_id) GROUP BY page_id""",
 )
+
+
+def _framed(s: SparkSession, d: str) -> DataFrame:
+    """White pixels of two frames drawn on black pages; the second reaches beyond the page."""
+    black = page_pixels(s, d).withColumn("pixels", F.repeat(F.lit("\u0000"), F.octet_length("pixels")).cast("binary"))
+    x, y = (F.col("page_id") % 40).cast("double"), (F.col("page_id") % 11).cast("double")
+    boxes = F.array(*(F.struct(*(c.alias(n) for n, c in zip(("x1", "y1", "x2", "y2"), b, strict=True))) for b in ((x, y, x + 20, y + 9), (x + 30, y + 5, x + 90, y + 500))))
+    made = draw_boxes(black, "pixels", "width", boxes, (255, 255, 255))
+    return made.select("page_id", "width", "height", (F.octet_length(F.regexp_replace(F.hex("pixels"), "00", "")) / 6).cast("long").alias("drawn"))
+
+
+register(
+    "page_frames", _framed,
+    f"""{_PIXELS}, b AS (SELECT page_id, height, page_id % 40 AS x1, page_id % 11 AS y1, page_id % 40 + 20 AS x2, page_id % 11 + 9 AS y2 FROM p UNION ALL SELECT page_id, height, page_id % 40 + 30, page_id % 11 + 5, page_id % 40 + 90, page_id % 11 + 500 FROM p),
+    g AS (SELECT page_id, height, unnest(range(0, height)) AS y FROM p),
+    c AS (SELECT g.page_id, g.y, t.x, bool_or(t.x BETWEEN x1 AND x2 AND g.y BETWEEN y1 AND y2 AND NOT (t.x BETWEEN x1 + 2 AND x2 - 2 AND g.y BETWEEN y1 + 2 AND y2 - 2)) AS hit FROM g JOIN b USING (page_id), range({WIDTH}) t(x) GROUP BY 1, 2, 3)
+    SELECT page_id, any_value(width) AS width, any_value(height) AS height, count(*) FILTER (WHERE hit) AS drawn FROM c JOIN p USING (page_id) GROUP BY 1""",
+)
+register(
+    "image_limit", lambda s, d: limit_images(page_pixels(s, d), "pixels", "width", 50).select("page_id", F.col("width").cast("long").alias("width"), (F.octet_length("pixels") / (3 * F.col("width"))).cast("long").alias("height")),
+    f"""{_PIXELS}, m AS (SELECT page_id, width, height, least(1.0::DOUBLE, 50::DOUBLE / greatest(width, height)) AS f FROM p)
+    SELECT page_id, CASE WHEN f < 1 THEN greatest(trunc(width * f), 1) ELSE width END::BIGINT AS width, CASE WHEN f < 1 THEN greatest(trunc(height * f), 1) ELSE height END::BIGINT AS height FROM m""",
+)

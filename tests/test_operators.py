@@ -222,6 +222,19 @@ def test_long_tables_are_compared_in_arrays(monkeypatch):
     assert trees.table_similarity(table(long), table(changed)) == 1 - 6 * 20 / (1 + 300 * 21)
 
 
+def test_diff_by_longest_blocks():
+    from difflib import SequenceMatcher
+
+    rng = random.Random(7)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(25))) for _ in range(2))
+        assert alignment.diff_ops(a, b) == [(k, a[p:q], b[r:s]) for k, p, q, r, s in SequenceMatcher(None, a, b, autojunk=False).get_opcodes()]
+    long = "".join(rng.choice("abcdefgh ") for _ in range(40_000))
+    other = "".join(rng.choice("abcdefgh ") for _ in range(40_000))
+    ops = alignment.diff_ops(long, other)
+    assert "".join(x for _, x, _ in ops) == long and "".join(y for _, _, y in ops) == other
+
+
 def test_alignment_of_long_texts_in_little_memory():
     import tracemalloc
 

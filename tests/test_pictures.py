@@ -71,3 +71,27 @@ def test_annotations_by_id(spark):
     one = [("four", "B2\nB3", 0, 9.0), ("two", "A1", 1, 0.0), ("three", "no id", 2, 0.0)]
     assert sorted((r.order, r.category, r.text, r.bbox.x1) for r in got) == sorted((k, c, t, x) for c, t, k, x in one * 2)
     assert {r.width for r in got} == {None}  # the first item has no size
+
+
+def test_limited_images(spark):
+    page = np.random.default_rng(2).integers(0, 256, (10, 40, 3)).astype(np.uint8)
+    rows = [(1, page.tobytes(), 40), (2, page.tobytes(), 30), (3, None, 40), (4, b"", 40), (5, b"abc", 1)]
+    got = {r.k: r for r in crops.limit_images(spark.createDataFrame(rows, "k int, pixels binary, w int"), "pixels", "w", 20).collect()}
+    assert bytes(got[1].pixels) == raster.resampled(page, 20, 5).tobytes() and got[1].w == 20 and bytes(got[2].pixels) == page.tobytes() and got[2].w == 30
+    assert got[3].pixels is None and bytes(got[4].pixels) == b"" and bytes(got[5].pixels) == b"abc"
+
+
+def test_first_close_box_by_all_pairs(spark):
+    from folimetry.operators import layout
+
+    rng = np.random.default_rng(3)
+
+    def boxes(n):
+        return [(int(rng.integers(3)), i, *(float(v) for v in rng.integers(-6, 7, 4) / 2)) for i in range(n)] + [(0, 900 + n, None, 1.0, 2.0, 3.0)]
+
+    schema = "page long, idx long, x1 double, y1 double, x2 double, y2 double"
+    for tolerance in (0.5, 1.0, 3.0):
+        a, b = boxes(60), boxes(200)
+        got = {(r.page, r.idx): r.match for r in layout.first_close(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), tolerance=tolerance).collect()}
+        want = {(x[0], x[1]): min((y[1] for y in b if y[0] == x[0] and None not in x + y and all(abs(p - q) <= tolerance for p, q in zip(x[2:], y[2:]))), default=None) for x in a}
+        assert got == want and any(v is not None for v in want.values())
