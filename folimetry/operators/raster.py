@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -88,11 +89,11 @@ def recompressed(pixels: np.ndarray, quality: int) -> np.ndarray:
         planes = [_through_blocks(padded[:, :, c], quantisation(BRIGHTNESS, quality)) for c in range(pixels.shape[2])]
         return np.stack(planes, axis=2)[:h, :w].astype(np.uint8)
     r, g, b = (padded[:, :, c] for c in range(3))
-    y = np.round(0.299 * r + 0.587 * g + 0.114 * b)
-    out = [_through_blocks(y, quantisation(BRIGHTNESS, quality))]
+    y = 0.299 * r + 0.587 * g + 0.114 * b
+    out = [_through_blocks(np.round(y), quantisation(BRIGHTNESS, quality))]
     for colour, scale in ((b, 1.772), (r, 1.402)):
-        full = (colour - (0.299 * r + 0.587 * g + 0.114 * b)) / scale + 128
-        half = np.round(full.reshape(len(full) // 2, 2, -1, 2).mean(axis=(1, 3)))
+        full = (colour - y) * (0.25 / scale)
+        half = np.round(full[::2, ::2] + full[1::2, ::2] + full[::2, 1::2] + full[1::2, 1::2] + 128)
         out.append(_doubled(_doubled(_through_blocks(half, quantisation(COLOUR, quality)), 0), 1) - 128)
     y, cb, cr = out
     rgb = np.stack([y + 1.402 * cr, y - (0.114 * 1.772 * cb + 0.299 * 1.402 * cr) / 0.587, y + 1.772 * cb], axis=2)
@@ -136,6 +137,7 @@ def rotated(pixels: np.ndarray, degrees: float, fill: int = WHITE) -> np.ndarray
     return out
 
 
+@lru_cache(64)
 def _bands(size: int, wanted: int) -> tuple[np.ndarray, np.ndarray]:
     """For each of the wanted places along a side, the places that it is made of and their weights: a sinc windowed by a
     wider sinc, three lobes, stretched where the side shrinks."""
