@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folimetry.functions import formatting
 from folimetry.operators import frequencies, workers
@@ -13,19 +14,28 @@ from folimetry.plans.inputs import SCORES, scores, table
 from folimetry.sources import files
 
 
+#: Turns that are inside each other; the next ones begin a new region of the page.
+_DEPTH = 5
+
+
 def _nested(s: SparkSession, d: str) -> DataFrame:
-    """Conversations as documents of one page, where each turn's region is inside the turn's before; a few aren't JSON."""
+    """Conversations as documents of one page, where each turn's region is inside the turn's before, _DEPTH deep; a few
+    aren't JSON."""
     text = F.regexp_extract(F.to_json(F.struct(F.col("text").alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
     region = F.concat(F.lit('{"text":'), F.coalesce(text, F.lit("null")), F.lit(',"category":"'), F.col("role"), F.lit('"'))
-    turns = table(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", region.alias("r"))), asc=False).alias("x"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    turns = table(s, d, "conversations").select("conv_id", "turn", region.alias("r"), F.floor(place / _DEPTH).alias("top"))
+    chains = turns.groupBy("conv_id", "top").agg(F.sort_array(F.collect_list(F.struct("turn", "r")), asc=False).alias("x"))
     inner = F.aggregate("x", F.lit(""), lambda a, x: F.concat(x["r"], F.when(a == "", a).otherwise(F.concat(F.lit(',"children":['), a, F.lit("]"))), F.lit("}")))
-    return turns.select("conv_id", F.when(F.col("conv_id") % 10 == 9, "{").otherwise(F.concat(F.lit('{"pages":[{"page":7,"regions":['), inner, F.lit("]}]}"))).alias("json"))
+    pages = chains.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("top", inner.alias("j")))).alias("x"))
+    whole = F.array_join(F.transform("x", lambda x: x["j"]), ",")
+    return pages.select("conv_id", F.when(F.col("conv_id") % 10 == 9, "{").otherwise(F.concat(F.lit('{"pages":[{"page":7,"regions":['), whole, F.lit("]}]}"))).alias("json"))
 
 
 register(
     "gt_nested_regions",
     lambda s, d: files.nested_regions(_nested(s, d)).select("conv_id", "page", F.size("path").cast("long").alias("depth"), F.coalesce(F.size("parent"), F.lit(0)).cast("long").alias("parent_depth"), F.md5("region.text").alias("digest"), F.col("region.category").alias("category")),
-    """SELECT conv_id, 7 AS page, k AS depth, k - 1 AS parent_depth, md5(coalesce(text, '')) AS digest, role AS category
+    f"""SELECT conv_id, 7 AS page, (k - 1) % {_DEPTH} + 1 AS depth, (k - 1) % {_DEPTH} AS parent_depth, md5(coalesce(text, '')) AS digest, role AS category
     FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE conv_id % 10 <> 9)""",
 )
 

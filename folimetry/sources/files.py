@@ -82,8 +82,9 @@ def nested_regions(documents: DataFrame, text: str = "json") -> DataFrame:
     """The columns of `documents` but its text, with a row for each region at any depth: position of its page, page number,
     path (places from the top region down), parent (the path above, null at the top) and region.
 
-    Children are followed level by level by a recursive query; a region without children, or whose children aren't a list,
-    ends there. Entries that aren't objects are regions of defaults. Malformed documents give no rows. Spark stops recursive
+    Children are followed level by level by a recursive query, a Spark job a level, whose rows hold what is below them: meant
+    for layouts, which are some levels deep. A region without children, or whose children aren't a list, ends
+    there. Entries that aren't objects are regions of defaults. Malformed documents give no rows. Spark stops recursive
     queries at a million rows unless spark.sql.cteRecursionRowLimit says otherwise; where the session leaves it unset, it
     is lifted here.
     """
