@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folimetry.functions.text import fixed
 from folimetry.operators import statistics as st
 
 KEYS = ("model", "test_set", "device")
@@ -94,8 +95,8 @@ def result_documents(
     return made.select(*keys, F.to_json(F.struct(*keys, *(c for c in made.columns if c not in keys))).alias("document"))
 
 
-def _number(value: Column, form: str, unit: str = "") -> Column:
-    return F.when(value.isNotNull(), F.format_string(form + unit, value.cast("double"))).otherwise("—")
+def _number(value: Column, places: int, unit: str = "") -> Column:
+    return F.coalesce(F.concat(fixed(value, places), F.lit(unit)), F.lit("—"))
 
 
 def markdown_reports(pages: DataFrame, metrics: list[str], keys: tuple[str, ...] = KEYS, runs: DataFrame | None = None, intervals: bool = True) -> DataFrame:
@@ -106,17 +107,17 @@ def markdown_reports(pages: DataFrame, metrics: list[str], keys: tuple[str, ...]
     names = F.array(*map(F.lit, [*metrics, SPEED]))
     found = _summaries(level, metrics, keys, intervals).filter("n > 0")
     shown = F.when(F.col("metric") == SPEED, "Speed (s/page)").otherwise(F.upper("metric"))
-    line = F.concat(F.format_string("| %s | %.4f | %.4f |", shown, "mean", "std"), F.format_string(" [%.4f, %.4f] |", "ci_lower", "ci_upper") if intervals else F.lit(""))
+    line = F.concat(F.lit("| "), shown, *(x for c in ("mean", "std") for x in (F.lit(" | "), fixed(F.col(c), 4))), F.lit(" |"), *((F.lit(" ["), fixed(F.col("ci_lower"), 4), F.lit(", "), fixed(F.col("ci_upper"), 4), F.lit("] |")) if intervals else ()))
     head = "| Metric | Mean | Std |" + " 95% CI |" * intervals + "\n|---|---|---|" + "---|" * intervals
     made = level.select(*keys).distinct().join(_in_order(found.withColumn("__at", F.array_position(names, F.col("metric"))), keys, ["__at"], line, "__lines"), list(keys), "left")
     parts = [F.concat(F.lit("## "), F.concat_ws(" — ", *keys)), F.when(F.size("__lines") > 0, F.concat(F.lit(head + "\n"), F.array_join("__lines", "\n")))]
     if runs is not None:
         last = last_runs(level, keys).filter("not is_warmup").join(runs.filter("label = ''").select(*keys, "run_index", "load_seconds", "resources"), [*keys, "run_index"])
         made = made.join(last.select(*keys, "load_seconds", "resources"), list(keys), "left")
-        listed = [F.concat(F.lit("- Load time: "), _number(F.col("load_seconds"), "%.2f", "s")), *(F.concat(F.lit(f"- Peak {n}: "), _number(F.col("resources")[k], "%.0f", " MB")) for n, k in (("RAM", "peak_ram_mb"), ("VRAM", "peak_vram_mb")))]
+        listed = [F.concat(F.lit("- Load time: "), _number(F.col("load_seconds"), 2, "s")), *(F.concat(F.lit(f"- Peak {n}: "), _number(F.col("resources")[k], 0, " MB")) for n, k in (("RAM", "peak_ram_mb"), ("VRAM", "peak_vram_mb")))]
         parts.append(F.when(F.col("resources").isNotNull() | F.col("load_seconds").isNotNull(), F.concat(F.lit("### Resources\n\n"), F.concat_ws("\n", *listed))))
     rows = level.filter("label <> ''")
-    row = F.concat(F.lit("| "), F.col("label"), F.lit(" |"), *(F.concat(F.lit(" "), _number(st.defined(F.col(m)), "%.4f"), F.lit(" |")) for m in metrics))
+    row = F.concat(F.lit("| "), F.col("label"), F.lit(" |"), *(F.concat(F.lit(" "), _number(st.defined(F.col(m)), 4), F.lit(" |")) for m in metrics))
     top = "| Degradation |" + "".join(f" {m.upper()} |" for m in metrics) + "\n|---|" + "---|" * len(metrics)
     made = made.join(_in_order(rows, keys, ["label", "run_index"], row, "__degraded"), list(keys), "left")
     parts.append(F.when(F.size("__degraded") > 0, F.concat(F.lit(f"### Degradation robustness\n\n{top}\n"), F.array_join("__degraded", "\n"))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folimetry.functions import formatting
+from folimetry.functions.text import fixed
 from folimetry.operators import statistics as st
 from folimetry.plans.catalogue import register
 from folimetry.plans.inputs import REGIONS, SCORES, regions, scores, table
@@ -90,7 +91,7 @@ register("page_alignment", _aligned, "WITH w AS (SELECT conv_id, md5(text) AS pr
 def _report(df: DataFrame) -> DataFrame:
     """A markdown table of each model's test sets."""
     means = df.groupBy("model", "test_set").agg(F.avg("score").alias("m"), F.count("*").alias("n"))
-    line = F.format_string("| %s | %.4f | %d |", "test_set", "m", "n")
+    line = F.concat(F.lit("| "), "test_set", F.lit(" | "), fixed(F.col("m"), 4), F.lit(" | "), F.col("n").cast("string"), F.lit(" |"))
     rows = means.groupBy("model").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
     return rows.select("model", F.concat(F.lit("## "), F.col("model"), F.lit("\n\n| Test set | Mean | Pages |\n| --- | --- | --- |\n"), F.col("body")).alias("report"))
 

@@ -178,3 +178,17 @@ def test_merged_median_and_paired_test_agree_with_the_drawn_ones(spark):
         pairs = spark.createDataFrame([("g", float(p + shift), float(q), i) for i, (p, q) in enumerate(zip(a, b))] + [("one", 1.0, 2.0, 1), ("g", None, 1.0, 9), ("g", NAN, 1.0, 9)], "k string, a double, b double, i long").repartition(4)
         got = {r.k: r for r in st.paired_merged(pairs, ["k"], "i").collect()}
         assert abs(got["g"].p_value - st.paired_p(a + shift, b)) < 0.06 and got["g"].significant == sure and got["g"].n == 800 and got["one"].p_value is None
+
+
+def test_reports_round_exact_values_and_ties_to_even(spark):
+    from folimetry.functions import text as tx
+
+    values = [0.5, 1.5, 2.5, 414.5, -2.5, 1.005, 0.125, 2.675, 1e17, float("nan"), None]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k long, v double")
+    shown = rows.select("k", tx.fixed(F.col("v"), 0).alias("a"), tx.fixed(F.col("v"), 2).alias("b"), tx.fmt(F.col("v"), 0, "s").alias("c")).orderBy("k").collect()
+    known = [v for v in values if v is not None and v == v]
+    assert [(r.a, r.b, r.c) for r in shown] == [(f"{v:.0f}", f"{v:.2f}", f"{v:.0f}s") for v in known] + [(None, None, "N/A")] * 2
+    pages = spark.createDataFrame([("m", "t", "cpu", "", 1, False, 1, 1, 1.0, 0.00005)], "model string, test_set string, device string, label string, run_index long, is_warmup boolean, file long, page long, seconds double, cer double")
+    runs = spark.createDataFrame([("m", "t", "cpu", "", 1, 0.005, {"peak_ram_mb": 414.5})], "model string, test_set string, device string, label string, run_index long, load_seconds double, resources map<string,double>")
+    report = reports.markdown_reports(pages, ["cer"], runs=runs, intervals=False).first().report
+    assert "- Load time: 0.01s\n- Peak RAM: 414 MB" in report and f"| CER | {0.00005:.4f} | 0.0000 |" in report
