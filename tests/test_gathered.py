@@ -192,3 +192,20 @@ def test_reports_round_exact_values_and_ties_to_even(spark):
     runs = spark.createDataFrame([("m", "t", "cpu", "", 1, 0.005, {"peak_ram_mb": 414.5})], "model string, test_set string, device string, label string, run_index long, load_seconds double, resources map<string,double>")
     report = reports.markdown_reports(pages, ["cer"], runs=runs, intervals=False).first().report
     assert "- Load time: 0.01s\n- Peak RAM: 414 MB" in report and f"| CER | {0.00005:.4f} | 0.0000 |" in report
+
+
+def test_queries_hand_workers_small_batches_of_long_rows(spark):
+    import pandas as pd
+
+    from folimetry.plans import catalogue
+
+    @F.pandas_udf("long")
+    def rows_at_once(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(texts)] * len(texts))
+
+    def query(session, _):
+        texts = session.range(0, 400, 1, 1).select("id", F.repeat(F.lit("x"), F.when(F.col("id") == 7, 3 * catalogue.BATCH_BYTES).otherwise(1 << 16)).alias("text"))
+        return texts.select("id", F.char_length("text").alias("n"), rows_at_once("text").alias("rows"))
+
+    made = catalogue.small_batches(query)(spark.newSession(), "").collect()
+    assert len(made) == 400 and max(r.rows for r in made) <= catalogue.BATCH_BYTES / (1 << 16) + 1 and max(r.n for r in made) == 3 * catalogue.BATCH_BYTES
