@@ -209,3 +209,11 @@ def test_queries_hand_workers_small_batches_of_long_rows(spark):
 
     made = catalogue.small_batches(query)(spark.newSession(), "").collect()
     assert len(made) == 400 and max(r.rows for r in made) <= catalogue.BATCH_BYTES / (1 << 16) + 1 and max(r.n for r in made) == 3 * catalogue.BATCH_BYTES
+
+
+def test_annotation_exports_are_dealt_once_and_by_no_fixed_number(spark):
+    from folimetry.plans import catalogue
+
+    for name in ("annotation_convert", "annotation_pages"):
+        plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "REPARTITION" not in plan
