@@ -406,23 +406,31 @@ def resize_by_blocks(width: Column, height: Column, grid: int = 28, least: int =
     return _resized(width, height, lambda w, h: sides_by_blocks(w, h, grid, least, most))
 
 
+#: Sides of a cell in tolerances: most boxes then look into one cell.
+CELL = 32
+
+
 def first_close(reference: DataFrame, candidates: DataFrame, page: str = "page", place: str = "idx", tolerance: float = 1.0) -> DataFrame:
     """(page, place, match) of each reference box: the smallest place of a candidate on its page with all four sides within
-    the tolerance, or null. Boxes meet by cells of their left and top sides as wide as the tolerance, in which a candidate
-    is once and a reference box looks into nine; boxes with a null side match nothing."""
+    the tolerance, or null. Boxes meet by cells of their left and top sides, CELL tolerances wide: a candidate is in one, a
+    reference box looks into those that its tolerance reaches, four at most. Boxes with a null side match nothing; reference
+    rows with the same page and place are one."""
     if tolerance <= 0:
         raise ValueError("the tolerance must be above 0")
 
-    def cell(side: str) -> Column:
-        return F.floor(F.col(side).cast("double") / tolerance)
+    def cell(side: Column) -> Column:
+        return F.floor(side.cast("double") / (CELL * tolerance))
 
-    given = reference.select(page, place, *SIDES)
-    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    asked = given.withColumn("__n", F.explode(near)).select(
-        F.col(page).alias("__page"), F.col(place).alias("__place"), *(F.col(c).alias(f"__{c}") for c in SIDES), (cell("x1") + F.col("__n.i")).alias("__i"), (cell("y1") + F.col("__n.j")).alias("__j"),
-    )
-    there = candidates.select(page, F.col(place).alias("__match"), *SIDES, cell("x1").alias("__i"), cell("y1").alias("__j"))
+    def reached(side: str) -> Column:
+        # a little further than the tolerance, for sums of doubles are rounded
+        reach = tolerance * (1 + 1e-9) + F.abs(F.col(side).cast("double")) * 1e-15
+        return F.array_distinct(F.array(cell(F.col(side) - reach), cell(F.col(side)), cell(F.col(side) + reach)))
+
+    cells = F.flatten(F.transform(reached("x1"), lambda i: F.transform(reached("y1"), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    asked = reference.select(
+        F.col(page).alias("__page"), F.col(place).alias("__place"), *(F.col(c).alias(f"__{c}") for c in SIDES), F.explode_outer(cells).alias("__n"),
+    ).select("__page", "__place", *(f"__{c}" for c in SIDES), F.col("__n.i").alias("__i"), F.col("__n.j").alias("__j"))
+    there = candidates.select(page, F.col(place).alias("__match"), *SIDES, cell(F.col("x1")).alias("__i"), cell(F.col("y1")).alias("__j"))
     close = reduce(lambda x, y: x & y, (F.abs(F.col(c) - F.col(f"__{c}")) <= tolerance for c in SIDES))
-    met = asked.join(there, (F.col("__page") == F.col(page)) & (asked["__i"] == there["__i"]) & (asked["__j"] == there["__j"]) & close)
-    found = met.groupBy("__page", "__place").agg(F.min("__match").alias("match"))
-    return given.select(page, place).join(found.withColumnsRenamed({"__page": page, "__place": place}), [page, place], "left")
+    met = asked.join(there, (F.col("__page") == F.col(page)) & (asked["__i"] == there["__i"]) & (asked["__j"] == there["__j"]) & close, "left")
+    return met.groupBy(F.col("__page").alias(page), F.col("__place").alias(place)).agg(F.min("__match").alias("match"))

@@ -95,3 +95,17 @@ def test_first_close_box_by_all_pairs(spark):
         got = {(r.page, r.idx): r.match for r in layout.first_close(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), tolerance=tolerance).collect()}
         want = {(x[0], x[1]): min((y[1] for y in b if y[0] == x[0] and None not in x + y and all(abs(p - q) <= tolerance for p, q in zip(x[2:], y[2:]))), default=None) for x in a}
         assert got == want and any(v is not None for v in want.values())
+
+
+def test_first_close_box_at_borders_of_cells_and_of_repeated_rows(spark):
+    from folimetry.operators import layout
+
+    schema = "page long, idx long, x1 double, y1 double, x2 double, y2 double"
+    for tolerance in (0.1, 1.0):
+        side = layout.CELL * tolerance
+        places = [k * side + e * tolerance for k in (-1, 0, 1, 3) for e in (-1, -0.5, 0, 0.5, 1)]
+        a = [(0, i, x, y, x, y) for i, (x, y) in enumerate((x, y) for x in places for y in places[:7])]
+        b = [(0, i, x + tolerance / 2, y - tolerance / 2, x, y) for i, (_, _, x, y, _, _) in enumerate(reversed(a))]
+        got = layout.first_close(spark.createDataFrame(a + a[:3], schema), spark.createDataFrame(b, schema), tolerance=tolerance).collect()
+        want = {(x[0], x[1]): min((y[1] for y in b if all(abs(p - q) <= tolerance for p, q in zip(x[2:], y[2:]))), default=None) for x in a}
+        assert len(got) == len(a) and {(r.page, r.idx): r.match for r in got} == want
