@@ -470,3 +470,15 @@ def test_settings(tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "c.yaml").write_text("benchmark:\n  runs: 4\n")
     assert settings.load(f"{tmp_path}/c.yaml")["benchmark"]["runs"] == 4
+
+
+def test_small_trees_are_built_without_an_array_a_node(monkeypatch):
+    from folimetry.operators import trees
+
+    made, array = [], trees.np.array
+    monkeypatch.setattr(trees.np, "ones", lambda *a, **k: made.append(a) or array([1] * a[0]))
+    monkeypatch.setattr(trees, "parse_tree", lambda html, parse=trees.parse_tree: made.append(html) or parse(html))
+    table = "<table><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></table>"
+    assert trees.table_similarity(table, table) == 1.0 and made == [table]
+    tree = trees.parse_tree(table)
+    assert tree.size.tolist() == [6, 3, 2, 1, 1, 1] and tree.depth.tolist() == [0, 1, 1, 2, 2, 2] and tree.levels.tolist() == [0, 1, 3, 6]
