@@ -85,7 +85,7 @@ def _iou_array(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _array(boxes) -> np.ndarray:
-    return np.array([[b[s] for s in SIDES] for b in boxes], float).reshape(-1, 4)
+    return np.array([(b["x1"], b["y1"], b["x2"], b["y2"]) for b in boxes], float).reshape(-1, 4)
 
 
 def layout_scores(reference: DataFrame, predicted: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -482,3 +482,12 @@ def test_small_trees_are_built_without_an_array_a_node(monkeypatch):
     assert trees.table_similarity(table, table) == 1.0 and made == [table]
     tree = trees.parse_tree(table)
     assert tree.size.tolist() == [6, 3, 2, 1, 1, 1] and tree.depth.tolist() == [0, 1, 1, 2, 2, 2] and tree.levels.tolist() == [0, 1, 3, 6]
+
+
+def test_small_assignments_in_lists_are_those_in_arrays(monkeypatch):
+    rng = np.random.default_rng(5)
+    cases = [rng.random((n, m)) for n in range(1, 9) for m in range(1, 9)] + [rng.integers(0, 3, (n, m)) / 2 for n in range(1, 9) for m in range(1, 9)] + [np.zeros((3, 4)), np.eye(5)]
+    few = [alignment.assign(x) for x in cases]
+    monkeypatch.setattr(alignment, "_assign_few", None)
+    monkeypatch.setattr(alignment, "FEW", 0)
+    assert few == [alignment.assign(x) for x in cases]
