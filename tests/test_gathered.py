@@ -217,3 +217,12 @@ def test_annotation_exports_are_dealt_once_and_by_no_fixed_number(spark):
     for name in ("annotation_convert", "annotation_pages"):
         plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "REPARTITION" not in plan
+
+
+@pytest.mark.parametrize("name", ["norm_nfc"])
+def test_registered_queries_bound_their_batches(spark, name):
+    from folimetry.plans import catalogue
+
+    session = spark.newSession()
+    catalogue.queries()[name](session, "/root/testdata/sf0.001")
+    assert int(session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == catalogue.BATCH_BYTES
