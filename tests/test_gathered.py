@@ -219,7 +219,7 @@ def test_annotation_exports_are_dealt_once_and_by_no_fixed_number(spark):
         assert plan.count("Exchange") == 1 and "REPARTITION" not in plan
 
 
-@pytest.mark.parametrize("name", ["norm_nfc", "image_limit"])
+@pytest.mark.parametrize("name", ["norm_nfc", "image_limit", "page_frames"])
 def test_registered_queries_bound_their_batches(spark, name):
     from folimetry.plans import catalogue
 
