@@ -226,3 +226,35 @@ def test_registered_queries_bound_their_batches(spark, name):
     session = spark.newSession()
     catalogue.queries()[name](session, "/root/testdata/sf0.001")
     assert int(session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == catalogue.BATCH_BYTES
+
+
+@pytest.mark.parametrize("name, source, key, text", [("norm_nfc", "documents", "doc_id", "text")])
+def test_a_querys_own_function_gets_few_long_rows_at_once(spark, tmp_path, monkeypatch, name, source, key, text):
+    import functools
+
+    from pyspark.sql import functions
+
+    from folimetry.plans import catalogue
+
+    folder, real, n, size = tmp_path / "seen", functions.pandas_udf, 600, 1 << 16
+    folder.mkdir()
+
+    def spying(kind):
+        def decorate(function):
+            @functools.wraps(function)
+            def spied(*columns):
+                with open(f"{folder}/{os.getpid()}", "a") as f:
+                    print(len(columns[0]), sum(map(len, columns[0])), file=f)
+                return function(*columns)
+
+            return real(kind)(spied)
+
+        return decorate
+
+    session = spark.newSession()
+    session.range(0, n, 1, 1).select(F.col("id").alias(key), F.repeat(F.lit("x"), size).alias(text)).write.parquet(f"{tmp_path}/{source}.parquet")
+    monkeypatch.setattr(functions, "pandas_udf", spying)
+    assert len(catalogue.queries()[name](session, str(tmp_path)).collect()) == n
+    seen = [tuple(map(int, line.split())) for path in folder.iterdir() for line in path.read_text().splitlines()]
+    assert sum(rows for rows, _ in seen) == n and n * size <= sum(taken for _, taken in seen)
+    assert max(taken for _, taken in seen) <= catalogue.BATCH_BYTES + 2 * size
