@@ -228,7 +228,7 @@ def test_registered_queries_bound_their_batches(spark, name):
     assert int(session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == catalogue.BATCH_BYTES
 
 
-@pytest.mark.parametrize("name, source, key, text", [("norm_nfc", "documents", "doc_id", "text"), ("image_limit", "pages", "page_id", "html")])
+@pytest.mark.parametrize("name, source, key, text", [("norm_nfc", "documents", "doc_id", "text"), ("image_limit", "pages", "page_id", "html"), ("page_frames", "pages", "page_id", "html")])
 def test_a_querys_own_function_gets_few_long_rows_at_once(spark, tmp_path, monkeypatch, name, source, key, text):
     import functools
 
