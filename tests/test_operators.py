@@ -491,3 +491,52 @@ def test_small_assignments_in_lists_are_those_in_arrays(monkeypatch):
     monkeypatch.setattr(alignment, "_assign_few", None)
     monkeypatch.setattr(alignment, "FEW", 0)
     assert few == [alignment.assign(x) for x in cases]
+
+
+def _order_tables(lines, page, line_order=sorted):
+    """The reference and the predicted table of lines: line number, part, supplier, quantity."""
+
+    def html(rows):
+        return "<table>" + "".join(f"<tr><td>{r[0]}</td><td>{r[3]}</td></tr>" for r in rows) + "</table>"
+
+    lines = line_order(lines)
+    gt = html(lines)
+    return gt, [gt.replace("<td>1", "<td>7"), html(lines[1:]), html(sorted(lines, key=lambda r: r[1])), gt][page % 4]
+
+
+def _recursive_similarity(a, b):
+    x, y = trees.parse_tree(a), trees.parse_tree(b)
+    return max(0.0, 1 - _tree_distance(x, y) / max(len(x), len(y)))
+
+
+def _order_lines(spark, tmp_path):
+    """Lines of 60 orders as page, return flag and (line number, part, supplier, quantity), and their folder."""
+    rng = random.Random(4)
+    rows = [(page, rng.choice("ANR"), (rng.randrange(1, 8), part, rng.randrange(9), float(rng.randrange(1, 51)))) for page in range(60) for part in rng.sample(range(99), rng.randrange(1, 9))]
+    flat = [(page, *line, flag) for page, flag, line in rows]
+    spark.createDataFrame(flat, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    return rows
+
+
+def test_page_tables_are_matched(spark, tmp_path):
+    import __spark_entry__
+
+    rows = _order_lines(spark, tmp_path)
+    got = {r.page: r.teds for r in __spark_entry__.queries()["metric_teds"](spark, str(tmp_path)).collect()}
+
+    def scores(page, spurious=True, line_order=sorted):
+        """Of the best matching, and of tables as they come."""
+        flags = sorted({f for p, f, _ in rows if p == page})
+        gt, pred = zip(*[_order_tables([x for p, f, x in rows if (p, f) == (page, flag)], page, line_order) for flag in flags], strict=True)
+        pred = list(pred)[::-1][page % 5 == 0 :] + ["<table><tr><td>1</td></tr></table>"] * (spurious and page % 5 == 1)
+        each = [[_recursive_similarity(a, b) for b in pred] + [0.0] * len(gt) for a in gt]
+        ways = [sum(e[j] for e, j in zip(each, p, strict=True)) / len(gt) for p in permutations(range(len(each[0])), len(gt))]
+        return max(ways), ways[0]
+
+    expected = {page: scores(page) for page in range(60)}
+    assert got == pytest.approx({page: best for page, (best, _) in expected.items()})
+    # every stage tells: the matching, references without a partner, predictions too many, the order of lines
+    assert any(best > first + 1e-9 for best, first in expected.values())
+    assert got[0] < 1 and any(got[page] == 0 for page in range(0, 60, 5))
+    assert any(scores(page, spurious=False) != expected[page] for page in range(1, 60, 5))
+    assert any(scores(page, line_order=lambda x: sorted(x)[::-1]) != expected[page] for page in range(2, 60, 4))
