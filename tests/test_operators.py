@@ -540,3 +540,17 @@ def test_page_tables_are_matched(spark, tmp_path):
     assert got[0] < 1 and any(got[page] == 0 for page in range(0, 60, 5))
     assert any(scores(page, spurious=False) != expected[page] for page in range(1, 60, 5))
     assert any(scores(page, line_order=lambda x: sorted(x)[::-1]) != expected[page] for page in range(2, 60, 4))
+
+
+def test_a_pair_is_a_table_and_its_prediction(spark, tmp_path):
+    import __spark_entry__
+
+    rows = _order_lines(spark, tmp_path)
+    got = {r.page: r.similarity for r in __spark_entry__.queries()["teds_pair"](spark, str(tmp_path)).collect()}
+
+    def score(page, line_order=sorted):
+        return _recursive_similarity(*_order_tables([x for p, _, x in rows if p == page], page, line_order))
+
+    assert got == pytest.approx({page: score(page) for page in range(60)})
+    assert all(got[page] == 1 for page in range(3, 60, 4)) and all(any(got[page] < 1 for page in range(kind, 60, 4)) for kind in range(3))
+    assert any(score(page, lambda x: sorted(x)[::-1]) != score(page) for page in range(2, 60, 4))
